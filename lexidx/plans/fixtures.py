@@ -63,3 +63,103 @@ def write_g1(spark: SparkSession, sf_dir: str) -> str:
     path = scratch_path(spark, "g1-ndjson")
     g1_lines(spark, sf_dir).orderBy("line").select("value").write.mode("overwrite").text(path)
     return path
+
+
+# ---- G2: catalog tables from customer and orders ------------------------
+
+# Order priority digit -> version status.
+PRIORITY_STATUS = [("1", "READY"), ("2", "UPLOADED"), ("3", "BUILT"), ("4", "BUILDING"), ("5", "FAILED")]
+
+
+def artifact_key(index_id: Column, version: Column) -> Column:
+    """A2: {index}/{version}/index.tar.gz."""
+    return F.concat_ws("/", index_id.cast("string"), version.cast("string"), F.lit("index.tar.gz"))
+
+
+def search_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("index_id"), F.lower("c_name").alias("name"),
+        F.col("c_mktsegment").alias("description"))
+
+
+def index_version(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Versions numbered per index in order-key order (a partitioned window)."""
+    from pyspark.sql import Window
+    o = tables.table(spark, sf_dir, "orders")
+    status = F.lit(None).cast("string")
+    for digit, st in reversed(PRIORITY_STATUS):
+        status = F.when(F.substring("o_orderpriority", 1, 1) == digit, F.lit(st)).otherwise(status)
+    w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    v = o.select(F.col("o_orderkey").alias("version_id"), F.col("o_custkey").alias("index_id"),
+                 F.row_number().over(w).alias("version"), status.alias("status"), "o_totalprice")
+    built = F.col("status").isin("BUILT", "UPLOADED", "READY")
+    return v.select(
+        "version_id", "index_id", "version", "status",
+        F.when(built, (F.col("o_totalprice").cast("bigint") % 1000)).alias("doc_count"),
+        F.when(built, F.col("o_totalprice").cast("bigint")).alias("artifact_size"),
+        F.when(built, F.sha2(F.col("version_id").cast("string"), 256)).alias("checksum"),
+        F.when(F.col("status").isin("UPLOADED", "READY"),
+               artifact_key(F.col("index_id"), F.col("version"))).alias("artifact_key"))
+
+
+def index_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests for index ids: every 100th order; every 300th points nowhere."""
+    o = tables.table(spark, sf_dir, "orders").where(F.col("o_orderkey") % 100 == 0)
+    return o.select(F.col("o_orderkey").alias("req_id"), F.when(
+        F.col("o_orderkey") % 300 == 0, F.col("o_custkey") + 1000000).otherwise(F.col("o_custkey")).alias("index_id"))
+
+
+def version_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests for (index, version): as above, every 700th asks a version
+    that does not exist."""
+    v = index_version(spark, sf_dir).where(F.col("version_id") % 100 == 0)
+    k = F.col("version_id")
+    return v.select(
+        k.alias("req_id"),
+        F.when(k % 300 == 0, F.col("index_id") + 1000000).otherwise(F.col("index_id")).alias("index_id"),
+        F.when(k % 700 == 0, F.col("version") + 1000).otherwise(F.col("version")).alias("version"))
+
+
+# ---- G3: lifecycle log from events --------------------------------------
+
+# Event type -> lifecycle event kind.
+EVENT_KIND = [("signup", "CREATED"), ("view", "BUILDING"), ("click", "BUILT"), ("purchase", "UPLOADED")]
+READY_BELOW = 20.0
+
+
+def lifecycle_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = tables.table(spark, sf_dir, "events")
+    kind = F.when(F.col("value") < READY_BELOW, F.lit("READY")).otherwise(F.lit("FAILED"))
+    kind = F.when(F.col("event_type") != "error", F.lit(None)).otherwise(kind)
+    for et, k in EVENT_KIND:
+        kind = F.when(F.col("event_type") == et, F.lit(k)).otherwise(kind)
+    return e.select(
+        F.col("user_id").alias("version_id"), F.col("event_id").alias("seq"), "ts", kind.alias("kind"),
+        F.floor("value").cast("bigint").alias("doc_count"),
+        F.floor(F.col("value") * 100).cast("bigint").alias("artifact_size"),
+        F.sha2("props", 256).alias("checksum"),
+        F.concat_ws("/", F.col("user_id").cast("string"), F.col("event_id").cast("string"),
+                    F.lit("index.tar.gz")).alias("artifact_key"),
+        F.concat(F.lit("error "), F.col("props")).alias("error_message"))
+
+
+# ---- index definitions for the audit (V12, V13) -------------------------
+
+# Field types by nation key modulo 6 ("bogus" is invalid).
+DEFINITION_TYPES = ["keyword", "text", "long", "double", "boolean", "bogus"]
+
+
+def index_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexidx.operators.schema import FIELDS_TYPE
+    c = tables.table(spark, sf_dir, "customer")
+    k = F.col("c_custkey")
+    name = (F.when(k % 7 == 0, F.col("c_name")).when(k % 11 == 0, F.lit(""))
+            .when(k % 13 == 0, F.repeat(F.lit("x"), 70))
+            .otherwise(F.lower(F.replace(F.col("c_name"), F.lit("#"), F.lit("_")))))
+    desc = F.when(k % 17 == 0, F.repeat(F.col("c_mktsegment"), 60)).otherwise(F.col("c_mktsegment"))
+    ftype = F.element_at(F.array(*[F.lit(t) for t in DEFINITION_TYPES]), (F.col("c_nationkey") % 6 + 1).cast("int"))
+    second = F.when(k % 23 == 0, F.lit("title")).when(k % 29 == 0, F.lit("Bad Field")).otherwise(F.lit("seg"))
+    fields = F.when(k % 19 == 0, F.array().cast(FIELDS_TYPE)).otherwise(F.array(
+        F.struct(F.lit("title").alias("name"), F.lit("text").alias("type")),
+        F.struct(second.alias("name"), ftype.alias("type"))))
+    return c.select(k.alias("index_id"), name.alias("name"), desc.alias("description"), fields.alias("fields"))
