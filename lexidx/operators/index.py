@@ -45,10 +45,40 @@ def _with_term_runs(df: DataFrame, toks: str, out: str) -> DataFrame:
     return df.withColumn(out, F.transform(starts, run)).drop("_pairs", "_starts")
 
 
-def text_postings(docs: DataFrame, field: str, pattern: str = analyzer.DEFAULT_PATTERN) -> DataFrame:
-    """B2: (field, term, doc_id, tf, positions, dl) of one text field."""
+def spread(df: DataFrame) -> DataFrame:
+    """Use every core when the input arrives in fewer splits than the
+    session's parallelism (one small file). At scale the input has far more
+    splits than cores and this is a no-op, so no shuffle is added there."""
+    par = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(par) if df.rdd.getNumPartitions() < par else df
+
+
+def text_postings(docs: DataFrame, field: str, pattern: str = analyzer.DEFAULT_PATTERN,
+                  only_terms: list[str] | None = None) -> DataFrame:
+    """B2: (field, term, doc_id, tf, positions, dl) of one text field.
+
+    ``only_terms`` keeps the postings of those terms only (positions stay
+    those of the full token stream): query-time scoring over documents that
+    are not indexed yet needs no runs for the other terms.
+    """
     toks = analyzer.tokens(F.col(field), pattern)
     per_doc = docs.where(F.col(field).isNotNull()).select("doc_id", toks.alias("toks"))
+    if only_terms is not None:
+        wanted = F.array(*[F.lit(t) for t in sorted(set(only_terms))])
+        per_doc = per_doc.select("doc_id", F.size("toks").alias("_dl"), F.filter(
+            F.transform("toks", lambda t, i: F.struct(t.alias("term"), i.alias("pos"))),
+            lambda x: F.array_contains(wanted, x["term"])).alias("_tp"))
+        per_doc = per_doc.select("doc_id", "_dl", F.transform("_tp", lambda x: x["term"]).alias("toks"),
+                                 F.transform("_tp", lambda x: x["pos"]).alias("_pos"))
+        per_doc = _with_term_runs(per_doc, "toks", "runs")
+        per_doc = per_doc.withColumn("runs", F.transform("runs", lambda r: F.struct(
+            r["term"].alias("term"), r["tf"].alias("tf"),
+            F.transform(r["positions"], lambda i: F.element_at(F.col("_pos"), i + 1)).alias("positions"))))
+        return per_doc.select(
+            F.lit(field).alias("field"), "doc_id", F.col("_dl").alias("dl"),
+            F.explode_outer("runs").alias("p")).where(F.col("p").isNotNull()).select(
+            "field", F.col("p.term").alias("term"), "doc_id", F.col("p.tf").alias("tf"),
+            F.col("p.positions").alias("positions"), "dl")
     per_doc = _with_term_runs(per_doc, "toks", "runs")
     return per_doc.select(
         F.lit(field).alias("field"), "doc_id", F.size("toks").alias("dl"),
@@ -153,6 +183,7 @@ class IndexTables:
 
 def build(docs: DataFrame, fields, pattern: str = analyzer.DEFAULT_PATTERN) -> IndexTables:
     fl = fields_of(fields)
+    docs = spread(docs)
     has_text = any(f.type is FieldType.TEXT for f in fl)
     return IndexTables(
         stored=stored(docs, fl),

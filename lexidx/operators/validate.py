@@ -91,11 +91,11 @@ def coerce(f: Field, v: Column, fam: Column, tag: Column) -> Column:
 def validate(parsed: DataFrame, fields) -> DataFrame:
     """V1-V10 in one narrow pass over ``sources.ndjson.parse`` output.
 
-    Adds one typed column per field, ``errors`` (ARRAY<STRUCT<pos, field,
-    kind, message>> ordered by key position) and ``status``
-    (OK / MALFORMED / INVALID). Intermediate values are staged as columns
-    so every expression is built once; the exact Java class and the value
-    text are only computed for mismatching fields.
+    Adds one typed column per field and ``status`` (OK / MALFORMED /
+    INVALID); ``_v_<f>`` (the raw VARIANT) and ``_k_<f>`` (error kind) stay
+    for ``errors``. Intermediate values are staged as columns so every
+    expression is built once; messages are only built by ``errors`` for
+    the INVALID lines.
     """
     fl = fields_of(fields)
     names = F.array(*[F.lit(f.name) for f in fl])
@@ -115,43 +115,45 @@ def validate(parsed: DataFrame, fields) -> DataFrame:
                 .when(F.col(f"_f_{f.name}").isNull(), F.lit("NULL"))
                 .when(F.col(f.name).isNull(), F.lit("TYPE_MISMATCH")))
         df = df.withColumn(f"_k_{f.name}", kind)
+    has_bad = F.size(F.array_except(F.col("keys"), names)) > 0
+    for f in fl:
+        has_bad = has_bad | F.col(f"_k_{f.name}").isNotNull()
+    status = (F.when(~ok_obj, F.lit("MALFORMED"))
+              .when(has_bad, F.lit("INVALID")).otherwise(F.lit("OK")))
+    return df.withColumn("status", status).drop(*[f"_{x}_{f.name}" for f in fl for x in "tf"])
+
+
+def _error_structs(df: DataFrame, fl: list[Field]) -> DataFrame:
+    """Add ``errors`` to INVALID lines. Messages, the exact Java class and
+    the value text are only built here, after the filter, for bad lines."""
+    names = F.array(*[F.lit(f.name) for f in fl])
     for f in fl:
         v = F.col(f"_v_{f.name}")
         df = df.withColumn(f"_c_{f.name}", F.when(
             F.col(f"_k_{f.name}") == "TYPE_MISMATCH", java_class(v, raw_text(F.lit(f.name)))))
+    parts = []
     for f in fl:
         v, k, c = F.col(f"_v_{f.name}"), F.col(f"_k_{f.name}"), F.col(f"_c_{f.name}")
         msg = (F.when(k == "NULL", F.format_string("Line %d: field '%s' is null", F.col("line"), F.lit(f.name)))
-               .when(k == "TYPE_MISMATCH", F.format_string(
+               .otherwise(F.format_string(
                    "Line %d: field '%s' expected %s but got %s value '%s'", F.col("line"),
                    F.lit(f.name), F.lit(LABELS[f.type]), c, java_text(v, c))))
         pos = (F.array_position(F.col("keys"), F.lit(f.name)) - 1).cast("int")
-        df = df.withColumn(f"_e_{f.name}", F.when(k.isNotNull(), F.struct(
+        parts.append(F.when(k.isNotNull(), F.struct(
             pos.alias("pos"), F.lit(f.name).alias("field"), k.alias("kind"), msg.alias("message"))))
     unknown = F.transform(F.array_except(F.col("keys"), names), lambda k: F.struct(
         (F.array_position(F.col("keys"), k) - 1).cast("int").alias("pos"), k.alias("field"),
         F.lit("UNKNOWN_FIELD").alias("kind"),
         F.format_string("Line %d: unknown field '%s'", F.col("line"), k).alias("message")))
-    known = F.filter(F.array(*[F.col(f"_e_{f.name}") for f in fl]), lambda x: x.isNotNull())
-    # Cheap test first: the error array is only built for lines that have one.
-    has_unknown = F.size(F.array_except(F.col("keys"), names)) > 0
-    has_bad = has_unknown
-    for f in fl:
-        has_bad = has_bad | F.col(f"_k_{f.name}").isNotNull()
-    status = (F.when(~ok_obj, F.lit("MALFORMED"))
-              .when(has_bad, F.lit("INVALID")).otherwise(F.lit("OK")))
-    df = df.withColumn("status", status)
-    empty = F.array().cast(ERROR_TYPE)
-    df = df.withColumn("errors", F.when(F.col("status") == "INVALID", F.array_sort(F.concat(unknown, known)))
-                       .when(F.col("status") == "OK", empty))
-    tmp = [f"_{x}_{f.name}" for f in fl for x in "vtfkce"]
-    return df.drop(*tmp)
+    known = F.filter(F.array(*parts), lambda x: x.isNotNull())
+    return df.withColumn("errors", F.array_sort(F.concat(unknown, known)))
 
 
-def errors(validated: DataFrame) -> DataFrame:
+def errors(validated: DataFrame, fields) -> DataFrame:
     """Every field error: (line, position, field, kind, message)."""
+    bad = _error_structs(validated.where(F.col("status") == "INVALID"), fields_of(fields))
     # explode_outer + filter: see index.text_postings (no inferred size filter).
-    return validated.select("line", F.explode_outer("errors").alias("e")).where(F.col("e").isNotNull()).select(
+    return bad.select("line", F.explode_outer("errors").alias("e")).where(F.col("e").isNotNull()).select(
         "line", F.col("e.pos").alias("position"), F.col("e.field").alias("field"),
         F.col("e.kind").alias("kind"), F.col("e.message").alias("message"))
 
@@ -172,18 +174,19 @@ def _malformed_message(reason: Column) -> Column:
     return out
 
 
-def first_error(validated: DataFrame) -> DataFrame:
+def first_error(validated: DataFrame, fields) -> DataFrame:
     """V9: the first bad key of the first bad line; zero rows when clean.
 
-    A global ``min_by`` over a struct of (line, message): partial
-    aggregation leaves one row per partition for the final reduce.
+    A global ``min`` over (line, position, message): partial aggregation
+    leaves one row per partition for the final reduce.
     """
-    bad = validated.where(F.col("status") != "OK").select(
-        "line", F.when(F.col("status") == "MALFORMED", _malformed_message(F.col("malformed")))
-        .otherwise(F.get(F.col("errors"), 0)["message"]).alias("message"))
-    m = bad.agg(F.min(F.struct("line", "message")).alias("m"))
+    mal = validated.where(F.col("status") == "MALFORMED").select(
+        "line", F.lit(-1).alias("position"), _malformed_message(F.col("malformed")).alias("message"))
+    errs = errors(validated, fields).select("line", "position", "message")
+    m = mal.unionByName(errs).agg(F.min(F.struct("line", "position", "message")).alias("m"))
     return m.where(F.col("m").isNotNull()).select(
-        F.col("m.line").alias("line"), F.coalesce(F.col("m.message"), F.lit("IndexBuildException")).alias("message"))
+        F.col("m.line").alias("line"),
+        F.coalesce(F.col("m.message"), F.lit("IndexBuildException")).alias("message"))
 
 
 def typed_documents(validated: DataFrame, fields) -> DataFrame:

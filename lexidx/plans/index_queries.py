@@ -25,12 +25,12 @@ def _docs(spark, sf_dir):
 
 
 def analyze_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = tables.documents_index_input(spark, sf_dir)
+    d = index.spread(tables.documents_index_input(spark, sf_dir))
     return analyzer.analyze(d, "text", "doc_id")
 
 
 def text_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = tables.documents_index_input(spark, sf_dir)
+    d = index.spread(tables.documents_index_input(spark, sf_dir))
     p = index.text_postings(d, "text")
     return p.select("field", "term", "doc_id", "tf",
                     F.array_join("positions", ",").alias("positions"), "dl")
@@ -91,16 +91,23 @@ def write_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+def _bm25_hits(spark, sf_dir):
+    """Query-time scoring over the document table: postings of the query
+    terms only, statistics from all documents' lengths."""
+    d = index.spread(tables.documents_index_input(spark, sf_dir))
+    post = index.text_postings(d, "text", only_terms=BM25_TERMS)
+    stats = index.field_stats(index.doc_lengths(d, tables.DOCUMENT_FIELDS))
+    return d, search.bm25_topk(post, index.term_dictionary(post), stats, "text", BM25_TERMS, BM25_K)
+
+
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, t = _docs(spark, sf_dir)
-    hits = search.bm25_topk(t.postings, t.terms(), t.stats(), "text", BM25_TERMS, BM25_K)
+    _, hits = _bm25_hits(spark, sf_dir)
     return hits.select("rank", "doc_id", F.round("score", 6).alias("score"))
 
 
 def fetch_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, t = _docs(spark, sf_dir)
-    hits = search.bm25_topk(t.postings, t.terms(), t.stats(), "text", BM25_TERMS, BM25_K)
-    return search.fetch_stored(hits, t.stored, max_hits=BM25_K).select(
+    d, hits = _bm25_hits(spark, sf_dir)
+    return search.fetch_stored(hits, d, max_hits=BM25_K).select(
         "rank", "doc_id", F.round("score", 6).alias("score"), "lang", "source", "n_chars", "text")
 
 

@@ -33,7 +33,7 @@ def malformed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _errors_of(kind):
     def q(spark: SparkSession, sf_dir: str) -> DataFrame:
-        e = validate.errors(_validated(spark, sf_dir))
+        e = validate.errors(_validated(spark, sf_dir), tables.PART_FIELDS)
         return e.where(F.col("kind") == kind).select("line", "field", "message")
     return q
 
@@ -41,16 +41,14 @@ def _errors_of(kind):
 def _coerce_of(ftype: FieldType):
     def q(spark: SparkSession, sf_dir: str) -> DataFrame:
         v = _validated(spark, sf_dir).where(F.col("status") != "MALFORMED")
-        e = F.col("errors")
+        errs = validate.errors(v, tables.PART_FIELDS).where(F.col("kind") == "TYPE_MISMATCH")
         parts = []
         for f in tables.PART_FIELDS:
             if f.type is not ftype:
                 continue
-            err = F.filter(e, lambda x: x["field"] == f.name)
-            parts.append(v.where(F.array_contains("keys", f.name)
-                                 & ~F.exists(err, lambda x: x["kind"] == "NULL")).select(
-                "line", F.lit(f.name).alias("field"), F.col(f.name).alias("value"),
-                F.get(err, 0)["message"].alias("message")))
+            rows = v.where(F.array_contains("keys", f.name) & F.col(f"_k_{f.name}").eqNullSafe("NULL").__invert__())
+            rows = rows.select("line", F.lit(f.name).alias("field"), F.col(f.name).alias("value"))
+            parts.append(rows.join(errs.where(F.col("field") == f.name).select("line", "message"), "line", "left"))
         out = parts[0]
         for p in parts[1:]:
             out = out.unionByName(p)
@@ -59,7 +57,7 @@ def _coerce_of(ftype: FieldType):
 
 
 def first_error(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return validate.first_error(_validated(spark, sf_dir))
+    return validate.first_error(_validated(spark, sf_dir), tables.PART_FIELDS)
 
 
 def typed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
