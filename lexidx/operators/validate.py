@@ -123,6 +123,19 @@ def validate(parsed: DataFrame, fields) -> DataFrame:
     return df.withColumn("status", status).drop(*[f"_{x}_{f.name}" for f in fl for x in "tf"])
 
 
+def keep_where(df: DataFrame, cond: Column) -> DataFrame:
+    """``df.where(cond)`` for conditions over the validation columns.
+
+    A plain filter is pushed below the staged projections and inlines the
+    whole coercion stack into the predicate (many copies per row). Wrapping
+    the kept row in a 0/1-element array and exploding it keeps the condition
+    above the projection, where it reads the computed columns once.
+    """
+    cols = df.columns
+    return (df.select(F.explode_outer(F.when(cond, F.array(F.struct(*cols)))).alias("_r"))
+              .where(F.col("_r").isNotNull()).select(*[F.col("_r")[c].alias(c) for c in cols]))
+
+
 def _error_structs(df: DataFrame, fl: list[Field]) -> DataFrame:
     """Add ``errors`` to INVALID lines. Messages, the exact Java class and
     the value text are only built here, after the filter, for bad lines."""
@@ -151,7 +164,7 @@ def _error_structs(df: DataFrame, fl: list[Field]) -> DataFrame:
 
 def errors(validated: DataFrame, fields) -> DataFrame:
     """Every field error: (line, position, field, kind, message)."""
-    bad = _error_structs(validated.where(F.col("status") == "INVALID"), fields_of(fields))
+    bad = _error_structs(keep_where(validated, F.col("status") == "INVALID"), fields_of(fields))
     # explode_outer + filter: see index.text_postings (no inferred size filter).
     return bad.select("line", F.explode_outer("errors").alias("e")).where(F.col("e").isNotNull()).select(
         "line", F.col("e.pos").alias("position"), F.col("e.field").alias("field"),
@@ -180,7 +193,7 @@ def first_error(validated: DataFrame, fields) -> DataFrame:
     A global ``min`` over (line, position, message): partial aggregation
     leaves one row per partition for the final reduce.
     """
-    mal = validated.where(F.col("status") == "MALFORMED").select(
+    mal = keep_where(validated, F.col("status") == "MALFORMED").select(
         "line", F.lit(-1).alias("position"), _malformed_message(F.col("malformed")).alias("message"))
     errs = errors(validated, fields).select("line", "position", "message")
     m = mal.unionByName(errs).agg(F.min(F.struct("line", "position", "message")).alias("m"))
@@ -191,8 +204,9 @@ def first_error(validated: DataFrame, fields) -> DataFrame:
 
 def typed_documents(validated: DataFrame, fields) -> DataFrame:
     """Typed rows of the lines that pass, ``doc_id`` = physical line."""
-    return validated.where(F.col("status") == "OK").select(
-        F.col("line").alias("doc_id"), *[f.name for f in fields_of(fields)])
+    fl = fields_of(fields)
+    return keep_where(validated.select("line", "status", *[f.name for f in fl]), F.col("status") == "OK").select(
+        F.col("line").alias("doc_id"), *[f.name for f in fl])
 
 
 def doc_count(validated: DataFrame) -> DataFrame:
