@@ -141,3 +141,67 @@ def load_version(spark: SparkSession, root: str, index_id, version, status: str,
             if df is not None:
                 df.createOrReplaceTempView(f"{register_as}_{name}")
     return row("LOADED", num_docs=n, size=int(stats["b"] or 0))
+
+
+# ---- archive audit (A5, A6) ---------------------------------------------
+
+ENTRY_SCHEMA = ("archive string, position int, entry string, entry_type string, "
+                "size bigint, link_target string")
+
+
+def _list_tar(batches):
+    """List every entry of every archive in the batch (names only, nothing
+    is extracted). Runs inside the task that read the archive."""
+    import io
+    import tarfile
+
+    import pandas as pd
+    for pdf in batches:
+        rows = []
+        for path, content in zip(pdf["path"], pdf["content"]):
+            with tarfile.open(fileobj=io.BytesIO(bytes(content)), mode="r:*") as tf:
+                for i, m in enumerate(tf):
+                    kind = ("symlink" if m.issym() else "hardlink" if m.islnk() else "file" if m.isfile()
+                            else "directory" if m.isdir() else "other")
+                    rows.append((path, i, m.name, kind, int(m.size), m.linkname or None))
+        yield pd.DataFrame(rows, columns=["archive", "position", "entry", "entry_type", "size", "link_target"])
+
+
+def archive_entries(archives: DataFrame) -> DataFrame:
+    """A5 listing: one row per tar entry of each (path, content) archive."""
+    return archives.select("path", "content").mapInPandas(_list_tar, ENTRY_SCHEMA)
+
+
+def _escapes(name) -> "F.Column":
+    """Does the entry resolve outside the target directory after
+    normalisation? Absolute names do; otherwise walk the segments and
+    fail as soon as '..' climbs above the root."""
+    walk = F.aggregate(
+        F.split(name, "/"), F.struct(F.lit(0).alias("d"), F.lit(False).alias("out")),
+        lambda acc, seg: F.when(seg.isin("", "."), acc)
+        .when(seg == "..", F.struct((acc["d"] - 1).alias("d"), (acc["out"] | (acc["d"] - 1 < 0)).alias("out")))
+        .otherwise(F.struct((acc["d"] + 1).alias("d"), acc["out"].alias("out"))))
+    return name.startswith("/") | walk["out"]
+
+
+def audit_entries(entries: DataFrame) -> DataFrame:
+    """A5 verdicts, checked in order: link, outside the target, neither
+    file nor directory. ``first_failure`` marks the entry that stops the
+    extraction of its archive."""
+    t, name = F.col("entry_type"), F.col("entry")
+    verdict = (F.when(t.isin("symlink", "hardlink"), F.lit("LINK"))
+               .when(_escapes(name), F.lit("OUTSIDE_TARGET"))
+               .when(~t.isin("file", "directory"), F.lit("UNSUPPORTED")).otherwise(F.lit("OK")))
+    msg = (F.when(verdict == "LINK", F.format_string("Refusing to extract link tar entry '%s'", name))
+           .when(verdict == "OUTSIDE_TARGET",
+                 F.format_string("Refusing to extract tar entry outside target directory: '%s'", name))
+           .when(verdict == "UNSUPPORTED", F.format_string("Refusing to extract unsupported tar entry '%s'", name)))
+    return entries.select("archive", "position", "entry", "entry_type", "size",
+                          verdict.alias("verdict"), msg.alias("message"))
+
+
+def unpacked_size(entries: DataFrame) -> DataFrame:
+    """Bytes of regular files per archive (a partial aggregate)."""
+    return entries.groupBy("archive").agg(
+        F.sum(F.when(F.col("entry_type") == "file", F.col("size")).otherwise(0)).alias("total_bytes"),
+        F.count(F.lit(1)).alias("entries"))

@@ -90,3 +90,15 @@ QUERIES = {
     "publish_version": publish_version,
     "load_version": load_version,
 }
+
+
+def archive_entry_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return artifact.audit_entries(artifact.archive_entries(fixtures.page_archives(spark, sf_dir)))
+
+
+def unpacked_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return artifact.unpacked_size(artifact.archive_entries(fixtures.page_archives(spark, sf_dir)))
+
+
+QUERIES["archive_entry_audit"] = archive_entry_audit
+QUERIES["unpacked_size"] = unpacked_size

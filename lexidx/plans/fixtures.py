@@ -163,3 +163,50 @@ def index_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.struct(F.lit("title").alias("name"), F.lit("text").alias("type")),
         F.struct(second.alias("name"), ftype.alias("type"))))
     return c.select(k.alias("index_id"), name.alias("name"), desc.alias("description"), fields.alias("fields"))
+
+
+# ---- G5: tar.gz archives built from pages -------------------------------
+
+# Pages per archive and the unsafe-entry rules (by page_id).
+PAGES_PER_ARCHIVE = 50
+ESCAPE_MOD, DOT_MOD, SYMLINK_MOD, FIFO_MOD = 13, 23, 17, 19
+URL_HOST = r"^https?://([^/?#]+)"
+URL_PATH = r"^https?://[^/?#]+(/[^?#]*)?"
+
+
+def _pack(pdf):
+    import io
+    import tarfile
+
+    import pandas as pd
+    pdf = pdf.sort_values("page_id")
+    buf = io.BytesIO()
+    with tarfile.open(fileobj=buf, mode="w:gz", format=tarfile.PAX_FORMAT) as tf:
+        for r in pdf.itertuples(index=False):
+            info = tarfile.TarInfo(r.entry)
+            if r.kind == "symlink":
+                info.type, info.linkname = tarfile.SYMTYPE, "/etc/passwd"
+                tf.addfile(info)
+            elif r.kind == "fifo":
+                info.type = tarfile.FIFOTYPE
+                tf.addfile(info)
+            else:
+                data = r.html.encode("utf-8")
+                info.size = len(data)
+                tf.addfile(info, io.BytesIO(data))
+    return pd.DataFrame({"path": [f"pages-{int(pdf['grp'].iloc[0])}.tar.gz"], "content": [buf.getvalue()]})
+
+
+def page_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, content) tar.gz archives of at most PAGES_PER_ARCHIVE pages
+    each; every group is bounded, so no task packs an unbounded group."""
+    p = tables.table(spark, sf_dir, "pages")
+    pid = F.col("page_id")
+    base = F.concat(F.regexp_extract("url", URL_HOST, 1), F.regexp_extract("url", URL_PATH, 1))
+    entry = (F.when(pid % ESCAPE_MOD == 0, F.concat(F.lit("../"), base))
+             .when(pid % DOT_MOD == 0, F.concat(F.lit("./"), base)).otherwise(base))
+    kind = (F.when(pid % SYMLINK_MOD == 0, F.lit("symlink")).when(pid % FIFO_MOD == 0, F.lit("fifo"))
+            .otherwise(F.lit("file")))
+    rows = p.select((pid / PAGES_PER_ARCHIVE).cast("bigint").alias("grp"), "page_id",
+                    entry.alias("entry"), kind.alias("kind"), "html")
+    return rows.groupBy("grp").applyInPandas(_pack, "path string, content binary")
