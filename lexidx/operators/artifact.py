@@ -126,7 +126,10 @@ def load_version(spark: SparkSession, root: str, index_id, version, status: str,
         return row("FAILED", error=f"Artifact manifest missing: {type(e).__name__}")
     actual = manifest(list_objects(spark, path, "*.parquet"), path)
     bad = integrity_check(expected, actual).where(F.col("status") != "OK")
-    first_bad = bad.select("path", "status", "message").orderBy("path").limit(1).collect()
+    try:
+        first_bad = bad.select("path", "status", "message").orderBy("path").limit(1).collect()
+    except Exception as e:  # noqa: BLE001 - an unreadable file fails the load
+        return row("FAILED", error=f"Artifact could not be read: {type(e).__name__}")
     if first_bad:
         p, st, msg = first_bad[0]
         return row("FAILED", error=msg or f"Artifact file {p}: {st}")
