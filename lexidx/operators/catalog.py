@@ -8,9 +8,11 @@ batch of requests with joins and aggregates, never a driver loop.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexidx.operators import ordered
+
 # The version statuses and the two groups the rules use.
 STATUSES = ("CREATED", "BUILDING", "BUILT", "UPLOADED", "READY", "FAILED")
 ACTIVE = ("CREATED", "BUILDING")
@@ -137,20 +139,23 @@ def classify_events(events: DataFrame) -> DataFrame:
     BUILDING/BUILT/UPLOADED always apply, so they cut each version's log into
     segments; inside a segment only the first READY/FAILED can depend on the
     state, which is fixed by the segment head. Each event's fate is thus a
-    running count plus per-segment minimums: window functions and no
-    collected event lists.
+    running count (the segment number) plus per-segment minimums: aggregates
+    joined back, and a running count that splits a hot version over many
+    tasks (``ordered.running_count``). No event list is ever collected.
     """
-    w_all = Window.partitionBy("version_id")
-    w_run = Window.partitionBy("version_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    e = events.withColumn("_created", F.min(F.when(F.col("kind") == "CREATED", F.col("seq"))).over(w_all))
+    created = (events.where(F.col("kind") == "CREATED").groupBy("version_id")
+               .agg(F.min("seq").alias("_created")))
+    e = events.join(created, "version_id", "left")
     # Only transitions after creation move the state.
     live_unguarded = F.col("kind").isin(*UNGUARDED) & (F.col("seq") > F.col("_created"))
-    e = e.withColumn("_seg", F.sum(F.when(live_unguarded, 1).otherwise(0)).over(w_run))
-    w_seg = Window.partitionBy("version_id", "_seg")
-    e = e.withColumn("_head", F.max(F.when(live_unguarded, F.col("kind"))).over(w_seg))
+    e = e.withColumn("_lu", F.coalesce(live_unguarded, F.lit(False)))
+    e = ordered.running_count(e, "version_id", "seq", "_lu", "_seg")
     rf = F.col("kind").isin("READY", "FAILED")
-    e = e.withColumn("_first_rf", F.min(F.when(rf, F.col("seq"))).over(w_seg))
-    e = e.withColumn("_first_ready", F.min(F.when(F.col("kind") == "READY", F.col("seq"))).over(w_seg))
+    seg = e.groupBy("version_id", "_seg").agg(
+        F.max(F.when(F.col("_lu"), F.col("kind"))).alias("_head"),
+        F.min(F.when(rf, F.col("seq"))).alias("_first_rf"),
+        F.min(F.when(F.col("kind") == "READY", F.col("seq"))).alias("_first_ready"))
+    e = e.join(seg, ["version_id", "_seg"])
     head = F.coalesce(F.col("_head"), F.lit("CREATED"))
     # READY applies only straight after UPLOADED; once READY, FAILED is ignored.
     ready_reached = (head == "UPLOADED") & (F.col("_first_ready") == F.col("_first_rf"))
@@ -163,7 +168,7 @@ def classify_events(events: DataFrame) -> DataFrame:
                      .when(ready_reached, F.lit("DUPLICATE")).otherwise(F.lit("STALE")))
                .when(F.col("kind") == "FAILED", F.when(ready_reached & (F.col("seq") > F.col("_first_ready")),
                                                        F.lit("STALE")).otherwise(F.lit("APPLIED"))))
-    return e.withColumn("outcome", outcome).drop("_created", "_seg", "_head", "_first_rf", "_first_ready")
+    return e.withColumn("outcome", outcome).drop("_created", "_lu", "_seg", "_head", "_first_rf", "_first_ready")
 
 
 def fold_versions(events: DataFrame) -> DataFrame:

@@ -80,3 +80,26 @@ def test_definition_audit_rules(spark):
     got = sorted((r.index_id, r.rule) for r in schema.definition_audit(defs).collect())
     assert got == [(2, "NAME_PATTERN"), (3, "NAME_BLANK"), (4, "NO_FIELDS"), (5, "DUPLICATE_FIELD_NAMES"),
                    (6, "FIELD_TYPE_UNKNOWN")]
+
+
+def test_fold_hot_version_matches_sequential_replay(spark):
+    """One version holds most events and spans many range partitions."""
+    import random
+    from types import SimpleNamespace
+
+    from lexidx.streaming.events import _step
+    rnd = random.Random(7)
+    kinds = ["CREATED", "BUILDING", "BUILT", "UPLOADED", "READY", "FAILED"]
+    rows, t0 = [], dt.datetime(2024, 1, 1)
+    for vid, n in [(1, 4000), (2, 50), (3, 50)]:
+        for i in range(n):
+            rows.append((vid, vid * 100000 + i, t0 + dt.timedelta(seconds=i), rnd.choice(kinds), i, i, "c", "k", "e"))
+    ev = spark.createDataFrame(rows, "version_id bigint, seq bigint, ts timestamp, kind string, doc_count bigint, "
+                                     "artifact_size bigint, checksum string, artifact_key string, error_message string")
+    got = {(r.version_id, r.seq): r.outcome for r in catalog.classify_events(ev).collect()}
+    want, state = {}, {}
+    for r in rows:
+        e = SimpleNamespace(kind=r[3], ts=r[2], doc_count=r[4], artifact_size=r[5], checksum=r[6],
+                            artifact_key=r[7], error_message=r[8])
+        state[r[0]], want[(r[0], r[1])] = _step(state.get(r[0]), e)
+    assert got == want
