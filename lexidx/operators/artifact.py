@@ -27,12 +27,22 @@ def manifest(listing: DataFrame, root: str | None = None) -> DataFrame:
     return listing.select(path.alias("path"), "length", F.sha2("content", 256).alias("sha256"))
 
 
+DIGEST_BUCKETS = 4096
+
+
 def version_digest(man: DataFrame) -> DataFrame:
-    """One SHA-256 over the sorted ``path:length:sha256`` lines (one row;
-    the manifest has one row per file, so its size is the file count)."""
+    """One SHA-256 for a whole version, as a two-level hash tree: files are
+    bucketed by a hash of their path (fixed fan-out), each bucket hashes its
+    sorted ``path:length:sha256`` lines, and the top hashes the sorted
+    bucket digests. No task ever holds more than one bucket's lines."""
     line = F.concat_ws(":", "path", F.col("length").cast("string"), "sha256")
-    return man.agg(F.sha2(F.array_join(F.array_sort(F.collect_list(line)), "\n"), 256).alias("digest"),
-                   F.count(F.lit(1)).alias("files"), F.sum("length").alias("bytes"))
+    b = man.select(F.pmod(F.xxhash64("path"), F.lit(DIGEST_BUCKETS)).alias("_b"), line.alias("_l"), "length")
+    per = b.groupBy("_b").agg(
+        F.concat_ws(":", F.col("_b").cast("string"),
+                    F.sha2(F.array_join(F.array_sort(F.collect_list("_l")), "\n"), 256)).alias("_d"),
+        F.count(F.lit(1)).alias("_n"), F.sum("length").alias("_s"))
+    return per.agg(F.sha2(F.array_join(F.array_sort(F.collect_list("_d")), "\n"), 256).alias("digest"),
+                   F.sum("_n").alias("files"), F.sum("_s").alias("bytes"))
 
 
 def integrity_check(expected: DataFrame, actual: DataFrame) -> DataFrame:
