@@ -15,10 +15,29 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+# A key with more rows than this is handled by the range-partitioned path.
+HOT_KEY_ROWS = 2_000_000
+
+
 def running_count(df: DataFrame, key: str, order: str, flag: str, out: str,
-                  partitions: int | None = None) -> DataFrame:
+                  partitions: int | None = None, hot_key_rows: int | None = None) -> DataFrame:
     """Add ``out`` = number of rows with ``flag`` true among the rows of the
-    same ``key`` up to and including this one in ``order``."""
+    same ``key`` up to and including this one in ``order``.
+
+    One partial-aggregate pass finds the largest key. Below ``hot_key_rows``
+    a window partitioned by the key is cheapest; above it no task may own a
+    whole key, and the range-partitioned path below is used.
+    """
+    limit = HOT_KEY_ROWS if hot_key_rows is None else hot_key_rows
+    biggest = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0] or 0
+    if biggest <= limit:
+        w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return df.withColumn(out, F.sum(F.col(flag).cast("long")).over(w))
+    return _running_count_split(df, key, order, flag, out, partitions)
+
+
+def _running_count_split(df: DataFrame, key: str, order: str, flag: str, out: str,
+                         partitions: int | None = None) -> DataFrame:
     spark = df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = df.repartitionByRange(n, key, order).sortWithinPartitions(key, order)
