@@ -41,7 +41,8 @@ def integrity_check(spark: SparkSession, sf_dir: str) -> DataFrame:
         "path",
         F.when(F.col("path") == SIZE_TAMPERED, F.col("length") + 1).otherwise(F.col("length")).alias("length"),
         F.when(F.col("path") == HASH_TAMPERED, F.sha2(F.lit("tampered"), 256)).otherwise(F.col("sha256")).alias("sha256"))
-    ghost = actual.limit(1).select(F.lit(GHOST).alias("path"), F.lit(0).cast("bigint").alias("length"),
+    ghost = actual.where(F.col("path") == DROPPED_FROM_MANIFEST).select(
+        F.lit(GHOST).alias("path"), F.lit(0).cast("bigint").alias("length"),
                                    F.sha2(F.lit(""), 256).alias("sha256"))
     return artifact.integrity_check(exp.unionByName(ghost), actual).select("path", "status", "message")
 

@@ -103,16 +103,16 @@ def index_version(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def index_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Requests for index ids: every 100th order; every 300th points nowhere."""
-    o = tables.table(spark, sf_dir, "orders").where(F.col("o_orderkey") % 100 == 0)
+    """Requests for index ids: one per order; every 300th points nowhere."""
+    o = tables.table(spark, sf_dir, "orders")
     return o.select(F.col("o_orderkey").alias("req_id"), F.when(
         F.col("o_orderkey") % 300 == 0, F.col("o_custkey") + 1000000).otherwise(F.col("o_custkey")).alias("index_id"))
 
 
 def version_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Requests for (index, version): as above, every 700th asks a version
-    that does not exist."""
-    v = index_version(spark, sf_dir).where(F.col("version_id") % 100 == 0)
+    """Requests for (index, version): one per version; every 300th names a
+    missing index, every 700th a version that does not exist."""
+    v = index_version(spark, sf_dir)
     k = F.col("version_id")
     return v.select(
         k.alias("req_id"),

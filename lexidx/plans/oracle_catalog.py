@@ -20,10 +20,10 @@ iv AS (SELECT version_id, index_id, version, status,
               CASE WHEN status IN ('UPLOADED', 'READY') THEN CAST(index_id AS VARCHAR) || '/' || CAST(version AS VARCHAR) || '/index.tar.gz' END AS artifact_key
        FROM iv0),
 ireq AS (SELECT o_orderkey AS req_id, CASE WHEN o_orderkey % 300 = 0 THEN o_custkey + 1000000 ELSE o_custkey END AS index_id
-         FROM orders WHERE o_orderkey % 100 = 0),
+         FROM orders),
 vreq AS (SELECT version_id AS req_id, CASE WHEN version_id % 300 = 0 THEN index_id + 1000000 ELSE index_id END AS index_id,
                 CASE WHEN version_id % 700 = 0 THEN version + 1000 ELSE version END AS version
-         FROM iv WHERE version_id % 100 = 0),
+         FROM iv),
 res AS (SELECT r.req_id, r.index_id, r.version, v.version_id,
                CASE WHEN s.index_id IS NULL THEN 'INDEX_NOT_FOUND' WHEN v.version_id IS NULL THEN 'VERSION_NOT_FOUND' ELSE 'FOUND' END AS resolution,
                v.status, v.artifact_key,
@@ -99,7 +99,7 @@ CATALOG_SQL = {
     "register_indexes": f"""WITH {G2},
       batch AS (SELECT c_custkey AS req_id,
                        CASE WHEN c_custkey % 3 = 0 THEN lower(c_name) ELSE 'fresh_' || CAST(c_custkey % 97 AS VARCHAR) END AS name
-                FROM customer WHERE c_custkey % 25 = 0),
+                FROM customer),
       b AS (SELECT *, name IN (SELECT name FROM si) OR req_id <> min(req_id) OVER (PARTITION BY name) AS refused FROM batch)
       SELECT req_id, name, CASE WHEN refused THEN 'REFUSED' ELSE 'ACCEPTED' END AS status,
              CASE WHEN refused THEN 'Index with name ''' || name || ''' already exists' END AS message FROM b""",
@@ -112,7 +112,7 @@ CATALOG_SQL = {
       ORDER BY name, index_id LIMIT {cq.PAGE_SIZE} OFFSET {cq.PAGE * cq.PAGE_SIZE}""",
     "list_versions": f"""WITH {G2},
       req AS (SELECT CASE WHEN c_custkey % 500 = 3 THEN c_custkey + 1000000 ELSE c_custkey END AS index_id
-              FROM customer WHERE c_custkey % 100 = 3)
+              FROM customer)
       SELECT r.index_id, v.version, v.status, CAST(NULL AS VARCHAR) AS error
       FROM req r JOIN si USING (index_id) JOIN iv v USING (index_id)
       UNION ALL SELECT index_id, NULL, NULL, 'Index ' || index_id || ' not found' FROM req
