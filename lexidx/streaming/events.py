@@ -140,18 +140,35 @@ def _step(st: dict | None, e) -> tuple[dict | None, str]:
     return st, "APPLIED"
 
 
+SEED_PREFIX = "cat_"
+SEED_FIELDS = ("status", "doc_count", "artifact_size", "checksum", "artifact_key", "error_message")
+
+
+def _seed(pdf) -> dict | None:
+    """The catalog row carried by the events (stream-static join), if any."""
+    col = SEED_PREFIX + "status"
+    if col not in pdf.columns or pdf[col].isna().all():
+        return None
+    r = pdf.iloc[0]
+    st = {f: (None if pd.isna(r[SEED_PREFIX + f]) else r[SEED_PREFIX + f]) for f in SEED_FIELDS}
+    st.update(applied_events=0, created_at=None, updated_at=None)
+    return st
+
+
 def _transition(key, batches, state):
     (version_id,) = key
     st = None
     last_seq = None
+    pdf = pd.concat(list(batches), ignore_index=True).sort_values("seq")
     if state.exists:
         t = state.get
         st = dict(zip([f.name for f in STATE_SCHEMA.fields], t))
         last_seq = st.pop("last_seq")
         if st["status"] is None:
             st = None
+    else:
+        st = _seed(pdf)  # first sight of a version the catalog already has
     out = []
-    pdf = pd.concat(list(batches), ignore_index=True).sort_values("seq")
     for e in pdf.itertuples(index=False):
         if last_seq is not None and e.seq <= last_seq:
             out.append((version_id, e.seq, e.kind, "DUPLICATE", st["status"] if st else None))
@@ -166,11 +183,19 @@ def _transition(key, batches, state):
     yield pd.DataFrame(out, columns=[f.name for f in OUTCOME_SCHEMA.fields])
 
 
-def apply_transitions(events: DataFrame) -> DataFrame:
+def apply_transitions(events: DataFrame, catalog: DataFrame | None = None) -> DataFrame:
     """E3/E5 (and E4's NOT_FOUND): per-event outcomes of the lifecycle rules,
     keyed by version. Events of one version must come through one ordered
     log; within a micro-batch they are sorted by seq, and an event at or
-    below the last seen seq is a duplicate delivery."""
+    below the last seen seq is a duplicate delivery.
+
+    ``catalog`` (a static version table) seeds the state of versions that
+    existed before the stream: a stream-static left join attaches the row to
+    each event, read only when the key has no state yet.
+    """
+    if catalog is not None:
+        seed = catalog.select("version_id", *[F.col(f).alias(SEED_PREFIX + f) for f in SEED_FIELDS])
+        events = events.join(seed, "version_id", "left")
     return events.groupBy("version_id").applyInPandasWithState(
         _transition, OUTCOME_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
 
@@ -186,6 +211,18 @@ def run_available(df: DataFrame, sink_path: str, checkpoint: str, fmt: str = "pa
     return q
 
 
+def uploaded_to_ready(decoded: DataFrame) -> DataFrame:
+    """The uploaded event asks for UPLOADED -> READY: one READY lifecycle
+    event per record, ordered by event time."""
+    e = F.col("event")
+    return decoded.where(e.isNotNull()).select(
+        e["versionId"].cast("bigint").alias("version_id"),
+        F.unix_micros(e["occurredAt"]).alias("seq"), e["occurredAt"].alias("ts"), F.lit("READY").alias("kind"),
+        F.lit(None).cast("bigint").alias("doc_count"), e["artifactSize"].alias("artifact_size"),
+        e["checksum"].alias("checksum"), e["artifactKey"].alias("artifact_key"),
+        F.lit(None).cast("string").alias("error_message"))
+
+
 def reconcile_uploaded(versions: DataFrame, published: DataFrame) -> DataFrame:
     """UPLOADED versions whose event was never confirmed get it again;
     safe because the READY transition is idempotent."""

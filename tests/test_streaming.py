@@ -48,3 +48,25 @@ def test_poison_records_keep_their_text(spark, tmp_dir):
     dl = ev.dead_letters(ev.decode(ev.read_raw(spark, "text", src), ev.UPLOADED_EVENT_SCHEMA, "versionId"))
     ev.run_available(dl, sink, ck)
     assert sorted(r.value for r in spark.read.parquet(sink).collect()) == ['"just a string"', '{"indexId": "2"}']
+
+
+def test_ready_listener_seeded_from_catalog(spark, tmp_dir):
+    """READY for UPLOADED applies, for READY is a duplicate, for BUILT is
+    stale, for an unknown version is not found (the reference's listener)."""
+    versions = spark.createDataFrame(
+        [(1, "UPLOADED", "1/1/index.tar.gz"), (2, "READY", "2/1/index.tar.gz"), (3, "BUILT", None)],
+        "version_id bigint, status string, artifact_key string").select(
+        "version_id", "status", F.lit(None).cast("bigint").alias("doc_count"),
+        F.lit(None).cast("bigint").alias("artifact_size"), F.lit(None).cast("string").alias("checksum"),
+        "artifact_key", F.lit(None).cast("string").alias("error_message"))
+    src, sink, ck = (os.path.join(tmp_dir, x) for x in ("src", "out", "ck"))
+    os.makedirs(src)
+    with open(os.path.join(src, "part-0.txt"), "w") as f:
+        for i, vid in enumerate([1, 2, 3, 4, 1]):
+            f.write(f'{{"versionId": "{vid}", "indexId": "9", "versionNumber": 1, '
+                    f'"occurredAt": "2024-01-01T00:00:0{i}"}}\n')
+    ready = ev.uploaded_to_ready(ev.decode(ev.read_raw(spark, "text", src), ev.UPLOADED_EVENT_SCHEMA, "versionId"))
+    ev.run_available(ev.apply_transitions(ready, versions), sink, ck)
+    got = sorted((r.version_id, r.outcome, r.status) for r in spark.read.parquet(sink).collect())
+    assert got == [(1, "APPLIED", "READY"), (1, "DUPLICATE", "READY"), (2, "DUPLICATE", "READY"),
+                   (3, "STALE", "BUILT"), (4, "NOT_FOUND", None)]
