@@ -111,6 +111,24 @@ def publish_version(spark: SparkSession, docs: DataFrame, fields, root: str, ind
         F.col("digest").alias("checksum"), F.lit(key).alias("artifact_key"), F.lit(now).alias("occurred_at"))
 
 
+REQUIRED_COLUMNS = {
+    "stored": ["doc_id"],
+    "postings": index.POSTING_COLUMNS,
+}
+
+
+def format_problem(tables: "index.IndexTables") -> str | None:
+    """A7 format check: the tables a version needs exist with their columns."""
+    for name, cols in REQUIRED_COLUMNS.items():
+        df = getattr(tables, name)
+        if df is None:
+            return f"Index format check failed: table '{name}' is missing"
+        missing = [c for c in cols if c not in df.columns]
+        if missing:
+            return f"Index format check failed: table '{name}' lacks {', '.join(missing)}"
+    return None
+
+
 def load_version(spark: SparkSession, root: str, index_id, version, status: str,
                  expected_doc_count: int, register_as: str | None = None) -> DataFrame:
     """Gate -> integrity -> format -> doc count -> expose the tables.
@@ -145,6 +163,9 @@ def load_version(spark: SparkSession, root: str, index_id, version, status: str,
         return row("FAILED", error=msg or f"Artifact file {p}: {st}")
     stats = expected.agg(F.sum("length").alias("b")).collect()[0]
     tables = index.read(spark, path)
+    problem = format_problem(tables)
+    if problem:
+        return row("FAILED", error=problem)
     n = tables.stored.count()
     if n != expected_doc_count:
         return row("FAILED", error=f"Loaded index doc count mismatch: expected {expected_doc_count} but found {n}")

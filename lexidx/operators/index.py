@@ -199,7 +199,17 @@ def build(docs: DataFrame, fields, pattern: str = analyzer.DEFAULT_PATTERN) -> I
 TABLES = ("stored", "postings", "lengths", "long_points", "double_points", "terms", "field_stats")
 
 
-def write(tables: IndexTables, path: str, max_records_per_file: int = 5_000_000) -> dict:
+def _layout(df: DataFrame, keys: list[str], layout: str) -> DataFrame:
+    """``local``: sort inside each task's files (no shuffle); ``range``:
+    range-partition on the keys first, so files cover disjoint key ranges and
+    whole files are skipped too (one extra shuffle at build time)."""
+    if layout == "range":
+        df = df.repartitionByRange(*keys)
+    return df.sortWithinPartitions(*keys)
+
+
+def write(tables: IndexTables, path: str, max_records_per_file: int = 5_000_000,
+          layout: str = "local") -> dict:
     """Write a fresh version directory (overwrite, never append).
 
     Postings are sorted by (field, term) inside each file and points by
@@ -210,11 +220,11 @@ def write(tables: IndexTables, path: str, max_records_per_file: int = 5_000_000)
     """
     w = lambda df: df.write.mode("overwrite").option("maxRecordsPerFile", max_records_per_file)
     w(tables.stored).parquet(f"{path}/stored")
-    w(tables.postings.sortWithinPartitions("field", "term", "doc_id")).parquet(f"{path}/postings")
+    w(_layout(tables.postings, ["field", "term", "doc_id"], layout)).parquet(f"{path}/postings")
     written = {"stored": f"{path}/stored", "postings": f"{path}/postings"}
     spark = tables.stored.sparkSession
     post = spark.read.parquet(f"{path}/postings")
-    w(term_dictionary(post).sortWithinPartitions("field", "term")).parquet(f"{path}/terms")
+    w(_layout(term_dictionary(post), ["field", "term"], layout)).parquet(f"{path}/terms")
     written["terms"] = f"{path}/terms"
     if tables.lengths is not None:
         w(tables.lengths).parquet(f"{path}/lengths")
@@ -224,7 +234,7 @@ def write(tables: IndexTables, path: str, max_records_per_file: int = 5_000_000)
     for name in ("long_points", "double_points"):
         df = getattr(tables, name)
         if df is not None:
-            w(df.sortWithinPartitions("field", "value")).parquet(f"{path}/{name}")
+            w(_layout(df, ["field", "value"], layout)).parquet(f"{path}/{name}")
             written[name] = f"{path}/{name}"
     return written
 

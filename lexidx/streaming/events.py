@@ -88,6 +88,18 @@ def write_records(records: DataFrame, fmt: str, target: str, options: dict | Non
         records.select("value").write.mode("append").text(target)
 
 
+def publish_stream(records: DataFrame, fmt: str, target: str, checkpoint: str, options: dict | None = None):
+    """E1 sink (streaming): keyed records to a ``kafka`` topic or JSON-lines
+    files; the checkpoint makes the file sink exactly-once."""
+    if fmt == "kafka":
+        w = records.writeStream.option("checkpointLocation", checkpoint).format("kafka").option("topic", target)
+        for k, v in (options or {}).items():
+            w = w.option(k, v)
+        return w.start()
+    return (records.select("value").writeStream.option("checkpointLocation", checkpoint)
+            .format("text").start(target))
+
+
 # ---- keyed state machine (E3-E5) ----------------------------------------
 
 STATE_SCHEMA = T.StructType([

@@ -88,3 +88,11 @@ def test_write_read_verify(spark, tmp_dir):
     assert v.ok and v.message is None
     bad = index.verify_build(_docs(spark), back.stored.limit(2)).collect()[0]
     assert bad.message == "Index verification failed: expected 3 docs but found 2"
+
+
+def test_range_layout_same_content(spark, tmp_dir):
+    t = index.build(_docs(spark), F1)
+    index.write(t, f"{tmp_dir}/a")
+    index.write(t, f"{tmp_dir}/b", layout="range")
+    rows = lambda p: sorted(tuple(r) for r in spark.read.parquet(p).select("field", "term", "doc_id", "tf").collect())
+    assert rows(f"{tmp_dir}/a/postings") == rows(f"{tmp_dir}/b/postings")

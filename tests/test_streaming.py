@@ -70,3 +70,16 @@ def test_ready_listener_seeded_from_catalog(spark, tmp_dir):
     got = sorted((r.version_id, r.outcome, r.status) for r in spark.read.parquet(sink).collect())
     assert got == [(1, "APPLIED", "READY"), (1, "DUPLICATE", "READY"), (2, "DUPLICATE", "READY"),
                    (3, "STALE", "BUILT"), (4, "NOT_FOUND", None)]
+
+
+def test_event_sink_stream(spark, tmp_dir):
+    src, out, ck = (os.path.join(tmp_dir, x) for x in ("src", "out", "ck"))
+    os.makedirs(src)
+    with open(os.path.join(src, "part-0.txt"), "w") as f:
+        f.write('{"versionId": "1", "indexId": "7", "versionNumber": 2}\n')
+    decoded = ev.decode(ev.read_raw(spark, "text", src), ev.UPLOADED_EVENT_SCHEMA, "versionId")
+    q = ev.publish_stream(ev.encode(decoded.select("event.*"), "indexId"), "text", out, ck)
+    q.processAllAvailable()
+    q.stop()
+    rows = [r.value for r in spark.read.text(out).collect()]
+    assert len(rows) == 1 and '"versionId":"1"' in rows[0] and '"versionNumber":2' in rows[0]
