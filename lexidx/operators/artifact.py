@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexidx.operators import catalog, index
+from lexidx.session import path_exists
 from lexidx.sources.files import list_objects
 
 MANIFEST = "_manifest"
@@ -95,9 +96,7 @@ def publish_version(spark: SparkSession, docs: DataFrame, fields, root: str, ind
     a directory that ``load_version`` refuses.
     """
     path = version_path(root, index_id, version)
-    tables = index.build(docs, fields)
-    index.write(tables, path)
-    n_docs = docs.count()
+    _, n_docs = index.write_version(docs, fields, path)
     found = spark.read.parquet(f"{path}/stored").count()
     index.verify_counts(n_docs, found)
     man = manifest(list_objects(spark, path, "*.parquet"), path)
@@ -148,10 +147,9 @@ def load_version(spark: SparkSession, root: str, index_id, version, status: str,
     if status not in catalog.HAS_ARTIFACT:
         return row("FAILED", error=f"Artifact for version {version} of index {index_id} "
                                    f"is not available (status={status})")
-    try:
-        expected = spark.read.parquet(f"{path}/{MANIFEST}")
-    except Exception as e:  # noqa: BLE001 - a missing manifest is a failed load
-        return row("FAILED", error=f"Artifact manifest missing: {type(e).__name__}")
+    if not path_exists(spark, f"{path}/{MANIFEST}"):
+        return row("FAILED", error=f"Artifact manifest missing for version {version} of index {index_id}")
+    expected = spark.read.parquet(f"{path}/{MANIFEST}")
     actual = manifest(list_objects(spark, path, "*.parquet"), path)
     bad = integrity_check(expected, actual).where(F.col("status") != "OK")
     try:

@@ -209,7 +209,7 @@ def _layout(df: DataFrame, keys: list[str], layout: str) -> DataFrame:
 
 
 def write(tables: IndexTables, path: str, max_records_per_file: int = 5_000_000,
-          layout: str = "local") -> dict:
+          layout: str = "local", skip_stored: bool = False) -> dict:
     """Write a fresh version directory (overwrite, never append).
 
     Postings are sorted by (field, term) inside each file and points by
@@ -219,9 +219,12 @@ def write(tables: IndexTables, path: str, max_records_per_file: int = 5_000_000,
     last, so a reader never sees a half-built version as complete.
     """
     w = lambda df: df.write.mode("overwrite").option("maxRecordsPerFile", max_records_per_file)
-    w(tables.stored).parquet(f"{path}/stored")
+    written = {}
+    if not skip_stored:
+        w(tables.stored).parquet(f"{path}/stored")
+        written["stored"] = f"{path}/stored"
     w(_layout(tables.postings, ["field", "term", "doc_id"], layout)).parquet(f"{path}/postings")
-    written = {"stored": f"{path}/stored", "postings": f"{path}/postings"}
+    written["postings"] = f"{path}/postings"
     spark = tables.stored.sparkSession
     post = spark.read.parquet(f"{path}/postings")
     w(_layout(term_dictionary(post), ["field", "term"], layout)).parquet(f"{path}/terms")
@@ -239,16 +242,32 @@ def write(tables: IndexTables, path: str, max_records_per_file: int = 5_000_000,
     return written
 
 
+def write_version(docs: DataFrame, fields, path: str, pattern: str = analyzer.DEFAULT_PATTERN,
+                  max_records_per_file: int = 5_000_000, layout: str = "local") -> tuple[dict, int]:
+    """B7-B11 in one pass over the input: write ``stored`` first while
+    counting its rows (``observe``), then derive postings, lengths and points
+    from the written table (column-pruned Parquet reads), so an expensive
+    input (NDJSON parse + validation) is evaluated once. Returns the written
+    paths and the number of documents written."""
+    from pyspark.sql import Observation
+    fl = fields_of(fields)
+    obs = Observation("stored_rows")
+    st = stored(spread(docs), fl).observe(obs, F.count(F.lit(1)).alias("n"))
+    st.write.mode("overwrite").option("maxRecordsPerFile", max_records_per_file).parquet(f"{path}/stored")
+    written_docs = int(obs.get["n"])
+    back = docs.sparkSession.read.parquet(f"{path}/stored")
+    tables = build(back, fl, pattern)
+    out = write(tables, path, max_records_per_file, layout, skip_stored=True)
+    out["stored"] = f"{path}/stored"
+    return out, written_docs
+
+
 def read(spark, path: str) -> IndexTables:
-    import os
+    from lexidx.session import path_exists
 
     def opt(name):
         p = f"{path}/{name}"
-        local = p.replace("file:", "")
-        if p.startswith("file:") or p.startswith("/"):
-            if not os.path.exists(local):
-                return None
-        return spark.read.parquet(p)
+        return spark.read.parquet(p) if path_exists(spark, p) else None  # not every index has every table
     return IndexTables(stored=opt("stored"), postings=opt("postings"), lengths=opt("lengths"),
                        long_points=opt("long_points"), double_points=opt("double_points"))
 

@@ -79,9 +79,9 @@ def verify_build(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def write_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write a fresh version, read every table back, count its rows."""
-    _, t = _docs(spark, sf_dir)
+    d = tables.documents_index_input(spark, sf_dir)
     path = scratch_path(spark, "index-documents")
-    written = index.write(t, path)
+    written, _ = index.write_version(d, tables.DOCUMENT_FIELDS, path)
     parts = [spark.read.parquet(p).agg(F.count(F.lit(1)).alias("row_count"))
              .select(F.lit(name).alias("table_name"), "row_count")
              for name, p in sorted(written.items())]
