@@ -88,7 +88,11 @@ def coerce(f: Field, v: Column, fam: Column, tag: Column) -> Column:
     return _to_boolean(v, fam)
 
 
-def validate(parsed: DataFrame, fields) -> DataFrame:
+# The reference's library refuses a single term over this many UTF-8 bytes.
+MAX_TERM_BYTES = 32766
+
+
+def validate(parsed: DataFrame, fields, keyword_byte_limit: int | None = None) -> DataFrame:
     """V1-V10 in one narrow pass over ``sources.ndjson.parse`` output.
 
     Adds one typed column per field and ``status`` (OK / MALFORMED /
@@ -114,6 +118,9 @@ def validate(parsed: DataFrame, fields) -> DataFrame:
         kind = (F.when(~present, F.lit(None))
                 .when(F.col(f"_f_{f.name}").isNull(), F.lit("NULL"))
                 .when(F.col(f.name).isNull(), F.lit("TYPE_MISMATCH")))
+        if keyword_byte_limit is not None and f.type is FieldType.KEYWORD:
+            # Optional: an un-analysed term longer than the library accepts.
+            kind = kind.when(F.octet_length(F.col(f.name)) > keyword_byte_limit, F.lit("IMMENSE_TERM"))
         df = df.withColumn(f"_k_{f.name}", kind)
     has_bad = F.size(F.array_except(F.col("keys"), names)) > 0
     for f in fl:
@@ -148,6 +155,9 @@ def _error_structs(df: DataFrame, fl: list[Field]) -> DataFrame:
     for f in fl:
         v, k, c = F.col(f"_v_{f.name}"), F.col(f"_k_{f.name}"), F.col(f"_c_{f.name}")
         msg = (F.when(k == "NULL", F.format_string("Line %d: field '%s' is null", F.col("line"), F.lit(f.name)))
+               .when(k == "IMMENSE_TERM", F.format_string(
+                   "Line %d: field '%s' holds a term of %d bytes, longer than %d", F.col("line"),
+                   F.lit(f.name), F.octet_length(F.variant_get(v, "$", "string")), F.lit(MAX_TERM_BYTES)))
                .otherwise(F.format_string(
                    "Line %d: field '%s' expected %s but got %s value '%s'", F.col("line"),
                    F.lit(f.name), F.lit(LABELS[f.type]), c, java_text(v, c))))

@@ -125,3 +125,15 @@ def test_json_fields_classes(spark, tmp_dir):
     assert [(r.field, r.json_type, r.value) for r in rows] == [
         ("a", "Integer", "1"), ("b", "Double", "2.0"), ("c", "String", "x"), ("d", None, None),
         ("e", "Boolean", "true"), ("f", "Long", "3000000000")]
+
+
+def test_optional_keyword_byte_limit(spark, tmp_dir):
+    big = "é" * 20000  # 40,000 UTF-8 bytes
+    lines = [f'{{"k": "{big}"}}', '{"k": "ok"}']
+    off = _validated(spark, tmp_dir, lines, ALL)
+    assert [r.status for r in off.orderBy("line").collect()] == ["OK", "OK"]
+    path = write_lines(tmp_dir, lines, "big.ndjson")
+    on = validate.validate(ndjson.parse(ndjson.read_lines(spark, path)), ALL,
+                           keyword_byte_limit=validate.MAX_TERM_BYTES)
+    e = validate.errors(on, ALL).collect()
+    assert len(e) == 1 and e[0].kind == "IMMENSE_TERM" and "40000 bytes" in e[0].message
