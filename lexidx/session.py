@@ -20,6 +20,25 @@ SESSION_CONF = {
 }
 
 
+# Suggested settings for a large cluster (100 TB of documents, ~1000
+# executors); the deployment applies them, this package does not force them.
+CLUSTER_CONF = {
+    # ~128-256 MB per task: a split of text tokenizes in a few seconds and its
+    # per-document token arrays stay far below executor memory.
+    "spark.sql.files.maxPartitionBytes": str(256 * 1024 * 1024),
+    # Start wide and let AQE coalesce to ~128 MB shuffle partitions.
+    "spark.sql.shuffle.partitions": "20000",
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(128 * 1024 * 1024),
+    # Hot (field, term) or version keys in joins are split by AQE.
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Streaming state for the lifecycle machine.
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+}
+
+
 def build_session(master: str = "local[8]", app: str = "lexidx",
                   shuffle_partitions: int = 8, extra: dict | None = None) -> SparkSession:
     """A session for tests and the bench; cluster jobs bring their own."""
