@@ -14,11 +14,14 @@ from pyspark.sql import functions as F
 MAX_TOKEN_LENGTH = 255
 # Letters, marks, decimal digits and the connector punctuation.
 PORTABLE_PATTERN = r"[\p{L}\p{M}\p{Nd}_]+"
-# Also keeps words joined by an apostrophe, full stop, middle dot or colon
-# (don't, U.S.A) and numbers joined by a full stop or comma (3.14, 1,000)
-# together, as Unicode word breaking does.
-WORD_BREAK_PATTERN = (r"[\p{L}\p{M}\p{Nd}_]+"
-                      r"(?:['’.·:][\p{L}\p{M}\p{Nd}_]+|[.,']\p{Nd}+)*")
+# Closer to Unicode word breaking: words joined by an apostrophe, full stop,
+# middle dot or colon (don't, U.S.A) and numbers joined by a full stop or
+# comma (3.14, 1,000) stay whole, and every Han ideograph or Hiragana
+# character is a token of its own (one regex pass; `&&` is Java class
+# intersection).
+_WORD = r"[\p{L}\p{M}\p{Nd}_&&[^\p{IsHan}\p{IsHiragana}]]"
+WORD_BREAK_PATTERN = (r"[\p{IsHan}\p{IsHiragana}]|" + _WORD + r"+"
+                      r"(?:['’.·:]" + _WORD + r"+|[.,']\p{Nd}+)*")
 DEFAULT_PATTERN = WORD_BREAK_PATTERN
 
 

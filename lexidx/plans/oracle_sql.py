@@ -6,7 +6,7 @@ the Spark queries; they share only the fixed parameters with the library.
 
 from __future__ import annotations
 
-from lexidx.functions.analyzer import DEFAULT_PATTERN, MAX_TOKEN_LENGTH
+from lexidx.functions.analyzer import MAX_TOKEN_LENGTH
 from lexidx.plans import index_queries as iq
 
 
@@ -14,9 +14,16 @@ def _q(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
-def tokens_sql(col: str, pattern: str = DEFAULT_PATTERN) -> str:
+# The same tokenizer for RE2, which has no class intersection: surround each
+# Han/Hiragana character with spaces, then match runs of the plain class.
+ORACLE_SPLIT = r"([\p{Han}\p{Hiragana}])"
+ORACLE_WORD_PATTERN = r"[\p{L}\p{M}\p{Nd}_]+(?:['’.·:][\p{L}\p{M}\p{Nd}_]+|[.,']\p{Nd}+)*"
+
+
+def tokens_sql(col: str, pattern: str = ORACLE_WORD_PATTERN) -> str:
     m = MAX_TOKEN_LENGTH
-    return (f"flatten(list_transform(regexp_extract_all(lower({col}), {_q(pattern)}), "
+    split = f"regexp_replace(lower({col}), {_q(ORACLE_SPLIT)}, ' \\1 ', 'g')"
+    return (f"flatten(list_transform(regexp_extract_all({split}, {_q(pattern)}), "
             f"lambda t: CASE WHEN length(t) <= {m} THEN [t] ELSE list_transform("
             f"range(0, (length(t) - 1) // {m} + 1), lambda i: substr(t, i * {m} + 1, {m})) END))")
 

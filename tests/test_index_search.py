@@ -96,3 +96,10 @@ def test_range_layout_same_content(spark, tmp_dir):
     index.write(t, f"{tmp_dir}/b", layout="range")
     rows = lambda p: sorted(tuple(r) for r in spark.read.parquet(p).select("field", "term", "doc_id", "tf").collect())
     assert rows(f"{tmp_dir}/a/postings") == rows(f"{tmp_dir}/b/postings")
+
+
+def test_tokenizer_word_breaks(spark):
+    df = spark.createDataFrame([("中文 Text ひらがな カタカナ don't 3.14 U.S.A e-mail a中b",)], "t string")
+    got = df.select(analyzer.tokens(F.col("t")).alias("x")).collect()[0].x
+    assert got == ["中", "文", "text", "ひ", "ら", "が", "な", "カタカナ", "don't", "3.14", "u.s.a",
+                   "e", "mail", "a", "中", "b"]
