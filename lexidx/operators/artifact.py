@@ -87,7 +87,8 @@ def version_path(root: str, index_id, version) -> str:
     return f"{root.rstrip('/')}/index_id={index_id}/version={version}"
 
 
-def publish_version(spark: SparkSession, docs: DataFrame, fields, root: str, index_id, version) -> DataFrame:
+def publish_version(spark: SparkSession, docs: DataFrame, fields, root: str, index_id, version,
+                    after_stored=None) -> DataFrame:
     """Write the tables, then the manifest, then verify the document
     count; returns the BUILT and UPLOADED lifecycle events to append.
 
@@ -96,7 +97,7 @@ def publish_version(spark: SparkSession, docs: DataFrame, fields, root: str, ind
     a directory that ``load_version`` refuses.
     """
     path = version_path(root, index_id, version)
-    _, n_docs = index.write_version(docs, fields, path)
+    _, n_docs = index.write_version(docs, fields, path, after_stored=after_stored)
     found = spark.read.parquet(f"{path}/stored").count()
     index.verify_counts(n_docs, found)
     man = manifest(list_objects(spark, path, "*.parquet"), path)

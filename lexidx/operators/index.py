@@ -243,7 +243,8 @@ def write(tables: IndexTables, path: str, max_records_per_file: int = 5_000_000,
 
 
 def write_version(docs: DataFrame, fields, path: str, pattern: str = analyzer.DEFAULT_PATTERN,
-                  max_records_per_file: int = 5_000_000, layout: str = "local") -> tuple[dict, int]:
+                  max_records_per_file: int = 5_000_000, layout: str = "local",
+                  after_stored=None) -> tuple[dict, int]:
     """B7-B11 in one pass over the input: write ``stored`` first while
     counting its rows (``observe``), then derive postings, lengths and points
     from the written table (column-pruned Parquet reads), so an expensive
@@ -255,6 +256,8 @@ def write_version(docs: DataFrame, fields, path: str, pattern: str = analyzer.DE
     st = stored(spread(docs), fl).observe(obs, F.count(F.lit(1)).alias("n"))
     st.write.mode("overwrite").option("maxRecordsPerFile", max_records_per_file).parquet(f"{path}/stored")
     written_docs = int(obs.get["n"])
+    if after_stored is not None:
+        after_stored()  # may raise to stop before the derived tables
     back = docs.sparkSession.read.parquet(f"{path}/stored")
     tables = build(back, fl, pattern)
     out = write(tables, path, max_records_per_file, layout, skip_stored=True)
