@@ -17,6 +17,14 @@ QTERM_SCHEMA = T.StructType([T.StructField("term", T.StringType()),
                              T.StructField("qcount", T.LongType())])
 
 
+def query_terms(spark: SparkSession, text: str, pattern: str | None = None) -> list[str]:
+    """Analyse a query string with the documents' analyser (one tiny row)."""
+    from lexidx.functions import analyzer
+    row = spark.createDataFrame([(text,)], "q string").select(
+        analyzer.tokens(F.col("q"), pattern or analyzer.DEFAULT_PATTERN).alias("t")).first()
+    return list(row.t or [])
+
+
 def term_lookup(post: DataFrame, field: str, term: str) -> DataFrame:
     """Q1/Q2: documents containing the exact (already analysed) term."""
     return post.where((F.col("field") == field) & (F.col("term") == term)).select("doc_id", "tf")

@@ -103,3 +103,7 @@ def test_tokenizer_word_breaks(spark):
     got = df.select(analyzer.tokens(F.col("t")).alias("x")).collect()[0].x
     assert got == ["中", "文", "text", "ひ", "ら", "が", "な", "カタカナ", "don't", "3.14", "u.s.a",
                    "e", "mail", "a", "中", "b"]
+
+
+def test_query_terms_use_the_document_analyser(spark):
+    assert search.query_terms(spark, "Hello, World! don't") == ["hello", "world", "don't"]
