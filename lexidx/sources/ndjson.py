@@ -19,21 +19,28 @@ from pyspark.sql import functions as F
 # A line is blank when every character is Java whitespace (a no-break space
 # is content, as in String.isBlank).
 NOT_BLANK = r"[^\p{javaWhitespace}]"
-BROADCAST_SPLIT_LIMIT = 2_000_000
+# One row of 32 bytes per input split: 4 M splits (1 PB at 256 MB) is 128 MB.
+BROADCAST_SPLIT_LIMIT = 4_000_000
 
 
 def read_lines(spark: SparkSession, path: str, keep_blank: bool = False) -> DataFrame:
-    """(line BIGINT, value STRING) with physical 1-based line numbers."""
+    """(line BIGINT, value STRING) with physical 1-based line numbers.
+
+    Files are ordered by path and lines by position. The split table is
+    keyed by a 64-bit hash of the path plus the block start, so it stays
+    small enough to broadcast even with millions of splits.
+    """
     def scan():
         return spark.read.text(path).select(
             "value",
-            F.col("_metadata.file_path").alias("_file"),
+            F.col("_metadata.file_path").alias("_path"),
+            F.xxhash64(F.col("_metadata.file_path")).alias("_file"),
             F.col("_metadata.file_block_start").alias("_block"),
             F.monotonically_increasing_id().alias("_rid"))
 
-    blocks = scan().groupBy("_file", "_block").agg(
+    blocks = scan().groupBy("_path", "_file", "_block").agg(
         F.min("_rid").alias("_min_rid"), F.count(F.lit(1)).alias("_n"))
-    w = Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    w = Window.orderBy("_path", "_block").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     offsets = blocks.select("_file", "_block", "_min_rid",
                             (F.sum("_n").over(w) - F.col("_n")).alias("_start"))
     n_splits = scan().rdd.getNumPartitions()

@@ -137,3 +137,18 @@ def test_optional_keyword_byte_limit(spark, tmp_dir):
                            keyword_byte_limit=validate.MAX_TERM_BYTES)
     e = validate.errors(on, ALL).collect()
     assert len(e) == 1 and e[0].kind == "IMMENSE_TERM" and "40000 bytes" in e[0].message
+
+
+def test_line_terminators(spark, tmp_dir):
+    path = f"{tmp_dir}/crlf.ndjson"
+    with open(path, "wb") as f:
+        f.write(b'{"title": "a"}\r\n\r\n{"title": "b"}\r{"title": "c"}\n')
+    got = sorted((r.line, r.value) for r in ndjson.read_lines(spark, path).collect())
+    assert got == [(1, '{"title": "a"}'), (3, '{"title": "b"}'), (4, '{"title": "c"}')]
+
+
+def test_lines_numbered_across_files_in_path_order(spark, tmp_dir):
+    write_lines(tmp_dir, ['{"title": "a"}', '{"title": "b"}'], "part-0.ndjson")
+    write_lines(tmp_dir, ['', '{"title": "c"}'], "part-1.ndjson")
+    got = sorted((r.line, r.value) for r in ndjson.read_lines(spark, tmp_dir).collect())
+    assert got == [(1, '{"title": "a"}'), (2, '{"title": "b"}'), (4, '{"title": "c"}')]
