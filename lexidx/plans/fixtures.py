@@ -83,15 +83,17 @@ def search_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def index_version(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Versions numbered per index in order-key order (a partitioned window)."""
-    from pyspark.sql import Window
+    """Versions numbered per index in order-key order: a running count per
+    customer that stays skew-safe if one customer holds most orders."""
+    from lexidx.operators import ordered
     o = tables.table(spark, sf_dir, "orders")
     status = F.lit(None).cast("string")
     for digit, st in reversed(PRIORITY_STATUS):
         status = F.when(F.substring("o_orderpriority", 1, 1) == digit, F.lit(st)).otherwise(status)
-    w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    o = o.select("o_orderkey", "o_custkey", "o_orderpriority", "o_totalprice", F.lit(True).alias("_one"))
+    o = ordered.running_count(o, "o_custkey", "o_orderkey", "_one", "_version")
     v = o.select(F.col("o_orderkey").alias("version_id"), F.col("o_custkey").alias("index_id"),
-                 F.row_number().over(w).alias("version"), status.alias("status"), "o_totalprice")
+                 F.col("_version").cast("int").alias("version"), status.alias("status"), "o_totalprice")
     built = F.col("status").isin("BUILT", "UPLOADED", "READY")
     return v.select(
         "version_id", "index_id", "version", "status",
