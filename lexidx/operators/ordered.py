@@ -57,7 +57,10 @@ def _running_count_split(df: DataFrame, key: str, order: str, flag: str, out: st
             carry_key, carry = pdf[key].iloc[-1], int(c.iloc[-1])
             yield pdf.assign(_pid=pid, _local=c.astype("int64"))
 
-    # Cut the lineage: both uses below must see the same partitioning.
+    # Cut the lineage: both uses below must see the same partitioning. The
+    # checkpoint goes to the shared folder named by spark.checkpoint.dir.
+    from lexidx.session import checkpoint_root
+    checkpoint_root(spark)
     staged = ranged.mapInPandas(local, schema).checkpoint(eager=True)
     tot = staged.groupBy("_pid", key).agg(F.max("_local").alias("_t"))
     spans = tot.groupBy(key).agg(F.count(F.lit(1)).alias("_np")).where(F.col("_np") > 1)

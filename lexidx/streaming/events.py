@@ -45,7 +45,12 @@ LIFECYCLE_SCHEMA = T.StructType([
 
 def read_raw(spark: SparkSession, fmt: str, path_or_topic: str, options: dict | None = None,
              streaming: bool = True) -> DataFrame:
-    """Raw records as (key STRING, value STRING)."""
+    """Raw records as (key STRING, value STRING).
+
+    Pass ``maxOffsetsPerTrigger`` (kafka) or ``maxFilesPerTrigger`` (files)
+    in ``options`` to bound a micro-batch: the state machine holds one key's
+    events of one micro-batch in memory at a time.
+    """
     r = spark.readStream if streaming else spark.read
     if fmt == "kafka":
         r = r.format("kafka").option("subscribe", path_or_topic).option("startingOffsets", "earliest")
