@@ -230,7 +230,13 @@ def write(tables: IndexTables, path: str, max_records_per_file: int = 5_000_000,
     w(_layout(term_dictionary(post), ["field", "term"], layout)).parquet(f"{path}/terms")
     written["terms"] = f"{path}/terms"
     if tables.lengths is not None:
-        w(tables.lengths).parquet(f"{path}/lengths")
+        # Lengths from the written postings (every text posting carries dl):
+        # no second tokenization; a task holds whole documents, so the
+        # partial aggregate leaves about one row per document to shuffle.
+        # Documents without any token have no row (they never count).
+        lengths_df = (post.where(F.col("dl").isNotNull()).groupBy("field", "doc_id")
+                      .agg(F.max("dl").alias("length")))
+        w(lengths_df).parquet(f"{path}/lengths")
         lengths = spark.read.parquet(f"{path}/lengths")
         w(field_stats(lengths).coalesce(1)).parquet(f"{path}/field_stats")
         written.update(lengths=f"{path}/lengths", field_stats=f"{path}/field_stats")

@@ -89,7 +89,7 @@ INDEX_SQL = {
             + (SELECT count(lang) FROM documents) + (SELECT count(source) FROM documents)
         UNION ALL SELECT 'terms', (SELECT count(DISTINCT term) FROM post)
             + (SELECT count(DISTINCT lang) FROM documents) + (SELECT count(DISTINCT source) FROM documents)
-        UNION ALL SELECT 'lengths', (SELECT count(*) FROM lens)
+        UNION ALL SELECT 'lengths', (SELECT count(*) FROM lens WHERE dl > 0)
         UNION ALL SELECT 'field_stats', (SELECT count(*) FROM fstat WHERE n > 0)
         UNION ALL SELECT 'long_points', (SELECT count(n_chars) FROM documents)""",
     "term_lookup_keyword": f"""SELECT p_partkey AS doc_id, 1 AS tf FROM part WHERE p_brand = {_q(iq.KEYWORD_TERM)}""",
