@@ -45,7 +45,8 @@ LIFECYCLE_SCHEMA = T.StructType([
 
 def read_raw(spark: SparkSession, fmt: str, path_or_topic: str, options: dict | None = None,
              streaming: bool = True) -> DataFrame:
-    """Raw records as (key STRING, value STRING).
+    """Raw records as (key STRING, value STRING, raw BINARY); ``raw``
+    keeps the record's original bytes for the dead-letter sink.
 
     Pass ``maxOffsetsPerTrigger`` (kafka) or ``maxFilesPerTrigger`` (files)
     in ``options`` to bound a micro-batch: the state machine holds one key's
@@ -56,11 +57,13 @@ def read_raw(spark: SparkSession, fmt: str, path_or_topic: str, options: dict |
         r = r.format("kafka").option("subscribe", path_or_topic).option("startingOffsets", "earliest")
         for k, v in (options or {}).items():
             r = r.option(k, v)
-        return r.load().select(F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value"))
+        return r.load().select(F.col("key").cast("string").alias("key"),
+                               F.col("value").cast("string").alias("value"), F.col("value").alias("raw"))
     df = r.format("text")
     for k, v in (options or {}).items():
         df = df.option(k, v)
-    return df.load(path_or_topic).select(F.lit(None).cast("string").alias("key"), "value")
+    return df.load(path_or_topic).select(F.lit(None).cast("string").alias("key"), "value",
+                                         F.encode("value", "UTF-8").alias("raw"))
 
 
 def decode(raw: DataFrame, schema: T.StructType, required: str) -> DataFrame:
@@ -68,12 +71,13 @@ def decode(raw: DataFrame, schema: T.StructType, required: str) -> DataFrame:
     not an object or lacks the ``required`` field."""
     ev = F.from_json(F.col("value"), schema)
     ok = F.col("value").rlike(r"^\s*\{") & ev.isNotNull() & ev[required].isNotNull()
-    return raw.select("key", "value", F.when(ok, ev).alias("event"))
+    return raw.select("key", "value", "raw", F.when(ok, ev).alias("event"))
 
 
 def dead_letters(decoded: DataFrame) -> DataFrame:
-    """Records that do not decode, with their original text."""
-    return decoded.where(F.col("event").isNull()).select("key", "value", F.lit("UNDECODABLE").alias("reason"))
+    """Records that do not decode, with their original bytes."""
+    return decoded.where(F.col("event").isNull()).select(
+        "key", "value", "raw", F.lit("UNDECODABLE").alias("reason"))
 
 
 def encode(events: DataFrame, key_col: str) -> DataFrame:
