@@ -200,13 +200,17 @@ def _malformed_message(reason: Column) -> Column:
 def first_error(validated: DataFrame, fields) -> DataFrame:
     """V9: the first bad key of the first bad line; zero rows when clean.
 
-    A global ``min`` over (line, position, message): partial aggregation
-    leaves one row per partition for the final reduce.
+    One pass: keep the bad lines, take each line's first error (or its
+    malformed message), then a global ``min`` over (line, position,
+    message); partial aggregation leaves one row per partition.
     """
-    mal = keep_where(validated, F.col("status") == "MALFORMED").select(
-        "line", F.lit(-1).alias("position"), _malformed_message(F.col("malformed")).alias("message"))
-    errs = errors(validated, fields).select("line", "position", "message")
-    m = mal.unionByName(errs).agg(F.min(F.struct("line", "position", "message")).alias("m"))
+    bad = _error_structs(keep_where(validated, F.col("status") != "OK"), fields_of(fields))
+    first_err = F.get(F.col("errors"), 0)
+    first = F.when(F.col("status") == "MALFORMED", F.struct(
+        F.col("line").alias("line"), F.lit(-1).alias("position"),
+        _malformed_message(F.col("malformed")).alias("message"))).otherwise(F.struct(
+            F.col("line").alias("line"), first_err["pos"].alias("position"), first_err["message"].alias("message")))
+    m = bad.agg(F.min(first).alias("m"))
     return m.where(F.col("m").isNotNull()).select(
         F.col("m.line").alias("line"),
         F.coalesce(F.col("m.message"), F.lit("IndexBuildException")).alias("message"))
