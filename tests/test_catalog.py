@@ -112,3 +112,26 @@ def test_fold_hot_version_matches_sequential_replay(spark):
                             artifact_key=r[7], error_message=r[8])
         state[r[0]], want[(r[0], r[1])] = _step(state.get(r[0]), e)
     assert got == want
+
+
+def test_constraint_breaches_and_cascade(spark):
+    cat = spark.createDataFrame([(1, "same"), (2, "same"), (3, "other")], "index_id bigint, name string")
+    v = _versions(spark, [(10, 1, 1, "BUILT"), (11, 1, 1, "READY"), (12, 3, 1, "BUILDING"),
+                          (13, 3, 2, "CREATED"), (14, 9, 1, "READY")])
+    got = sorted((r.rule, r.subject, r.n) for r in catalog.constraint_audit(cat, v).collect())
+    assert got == [("DUPLICATE_NAME", "same", 2), ("DUPLICATE_VERSION", "1:1", 2),
+                   ("MULTIPLE_ACTIVE_BUILDS", "3", 2)]
+    deleted = spark.createDataFrame([(1,)], "index_id bigint")
+    cat2, ver2 = catalog.cascade_delete(cat, v, deleted)
+    assert sorted(r.index_id for r in cat2.collect()) == [2, 3]
+    # versions of the deleted index and the orphan (index 9) are gone
+    assert sorted(r.version_id for r in ver2.collect()) == [12, 13]
+
+
+def test_resolve_tells_missing_index_from_missing_version(spark):
+    cat = spark.createDataFrame([(1, "a")], "index_id bigint, name string")
+    v = _versions(spark, [(10, 1, 1, "READY")])
+    req = spark.createDataFrame([(1, 1, 1), (2, 1, 5), (3, 7, 1)], "req_id bigint, index_id bigint, version int")
+    got = {r.req_id: (r.resolution, r.message) for r in catalog.resolve_versions(req, cat, v).collect()}
+    assert got == {1: ("FOUND", None), 2: ("VERSION_NOT_FOUND", "Version 5 not found for index 1"),
+                   3: ("INDEX_NOT_FOUND", "Index 7 not found")}
