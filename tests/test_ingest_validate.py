@@ -152,3 +152,18 @@ def test_lines_numbered_across_files_in_path_order(spark, tmp_dir):
     write_lines(tmp_dir, ['', '{"title": "c"}'], "part-1.ndjson")
     got = sorted((r.line, r.value) for r in ndjson.read_lines(spark, tmp_dir).collect())
     assert got == [(1, '{"title": "a"}'), (2, '{"title": "b"}'), (4, '{"title": "c"}')]
+
+
+def test_double_strings_follow_parse_double(spark, tmp_dir):
+    ok = {"1e400": float("inf"), "0x1.8p1": 3.0, "1f": 1.0, "1.5F": 1.5, "-Infinity": float("-inf"),
+          ".5": 0.5, "5.": 5.0, "1e-400": 0.0, " 2 ": 2.0}
+    bad = ["inf", "nan", "1_000", "Infinityd", "0x10", "1e"]
+    lines = [f'{{"d": "{s}"}}' for s in list(ok) + bad] + ['{"d": "+NaN"}']
+    v = _validated(spark, tmp_dir, lines, ALL)
+    rows = {r.line: r for r in v.select("line", "status", "d").collect()}
+    for i, s in enumerate(ok, start=1):
+        assert rows[i].status == "OK" and rows[i].d == ok[s], s
+    for j, s in enumerate(bad, start=len(ok) + 1):
+        assert rows[j].status == "INVALID", s
+    nan = rows[len(lines)]
+    assert nan.status == "OK" and nan.d != nan.d
