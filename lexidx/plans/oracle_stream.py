@@ -3,7 +3,31 @@
 from lexidx.plans import stream_queries as sq
 from lexidx.plans.oracle_catalog import G2, G3
 
+STALE = f"""stale AS (
+  SELECT version_id, list_reduce(evs, lambda st, e:
+    CASE
+      WHEN st.status IS NULL AND e.kind = 'CREATED' THEN struct_pack(status := e.kind, stale := st.stale)
+      WHEN st.status IS NULL OR e.kind = 'CREATED' THEN st
+      WHEN e.kind IN ('BUILDING', 'BUILT', 'UPLOADED') OR (e.kind = 'READY' AND st.status = 'UPLOADED')
+        THEN struct_pack(status := e.kind, stale := st.stale)
+      WHEN e.kind = 'FAILED' AND st.status = 'READY'
+        THEN struct_pack(status := st.status, stale := list_append(st.stale, e.seq))
+      WHEN e.kind = 'FAILED' THEN struct_pack(status := e.kind, stale := st.stale)
+      ELSE st END,
+    struct_pack(status := CAST(NULL AS VARCHAR), stale := CAST([] AS BIGINT[]))) AS st
+  FROM per)"""
+
 STREAM_SQL = {
+    "event_source": f"""WITH {G2}
+      SELECT CAST(iv0.version_id AS VARCHAR) AS versionId, CAST(iv0.index_id AS VARCHAR) AS indexId,
+             iv0.version AS versionNumber, iv.artifact_key AS artifactKey,
+             CAST(trunc(iv0.o_totalprice) AS BIGINT) AS artifactSize,
+             sha256(CAST(iv0.version_id AS VARCHAR)) AS checksum,
+             CAST(o.o_orderdate AS VARCHAR) AS occurredAt
+      FROM iv0 JOIN iv USING (version_id) JOIN orders o ON o.o_orderkey = iv0.version_id
+      WHERE iv.status IN ('UPLOADED', 'READY')""",
+    "stale_failure_guard": f"""WITH {G3}, {STALE}
+      SELECT version_id, unnest(st.stale) AS seq FROM stale""",
     "poison_routing": f"""WITH {G2},
       e AS (SELECT version_id, index_id FROM iv WHERE status IN ('UPLOADED', 'READY'))
       SELECT '"poison ' || CAST(version_id AS VARCHAR) || '"' AS value, 'UNDECODABLE' AS reason

@@ -58,7 +58,8 @@ def event_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream = ev.decode(ev.read_raw(spark, "text", src), ev.UPLOADED_EVENT_SCHEMA, "versionId")
     sink, ck = scratch_path(spark, "events-decoded"), scratch_path(spark, "ck-events")
     ev.run_available(stream.select("event.*"), sink, ck)
-    return spark.read.parquet(sink)
+    out = spark.read.parquet(sink)
+    return out.withColumn("occurredAt", F.col("occurredAt").cast("string"))
 
 
 def poison_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
