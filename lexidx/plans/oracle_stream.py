@@ -26,6 +26,14 @@ STREAM_SQL = {
              CAST(o.o_orderdate AS VARCHAR) AS occurredAt
       FROM iv0 JOIN iv USING (version_id) JOIN orders o ON o.o_orderkey = iv0.version_id
       WHERE iv.status IN ('UPLOADED', 'READY')""",
+    "event_sink": f"""WITH {G2}
+      SELECT '{{"versionId":"' || CAST(iv0.version_id AS VARCHAR) || '","indexId":"' || CAST(iv0.index_id AS VARCHAR)
+             || '","versionNumber":' || CAST(iv0.version AS VARCHAR) || ',"artifactKey":"' || iv.artifact_key
+             || '","artifactSize":' || CAST(CAST(trunc(iv0.o_totalprice) AS BIGINT) AS VARCHAR)
+             || ',"checksum":"' || sha256(CAST(iv0.version_id AS VARCHAR))
+             || '","occurredAt":"' || strftime(o.o_orderdate, '%Y-%m-%dT%H:%M:%S.%gZ') || '"}}' AS value
+      FROM iv0 JOIN iv USING (version_id) JOIN orders o ON o.o_orderkey = iv0.version_id
+      WHERE iv.status IN ('UPLOADED', 'READY')""",
     "stale_failure_guard": f"""WITH {G3}, {STALE}
       SELECT version_id, unnest(st.stale) AS seq FROM stale""",
     "poison_routing": f"""WITH {G2},
