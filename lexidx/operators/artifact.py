@@ -101,7 +101,9 @@ def publish_version(spark: SparkSession, docs: DataFrame, fields, root: str, ind
     found = spark.read.parquet(f"{path}/stored").count()
     index.verify_counts(n_docs, found)
     man = manifest(list_objects(spark, path, "*.parquet"), path)
-    man.coalesce(1).write.mode("overwrite").parquet(f"{path}/{MANIFEST}")
+    # repartition, not coalesce: the hashing stays spread over all files'
+    # tasks and only the (one row per file) manifest is gathered.
+    man.repartition(1).write.mode("overwrite").parquet(f"{path}/{MANIFEST}")
     d = version_digest(spark.read.parquet(f"{path}/{MANIFEST}"))
     now = _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None)
     key = f"index_id={index_id}/version={version}"

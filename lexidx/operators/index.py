@@ -238,6 +238,8 @@ def write(tables: IndexTables, path: str, max_records_per_file: int = 5_000_000,
                       .agg(F.max("dl").alias("length")))
         w(lengths_df).parquet(f"{path}/lengths")
         lengths = spark.read.parquet(f"{path}/lengths")
+        # coalesce after the aggregate's exchange: only the final rows (one
+        # per field) are merged; the partial aggregation stays parallel.
         w(field_stats(lengths).coalesce(1)).parquet(f"{path}/field_stats")
         written.update(lengths=f"{path}/lengths", field_stats=f"{path}/field_stats")
     for name in ("long_points", "double_points"):
