@@ -79,7 +79,7 @@ def _lifecycle_outcomes(spark, sf_dir):
     file, so each version's events arrive in order (one ordered log)."""
     src = scratch_path(spark, "lifecycle-src")
     log = fixtures.lifecycle_events(spark, sf_dir)
-    (log.repartition(8, "version_id").sortWithinPartitions("version_id", "seq")
+    (log.repartition("version_id").sortWithinPartitions("version_id", "seq")
         .select(F.to_json(F.struct(*log.columns)).alias("value")).write.text(src))
     decoded = ev.decode(ev.read_raw(spark, "text", src), ev.LIFECYCLE_SCHEMA, "version_id")
     stream = ev.apply_transitions(decoded.where(F.col("event").isNotNull()).select("event.*"))
