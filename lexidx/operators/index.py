@@ -48,7 +48,10 @@ def _with_term_runs(df: DataFrame, toks: str, out: str) -> DataFrame:
 def spread(df: DataFrame) -> DataFrame:
     """Use every core when the input arrives in fewer splits than the
     session's parallelism (one small file). At scale the input has far more
-    splits than cores and this is a no-op, so no shuffle is added there."""
+    splits than cores and this is a no-op, so no shuffle is added there.
+
+    Meant for plain table scans: counting partitions plans the input, and for
+    a plan with a broadcast join that would run the broadcast side early."""
     par = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(par) if df.rdd.getNumPartitions() < par else df
 
@@ -183,7 +186,6 @@ class IndexTables:
 
 def build(docs: DataFrame, fields, pattern: str = analyzer.DEFAULT_PATTERN) -> IndexTables:
     fl = fields_of(fields)
-    docs = spread(docs)
     has_text = any(f.type is FieldType.TEXT for f in fl)
     return IndexTables(
         stored=stored(docs, fl),
@@ -261,12 +263,12 @@ def write_version(docs: DataFrame, fields, path: str, pattern: str = analyzer.DE
     from pyspark.sql import Observation
     fl = fields_of(fields)
     obs = Observation("stored_rows")
-    st = stored(spread(docs), fl).observe(obs, F.count(F.lit(1)).alias("n"))
+    st = stored(docs, fl).observe(obs, F.count(F.lit(1)).alias("n"))
     st.write.mode("overwrite").option("maxRecordsPerFile", max_records_per_file).parquet(f"{path}/stored")
     written_docs = int(obs.get["n"])
     if after_stored is not None:
         after_stored()  # may raise to stop before the derived tables
-    back = docs.sparkSession.read.parquet(f"{path}/stored")
+    back = spread(docs.sparkSession.read.parquet(f"{path}/stored"))
     tables = build(back, fl, pattern)
     out = write(tables, path, max_records_per_file, layout, skip_stored=True)
     out["stored"] = f"{path}/stored"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexidx.operators import artifact, catalog
+from lexidx.operators import artifact, catalog, index
 from lexidx.plans import fixtures, tables
 from lexidx.session import scratch_path
 from lexidx.sources.files import list_objects
@@ -64,7 +64,7 @@ def orphan_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _publish(spark, sf_dir):
     root = scratch_path(spark, "published")
-    docs = tables.documents_index_input(spark, sf_dir)
+    docs = index.spread(tables.documents_index_input(spark, sf_dir))
     ev = artifact.publish_version(spark, docs, tables.DOCUMENT_FIELDS, root, "documents", 1)
     return root, ev
 
