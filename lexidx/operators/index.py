@@ -10,6 +10,7 @@ aggregate, so a term present in every document is no hot key.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -262,7 +263,7 @@ def write_version(docs: DataFrame, fields, path: str, pattern: str = analyzer.DE
     paths and the number of documents written."""
     from pyspark.sql import Observation
     fl = fields_of(fields)
-    obs = Observation("stored_rows")
+    obs = Observation(f"stored_rows_{uuid.uuid4().hex[:8]}")
     st = stored(docs, fl).observe(obs, F.count(F.lit(1)).alias("n"))
     st.write.mode("overwrite").option("maxRecordsPerFile", max_records_per_file).parquet(f"{path}/stored")
     written_docs = int(obs.get["n"])

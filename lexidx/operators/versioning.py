@@ -10,6 +10,7 @@ first bad line are observed while the stored table is written.
 from __future__ import annotations
 
 import datetime as _dt
+import uuid
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -38,7 +39,7 @@ def build_version(spark: SparkSession, source: str, fields, root: str, index_id,
     now = lambda: _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None)
     started = (first_seq, now(), "BUILDING", None, None, None, None, None)
     checked = validate.validate(ndjson.parse(ndjson.read_lines(spark, source)), fields)
-    obs = Observation("build_checks")
+    obs = Observation(f"build_checks_{uuid.uuid4().hex[:8]}")
     watched = checked.observe(obs, F.count(F.when(F.col("status") != "OK", F.lit(1))).alias("bad"))
     docs = validate.typed_documents(watched, fields)
 
