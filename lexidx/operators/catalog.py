@@ -151,14 +151,16 @@ def classify_events(events: DataFrame) -> DataFrame:
     e = e.withColumn("_lu", F.coalesce(live_unguarded, F.lit(False)))
     e = ordered.running_count(e, "version_id", "seq", "_lu", "_seg")
     rf = F.col("kind").isin("READY", "FAILED")
+    # The head's kind as a small code keeps the aggregate hash-based.
+    head_code = F.when(F.col("_lu"), F.when(F.col("kind") == "UPLOADED", 3)
+                       .when(F.col("kind") == "BUILT", 2).otherwise(1))
     seg = e.groupBy("version_id", "_seg").agg(
-        F.max(F.when(F.col("_lu"), F.col("kind"))).alias("_head"),
+        F.max(head_code).alias("_head"),
         F.min(F.when(rf, F.col("seq"))).alias("_first_rf"),
         F.min(F.when(F.col("kind") == "READY", F.col("seq"))).alias("_first_ready"))
     e = e.join(seg, ["version_id", "_seg"])
-    head = F.coalesce(F.col("_head"), F.lit("CREATED"))
     # READY applies only straight after UPLOADED; once READY, FAILED is ignored.
-    ready_reached = (head == "UPLOADED") & (F.col("_first_ready") == F.col("_first_rf"))
+    ready_reached = (F.col("_head") == 3) & (F.col("_first_ready") == F.col("_first_rf"))
     outcome = (F.when(F.col("_created").isNull() | (F.col("seq") < F.col("_created")), F.lit("NOT_FOUND"))
                .when(F.col("kind") == "CREATED", F.when(F.col("seq") == F.col("_created"), F.lit("APPLIED"))
                      .otherwise(F.lit("DUPLICATE")))

@@ -49,11 +49,15 @@ def bm25_scores(post: DataFrame, terms_df: DataFrame, stats: DataFrame,
     """
     spark = post.sparkSession
     q = _query_terms(spark, terms)
+    # N and avgdl of the field are scalar subqueries over its single stats
+    # row (a join on the constant field would plan as a nested-loop join).
+    fs = stats.where(F.col("field") == field)
+    n_docs = fs.select(F.col("doc_count").cast("double")).scalar()
+    avgdl = fs.select(F.col("avg_length").cast("double")).scalar()
     st = (terms_df.where((F.col("field") == field) & F.col("term").isin(list(set(terms))))
           .join(F.broadcast(q), "term")
-          .join(F.broadcast(stats.where(F.col("field") == field)), "field")
-          .select("field", "term", "qcount", "avg_length",
-                  bm25.idf(F.col("doc_count").cast("double"), F.col("doc_freq").cast("double")).alias("idf")))
+          .select("field", "term", "qcount", avgdl.alias("avg_length"),
+                  bm25.idf(n_docs, F.col("doc_freq").cast("double")).alias("idf")))
     hits = post.where((F.col("field") == field) & F.col("term").isin(list(set(terms))))
     scored = hits.join(F.broadcast(st), ["field", "term"]).select(
         "doc_id", (F.col("qcount") * bm25.term_score(
