@@ -51,9 +51,12 @@ def bm25_scores(post: DataFrame, terms_df: DataFrame, stats: DataFrame,
     q = _query_terms(spark, terms)
     # N and avgdl of the field are scalar subqueries over its single stats
     # row (a join on the constant field would plan as a nested-loop join).
-    fs = stats.where(F.col("field") == field)
-    n_docs = fs.select(F.col("doc_count").cast("double")).scalar()
-    avgdl = fs.select(F.col("avg_length").cast("double")).scalar()
+    # N and avgdl: the field's single stats row, read once as two numbers
+    # (a join on the constant field would plan as a nested-loop join, and two
+    # scalar subqueries would compute the statistics twice).
+    row = stats.where(F.col("field") == field).select("doc_count", "avg_length").first()
+    n_docs = F.lit(float(row["doc_count"]) if row else 0.0)
+    avgdl = F.lit(float(row["avg_length"]) if row else 1.0)
     st = (terms_df.where((F.col("field") == field) & F.col("term").isin(list(set(terms))))
           .join(F.broadcast(q), "term")
           .select("field", "term", "qcount", avgdl.alias("avg_length"),
