@@ -69,6 +69,40 @@ def bm25_scores(post: DataFrame, terms_df: DataFrame, stats: DataFrame,
     return scored.groupBy("doc_id").agg(F.sum("s").alias("score"))
 
 
+def bm25_topk_unindexed(docs: DataFrame, field: str, terms: list[str], k: int = 10,
+                        pattern: str | None = None) -> DataFrame:
+    """Q3 over a document table that has no index yet, in two passes.
+
+    Pass 1 is one aggregate: N, the total length and the document frequency
+    of each distinct query term (a fixed, small number of columns), read as
+    one row. Pass 2 builds the postings of the query terms only, scores them
+    with the idf values as literals and sums per document: no join, one
+    shuffle (partial sums per document), then top-k.
+    """
+    from lexidx.functions import analyzer
+    from lexidx.operators import index
+    pattern = pattern or analyzer.DEFAULT_PATTERN
+    uniq = sorted(set(terms))
+    toks = analyzer.tokens(F.col(field), pattern)
+    d = docs.where(F.col(field).isNotNull()).select(toks.alias("_t"))
+    aggs = [F.count(F.when(F.size("_t") > 0, F.lit(1))).alias("n"),
+            F.sum(F.size("_t")).alias("total")]
+    aggs += [F.count(F.when(F.array_contains("_t", t), F.lit(1))).alias(f"df{i}") for i, t in enumerate(uniq)]
+    row = d.agg(*aggs).first()
+    n = float(row["n"] or 0)
+    avgdl = float(row["total"] or 0) / n if n else 1.0
+    counts = {t: terms.count(t) for t in uniq}
+    weight = F.lit(0.0)
+    for i, t in enumerate(uniq):
+        dfv = float(row[f"df{i}"] or 0)
+        w = counts[t] * (bm25.idf(F.lit(n), F.lit(dfv)))
+        weight = F.when(F.col("term") == t, w).otherwise(weight)
+    post = index.text_postings(docs, field, pattern, only_terms=uniq)
+    scored = post.select("doc_id", (weight * bm25.term_score(
+        F.lit(1.0), F.col("tf").cast("double"), F.col("dl").cast("double"), F.lit(avgdl))).alias("s"))
+    return top_k(scored.groupBy("doc_id").agg(F.sum("s").alias("score")), k)
+
+
 def top_k(scores: DataFrame, k: int) -> DataFrame:
     """Q3: best k by score, ties by ascending doc id; rank from 1.
 

@@ -92,12 +92,9 @@ def write_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _bm25_hits(spark, sf_dir):
-    """Query-time scoring over the document table: postings of the query
-    terms only, statistics from all documents' lengths."""
+    """Query-time scoring over the document table (two passes, no join)."""
     d = index.spread(tables.documents_index_input(spark, sf_dir))
-    post = index.text_postings(d, "text", only_terms=BM25_TERMS)
-    stats = index.field_stats(index.doc_lengths(d, tables.DOCUMENT_FIELDS))
-    return d, search.bm25_topk(post, index.term_dictionary(post), stats, "text", BM25_TERMS, BM25_K)
+    return d, search.bm25_topk_unindexed(d, "text", BM25_TERMS, BM25_K)
 
 
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

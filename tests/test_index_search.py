@@ -107,3 +107,13 @@ def test_tokenizer_word_breaks(spark):
 
 def test_query_terms_use_the_document_analyser(spark):
     assert search.query_terms(spark, "Hello, World! don't") == ["hello", "world", "don't"]
+
+
+def test_unindexed_bm25_equals_indexed(spark):
+    d = tables.documents_index_input(spark, SF_SMALL)
+    terms = ["the", "was", "the", "und"]
+    t = index.build(d, tables.DOCUMENT_FIELDS)
+    a = search.bm25_topk(t.postings, t.terms(), t.stats(), "text", terms, 10).orderBy("rank").collect()
+    b = search.bm25_topk_unindexed(d, "text", terms, 10).orderBy("rank").collect()
+    assert [r.doc_id for r in a] == [r.doc_id for r in b]
+    assert all(abs(x.score - y.score) < 1e-9 for x, y in zip(a, b))
