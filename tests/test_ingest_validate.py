@@ -167,3 +167,11 @@ def test_double_strings_follow_parse_double(spark, tmp_dir):
         assert rows[j].status == "INVALID", s
     nan = rows[len(lines)]
     assert nan.status == "OK" and nan.d != nan.d
+
+
+def test_big_integers_keep_low_64_bits(spark, tmp_dir):
+    lines = ['{"l": 18446744073709551617}', '{"l": 9223372036854775808}',
+             '{"l": 1' + "0" * 39 + '}', '{"l": -9223372036854775809}']
+    v = _validated(spark, tmp_dir, lines, ALL)
+    got = {r.line: r.l for r in v.select("line", "l").collect()}
+    assert got == {1: 1, 2: -9223372036854775808, 3: 9223372036854775807, 4: 9223372036854775807}
