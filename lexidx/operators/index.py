@@ -29,8 +29,9 @@ def _with_term_runs(df: DataFrame, toks: str, out: str) -> DataFrame:
     term: O(n log n) per document. Each intermediate array is its own
     column, so the lambdas read a column instead of re-evaluating the sort.
     """
-    df = df.withColumn("_pairs", F.array_sort(F.transform(
-        F.col(toks), lambda t, i: F.struct(t.alias("term"), i.alias("pos")))))
+    # sort_array: the type's own ordering, no comparator lambda per compare.
+    df = df.withColumn("_pairs", F.sort_array(F.transform(
+        F.col(toks), lambda t, i: F.struct(t.alias("term"), i.alias("pos"))), asc=True))
     pairs = F.col("_pairs")
     df = df.withColumn("_starts", F.filter(
         F.transform(pairs, lambda x, i: i),
