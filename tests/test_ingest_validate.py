@@ -175,3 +175,12 @@ def test_big_integers_keep_low_64_bits(spark, tmp_dir):
     v = _validated(spark, tmp_dir, lines, ALL)
     got = {r.line: r.l for r in v.select("line", "l").collect()}
     assert got == {1: 1, 2: -9223372036854775808, 3: 9223372036854775807, 4: 9223372036854775807}
+
+
+def test_gzip_and_plain_files_numbered_in_path_order(spark, tmp_dir):
+    import gzip
+    with gzip.open(f"{tmp_dir}/a.ndjson.gz", "wt", encoding="utf-8") as f:
+        f.write('{"title": "a"}\n\n{"title": "b"}\n')
+    write_lines(tmp_dir, ['{"title": "c"}'], "b.ndjson")
+    got = sorted((r.line, r.value) for r in ndjson.read_lines(spark, tmp_dir).collect())
+    assert got == [(1, '{"title": "a"}'), (3, '{"title": "b"}'), (4, '{"title": "c"}')]
