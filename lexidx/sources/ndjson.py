@@ -130,8 +130,11 @@ def json_fields(parsed: DataFrame) -> DataFrame:
     Position is the 0-based place of the key in the object.
     """
     objs = parsed.where(F.col("malformed").isNull())
+    # explode_outer + filter: a plain explode would infer a size() filter
+    # that evaluates the map conversion a second time.
     kv = objs.select("line", "keys", F.from_json(F.col("value"), "map<string,string>").alias("raw"),
-                     F.explode(F.try_variant_get(F.col("j"), "$", "map<string,variant>")).alias("field", "v"))
+                     F.explode_outer(F.try_variant_get(F.col("j"), "$", "map<string,variant>")).alias("field", "v"))
+    kv = kv.where(F.col("field").isNotNull())
     kv = kv.withColumn("json_type", java_class(F.col("v"), F.col("raw")[F.col("field")]))
     return kv.select(
         "line", (F.array_position("keys", F.col("field")) - 1).cast("int").alias("position"),
