@@ -29,14 +29,18 @@ def _event_rows(spark: SparkSession, version_id: int, rows: list[tuple]) -> Data
 
 
 def build_version(spark: SparkSession, source: str, fields, root: str, index_id, version: int,
-                  version_id: int, first_seq: int = 0) -> DataFrame:
+                  version_id: int, first_seq: int = 0, created: bool = True) -> DataFrame:
     """Build and publish a version from the NDJSON at ``source``.
 
-    Returns lifecycle events: BUILDING, then BUILT and UPLOADED on success,
-    or FAILED with the first error (``Line N: ...``) when any line fails.
-    A failed build leaves no manifest, so the version can never be loaded.
+    Returns lifecycle events: CREATED (the accepted request; leave it out
+    with ``created=False`` when the version already exists), BUILDING, then
+    BUILT and UPLOADED on success, or FAILED with the first error
+    (``Line N: ...``) when any line fails. A failed build leaves no
+    manifest, so the version can never be loaded.
     """
     now = lambda: _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None)
+    head = [(first_seq, now(), "CREATED", None, None, None, None, None)] if created else []
+    first_seq += len(head)
     started = (first_seq, now(), "BUILDING", None, None, None, None, None)
     checked = validate.validate(ndjson.parse(ndjson.read_lines(spark, source)), fields)
     obs = Observation(f"build_checks_{uuid.uuid4().hex[:8]}")
@@ -53,9 +57,9 @@ def build_version(spark: SparkSession, source: str, fields, root: str, index_id,
     except BuildFailed:
         fe = validate.first_error(checked, fields).collect()
         msg = fe[0].message if fe else "IndexBuildException"
-        return _event_rows(spark, version_id, [
+        return _event_rows(spark, version_id, head + [
             started, (first_seq + 1, now(), "FAILED", None, None, None, None, msg)])
-    return _event_rows(spark, version_id, [
+    return _event_rows(spark, version_id, head + [
         started,
         (first_seq + 1, now(), "BUILT", pub.doc_count, pub.artifact_size, pub.checksum, None, None),
         (first_seq + 2, now(), "UPLOADED", None, None, None, pub.artifact_key, None)])

@@ -24,8 +24,8 @@ def test_build_ready_end_to_end(spark, tmp_dir):
                                 '{"title": "second doc", "tag": "python", "count": 7}'])
     ev = versioning.build_version(spark, src, F6, f"{tmp_dir}/store", "idx", 1, version_id=5)
     kinds = [r.kind for r in ev.orderBy("seq").collect()]
-    assert kinds == ["BUILDING", "BUILT", "UPLOADED"]
-    state = catalog.fold_versions(_log(spark, 5, ["CREATED"], ev, ["READY"])).collect()[0]
+    assert kinds == ["CREATED", "BUILDING", "BUILT", "UPLOADED"]
+    state = catalog.fold_versions(_log(spark, 5, [], ev, ["READY"])).collect()[0]
     assert state.status == "READY" and state.doc_count == 2 and state.artifact_key == "index_id=idx/version=1"
     loaded = artifact.load_version(spark, f"{tmp_dir}/store", "idx", 1, state.status, state.doc_count).collect()[0]
     assert loaded.state == "LOADED" and loaded.num_docs == 2
@@ -34,7 +34,7 @@ def test_build_ready_end_to_end(spark, tmp_dir):
 def test_build_fails_on_bad_line(spark, tmp_dir):
     src = write_lines(tmp_dir, ['{"title": "hello world", "tag": "java", "count": 42}',
                                 '{"title": "second doc", "bogus": 1}'])
-    ev = versioning.build_version(spark, src, F6, f"{tmp_dir}/store", "idx", 2, version_id=6)
+    ev = versioning.build_version(spark, src, F6, f"{tmp_dir}/store", "idx", 2, version_id=6, created=False)
     rows = ev.orderBy("seq").collect()
     assert [r.kind for r in rows] == ["BUILDING", "FAILED"]
     assert rows[1].error_message == "Line 2: unknown field 'bogus'"
