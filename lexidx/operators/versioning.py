@@ -15,7 +15,7 @@ import uuid
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from lexidx.operators import artifact, validate
+from lexidx.operators import artifact, catalog, validate
 from lexidx.sources import ndjson
 from lexidx.streaming.events import LIFECYCLE_SCHEMA
 
@@ -24,12 +24,17 @@ class BuildFailed(RuntimeError):
     pass
 
 
+class BuildConflict(RuntimeError):
+    """The index already has a CREATED or BUILDING version."""
+
+
 def _event_rows(spark: SparkSession, version_id: int, rows: list[tuple]) -> DataFrame:
     return spark.createDataFrame([(version_id, *r) for r in rows], LIFECYCLE_SCHEMA)
 
 
 def build_version(spark: SparkSession, source: str, fields, root: str, index_id, version: int,
-                  version_id: int, first_seq: int = 0, created: bool = True) -> DataFrame:
+                  version_id: int, first_seq: int = 0, created: bool = True,
+                  versions: DataFrame | None = None) -> DataFrame:
     """Build and publish a version from the NDJSON at ``source``.
 
     Returns lifecycle events: CREATED (the accepted request; leave it out
@@ -38,6 +43,12 @@ def build_version(spark: SparkSession, source: str, fields, root: str, index_id,
     (``Line N: ...``) when any line fails. A failed build leaves no
     manifest, so the version can never be loaded.
     """
+    if versions is not None:
+        # C7 before creating: one small aggregate over this index's versions.
+        busy = catalog.active_builds(versions.where(F.col("index_id") == F.lit(index_id)))
+        hit = busy.where(F.col("active_count") > 0).select("message").first()
+        if hit:
+            raise BuildConflict(hit.message)
     now = lambda: _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None)
     head = [(first_seq, now(), "CREATED", None, None, None, None, None)] if created else []
     first_seq += len(head)

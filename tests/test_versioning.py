@@ -42,3 +42,14 @@ def test_build_fails_on_bad_line(spark, tmp_dir):
     assert (state.status, state.doc_count, state.artifact_key, state.checksum) == ("FAILED", None, None, None)
     gone = artifact.load_version(spark, f"{tmp_dir}/store", "idx", 2, "UPLOADED", 1).collect()[0]
     assert gone.state == "FAILED"
+
+
+def test_build_refused_while_another_build_is_active(spark, tmp_dir):
+    import pytest
+    src = write_lines(tmp_dir, ['{"title": "x"}'])
+    versions = spark.createDataFrame([(7, 1, "BUILDING"), (8, 2, "READY")],
+                                     "index_id bigint, version int, status string")
+    with pytest.raises(versioning.BuildConflict, match="Index 7 already has an active build"):
+        versioning.build_version(spark, src, F6, f"{tmp_dir}/store", 7, 2, version_id=70, versions=versions)
+    ev = versioning.build_version(spark, src, F6, f"{tmp_dir}/store", 8, 3, version_id=80, versions=versions)
+    assert [r.kind for r in ev.orderBy("seq").collect()][-1] == "UPLOADED"
