@@ -74,3 +74,16 @@ def build_version(spark: SparkSession, source: str, fields, root: str, index_id,
         started,
         (first_seq + 1, now(), "BUILT", pub.doc_count, pub.artifact_size, pub.checksum, None, None),
         (first_seq + 2, now(), "UPLOADED", None, None, None, pub.artifact_key, None)])
+
+
+def uploaded_events(events: DataFrame, index_id, version: int) -> DataFrame:
+    """E1 payload of a build: the seven-field uploaded event (versionId,
+    indexId, versionNumber, artifactKey, artifactSize, checksum, occurredAt)
+    from the build's BUILT and UPLOADED rows; empty when the build failed."""
+    built = events.where(F.col("kind") == "BUILT").select(
+        "version_id", F.col("artifact_size").alias("artifactSize"), "checksum")
+    up = events.where(F.col("kind") == "UPLOADED").select(
+        "version_id", F.col("artifact_key").alias("artifactKey"), F.col("ts").alias("occurredAt"))
+    return up.join(built, "version_id").select(
+        F.col("version_id").cast("string").alias("versionId"), F.lit(str(index_id)).alias("indexId"),
+        F.lit(int(version)).alias("versionNumber"), "artifactKey", "artifactSize", "checksum", "occurredAt")

@@ -53,3 +53,27 @@ def test_build_refused_while_another_build_is_active(spark, tmp_dir):
         versioning.build_version(spark, src, F6, f"{tmp_dir}/store", 7, 2, version_id=70, versions=versions)
     ev = versioning.build_version(spark, src, F6, f"{tmp_dir}/store", 8, 3, version_id=80, versions=versions)
     assert [r.kind for r in ev.orderBy("seq").collect()][-1] == "UPLOADED"
+
+
+def test_build_publish_listen_ready(spark, tmp_dir):
+    """The whole flow: build -> uploaded event on the topic -> listener -> READY."""
+    import os
+
+    from pyspark.sql import functions as F
+
+    from lexidx.streaming import events as ev
+    src = write_lines(tmp_dir, ['{"title": "hello world", "tag": "java", "count": 42}'])
+    log = versioning.build_version(spark, src, F6, f"{tmp_dir}/store", "idx", 1, version_id=11)
+    topic = os.path.join(tmp_dir, "topic")
+    ev.write_records(ev.encode(versioning.uploaded_events(log, "idx", 1), "indexId"), "text", topic)
+    current = catalog.fold_versions(log)            # the catalog row: UPLOADED
+    decoded = ev.decode(ev.read_raw(spark, "text", topic), ev.UPLOADED_EVENT_SCHEMA, "versionId")
+    out, ck = os.path.join(tmp_dir, "out"), os.path.join(tmp_dir, "ck")
+    ev.run_available(ev.apply_transitions(ev.uploaded_to_ready(decoded), current), out, ck)
+    got = spark.read.parquet(out).collect()
+    assert [(r.version_id, r.outcome, r.status) for r in got] == [(11, "APPLIED", "READY")]
+    # a second delivery of the same event is a duplicate
+    ev.write_records(ev.encode(versioning.uploaded_events(log, "idx", 1), "indexId"), "text", topic)
+    ev.run_available(ev.apply_transitions(ev.uploaded_to_ready(decoded), current), out, ck)
+    outcomes = sorted(r.outcome for r in spark.read.parquet(out).collect())
+    assert outcomes == ["APPLIED", "DUPLICATE"]
