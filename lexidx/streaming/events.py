@@ -244,6 +244,29 @@ def uploaded_to_ready(decoded: DataFrame) -> DataFrame:
         F.lit(None).cast("string").alias("error_message"))
 
 
+def settle_publish(outcomes: DataFrame, versions: DataFrame):
+    """Settle the results of publishing uploaded events.
+
+    ``outcomes``: (version_id, result, error) with result ACK, TIMEOUT or
+    ERROR. ACK needs nothing (the listener moves the version to READY);
+    TIMEOUT is an unknown outcome: the version stays UPLOADED and keeps its
+    artifact (``reconcile_uploaded`` re-sends later, which is safe because
+    the READY transition is idempotent); ERROR fails the version and its
+    artifact becomes an orphan to delete. Returns (FAILED lifecycle events,
+    artifact keys to delete).
+    """
+    err = outcomes.where(F.col("result") == "ERROR").join(
+        versions.select("version_id", "artifact_key"), "version_id", "left")
+    failed = err.select(
+        "version_id", F.lit(None).cast("bigint").alias("seq"), F.current_timestamp().alias("ts"),
+        F.lit("FAILED").alias("kind"), F.lit(None).cast("bigint").alias("doc_count"),
+        F.lit(None).cast("bigint").alias("artifact_size"), F.lit(None).cast("string").alias("checksum"),
+        F.lit(None).cast("string").alias("artifact_key"),
+        F.concat(F.lit("Failed to publish event: "), F.coalesce(F.col("error"), F.lit("error"))).alias("error_message"))
+    orphans = err.where(F.col("artifact_key").isNotNull()).select("version_id", "artifact_key")
+    return failed, orphans
+
+
 def reconcile_uploaded(versions: DataFrame, published: DataFrame) -> DataFrame:
     """UPLOADED versions whose event was never confirmed get it again;
     safe because the READY transition is idempotent."""
