@@ -247,8 +247,8 @@ def uploaded_to_ready(decoded: DataFrame) -> DataFrame:
 def settle_publish(outcomes: DataFrame, versions: DataFrame):
     """Settle the results of publishing uploaded events.
 
-    ``outcomes``: (version_id, result, error) with result ACK, TIMEOUT or
-    ERROR. ACK needs nothing (the listener moves the version to READY);
+    ``outcomes``: (version_id, seq, result, error) with result ACK, TIMEOUT or
+    ERROR; ``seq`` is the position the FAILED event takes in the log. ACK needs nothing (the listener moves the version to READY);
     TIMEOUT is an unknown outcome: the version stays UPLOADED and keeps its
     artifact (``reconcile_uploaded`` re-sends later, which is safe because
     the READY transition is idempotent); ERROR fails the version and its
@@ -258,7 +258,7 @@ def settle_publish(outcomes: DataFrame, versions: DataFrame):
     err = outcomes.where(F.col("result") == "ERROR").join(
         versions.select("version_id", "artifact_key"), "version_id", "left")
     failed = err.select(
-        "version_id", F.lit(None).cast("bigint").alias("seq"), F.current_timestamp().alias("ts"),
+        "version_id", F.col("seq").cast("bigint").alias("seq"), F.current_timestamp().alias("ts"),
         F.lit("FAILED").alias("kind"), F.lit(None).cast("bigint").alias("doc_count"),
         F.lit(None).cast("bigint").alias("artifact_size"), F.lit(None).cast("string").alias("checksum"),
         F.lit(None).cast("string").alias("artifact_key"),

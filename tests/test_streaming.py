@@ -89,11 +89,11 @@ def test_event_sink_stream(spark, tmp_dir):
 def test_settle_publish_outcomes(spark):
     versions = spark.createDataFrame([(1, "UPLOADED", "a/1"), (2, "UPLOADED", "a/2"), (3, "UPLOADED", "a/3")],
                                      "version_id bigint, status string, artifact_key string")
-    outcomes = spark.createDataFrame([(1, "ACK", None), (2, "TIMEOUT", None), (3, "ERROR", "broker down")],
-                                     "version_id bigint, result string, error string")
+    outcomes = spark.createDataFrame([(1, 10, "ACK", None), (2, 11, "TIMEOUT", None), (3, 12, "ERROR", "broker down")],
+                                     "version_id bigint, seq bigint, result string, error string")
     failed, orphans = ev.settle_publish(outcomes, versions)
-    assert [(r.version_id, r.kind, r.error_message) for r in failed.collect()] == [
-        (3, "FAILED", "Failed to publish event: broker down")]
+    assert [(r.version_id, r.seq, r.kind, r.error_message) for r in failed.collect()] == [
+        (3, 12, "FAILED", "Failed to publish event: broker down")]
     assert [(r.version_id, r.artifact_key) for r in orphans.collect()] == [(3, "a/3")]
     # the timed-out version stays UPLOADED and is re-sent by the reconcile
     published = outcomes.where("result = 'ACK'").select("version_id")
