@@ -33,13 +33,15 @@ def register_indexes(batch: DataFrame, catalog: DataFrame) -> DataFrame:
         F.when(refused, F.format_string("Index with name '%s' already exists", F.col("name"))).alias("message"))
 
 
-def lookup_indexes(requests: DataFrame, catalog: DataFrame) -> DataFrame:
-    """Resolve (req_id, index_id) requests to catalog rows or an error."""
-    j = requests.join(catalog.select("index_id", "name"), "index_id", "left")
-    found = F.col("name").isNotNull()
+def lookup_indexes(requests: DataFrame, catalog: DataFrame, by: str = "index_id") -> DataFrame:
+    """Resolve (req_id, index_id) -- or (req_id, name) with ``by="name"``
+    -- requests to catalog rows or a not-found error."""
+    other = "name" if by == "index_id" else "index_id"
+    j = requests.select("req_id", by).join(catalog.select("index_id", "name"), by, "left")
+    found = F.col(other).isNotNull()
     return j.select("req_id", "index_id", "name",
                     F.when(found, F.lit("FOUND")).otherwise(F.lit("NOT_FOUND")).alias("status"),
-                    F.when(~found, F.format_string("Index %s not found", F.col("index_id"))).alias("message"))
+                    F.when(~found, F.format_string("Index %s not found", F.col(by))).alias("message"))
 
 
 def list_indexes_page(catalog: DataFrame, page: int, size: int) -> DataFrame:

@@ -135,3 +135,13 @@ def test_resolve_tells_missing_index_from_missing_version(spark):
     got = {r.req_id: (r.resolution, r.message) for r in catalog.resolve_versions(req, cat, v).collect()}
     assert got == {1: ("FOUND", None), 2: ("VERSION_NOT_FOUND", "Version 5 not found for index 1"),
                    3: ("INDEX_NOT_FOUND", "Index 7 not found")}
+
+
+def test_lookup_by_id_and_by_name(spark):
+    cat = spark.createDataFrame([(1, "alpha"), (2, "beta")], "index_id bigint, name string")
+    by_id = spark.createDataFrame([(10, 2), (11, 5)], "req_id bigint, index_id bigint")
+    got = {r.req_id: (r.name, r.status, r.message) for r in catalog.lookup_indexes(by_id, cat).collect()}
+    assert got == {10: ("beta", "FOUND", None), 11: (None, "NOT_FOUND", "Index 5 not found")}
+    by_name = spark.createDataFrame([(20, "alpha"), (21, "gamma")], "req_id bigint, name string")
+    got = {r.req_id: (r.index_id, r.status) for r in catalog.lookup_indexes(by_name, cat, by="name").collect()}
+    assert got == {20: (1, "FOUND"), 21: (None, "NOT_FOUND")}
