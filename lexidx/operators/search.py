@@ -69,6 +69,13 @@ def bm25_scores(post: DataFrame, terms_df: DataFrame, stats: DataFrame,
     return scored.groupBy("doc_id").agg(F.sum("s").alias("score"))
 
 
+def bm25_topk_version(spark: SparkSession, path: str, field: str, terms: list[str], k: int = 10) -> DataFrame:
+    """Q3 on a published version folder: the postings and term statistics
+    are read with the field and term filters pushed into the Parquet scans."""
+    return bm25_topk(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/terms"),
+                     spark.read.parquet(f"{path}/field_stats"), field, terms, k)
+
+
 def bm25_topk_unindexed(docs: DataFrame, field: str, terms: list[str], k: int = 10,
                         pattern: str | None = None) -> DataFrame:
     """Q3 over a document table that has no index yet, in two passes.

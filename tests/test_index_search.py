@@ -117,3 +117,11 @@ def test_unindexed_bm25_equals_indexed(spark):
     b = search.bm25_topk_unindexed(d, "text", terms, 10).orderBy("rank").collect()
     assert [r.doc_id for r in a] == [r.doc_id for r in b]
     assert all(abs(x.score - y.score) < 1e-9 for x, y in zip(a, b))
+
+
+def test_bm25_on_published_version_equals_unindexed(spark, tmp_dir):
+    d = tables.documents_index_input(spark, SF_SMALL)
+    index.write_version(d, tables.DOCUMENT_FIELDS, tmp_dir)
+    a = search.bm25_topk_version(spark, tmp_dir, "text", ["that", "was"], 10).orderBy("rank").collect()
+    b = search.bm25_topk_unindexed(d, "text", ["that", "was"], 10).orderBy("rank").collect()
+    assert [(r.doc_id, round(r.score, 9)) for r in a] == [(r.doc_id, round(r.score, 9)) for r in b]
