@@ -126,14 +126,26 @@ def bm25_topk(post: DataFrame, terms_df: DataFrame, stats: DataFrame,
     return top_k(bm25_scores(post, terms_df, stats, field, terms), k)
 
 
+FETCH_PUSHDOWN_LIMIT = 10_000
+
+
 def fetch_stored(hits: DataFrame, stored_df: DataFrame, max_hits: int | None = None) -> DataFrame:
     """Q4: stored fields of the hits.
 
-    The hit list of a top-k query has at most k rows; it is broadcast when
-    its size is known to be bounded (``max_hits``), else a regular join.
+    A top-k hit list has at most ``max_hits`` rows. Then the hits are read
+    once (k rows) and the stored table is filtered with ``doc_id IN (...)``,
+    which reaches the Parquet scan: stored files are written in document
+    order, so only the row groups holding the hits are read instead of the
+    whole table. Without a bound, a regular join is used.
     """
-    side = F.broadcast(hits) if max_hits is not None and max_hits <= 100_000 else hits
-    return side.join(stored_df, "doc_id")
+    if max_hits is not None and max_hits <= FETCH_PUSHDOWN_LIMIT:
+        rows = hits.limit(max_hits + 1).collect()
+        if len(rows) <= max_hits:
+            spark = hits.sparkSession
+            small = spark.createDataFrame(rows, hits.schema)
+            ids = sorted({r["doc_id"] for r in rows})
+            return F.broadcast(small).join(stored_df.where(F.col("doc_id").isin(ids)), "doc_id")
+    return hits.join(stored_df, "doc_id")
 
 
 def numeric_range(pts: DataFrame, field: str, lo=None, hi=None,

@@ -32,3 +32,12 @@ def test_bm25_broadcasts_only_query_sized_sides(spark, tmp_dir):
     assert "TakeOrderedAndProject" in p and "BroadcastHashJoin" in p
     assert "SortMergeJoin" not in p and "NestedLoop" not in p and "Cartesian" not in p
     assert "partial_sum" in p  # map-side combine before the doc_id shuffle
+
+
+def test_fetch_stored_pushes_the_hit_ids(spark, tmp_dir):
+    d = tables.documents_index_input(spark, SF_SMALL)
+    index.write_version(d, tables.DOCUMENT_FIELDS, tmp_dir)
+    stored = spark.read.parquet(f"{tmp_dir}/stored")
+    hits = search.bm25_topk_version(spark, tmp_dir, "text", ["was"], 5)
+    p = _plan(search.fetch_stored(hits, stored, max_hits=5))
+    assert "In(doc_id," in p
