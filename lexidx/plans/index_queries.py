@@ -103,8 +103,9 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fetch_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d, hits = _bm25_hits(spark, sf_dir)
-    return search.fetch_stored(hits, d, max_hits=BM25_K).select(
+    _, hits = _bm25_hits(spark, sf_dir)
+    stored = tables.documents_index_input(spark, sf_dir)  # plain scan: the id filter is pushed down
+    return search.fetch_stored(hits, stored, max_hits=BM25_K).select(
         "rank", "doc_id", F.round("score", 6).alias("score"), "lang", "source", "n_chars", "text")
 
 
