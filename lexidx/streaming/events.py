@@ -132,6 +132,15 @@ OUTCOME_SCHEMA = T.StructType([
 ])
 
 
+def _long(v):
+    """pandas gives float64 (NaN for null) to integer columns with nulls."""
+    return None if v is None or pd.isna(v) else int(v)
+
+
+def _text(v):
+    return None if v is None or (not isinstance(v, str) and pd.isna(v)) else str(v)
+
+
 def _step(st: dict | None, e) -> tuple[dict | None, str]:
     """One event against the current row (None = the version does not exist)."""
     k = e.kind
@@ -152,11 +161,11 @@ def _step(st: dict | None, e) -> tuple[dict | None, str]:
         return st, "STALE"
     st = dict(st, status=k, applied_events=st["applied_events"] + 1, updated_at=e.ts)
     if k == "BUILT":
-        st.update(doc_count=e.doc_count, artifact_size=e.artifact_size, checksum=e.checksum)
+        st.update(doc_count=_long(e.doc_count), artifact_size=_long(e.artifact_size), checksum=_text(e.checksum))
     elif k == "UPLOADED":
-        st.update(artifact_key=e.artifact_key)
+        st.update(artifact_key=_text(e.artifact_key))
     elif k == "FAILED":
-        st.update(error_message=e.error_message, doc_count=None, artifact_size=None,
+        st.update(error_message=_text(e.error_message), doc_count=None, artifact_size=None,
                   checksum=None, artifact_key=None)
     return st, "APPLIED"
 
@@ -171,7 +180,7 @@ def _seed(pdf) -> dict | None:
     if col not in pdf.columns or pdf[col].isna().all():
         return None
     r = pdf.iloc[0]
-    st = {f: (None if pd.isna(r[SEED_PREFIX + f]) else r[SEED_PREFIX + f]) for f in SEED_FIELDS}
+    st = {f: (_long if f in ("doc_count", "artifact_size") else _text)(r[SEED_PREFIX + f]) for f in SEED_FIELDS}
     st.update(applied_events=0, created_at=None, updated_at=None)
     return st
 
@@ -196,7 +205,9 @@ def _transition(key, batches, state):
             continue
         st, outcome = _step(st, e)
         last_seq = e.seq
-        out.append((version_id, e.seq, e.kind, outcome, st["status"] if st else None))
+        out.append((version_id, int(e.seq), e.kind, outcome, st["status"] if st else None))
+    if last_seq is not None:
+        last_seq = int(last_seq)
     if st is None:
         state.update((None,) * (len(STATE_SCHEMA.fields) - 1) + (last_seq,))
     else:

@@ -99,3 +99,21 @@ def test_settle_publish_outcomes(spark):
     published = outcomes.where("result = 'ACK'").select("version_id")
     again = ev.reconcile_uploaded(versions.where("version_id <> 3"), published).collect()
     assert [r.version_id for r in again] == [2]
+
+
+def test_state_keeps_counts_when_a_batch_mixes_nulls(spark, tmp_dir):
+    """A BUILT count next to null counts in one micro-batch stays a long."""
+    import datetime as dt
+    t0 = dt.datetime(2024, 1, 1)
+    log = spark.createDataFrame(
+        [(1, 0, t0, "CREATED", None, None, None, None, None), (1, 1, t0, "BUILT", 7, 70, "c", None, None),
+         (1, 2, t0, "UPLOADED", None, None, None, "k", None), (1, 3, t0, "READY", None, None, None, None, None)],
+        ev.LIFECYCLE_SCHEMA)
+    src, sink, ck = (os.path.join(tmp_dir, x) for x in ("src", "sink", "ck"))
+    _write_log(spark, log, src)
+    _stream(spark, src, sink, ck)
+    assert sorted((r.seq, r.outcome, r.status) for r in spark.read.parquet(sink).collect()) == [
+        (0, "APPLIED", "CREATED"), (1, "APPLIED", "BUILT"), (2, "APPLIED", "UPLOADED"), (3, "APPLIED", "READY")]
+    _write_log(spark, log.where("seq = 3"), src)  # redelivery reads the stored state back
+    _stream(spark, src, sink, ck)
+    assert spark.read.parquet(sink).where("seq = 3").count() == 2
