@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from lexidx.operators import catalog, index
 from lexidx.session import path_exists
-from lexidx.sources.files import list_objects
+from lexidx.sources.files import hidden_files, list_objects
 
 MANIFEST = "_manifest"
 
@@ -153,6 +153,9 @@ def load_version(spark: SparkSession, root: str, index_id, version, status: str,
     if not path_exists(spark, f"{path}/{MANIFEST}"):
         return row("FAILED", error=f"Artifact manifest missing for version {version} of index {index_id}")
     expected = spark.read.parquet(f"{path}/{MANIFEST}")
+    hidden = [n for n in hidden_files(spark, path) if n != MANIFEST]
+    if hidden:
+        return row("FAILED", error=f"Artifact holds files the manifest cannot cover: {', '.join(hidden[:5])}")
     actual = manifest(list_objects(spark, path, "*.parquet"), path)
     bad = integrity_check(expected, actual).where(F.col("status") != "OK")
     try:

@@ -78,3 +78,14 @@ def test_archive_audit(spark):
     assert got[("link.tar.gz", "link")] == ("LINK", "Refusing to extract link tar entry 'link'")
     sizes = {r.archive: r.total_bytes for r in artifact.unpacked_size(entries).collect()}
     assert sizes["good.tar.gz"] == 10 and sizes["link.tar.gz"] == 0
+
+
+def test_load_refuses_hidden_files(spark, tmp_dir):
+    docs = tables.documents_index_input(spark, SF_SMALL)
+    ev = artifact.publish_version(spark, docs, tables.DOCUMENT_FIELDS, tmp_dir, "docs", 2).collect()[0]
+    ok = artifact.load_version(spark, tmp_dir, "docs", 2, "READY", ev.doc_count).collect()[0]
+    assert ok.state == "LOADED"
+    with open(f"{tmp_dir}/index_id=docs/version=2/stored/_0.cfs", "wb") as f:
+        f.write(b"segment")
+    bad = artifact.load_version(spark, tmp_dir, "docs", 2, "READY", ev.doc_count).collect()[0]
+    assert bad.state == "FAILED" and "_0.cfs" in bad.error
