@@ -259,8 +259,9 @@ def settle_publish(outcomes: DataFrame, versions: DataFrame):
     """Settle the results of publishing uploaded events.
 
     ``outcomes``: (version_id, seq, result, error) with result ACK, TIMEOUT or
-    ERROR; ``seq`` is the position the FAILED event takes in the log. ACK needs nothing (the listener moves the version to READY);
-    TIMEOUT is an unknown outcome: the version stays UPLOADED and keeps its
+    ERROR; ``seq`` is the position the FAILED event takes in the log. ACK
+    needs nothing (the listener moves the version to READY); TIMEOUT is an
+    unknown outcome: the version stays UPLOADED and keeps its
     artifact (``reconcile_uploaded`` re-sends later, which is safe because
     the READY transition is idempotent); ERROR fails the version and its
     artifact becomes an orphan to delete. Returns (FAILED lifecycle events,
