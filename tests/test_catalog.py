@@ -145,3 +145,20 @@ def test_lookup_by_id_and_by_name(spark):
     by_name = spark.createDataFrame([(20, "alpha"), (21, "gamma")], "req_id bigint, name string")
     got = {r.req_id: (r.index_id, r.status) for r in catalog.lookup_indexes(by_name, cat, by="name").collect()}
     assert got == {20: (1, "FOUND"), 21: (None, "NOT_FOUND")}
+
+
+def test_definition_length_rules_and_roundtrip_order(spark):
+    from pyspark.sql import functions as F
+    long_name, long_desc = "x" * 65, "d" * 513
+    defs = spark.createDataFrame([
+        (1, long_name, "d", [("title", "text")]),
+        (2, "ok", long_desc, [("title", "text")]),
+        (3, "ok2", "d", [(" ", "text"), ("f" * 65, "long"), ("g", None)]),
+    ], schema=f"index_id bigint, name string, description string, fields {FIELDS_TYPE.simpleString()}")
+    got = sorted((r.index_id, r.rule) for r in schema.definition_audit(defs).collect())
+    assert got == [(1, "NAME_TOO_LONG"), (2, "DESCRIPTION_TOO_LONG"), (3, "FIELD_NAME_BLANK"),
+                   (3, "FIELD_NAME_TOO_LONG"), (3, "FIELD_TYPE_MISSING")]
+    fl = spark.createDataFrame([([("z", "TEXT"), ("a", "Long"), ("m", "keyword")],)],
+                               f"fields {FIELDS_TYPE.simpleString()}")
+    back = fl.select(schema.map_to_fields(schema.fields_to_map(F.col("fields"))).alias("f")).collect()[0].f
+    assert [(x.name, x.type) for x in back] == [("z", "text"), ("a", "long"), ("m", "keyword")]
