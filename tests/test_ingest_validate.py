@@ -184,3 +184,11 @@ def test_gzip_and_plain_files_numbered_in_path_order(spark, tmp_dir):
     write_lines(tmp_dir, ['{"title": "c"}'], "b.ndjson")
     got = sorted((r.line, r.value) for r in ndjson.read_lines(spark, tmp_dir).collect())
     assert got == [(1, '{"title": "a"}'), (3, '{"title": "b"}'), (4, '{"title": "c"}')]
+
+
+def test_json_fields_repeated_keys_and_collections(spark, tmp_dir):
+    path = write_lines(tmp_dir, ['{"a": 1, "b": [1, 2], "a": "x", "c": {"d": 1}}'], "dup.ndjson")
+    rows = ndjson.json_fields(ndjson.parse(ndjson.read_lines(spark, path))).orderBy("position").collect()
+    assert [(r.position, r.field, r.json_type) for r in rows] == [
+        (0, "a", "String"), (1, "b", "ArrayList"), (2, "c", "LinkedHashMap")]
+    assert rows[0].value == "x"  # a repeated key keeps its first place and its last value
