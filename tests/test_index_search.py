@@ -125,3 +125,10 @@ def test_bm25_on_published_version_equals_unindexed(spark, tmp_dir):
     a = search.bm25_topk_version(spark, tmp_dir, "text", ["that", "was"], 10).orderBy("rank").collect()
     b = search.bm25_topk_unindexed(d, "text", ["that", "was"], 10).orderBy("rank").collect()
     assert [(r.doc_id, round(r.score, 9)) for r in a] == [(r.doc_id, round(r.score, 9)) for r in b]
+
+
+def test_sort_by_field_nulls_last_and_ties_by_doc(spark):
+    st = spark.createDataFrame([(1, 5), (2, None), (3, 5), (4, 9)], "doc_id bigint, count bigint")
+    asc = [r.doc_id for r in search.sort_by_field(st, "count").collect()]
+    desc = [r.doc_id for r in search.sort_by_field(st, "count", descending=True).collect()]
+    assert asc == [1, 3, 4, 2] and desc == [4, 1, 3, 2]
