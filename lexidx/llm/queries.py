@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from lexidx.llm import chat, neardup, pii, quality, sentencepiece, shards
+import corpus_pipeline
+from pyspark.sql import functions as F
+
+from lexidx.llm import ann, chat, decontaminate, neardup, pii, quality, sentencepiece, shards, toxicity, warc
 from lexidx.llm.common import table
 
 
@@ -10,6 +13,10 @@ def op1_quality(spark, sf_dir):
     return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_toxicity(spark, sf_dir):
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_pii(spark, sf_dir):
     return pii.detect(table(spark, sf_dir, "documents"))
 
@@ -18,10 +25,22 @@ def op4_neardup(spark, sf_dir):
     return neardup.near_copies(table(spark, sf_dir, "documents"), words=3, num=85, den=100)
 
 
+def op5_decontamination(spark, sf_dir):
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op6_warc(spark, sf_dir):
+    return warc.derivatives(warc.responses(table(spark, sf_dir, "pages")))
+
+
 def op7_sentencepiece(spark, sf_dir):
     return sentencepiece.encode(table(spark, sf_dir, "documents"), check=True)
 
 
+def op8_ann(spark, sf_dir):
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op9_chat(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     trial = spark.createDataFrame([(-7, 0, "user", TRIAL), (-7, 1, "assistant", TRIAL)], "conv_id long, turn long, role string, text string")
@@ -34,5 +53,7 @@ def op10_shards(spark, sf_dir):
 
 TRIAL = "</s>[INST] ok [/INST]"
 
-QUERIES = {f.__name__: f for f in (op1_quality, op3_pii, op4_neardup, op7_sentencepiece, op9_chat, op10_shards)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_toxicity, op3_pii, op4_neardup, op5_decontamination, op6_warc,
+                                       op7_sentencepiece, op8_ann, op9_chat, op10_shards)}
+QUERIES["pipeline"] = corpus_pipeline.run
 ORACLE_SQL: dict[str, str] = {}
