@@ -2,72 +2,37 @@
 
 A window partitioned by the key puts every row of a key into one task; a
 key holding a third of all rows would make that task a third of the job.
-Here the rows are range-partitioned on (key, order), so a hot key is split
-over many partitions; each task counts locally over its sorted rows, and
-keys that span partitions get an offset from a small table (at most a few
-rows per partition boundary), joined back by broadcast.
+Here a key's rows are cut into fixed stretches of the order column: each
+stretch counts locally in a native window, and starts from the sum of the
+stretches before it, which come from one small row per stretch. The same
+plan serves every size, and building it runs no job.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+# Width of a stretch in units of the order column. Orders are unique within a
+# key, so a stretch never holds more rows than this.
+STRETCH = 1 << 20
 
-# A key with more rows than this is handled by the range-partitioned path.
-HOT_KEY_ROWS = 2_000_000
 
-
-def running_count(df: DataFrame, key: str, order: str, flag: str, out: str,
-                  partitions: int | None = None, hot_key_rows: int | None = None) -> DataFrame:
+def running_count(df: DataFrame, key: str, order: str, flag: str, out: str, stretch: int = STRETCH) -> DataFrame:
     """Add ``out`` = number of rows with ``flag`` true among the rows of the
-    same ``key`` up to and including this one in ``order``.
+    same ``key`` up to and including this one in ``order`` (an integral column).
 
-    One partial-aggregate pass finds the largest key. Below ``hot_key_rows``
-    a window partitioned by the key is cheapest; above it no task may own a
-    whole key, and the range-partitioned path below is used.
+    Rows with a null key form a group of their own, rows with a null order
+    come first; a null flag counts as false.
     """
-    limit = HOT_KEY_ROWS if hot_key_rows is None else hot_key_rows
-    biggest = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0] or 0
-    if biggest <= limit:
-        w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        return df.withColumn(out, F.sum(F.col(flag).cast("long")).over(w))
-    return _running_count_split(df, key, order, flag, out, partitions)
-
-
-def _running_count_split(df: DataFrame, key: str, order: str, flag: str, out: str,
-                         partitions: int | None = None) -> DataFrame:
-    spark = df.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(n, key, order).sortWithinPartitions(key, order)
-    schema = T.StructType(ranged.schema.fields + [
-        T.StructField("_pid", T.IntegerType()), T.StructField("_local", T.LongType())])
-
-    def local(batches):
-        from pyspark import TaskContext
-        pid = TaskContext.get().partitionId()
-        carry_key, carry = None, 0
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            c = pdf[flag].fillna(False).astype("int64").groupby(pdf[key], sort=False).cumsum()
-            if carry_key is not None:
-                c = c + (pdf[key] == carry_key).astype("int64") * carry
-            carry_key, carry = pdf[key].iloc[-1], int(c.iloc[-1])
-            yield pdf.assign(_pid=pid, _local=c.astype("int64"))
-
-    # Cut the lineage: both uses below must see the same partitioning. The
-    # checkpoint goes to the shared folder named by spark.checkpoint.dir.
-    from lexidx.session import checkpoint_root
-    checkpoint_root(spark)
-    staged = ranged.mapInPandas(local, schema).checkpoint(eager=True)
-    tot = staged.groupBy("_pid", key).agg(F.max("_local").alias("_t"))
-    spans = tot.groupBy(key).agg(F.count(F.lit(1)).alias("_np")).where(F.col("_np") > 1)
-    # Only keys cut by a partition boundary need an offset: at most n - 1
-    # keys, each on at most n partitions, in practice ~2 rows per boundary.
-    w = Window.partitionBy(key).orderBy("_pid")
-    off = tot.join(spans, key, "left_semi").select(
-        "_pid", key, (F.sum("_t").over(w) - F.col("_t")).alias("_off"))
-    return staged.join(F.broadcast(off), ["_pid", key], "left").select(
-        *df.columns, (F.col("_local") + F.coalesce(F.col("_off"), F.lit(0))).alias(out))
+    on = F.coalesce(F.col(flag), F.lit(False)).cast("long")
+    # One struct column is the partitioning of the window, of the sums and of
+    # the join between them, so the rows are shuffled once; structs compare
+    # null fields as equal.
+    cut = df.withColumn("_stretch", F.struct(F.col(key).alias("k"), F.floor(F.col(order) / stretch).alias("c")))
+    w = Window.partitionBy("_stretch").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = cut.withColumn("_local", F.sum(on).over(w))
+    earlier = Window.partitionBy("_stretch.k").orderBy("_stretch.c").rowsBetween(Window.unboundedPreceding, -1)
+    before = (cut.groupBy("_stretch").agg(F.sum(on).alias("_n"))
+              .select("_stretch", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before")))
+    return local.join(before, "_stretch").select(*df.columns, (F.col("_local") + F.col("_before")).alias(out))

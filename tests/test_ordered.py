@@ -1,23 +1,41 @@
-"""The skew-safe running count equals a plain running count."""
+"""The running count equals a sequential replay, whatever the key sizes."""
 
 import random
 
+from pyspark.sql import functions as F
+
 from lexidx.operators import ordered
 
 
-def test_running_count_split_path_matches_python(spark):
-    rnd = random.Random(3)
-    rows = []
-    for key, n in [(1, 5000), (2, 3), (3, 1200), (4, 1), (5, 800)]:
-        seqs = rnd.sample(range(10 ** 6), n)
-        rows += [(key, s, rnd.random() < 0.4) for s in seqs]
-    df = spark.createDataFrame(rows, "k bigint, s bigint, f boolean")
-    got_split = {(r.k, r.s): r.c for r in ordered.running_count(df, "k", "s", "f", "c", partitions=8,
-                                                                 hot_key_rows=100).collect()}
-    got_window = {(r.k, r.s): r.c for r in ordered.running_count(df, "k", "s", "f", "c",
-                                                                  hot_key_rows=10 ** 9).collect()}
+def _replay(rows):
     want, run = {}, {}
-    for k, s, f in sorted(rows):
-        run[k] = run.get(k, 0) + int(f)
+    for k, s, f, _ in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1])):
+        run[k] = run.get(k, 0) + int(bool(f))
         want[(k, s)] = run[k]
-    assert got_split == want and got_window == want
+    return want
+
+
+def test_hot_key_null_key_and_big_longs(spark):
+    rnd = random.Random(3)
+    rows = []
+    for key, n in [(1, 9000), (2, 3), (None, 700), (4, 1), (5, 296)]:  # one key holds 90 % of the rows
+        for i, s in enumerate(rnd.sample(range(10 ** 6), n)):
+            rows.append((key, s, rnd.choice([True, False, None]), None if i % 7 == 0 else 2 ** 60 + 1 + s))
+    df = spark.createDataFrame(rows, "k bigint, s bigint, f boolean, v bigint")
+    want = _replay(rows)
+    for stretch in (ordered.STRETCH, 1000, 37):
+        got = ordered.running_count(df, "k", "s", "f", "c", stretch=stretch).collect()
+        assert {(r.k, r.s): r.c for r in got} == want
+        assert {(r.k, r.s): r.v for r in got} == {(k, s): v for k, s, _, v in rows}
+
+
+def test_building_runs_no_job(spark):
+    df = spark.range(100).select(F.col("id").alias("k"), F.col("id").alias("s"), F.lit(True).alias("f"))
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("running-count", "plan only")
+    try:
+        out = ordered.running_count(df, "k", "s", "f", "c")
+        assert not tracker.getJobIdsForGroup("running-count")
+    finally:
+        spark.sparkContext.setJobGroup("default", "")
+    assert out.count() == 100
