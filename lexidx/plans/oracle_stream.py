@@ -27,7 +27,7 @@ STREAM_SQL = {
       FROM iv0 JOIN iv USING (version_id) JOIN orders o ON o.o_orderkey = iv0.version_id
       WHERE iv.status IN ('UPLOADED', 'READY')""",
     "event_sink": f"""WITH {G2}
-      SELECT '{{"versionId":"' || CAST(iv0.version_id AS VARCHAR) || '","indexId":"' || CAST(iv0.index_id AS VARCHAR)
+      SELECT CAST(iv0.index_id AS VARCHAR) AS key, '{{"versionId":"' || CAST(iv0.version_id AS VARCHAR) || '","indexId":"' || CAST(iv0.index_id AS VARCHAR)
              || '","versionNumber":' || CAST(iv0.version AS VARCHAR) || ',"artifactKey":"' || iv.artifact_key
              || '","artifactSize":' || CAST(CAST(trunc(iv0.o_totalprice) AS BIGINT) AS VARCHAR)
              || ',"checksum":"' || sha256(CAST(iv0.version_id AS VARCHAR))
@@ -37,16 +37,19 @@ STREAM_SQL = {
     "stale_failure_guard": f"""WITH {G3}, {STALE}
       SELECT version_id, unnest(st.stale) AS seq FROM stale""",
     "poison_routing": f"""WITH {G2},
-      e AS (SELECT version_id, index_id FROM iv WHERE status IN ('UPLOADED', 'READY'))
-      SELECT '"poison ' || CAST(version_id AS VARCHAR) || '"' AS value, 'UNDECODABLE' AS reason
+      e AS (SELECT version_id, CAST(index_id AS VARCHAR) AS key FROM iv WHERE status IN ('UPLOADED', 'READY')),
+      bad AS (SELECT key, '"poison ' || CAST(version_id AS VARCHAR) || '"' AS value
       FROM e WHERE version_id % {sq.POISON_STRING_MOD} = 0
-      UNION ALL SELECT '{{"indexId": "' || CAST(index_id AS VARCHAR) || '"}}', 'UNDECODABLE'
-      FROM e WHERE version_id % {sq.POISON_NO_ID_MOD} = 0 AND version_id % {sq.POISON_STRING_MOD} <> 0""",
+      UNION ALL SELECT key, '{{"indexId": "' || key || '"}}'
+      FROM e WHERE version_id % {sq.POISON_NO_ID_MOD} = 0 AND version_id % {sq.POISON_STRING_MOD} <> 0
+      UNION ALL SELECT key, '{{"versionId": "' || CAST(version_id AS VARCHAR) || '", "versionNumber": "abc"}}'
+      FROM e WHERE version_id % {sq.POISON_TYPE_MOD} = 0)
+      SELECT key, value, sha256(value) AS raw_sha256, 'UNDECODABLE' AS reason FROM bad""",
     "ready_transition": f"""WITH {G3}
       SELECT version_id, st.status AS status, st.n AS applied_events FROM folded WHERE st.status IS NOT NULL""",
     "unknown_version_routing": f"""WITH {G3},
       c AS (SELECT version_id, min(seq) FILTER (WHERE kind = 'CREATED') AS created FROM ev GROUP BY version_id)
-      SELECT version_id, seq, kind FROM ev JOIN c USING (version_id) WHERE created IS NULL OR seq < created""",
+      SELECT version_id, seq, kind, 'UNKNOWN_VERSION' AS reason FROM ev JOIN c USING (version_id) WHERE created IS NULL OR seq < created""",
     "ambiguous_publish_reconcile": f"""WITH {G2}
       SELECT version_id, index_id, version, artifact_key FROM iv
       WHERE status = 'UPLOADED' AND version_id % {sq.UNCONFIRMED_MOD} = 0""",

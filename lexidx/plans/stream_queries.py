@@ -19,6 +19,7 @@ from lexidx.streaming import events as ev
 # Which uploaded events are poisoned or lost in the fixtures.
 POISON_STRING_MOD = 97
 POISON_NO_ID_MOD = 89
+POISON_TYPE_MOD = 83
 UNCONFIRMED_MOD = 3
 
 
@@ -34,28 +35,32 @@ def uploaded_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _records_with_poison(spark, sf_dir):
+    """Good records plus three kinds that must not decode: a bare string, an
+    object without id, an object whose version number is no number."""
     e = uploaded_events(spark, sf_dir)
     good = ev.encode(e, "indexId")
     vid = F.col("versionId").cast("bigint")
     bad_str = e.where(vid % POISON_STRING_MOD == 0).select(
         F.col("indexId").alias("key"), F.concat(F.lit('"poison '), F.col("versionId"), F.lit('"')).alias("value"))
-    bad_obj = e.where((vid % POISON_NO_ID_MOD == 0) & (vid % POISON_STRING_MOD != 0)).select(
+    no_id = e.where((vid % POISON_NO_ID_MOD == 0) & (vid % POISON_STRING_MOD != 0)).select(
         F.col("indexId").alias("key"), F.concat(F.lit('{"indexId": "'), F.col("indexId"), F.lit('"}')).alias("value"))
-    return good.unionByName(bad_str).unionByName(bad_obj)
+    bad_type = e.where(vid % POISON_TYPE_MOD == 0).select(F.col("indexId").alias("key"), F.concat(
+        F.lit('{"versionId": "'), F.col("versionId"), F.lit('", "versionNumber": "abc"}')).alias("value"))
+    return good.unionByName(bad_str).unionByName(no_id).unionByName(bad_type)
 
 
 def event_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Publish the events as keyed JSON records; read them back."""
+    """Publish the events as keyed JSON records; read key and value back."""
     out = scratch_path(spark, "events-out")
     ev.write_records(ev.encode(uploaded_events(spark, sf_dir), "indexId"), "text", out)
-    return spark.read.text(out)
+    return ev.from_lines(ev.read_raw(spark, "text", out, streaming=False)).select("key", "value")
 
 
 def event_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stream the published records from the earliest one and decode."""
     src = scratch_path(spark, "events-src")
     ev.write_records(ev.encode(uploaded_events(spark, sf_dir), "indexId"), "text", src)
-    stream = ev.decode(ev.read_raw(spark, "text", src), ev.UPLOADED_EVENT_SCHEMA, "versionId")
+    stream = ev.decode(ev.from_lines(ev.read_raw(spark, "text", src)), ev.UPLOADED_EVENT_SCHEMA, "versionId")
     sink, ck = scratch_path(spark, "events-decoded"), scratch_path(spark, "ck-events")
     ev.run_available(stream.select("event.*"), sink, ck)
     out = spark.read.parquet(sink)
@@ -63,29 +68,28 @@ def event_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def poison_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Undecodable records go to the dead-letter sink with their text."""
+    """Undecodable records go to the dead-letter sink with key, text and original bytes."""
     src = scratch_path(spark, "events-poison")
-    _records_with_poison(spark, sf_dir).select("value").write.text(src)
-    stream = ev.dead_letters(ev.decode(ev.read_raw(spark, "text", src), ev.UPLOADED_EVENT_SCHEMA, "versionId"))
+    ev.write_records(_records_with_poison(spark, sf_dir), "text", src)
+    stream = ev.dead_letters(ev.decode(ev.from_lines(ev.read_raw(spark, "text", src)), ev.UPLOADED_EVENT_SCHEMA, "versionId"))
     sink, ck = scratch_path(spark, "dlt"), scratch_path(spark, "ck-dlt")
     ev.run_available(stream, sink, ck)
-    return spark.read.parquet(sink).select("value", "reason")
+    return spark.read.parquet(sink).select("key", "value", F.sha2("raw", 256).alias("raw_sha256"), "reason")
 
 
 def _lifecycle_outcomes(spark, sf_dir):
-    """Stream the G3 lifecycle log through the keyed state machine.
-
-    The log is written clustered by version and sorted by seq within each
-    file, so each version's events arrive in order (one ordered log)."""
+    """Stream the G3 lifecycle log through the keyed state machine: one keyed
+    record per event, in the files of one ordered log."""
     src = scratch_path(spark, "lifecycle-src")
     log = fixtures.lifecycle_events(spark, sf_dir)
-    (log.repartition("version_id").sortWithinPartitions("version_id", "seq")
-        .select(F.to_json(F.struct(*log.columns)).alias("value")).write.text(src))
-    decoded = ev.decode(ev.read_raw(spark, "text", src), ev.LIFECYCLE_SCHEMA, "version_id")
-    stream = ev.apply_transitions(decoded.where(F.col("event").isNotNull()).select("event.*"))
+    ev.write_records(ev.encode(log, "version_id"), "text", src)
+    # The whole backlog is one ordered log here, so one micro-batch takes all its files.
+    records = ev.from_lines(ev.read_raw(spark, "text", src, {"maxFilesPerTrigger": "1000000"}))
+    decoded = ev.decode(records, ev.LIFECYCLE_SCHEMA, "version_id")
+    stream = ev.apply_transitions(decoded.where(F.col("event").isNotNull()).select("event.*", "key", "raw"))
     sink, ck = scratch_path(spark, "lifecycle-out"), scratch_path(spark, "ck-lifecycle")
     ev.run_available(stream, sink, ck)
-    return spark.read.parquet(sink)
+    return spark.read.parquet(sink).withColumn("version_id", F.col("version_id").cast("bigint"))
 
 
 def ready_transition(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,9 +101,13 @@ def ready_transition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def unknown_version_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events for versions that do not exist (yet): dead letters."""
-    o = _lifecycle_outcomes(spark, sf_dir)
-    return o.where(F.col("outcome") == "NOT_FOUND").select("version_id", "seq", "kind")
+    """Events for versions that do not exist (yet) go to the dead-letter
+    sink; what comes back is read from the payload kept there."""
+    sink = scratch_path(spark, "dlt-unknown")
+    ev.unknown_versions(_lifecycle_outcomes(spark, sf_dir)).write.parquet(sink)
+    event = F.from_json(F.decode("raw", "UTF-8"), ev.LIFECYCLE_SCHEMA)
+    return spark.read.parquet(sink).select(F.col("key").cast("bigint").alias("version_id"), event["seq"].alias("seq"),
+                                           event["kind"].alias("kind"), "reason")
 
 
 def stale_failure_guard(spark: SparkSession, sf_dir: str) -> DataFrame:

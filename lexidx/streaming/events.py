@@ -31,7 +31,7 @@ UPLOADED_EVENT_SCHEMA = T.StructType([
 
 # A general lifecycle event (the batch fold's input, as a record).
 LIFECYCLE_SCHEMA = T.StructType([
-    T.StructField("version_id", T.LongType()),
+    T.StructField("version_id", T.StringType()),
     T.StructField("seq", T.LongType()),
     T.StructField("ts", T.TimestampType()),
     T.StructField("kind", T.StringType()),
@@ -43,16 +43,22 @@ LIFECYCLE_SCHEMA = T.StructType([
 ])
 
 
+KAFKA_BOUND = {"maxOffsetsPerTrigger": "1000000"}
+FILE_BOUND = {"maxFilesPerTrigger": "64"}
+
+
 def read_raw(spark: SparkSession, fmt: str, path_or_topic: str, options: dict | None = None,
              streaming: bool = True) -> DataFrame:
     """Raw records as (key STRING, value STRING, raw BINARY); ``raw``
     keeps the record's original bytes for the dead-letter sink.
 
-    Pass ``maxOffsetsPerTrigger`` (kafka) or ``maxFilesPerTrigger`` (files)
-    in ``options`` to bound a micro-batch: the state machine holds one key's
-    events of one micro-batch in memory at a time.
+    ``maxOffsetsPerTrigger`` (kafka) and ``maxFilesPerTrigger`` (files) bound a
+    micro-batch, because the state machine holds one key's events of one
+    micro-batch in memory; ``options`` may change the defaults.
     """
     r = spark.readStream if streaming else spark.read
+    if streaming:
+        options = {**(KAFKA_BOUND if fmt == "kafka" else FILE_BOUND), **(options or {})}
     if fmt == "kafka":
         r = r.format("kafka").option("subscribe", path_or_topic).option("startingOffsets", "earliest")
         for k, v in (options or {}).items():
@@ -66,12 +72,17 @@ def read_raw(spark: SparkSession, fmt: str, path_or_topic: str, options: dict |
                                          F.encode("value", "UTF-8").alias("raw"))
 
 
+CORRUPT = "_corrupt_record"
+
+
 def decode(raw: DataFrame, schema: T.StructType, required: str) -> DataFrame:
     """from_json with the fixed schema; ``event`` is NULL when the record is
-    not an object or lacks the ``required`` field."""
-    ev = F.from_json(F.col("value"), schema)
-    ok = F.col("value").rlike(r"^\s*\{") & ev.isNotNull() & ev[required].isNotNull()
-    return raw.select("key", "value", "raw", F.when(ok, ev).alias("event"))
+    not one object, lacks the ``required`` field, or has a value that does not
+    fit its field's type."""
+    strict = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
+    ev = F.from_json(F.col("value"), strict, {"columnNameOfCorruptRecord": CORRUPT})
+    ok = F.col("value").rlike(r"^\s*\{") & ev.isNotNull() & ev[CORRUPT].isNull() & ev[required].isNotNull()
+    return raw.select("key", "value", "raw", F.when(ok, ev.dropFields(CORRUPT)).alias("event"))
 
 
 def dead_letters(decoded: DataFrame) -> DataFrame:
@@ -86,26 +97,42 @@ def encode(events: DataFrame, key_col: str) -> DataFrame:
                          F.to_json(F.struct(*[F.col(c) for c in events.columns])).alias("value"))
 
 
+def _as_lines(records: DataFrame) -> DataFrame:
+    return records.select(F.to_json(F.struct("key", "value")).alias("value"))
+
+
+def from_lines(raw: DataFrame) -> DataFrame:
+    """Records of the file sink as (key, value, raw): what a topic would deliver.
+
+    A line that is no such record stays as it is, without a key.
+    """
+    rec = F.from_json("value", "key string, value string, _corrupt_record string", {"columnNameOfCorruptRecord": CORRUPT})
+    ok = rec.isNotNull() & rec[CORRUPT].isNull() & rec["value"].isNotNull()
+    value = F.when(ok, rec["value"]).otherwise(F.col("value"))
+    return raw.select(F.when(ok, rec["key"]).alias("key"), value.alias("value"),
+                      F.when(ok, F.encode(rec["value"], "UTF-8")).otherwise(F.col("raw")).alias("raw"))
+
+
 def write_records(records: DataFrame, fmt: str, target: str, options: dict | None = None) -> None:
-    """E1 sink (batch): ``kafka`` topic, or JSON-lines text files of ``value``."""
+    """E1 sink (batch): ``kafka`` topic, or files of one JSON record {"key", "value"} a line."""
     if fmt == "kafka":
         w = records.write.format("kafka").option("topic", target)
         for k, v in (options or {}).items():
             w = w.option(k, v)
         w.save()
     else:
-        records.select("value").write.mode("append").text(target)
+        _as_lines(records).write.mode("append").text(target)
 
 
 def publish_stream(records: DataFrame, fmt: str, target: str, checkpoint: str, options: dict | None = None):
-    """E1 sink (streaming): keyed records to a ``kafka`` topic or JSON-lines
-    files; the checkpoint makes the file sink exactly-once."""
+    """E1 sink (streaming): keyed records to a ``kafka`` topic or to files of one
+    JSON record {"key", "value"} a line; the checkpoint makes the file sink exactly-once."""
     if fmt == "kafka":
         w = records.writeStream.option("checkpointLocation", checkpoint).format("kafka").option("topic", target)
         for k, v in (options or {}).items():
             w = w.option(k, v)
         return w.start()
-    return (records.select("value").writeStream.option("checkpointLocation", checkpoint)
+    return (_as_lines(records).writeStream.option("checkpointLocation", checkpoint)
             .format("text").start(target))
 
 
@@ -121,14 +148,16 @@ STATE_SCHEMA = T.StructType([
     T.StructField("applied_events", T.LongType()),
     T.StructField("created_at", T.TimestampType()),
     T.StructField("updated_at", T.TimestampType()),
-    T.StructField("last_seq", T.LongType()),
 ])
 OUTCOME_SCHEMA = T.StructType([
-    T.StructField("version_id", T.LongType()),
+    T.StructField("version_id", T.StringType()),
     T.StructField("seq", T.LongType()),
     T.StructField("kind", T.StringType()),
     T.StructField("outcome", T.StringType()),
     T.StructField("status", T.StringType()),
+    # The record of an event that found no version, for the dead letters.
+    T.StructField("key", T.StringType()),
+    T.StructField("raw", T.BinaryType()),
 ])
 
 
@@ -174,64 +203,65 @@ SEED_PREFIX = "cat_"
 SEED_FIELDS = ("status", "doc_count", "artifact_size", "checksum", "artifact_key", "error_message")
 
 
-def _seed(pdf) -> dict | None:
-    """The catalog row carried by the events (stream-static join), if any."""
-    col = SEED_PREFIX + "status"
-    if col not in pdf.columns or pdf[col].isna().all():
+def _seed(e) -> dict | None:
+    """The catalog row an event carries (stream-static join), if any."""
+    if _text(getattr(e, SEED_PREFIX + "status", None)) is None:
         return None
-    r = pdf.iloc[0]
-    st = {f: (_long if f in ("doc_count", "artifact_size") else _text)(r[SEED_PREFIX + f]) for f in SEED_FIELDS}
+    st = {f: (_long if f in ("doc_count", "artifact_size") else _text)(getattr(e, SEED_PREFIX + f)) for f in SEED_FIELDS}
     st.update(applied_events=0, created_at=None, updated_at=None)
     return st
 
 
 def _transition(key, batches, state):
+    """All events of one version in one micro-batch, in log order.
+
+    Arrival order within a key is not kept by a shuffle, so the rows are
+    sorted; the source bounds how many a micro-batch can hold (``read_raw``).
+    """
     (version_id,) = key
-    st = None
-    last_seq = None
-    pdf = pd.concat(list(batches), ignore_index=True).sort_values("seq")
-    if state.exists:
-        t = state.get
-        st = dict(zip([f.name for f in STATE_SCHEMA.fields], t))
-        last_seq = st.pop("last_seq")
-        if st["status"] is None:
-            st = None
-    else:
-        st = _seed(pdf)  # first sight of a version the catalog already has
+    rows = [e for pdf in batches for e in pdf.itertuples(index=False)]
+    rows.sort(key=lambda e: e.seq)
+    st = dict(zip([f.name for f in STATE_SCHEMA.fields], state.get, strict=True)) if state.exists else _seed(rows[0])
     out = []
-    for e in pdf.itertuples(index=False):
-        if last_seq is not None and e.seq <= last_seq:
-            out.append((version_id, e.seq, e.kind, "DUPLICATE", st["status"] if st else None))
-            continue
+    for e in rows:
         st, outcome = _step(st, e)
-        last_seq = e.seq
-        out.append((version_id, int(e.seq), e.kind, outcome, st["status"] if st else None))
-    if last_seq is not None:
-        last_seq = int(last_seq)
-    if st is None:
-        state.update((None,) * (len(STATE_SCHEMA.fields) - 1) + (last_seq,))
-    else:
-        state.update(tuple(st[f.name] for f in STATE_SCHEMA.fields[:-1]) + (last_seq,))
+        lost = outcome == "NOT_FOUND"
+        out.append((version_id, int(e.seq), e.kind, outcome, st["status"] if st else None,
+                    _text(e.key) if lost else None, e.raw if lost else None))
+    if st is not None:  # ids no version has leave no state behind
+        state.update(tuple(st[f.name] for f in STATE_SCHEMA.fields))
     yield pd.DataFrame(out, columns=[f.name for f in OUTCOME_SCHEMA.fields])
 
 
 def apply_transitions(events: DataFrame, catalog: DataFrame | None = None) -> DataFrame:
     """E3/E5 (and E4's NOT_FOUND): per-event outcomes of the lifecycle rules,
     keyed by version. Events of one version must come through one ordered
-    log; within a micro-batch they are sorted by seq, and an event at or
-    below the last seen seq is a duplicate delivery.
+    log; within a micro-batch they are sorted by seq. The current status alone
+    decides: a second READY or CREATED is a duplicate, whatever its position.
 
     ``catalog`` (a static version table) seeds the state of versions that
     existed before the stream: a stream-static left join attaches the row to
-    each event, read only when the key has no state yet.
+    each event, read only when the key has no state yet. ``key`` and ``raw`` of the
+    record, where the events carry them, come back with NOT_FOUND outcomes.
     """
+    for name, kind in (("key", "string"), ("raw", "binary")):
+        if name not in events.columns:
+            events = events.withColumn(name, F.lit(None).cast(kind))
+    events = events.withColumn("version_id", F.col("version_id").cast("string"))
     if catalog is not None:
-        seed = catalog.select("version_id", *[F.col(f).alias(SEED_PREFIX + f) for f in SEED_FIELDS])
+        seed = catalog.select(F.col("version_id").cast("string").alias("version_id"),
+                              *[F.col(f).alias(SEED_PREFIX + f) for f in SEED_FIELDS])
         events = events.join(seed, "version_id", "left")
     return events.groupBy("version_id").applyInPandasWithState(
         _transition, OUTCOME_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
 
 
+def unknown_versions(outcomes: DataFrame) -> DataFrame:
+    """Dead letters of events for versions that do not exist, with key and original bytes."""
+    return outcomes.where(F.col("outcome") == "NOT_FOUND").select(
+        "key", F.decode("raw", "UTF-8").alias("value"), "raw", F.lit("UNKNOWN_VERSION").alias("reason"))
+
+
 def run_available(df: DataFrame, sink_path: str, checkpoint: str, fmt: str = "parquet", batch_fn=None):
     """Drive a streaming query over everything available, then stop."""
     w = df.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True)
@@ -248,11 +278,11 @@ def uploaded_to_ready(decoded: DataFrame) -> DataFrame:
     event per record, ordered by event time."""
     e = F.col("event")
     return decoded.where(e.isNotNull()).select(
-        e["versionId"].cast("bigint").alias("version_id"),
+        e["versionId"].alias("version_id"),
         F.unix_micros(e["occurredAt"]).alias("seq"), e["occurredAt"].alias("ts"), F.lit("READY").alias("kind"),
         F.lit(None).cast("bigint").alias("doc_count"), e["artifactSize"].alias("artifact_size"),
         e["checksum"].alias("checksum"), e["artifactKey"].alias("artifact_key"),
-        F.lit(None).cast("string").alias("error_message"))
+        F.lit(None).cast("string").alias("error_message"), "key", "raw")
 
 
 def settle_publish(outcomes: DataFrame, versions: DataFrame):

@@ -26,14 +26,14 @@ def test_stream_matches_batch_and_restarts(spark, tmp_dir):
     src, sink, ck = (os.path.join(tmp_dir, x) for x in ("src", "sink", "ck"))
     _write_log(spark, log, src)
     _stream(spark, src, sink, ck)
-    got = {(r.version_id, r.seq): r.outcome for r in spark.read.parquet(sink).collect()}
+    got = {(int(r.version_id), r.seq): r.outcome for r in spark.read.parquet(sink).collect()}
     want = {(r.version_id, r.seq): r.outcome for r in catalog.classify_events(log).collect()}
     assert got == want
     # A second run from the same checkpoint finds nothing new.
     _stream(spark, src, sink, ck)
     assert spark.read.parquet(sink).count() == len(want)
-    # Re-delivered events (same seq) in a later batch are duplicates.
-    _write_log(spark, log.where(F.col("version_id") % 5 == 0), src)
+    # Re-delivered events meet the status alone: a second CREATED is a duplicate.
+    _write_log(spark, log.where("version_id % 5 = 0 and kind = 'CREATED'"), src)
     _stream(spark, src, sink, ck)
     late = spark.read.parquet(sink).groupBy("version_id", "seq").agg(F.collect_list("outcome").alias("o"))
     again = [r.o for r in late.collect() if len(r.o) > 1]
@@ -69,8 +69,8 @@ def test_ready_listener_seeded_from_catalog(spark, tmp_dir):
     ready = ev.uploaded_to_ready(ev.decode(ev.read_raw(spark, "text", src), ev.UPLOADED_EVENT_SCHEMA, "versionId"))
     ev.run_available(ev.apply_transitions(ready, versions), sink, ck)
     got = sorted((r.version_id, r.outcome, r.status) for r in spark.read.parquet(sink).collect())
-    assert got == [(1, "APPLIED", "READY"), (1, "DUPLICATE", "READY"), (2, "DUPLICATE", "READY"),
-                   (3, "STALE", "BUILT"), (4, "NOT_FOUND", None)]
+    assert got == [("1", "APPLIED", "READY"), ("1", "DUPLICATE", "READY"), ("2", "DUPLICATE", "READY"),
+                   ("3", "STALE", "BUILT"), ("4", "NOT_FOUND", None)]
 
 
 def test_event_sink_stream(spark, tmp_dir):
@@ -82,8 +82,8 @@ def test_event_sink_stream(spark, tmp_dir):
     q = ev.publish_stream(ev.encode(decoded.select("event.*"), "indexId"), "text", out, ck)
     q.processAllAvailable()
     q.stop()
-    rows = [r.value for r in spark.read.text(out).collect()]
-    assert len(rows) == 1 and '"versionId":"1"' in rows[0] and '"versionNumber":2' in rows[0]
+    rows = ev.from_lines(ev.read_raw(spark, "text", out, streaming=False)).collect()
+    assert [(r.key, r.value) for r in rows] == [("7", '{"versionId":"1","indexId":"7","versionNumber":2}')]
 
 
 def test_settle_publish_outcomes(spark):
@@ -117,3 +117,43 @@ def test_state_keeps_counts_when_a_batch_mixes_nulls(spark, tmp_dir):
     _write_log(spark, log.where("seq = 3"), src)  # redelivery reads the stored state back
     _stream(spark, src, sink, ck)
     assert spark.read.parquet(sink).where("seq = 3").count() == 2
+
+
+def test_strict_decoding_and_keyed_files(spark, tmp_dir):
+    """A badly typed record is a dead letter with its bytes; keys survive the file sink; ids may be UUIDs."""
+    uid = "3f2b8c1e-0d54-4c0a-9a53-0b9c2e6f7a11"
+    records = spark.createDataFrame(
+        [("k1", f'{{"versionId": "{uid}", "versionNumber": 3, "occurredAt": "2024-05-01T00:00:00Z"}}'),
+         ("k2", '{"versionId": "5", "versionNumber": "abc", "occurredAt": "notatime"}'), ("k3", "[1, 2]")],
+        "key string, value string")
+    src = os.path.join(tmp_dir, "src")
+    ev.write_records(records, "text", src)
+    back = ev.from_lines(ev.read_raw(spark, "text", src, streaming=False))
+    decoded = ev.decode(back, ev.UPLOADED_EVENT_SCHEMA, "versionId")
+    lost = {r.key: bytes(r.raw).decode() for r in ev.dead_letters(decoded).collect()}
+    assert set(lost) == {"k2", "k3"} and lost["k2"].endswith('"notatime"}')
+    ready = ev.uploaded_to_ready(decoded).collect()
+    assert [(r.version_id, r.kind, r.key) for r in ready] == [(uid, "READY", "k1")]
+
+
+def test_events_before_and_after_are_never_taken_for_duplicates(spark, tmp_dir):
+    """Status alone decides: a late UPLOADED with a smaller seq applies, and a READY refused
+    as stale or unknown applies when it comes again; unknown events keep their payload."""
+    import datetime as dt
+    src, sink, ck = (os.path.join(tmp_dir, x) for x in ("src", "sink", "ck"))
+
+    def feed(*steps):
+        log = spark.createDataFrame([("v-1", seq, dt.datetime(2024, 1, 1), kind) + (None,) * 5 for seq, kind in steps],
+                                    ev.LIFECYCLE_SCHEMA)
+        ev.write_records(ev.encode(log, "version_id"), "text", src)
+        records = ev.from_lines(ev.read_raw(spark, "text", src))
+        decoded = ev.decode(records, ev.LIFECYCLE_SCHEMA, "version_id").where("event is not null")
+        ev.run_available(ev.apply_transitions(decoded.select("event.*", "key", "raw")), sink, ck)
+        return spark.read.parquet(sink)
+
+    lost = ev.unknown_versions(feed((9, "READY"))).collect()
+    assert [(r.key, r.reason) for r in lost] == [("v-1", "UNKNOWN_VERSION")] and '"kind":"READY"' in lost[0].value
+    feed((1, "CREATED"), (2, "BUILT"), (5, "READY"))
+    out = feed((3, "UPLOADED"), (5, "READY"))
+    assert sorted((r.seq, r.outcome) for r in out.collect()) == [
+        (1, "APPLIED"), (2, "APPLIED"), (3, "APPLIED"), (5, "APPLIED"), (5, "STALE"), (9, "NOT_FOUND")]
