@@ -1,0 +1,36 @@
+"""Held-out accuracy of the chain, and the awkward rows."""
+
+import numpy as np
+
+from lexidx.llm import queries, toxicity
+from tests.llm.helpers import clashing, docs
+
+SF = "/root/testdata/sf0.01"
+
+
+def test_held_out_accuracy(spark):
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{SF}/labels.parquet").collect() if r.toxic is not None}
+    rows = queries.op2_toxicity(spark, SF).collect()
+    assert len(rows) == spark.read.parquet(f"{SF}/documents.parquet").count()
+    away = [(r.predicted, labels[r.doc_id]) for r in rows if r.held_out and r.doc_id in labels]
+    assert np.mean([p == y for p, y in away]) > 0.93
+    assert not any(p for p, y in away if not y)  # clean documents are left alone
+
+
+def test_logistic_recovers_a_known_rule():
+    rng = np.random.default_rng(1)
+    x = np.column_stack([rng.integers(0, 2, (4000, 2)).astype(float), np.ones(4000)])
+    y = (rng.random(4000) < toxicity.sigmoid(x @ np.array([3.0, -2.0, -0.5]))).astype(float)
+    assert np.abs(toxicity.logistic(x, y) - [3.0, -2.0, -0.5]).max() < 0.4
+
+
+def test_edge_rows_and_single_class(spark):
+    rows = docs(spark, ["you idiot", None, "", "fine words", "you idiot"], [(None, "no id")])
+    one_class = spark.createDataFrame([(0, 1), (4, 1), (None, 0), (3, None)], "doc_id long, toxic int")
+    got = toxicity.score(clashing(rows), one_class).collect()
+    assert len(got) == 6 and {r.score for r in got} == {0.0}
+    texts = [("vile trash idiot" if i % 2 else "calm fine words") + f" w{i % 3}" for i in range(60)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)] * 2, "doc_id long, toxic int")
+    got = toxicity.score(docs(spark, texts, [(100, None), (101, "")]), labels).collect()
+    assert all(r.predicted == (r.doc_id % 2 if r.doc_id < 60 else 0) for r in got) and len(got) == 62
+    assert toxicity.score(rows.limit(0), labels).count() == 0
