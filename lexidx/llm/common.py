@@ -26,14 +26,23 @@ def staged(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+SLICE_ROWS = 1000
+
+
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most ``rows``, so that few texts are Python objects at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def per_batch(fn: Callable[[pa.RecordBatch], pa.RecordBatch | None]):
-    """A mapInArrow function that turns each record batch into at most one."""
+    """A mapInArrow function that turns each small batch into at most one."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                out = fn(batch)
-                if out is not None and out.num_rows:
-                    yield out
+        for batch in sliced(batches):
+            out = fn(batch)
+            if out is not None and out.num_rows:
+                yield out
     return run
 
 

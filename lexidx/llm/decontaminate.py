@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexidx.llm.common import per_batch
+from lexidx.llm.common import per_batch, sliced
 
 NGRAM = 3
 KEPT = 0.1
@@ -233,7 +233,7 @@ def _finder(docs: DataFrame, items: Items, kept: float, least: float, text_col:
 
     def counted(batches):
         block, total = shipped.value, defaultdict(int)
-        for batch in batches:
+        for batch in sliced(batches):
             for text in batch.column(0).to_pylist():
                 for j in np.unique(block.hits(block.encode(words_of(text)))[1]).tolist():
                     total[j] += 1

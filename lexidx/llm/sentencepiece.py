@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexidx.llm.common import sliced
+
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 MEMORY_PARTS = 200_000
@@ -282,7 +284,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
 
     def run(batches):
         codec = pieces.value.codec()
-        for batch in batches:
+        for batch in sliced(batches):
             texts = batch.column(1).to_pylist()
             coded = codec.encode_all(texts)
             sizes = np.array([len(c) // 4 if c else 0 for c in coded], np.int64)
@@ -308,7 +310,7 @@ def decode(coded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", model
 
     def run(batches):
         codec = pieces.value.codec()
-        for batch in batches:
+        for batch in sliced(batches):
             texts = [None if x is None else codec.decode(x) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 

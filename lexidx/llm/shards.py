@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from lexidx.llm.common import staged
 
 SHARDS = 8
-ROUNDS = 2
-SLACK = 0.02
+ROUNDS = 5
+SLACK = 0.05
 BUCKET_ROWS = 20_000
 
 
@@ -53,9 +53,10 @@ def propagate(nodes: DataFrame, shards: int, rounds: int, slack: float) -> DataF
     now = nodes.withColumn("shard", F.pmod(F.xxhash64("uid"), F.lit(shards)).cast("int"))
     for r in range(rounds):
         votes = (now.where(F.col("hub").isNotNull()).groupBy("hub", "shard").agg(F.count("*").alias("votes"))
-                 .groupBy("hub").agg(F.sum("votes").alias("rows"), F.max(F.struct("votes", (-F.col("shard")).alias("minus"))).alias("best"))
-                 .where("rows > 1").select("hub", (-F.col("best")["minus"]).cast("int").alias("wanted")))
-        want = (now.drop("linked", "wanted").join(votes, "hub", "left")
+                 .withColumn("luck", F.xxhash64("hub", "shard", F.lit(11)))  # ties go to no shard in particular
+                 .groupBy("hub").agg(F.sum("votes").alias("rows"), F.max(F.struct("votes", "luck", "shard")).alias("best"))
+                 .where("rows > 1").select("hub", "rows", F.col("best")["shard"].alias("wanted")))
+        want = (now.drop("linked", "wanted", "rows").join(votes, "hub", "left")
                 .withColumn("linked", F.col("wanted").isNotNull())
                 .withColumn("wanted", F.coalesce("wanted", "shard")))
         want = staged(nodes.sparkSession, want, f"shards-round-{r}")
@@ -66,9 +67,11 @@ def propagate(nodes: DataFrame, shards: int, rounds: int, slack: float) -> DataF
         quota = (1 + slack) * sum(f["n"] for f in flows) / shards
         open_share = [min(1.0, max(0.0, quota - stay[s]) / enter[s]) if enter[s] else 1.0 for s in range(shards)]
         share = F.element_at(F.array(*[F.lit(float(x)) for x in open_share]), F.col("wanted") + 1)
-        moves = (F.col("shard") != F.col("wanted")) & (_unit("uid", F.lit(r)) < share)
+        # Documents of a hub move together, unless the hub is too large a part of a shard.
+        draw = F.when(F.col("rows") * 16 > quota, _unit("uid", F.lit(r))).otherwise(_unit("hub", F.lit(r)))
+        moves = (F.col("shard") != F.col("wanted")) & (draw < share)
         now = want.withColumn("shard", F.when(moves, F.col("wanted")).otherwise(F.col("shard")))
-    return now.drop("wanted")
+    return now.drop("wanted", "rows")
 
 
 def _offsets(counts: DataFrame, by: list[str], order: list[str]) -> DataFrame:

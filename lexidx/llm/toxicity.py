@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexidx.llm.common import bounded_sample, held_out, labels_of
+from lexidx.llm.common import bounded_sample, held_out, labels_of, sliced
 
 TRAIN_ROWS = 30_000
 TERMS = 256
@@ -87,7 +87,7 @@ def choose_terms(train: DataFrame, terms: int = TERMS) -> list[int]:
     """Hashes of the terms whose share among toxic texts exceeds that among others by most standard errors."""
     def counted(batches):
         of, hashes, toxic, rows = Terms(), [], [], [0, 0]
-        for batch in batches:
+        for batch in sliced(batches):
             for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 found = of(text)
                 hashes.append(np.fromiter(found, np.int64, len(found)))
@@ -189,7 +189,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     def featured(batches):
         of = Terms(shipped.value)
-        for batch in batches:
+        for batch in sliced(batches):
             texts = batch.column(0).to_pylist()
             yield pa.RecordBatch.from_arrays(
                 [pa.array([sorted(of(t)) for t in texts], pa.list_(pa.int32())), batch.column(1), batch.column(2),
@@ -216,7 +216,7 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     def run(batches):
         model = shipped.value
         of = Terms(model.terms) if model else None
-        for batch in batches:
+        for batch in sliced(batches):
             if model:
                 found = [sorted(of(t)) for t in batch.column(2).to_pylist()]
                 p = model.predict(model.features(found))
