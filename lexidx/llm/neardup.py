@@ -11,10 +11,14 @@
 3. First pass: each class meets the smallest class of every list it is in; pairs
    with fewer than T collisions go, the rest are confirmed on their full sets,
    links are contracted to components.
-4. Second pass: only lists that still hold several components are joined, and
-   only across components of compatible set sizes. A pair inside one component
-   cannot change the result, so groups of thousands of copies never expand into
-   all their pairs, yet no link between different components goes untested.
+4. Second pass: only lists that still hold several components are looked at, and
+   only across components of compatible set sizes: a pair inside one component
+   cannot change the result. Short lists are joined into pairs. Long ones are
+   dealt in blocks, and a task that holds two blocks merges them: it counts the
+   collisions of all their signatures at once, skips pairs that met in a list
+   before this one, confirms the rest on the full sets it holds, and gives out
+   only links that join components. So groups of thousands of copies never expand
+   into rows of pairs, yet no link between different components goes untested.
 
 Sets are built anew from the texts of those classes that are candidates, and
 links are confirmed in integers: den * |A and B| >= num * |A or B|.
@@ -35,12 +39,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexidx.llm.common import per_batch, staged
+from lexidx.llm.common import per_batch, sliced, staged
 
 COORDINATES = 64
 MISS = 1e-6
 SKETCH = 1 << 18
 FILTER_BITS = 1 << 24
+LONG_LIST = 32  # lists above this are merged in blocks
+BLOCK_ROWS = 1024
+BLOCK_SHINGLES = 1_000_000
 SEED = 1009
 
 
@@ -58,7 +65,7 @@ def least_collisions(k: int, similarity: float, miss: float = MISS) -> int:
 class Shingler:
     """Texts to sets of shingle fingerprints; one for each task, with a bounded memory of words."""
 
-    MEMORY = 300_000
+    MEMORY = 100_000
 
     def __init__(self, words: int):
         import xxhash
@@ -108,7 +115,7 @@ def signatures(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataF
     def run(batches):
         import xxhash
         shingles, (mult, add) = Shingler(words), _mix(COORDINATES)
-        for batch in batches:
+        for batch in sliced(batches):
             sizes, names, sigs = [], [], []
             for text in batch.column(1).to_pylist():
                 s = shingles(text)
@@ -141,7 +148,7 @@ def token_counts(classes: DataFrame) -> np.ndarray:
     """How often tokens fall into each of SKETCH slots; its size does not depend on the data."""
     def run(batches):
         total = np.zeros(SKETCH, np.int64)
-        for batch in batches:
+        for batch in sliced(batches):
             total += np.bincount(_slot(_tokens(_sig_matrix(batch.column(0)))).ravel(), minlength=SKETCH)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["slot", "n"])
@@ -202,7 +209,7 @@ def class_sets(docs: DataFrame, wanted: DataFrame, words: int, id_col: str, text
 
     def run(batches):
         shingles, bits = Shingler(words), shipped.value
-        for batch in batches:
+        for batch in sliced(batches):
             h = batch.column(2).to_numpy()
             batch = batch.filter(pa.array((bits[h >> 6] >> (h & 63)) & 1 == 1))
             if not batch.num_rows:
@@ -215,12 +222,8 @@ def class_sets(docs: DataFrame, wanted: DataFrame, words: int, id_col: str, text
     return src.mapInArrow(run, "cid long, set array<long>").join(wanted.select("cid"), "cid", "left_semi").where(F.size("set") > 0)
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, words: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
+def similar_pairs(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
-    spark = pairs.sparkSession
-    pairs = staged(spark, pairs, "neardup-pairs")
-    wanted = pairs.select(F.col("a").alias("cid")).union(pairs.select(F.col("b").alias("cid"))).distinct()
-    sets = staged(spark, class_sets(docs, wanted, words, id_col, text_col), "neardup-sets")
     joined = (pairs.join(sets.withColumnsRenamed({"cid": "b", "set": "set_b"}), "b")
               .join(sets.withColumnsRenamed({"cid": "a", "set": "set_a"}), "a"))
     common = F.size(F.array_intersect("set_a", "set_b"))
@@ -228,6 +231,77 @@ def confirmed(pairs: DataFrame, docs: DataFrame, words: int, num: int, den: int,
     return joined.select("a", "b", "set_a", "set_b", common.alias("common")).where(F.col("common") * den >= union * num).select("a", "b")
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("cid")).union(pairs.select(F.col("b").alias("cid")))
+
+
+def merged_blocks(open_long: DataFrame, classes: DataFrame, sets: DataFrame, counts: np.ndarray, least: int, num: int, den: int) -> DataFrame:
+    """(a, b): links between components among the posts (token, cid, n, component) of long lists.
+
+    A list is dealt in parts by a hash, as many as keep a part below BLOCK_ROWS
+    posts and BLOCK_SHINGLES shingles on average; every two parts meet in one task.
+    """
+    shipped = open_long.sparkSession.sparkContext.broadcast(np.minimum(counts, 0x7FFFFFFF).astype(np.int32))
+    parts = open_long.groupBy("token").agg(F.ceil(F.greatest(
+        F.count("*") / F.lit(float(BLOCK_ROWS)), F.sum("n") / F.lit(float(BLOCK_SHINGLES)))).cast("int").alias("parts"))
+    dealt = (open_long.join(parts, "token").withColumn("part", F.pmod(F.xxhash64("cid"), "parts").cast("int"))
+             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+             .select("token", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", "cid", "component"))
+    full = dealt.join(classes.select("cid", "sig"), "cid").join(sets, "cid")
+
+    def merge(group: pa.Table) -> pa.Table:
+        links: list[tuple[int, int]] = []
+        lo, hi = group.column("lo")[0].as_py(), group.column("hi")[0].as_py()
+        part = group.column("part").to_numpy()
+        left = np.flatnonzero(part == lo)
+        right = np.flatnonzero(part == hi)
+        cid, component = group.column("cid").to_numpy(), group.column("component").to_numpy()
+        sig = _sig_matrix(group.column("sig").combine_chunks())
+        here = int(group.column("token")[0].as_py()) >> 32  # the list's coordinate
+        tokens = _tokens(sig)
+        slots = _slot(tokens)
+        order = np.lexsort((tokens, slots, shipped.value[slots]), axis=1)
+        rank = np.empty_like(order)
+        np.put_along_axis(rank, order, np.arange(order.shape[1])[None, :], axis=1)
+        earlier = rank < rank[:, here][:, None]  # coordinates whose lists come before this one
+        column = group.column("set").combine_chunks()
+        sizes = np.diff(column.offsets.to_numpy())
+        shingles, local = np.unique(column.flatten().to_numpy(zero_copy_only=False), return_inverse=True)
+        starts = column.offsets.to_numpy()[:-1] - column.offsets.to_numpy()[0]
+        present = np.zeros(len(shingles) + 1, bool)
+        parent: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while parent.get(x, x) != x:
+                x = parent[x]
+            return x
+
+        index = np.concatenate([np.arange(starts[r], starts[r] + sizes[r]) for r in right]) if len(right) else np.zeros(0, np.int64)
+        right_local = local[index]
+        right_starts = np.concatenate(([0], np.cumsum(sizes[right])[:-1])) if len(right) else np.zeros(0, np.int64)
+        for i in left:
+            same = sig[right] == sig[i]
+            maybe = ((component[right] != component[i]) & (same.sum(axis=1) >= least) & ~(same & earlier[i]).any(axis=1)
+                     & (sizes[right] * den >= sizes[i] * num) & (sizes[i] * den >= sizes[right] * num))
+            if lo == hi:
+                maybe &= right > i
+            if not maybe.any():
+                continue
+            mine = local[starts[i]:starts[i] + sizes[i]]
+            present[mine] = True
+            common = np.add.reduceat(present[right_local].astype(np.int64), right_starts)
+            present[mine] = False
+            for j in right[maybe & (common * den >= (sizes[i] + sizes[right] - common) * num)]:
+                x, y = root(int(component[i])), root(int(component[j]))
+                if x != y:  # links inside what is already joined add nothing
+                    parent[max(x, y)] = min(x, y)
+                    links.append((int(cid[i]), int(cid[j])))
+        a, b = zip(*links) if links else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return full.groupBy("token", "lo", "hi").applyInArrow(merge, "a long, b long")
+
+
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """(cid, component) for every id in a link: the smallest id it is connected with.
 
@@ -266,25 +340,31 @@ def near_copies(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100,
     classes = staged(spark, named.join(
         sigs.select(F.col("doc_id").cast("long").alias("cid"), "n_shingles", "fp1", "fp2", "sig"), ["cid", "n_shingles", "fp1", "fp2"])
         .dropDuplicates(["cid", "fp1", "fp2"]).select("cid", F.col("n_shingles").alias("n"), "sig"), "neardup-class-sigs")
-    posted = staged(spark, posts(classes, token_counts(classes), least), "neardup-posts")
+    counts = token_counts(classes)
+    posted = staged(spark, posts(classes, counts, least), "neardup-posts")
 
     first = posted.groupBy("token").agg(F.min("cid").alias("a"), F.max("cid").alias("last")).where("a <> last").select("token", "a")
     pairs = (posted.join(first, "token").where("cid <> a").select("a", F.col("cid").alias("b")).distinct())
-    links = staged(spark, confirmed(_enough_collisions(pairs, classes, least), docs, words, num, den, id_col, text_col), "neardup-links")
+    pairs = staged(spark, _enough_collisions(pairs, classes, least), "neardup-pairs")
+    sets = staged(spark, class_sets(docs, _ends(pairs).distinct(), words, id_col, text_col), "neardup-sets")
+    links = staged(spark, similar_pairs(pairs, sets, num, den), "neardup-links")
     part = staged(spark, components(links), "neardup-parts")
 
-    # Rows of one id are one document even where their texts differ.
     tied = posted.join(part.withColumnRenamed("cid", "c"), F.col("cid") == F.col("c"), "left").select(
         "token", "cid", "n", F.coalesce("component", "cid").alias("component"))
-    mixed = tied.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
+    mixed = (tied.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("posts"))
+             .where("lo <> hi").select("token", (F.col("posts") > LONG_LIST).alias("long")))
     open_posts = staged(spark, tied.join(mixed, "token"), "neardup-open")
-    left = open_posts.select("token", F.col("cid").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
-    right = open_posts.select("token", F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
+    short = open_posts.where("not long")
+    left = short.select("token", F.col("cid").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
+    right = short.select("token", F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
     across = (left.join(right, "token").where("ca < cb")
               .where((F.col("na") * den >= F.col("nb") * num) & (F.col("nb") * den >= F.col("na") * num)).select("a", "b").distinct())
-    tested = pairs.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
-    across = across.join(tested, (F.least("a", "b") == F.col("x")) & (F.greatest("a", "b") == F.col("y")), "left_anti")
-    more = confirmed(_enough_collisions(across, classes, least), docs, words, num, den, id_col, text_col)
+    across = staged(spark, _enough_collisions(across, classes, least), "neardup-across")
+    open_long = open_posts.where("long").select("token", "cid", "n", "component")
+    wanted = _ends(across).union(open_long.select("cid")).distinct()
+    sets = staged(spark, class_sets(docs, wanted, words, id_col, text_col), "neardup-more-sets")
+    more = similar_pairs(across, sets, num, den).union(merged_blocks(open_long, classes, sets, counts, least, num, den))
     # Contract what the first pass found: its components are stars now.
     merged = staged(spark, components(more.union(part.select(F.col("cid").alias("a"), F.col("component").alias("b")))), "neardup-components")
     member = named.join(merged, "cid", "left").select("n_shingles", "fp1", "fp2", F.coalesce("component", "cid").alias("component"))
