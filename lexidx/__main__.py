@@ -13,6 +13,7 @@ from __future__ import annotations
 import argparse
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from lexidx.operators import artifact, catalog, versioning
 from lexidx.operators.schema import fields_of
@@ -33,14 +34,14 @@ def main(argv=None) -> None:
     b.add_argument("--root", required=True)
     b.add_argument("--index", required=True)
     b.add_argument("--version", type=int, required=True)
-    b.add_argument("--version-id", type=int, required=True)
+    b.add_argument("--version-id", required=True)
+    b.add_argument("--layout", choices=["range", "local"], default="range")
     b.add_argument("--events", required=True, help="lifecycle log folder (Parquet, appended)")
     ld = sub.add_parser("load")
     ld.add_argument("--root", required=True)
     ld.add_argument("--index", required=True)
     ld.add_argument("--version", type=int, required=True)
-    ld.add_argument("--status", required=True)
-    ld.add_argument("--doc-count", type=int, required=True)
+    ld.add_argument("--versions", required=True, help="current version rows (the output of fold)")
     fo = sub.add_parser("fold")
     fo.add_argument("--events", required=True)
     fo.add_argument("--out", required=True)
@@ -50,13 +51,17 @@ def main(argv=None) -> None:
     ensure_conf(spark)
     if a.cmd == "build":
         ev = versioning.build_version(spark, a.source, _fields(a.fields), a.root, a.index,
-                                      a.version, a.version_id)
+                                      a.version, a.version_id, layout=a.layout)
         ev.write.mode("append").parquet(a.events)
         ev.select("kind", "error_message").show(truncate=False)
     elif a.cmd == "load":
-        artifact.load_version(spark, a.root, a.index, a.version, a.status, a.doc_count).show(truncate=False)
+        artifact.load_version(spark, a.root, a.index, a.version, spark.read.parquet(a.versions)).show(truncate=False)
     else:
-        catalog.fold_versions(spark.read.parquet(a.events)).write.mode("overwrite").parquet(a.out)
+        folded = catalog.fold_versions(spark.read.parquet(a.events))
+        # Load looks versions up by index and number; the key of a published artifact names both.
+        folded.select("*", F.regexp_extract("artifact_key", "index_id=([^/]+)", 1).alias("index_id"),
+                      F.expr("try_cast(regexp_extract(artifact_key, 'version=([0-9]+)', 1) as int)").alias("version")) \
+            .write.mode("overwrite").parquet(a.out)
 
 
 if __name__ == "__main__":

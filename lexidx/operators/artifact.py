@@ -8,15 +8,22 @@ that read each file; nothing is packed or copied on one machine.
 from __future__ import annotations
 
 import datetime as _dt
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexidx.operators import catalog, index
-from lexidx.session import path_exists
-from lexidx.sources.files import hidden_files, list_objects
+from lexidx.session import child_names, delete_path, path_exists
+from lexidx.sources.files import list_objects
 
 MANIFEST = "_manifest"
+ATTEMPT = "data-"
+
+# Messages that must read as they do.
+MISMATCH = "Downloaded artifact integrity check failed: expected size=%s checksum=%s, got size=%s checksum=%s"
+COUNT_MISMATCH = "Loaded index doc count mismatch: expected %d but found %d"
+NOT_AVAILABLE = "Artifact for version {version} of index {index_id} is not available (status={status})"
 
 
 def manifest(listing: DataFrame, root: str | None = None) -> DataFrame:
@@ -24,7 +31,8 @@ def manifest(listing: DataFrame, root: str | None = None) -> DataFrame:
     paths are made relative to it."""
     path = F.col("path")
     if root is not None:
-        path = F.regexp_replace(path, "^.*?" + root.rstrip("/").split(":", 1)[-1] + "/", "")
+        prefix = F.lit("/" + root.split("://", 1)[-1].removeprefix("file:").strip("/") + "/")
+        path = F.substring(path, F.instr(path, prefix) + F.length(prefix), F.length(path))
     return listing.select(path.alias("path"), "length", F.sha2("content", 256).alias("sha256"))
 
 
@@ -58,8 +66,7 @@ def integrity_check(expected: DataFrame, actual: DataFrame) -> DataFrame:
           .when(F.col("exp_sha256") != F.col("act_sha256"), F.lit("CHECKSUM"))
           .otherwise(F.lit("OK")))
     msg = F.when(st.isin("SIZE", "CHECKSUM"), F.format_string(
-        "Downloaded artifact integrity check failed: expected size=%s checksum=%s, got size=%s checksum=%s",
-        F.col("exp_length"), F.col("exp_sha256"), F.col("act_length"), F.col("act_sha256")))
+        MISMATCH, F.col("exp_length"), F.col("exp_sha256"), F.col("act_length"), F.col("act_sha256")))
     return j.select("path", "exp_length", "act_length", "exp_sha256", "act_sha256",
                     st.alias("status"), msg.alias("message"))
 
@@ -70,8 +77,7 @@ def doc_count_check(expected: DataFrame, found: DataFrame, keys: list[str]) -> D
         found.select(*keys, F.col("doc_count").alias("found")), keys, "full_outer")
     ex, fo = F.coalesce("expected", F.lit(0)), F.coalesce("found", F.lit(0))
     return j.select(*keys, ex.alias("expected"), fo.alias("found"), (ex == fo).alias("ok"),
-                    F.when(ex != fo, F.format_string("Loaded index doc count mismatch: expected %d but found %d",
-                                                     ex, fo)).alias("message"))
+                    F.when(ex != fo, F.format_string(COUNT_MISMATCH, ex, fo)).alias("message"))
 
 
 def orphan_artifacts(stored_keys: DataFrame, versions: DataFrame) -> DataFrame:
@@ -87,23 +93,41 @@ def version_path(root: str, index_id, version) -> str:
     return f"{root.rstrip('/')}/index_id={index_id}/version={version}"
 
 
-def publish_version(spark: SparkSession, docs: DataFrame, fields, root: str, index_id, version,
-                    after_stored=None) -> DataFrame:
-    """Write the tables, then the manifest, then verify the document
-    count; returns the BUILT and UPLOADED lifecycle events to append.
+def data_path(spark: SparkSession, root: str, index_id, version) -> str:
+    """The folder with the tables of a published version: the one its manifest lists."""
+    path = version_path(root, index_id, version)
+    first = spark.read.parquet(f"{path}/{MANIFEST}").select(F.min("path").alias("p")).first()["p"]
+    if first is None:
+        raise FileNotFoundError(f"Artifact manifest of version {version} of index {index_id} lists no file")
+    return f"{path}/{first.split('/', 1)[0]}"
 
-    Re-running for the same (index, version) overwrites the same directory,
-    so a retried publish is idempotent; a failure before the manifest leaves
-    a directory that ``load_version`` refuses.
+
+def publish_version(spark: SparkSession, docs: DataFrame, fields, root: str, index_id, version,
+                    after_stored=None, layout: str = "range") -> DataFrame:
+    """Write the tables, verify the document count, then write the
+    manifest; returns one row that describes what was published: index_id,
+    version, doc_count, artifact_size, checksum, artifact_key, occurred_at.
+
+    Every attempt writes a folder of its own, so nothing of an earlier one can
+    be taken for part of it; the manifest, written last, names the attempt that
+    counts, and then the others go. A failed attempt removes its folder and
+    leaves what was published before untouched.
     """
     path = version_path(root, index_id, version)
-    _, n_docs = index.write_version(docs, fields, path, after_stored=after_stored)
-    found = spark.read.parquet(f"{path}/stored").count()
-    index.verify_counts(n_docs, found)
-    man = manifest(list_objects(spark, path, "*.parquet"), path)
-    # repartition, not coalesce: the hashing stays spread over all files'
-    # tasks and only the (one row per file) manifest is gathered.
-    man.repartition(1).write.mode("overwrite").parquet(f"{path}/{MANIFEST}")
+    attempt = f"{path}/{ATTEMPT}{uuid.uuid4().hex[:12]}"
+    try:
+        _, n_docs = index.write_version(docs, fields, attempt, layout=layout, after_stored=after_stored)
+        index.verify_counts(n_docs, spark.read.parquet(f"{attempt}/stored").count())
+        man = manifest(list_objects(spark, attempt), path)
+        # repartition, not coalesce: the hashing stays spread over all files'
+        # tasks and only the (one row per file) manifest is gathered.
+        man.repartition(1).write.mode("overwrite").parquet(f"{path}/{MANIFEST}")
+    except Exception:
+        delete_path(spark, attempt)
+        raise
+    for name in child_names(spark, path):
+        if name.startswith(ATTEMPT) and not attempt.endswith(name):
+            delete_path(spark, f"{path}/{name}")
     d = version_digest(spark.read.parquet(f"{path}/{MANIFEST}"))
     now = _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None)
     key = f"index_id={index_id}/version={version}"
@@ -116,27 +140,42 @@ def publish_version(spark: SparkSession, docs: DataFrame, fields, root: str, ind
 REQUIRED_COLUMNS = {
     "stored": ["doc_id"],
     "postings": index.POSTING_COLUMNS,
+    "long_points": ["field", "value", "doc_id"],
+    "double_points": ["field", "value", "doc_id"],
 }
 
 
-def format_problem(tables: "index.IndexTables") -> str | None:
-    """A7 format check: the tables a version needs exist with their columns."""
+def format_problem(tables: index.IndexTables) -> str | None:
+    """A7 format check: stored documents exist, and every table has its columns."""
     for name, cols in REQUIRED_COLUMNS.items():
         df = getattr(tables, name)
         if df is None:
-            return f"Index format check failed: table '{name}' is missing"
+            if name == "stored":
+                return f"Index format check failed: table '{name}' is missing"
+            continue
         missing = [c for c in cols if c not in df.columns]
         if missing:
             return f"Index format check failed: table '{name}' lacks {', '.join(missing)}"
     return None
 
 
-def load_version(spark: SparkSession, root: str, index_id, version, status: str,
-                 expected_doc_count: int, register_as: str | None = None) -> DataFrame:
+class LoadRefused(RuntimeError):
+    pass
+
+
+def failure_text(e: Exception) -> str:
+    """The first line of an error's message, or the name of its class."""
+    return next((x.strip() for x in str(e).splitlines() if x.strip()), type(e).__name__)
+
+
+def load_version(spark: SparkSession, root: str, index_id, version, versions: DataFrame,
+                 register_as: str | None = None) -> DataFrame:
     """Gate -> integrity -> format -> doc count -> expose the tables.
 
-    Returns one status row (state, num_docs, size_on_disk_bytes, error,
-    loaded_at). Temp views are only registered when every check passed.
+    Status and document count come from the version's row of the catalog
+    table ``versions`` (index_id, version, status, doc_count). Returns one
+    status row (state, num_docs, size_on_disk_bytes, error, loaded_at); any
+    error makes it FAILED. Temp views are only registered when every check passed.
     """
     path = version_path(root, index_id, version)
     now = _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None)
@@ -147,68 +186,54 @@ def load_version(spark: SparkSession, root: str, index_id, version, status: str,
             "index_id string, version int, state string, num_docs bigint, size_on_disk_bytes bigint, "
             "error string, loaded_at timestamp")
 
-    if status not in catalog.HAS_ARTIFACT:
-        return row("FAILED", error=f"Artifact for version {version} of index {index_id} "
-                                   f"is not available (status={status})")
-    if not path_exists(spark, f"{path}/{MANIFEST}"):
-        return row("FAILED", error=f"Artifact manifest missing for version {version} of index {index_id}")
-    expected = spark.read.parquet(f"{path}/{MANIFEST}")
-    hidden = [n for n in hidden_files(spark, path) if n != MANIFEST]
-    if hidden:
-        return row("FAILED", error=f"Artifact holds files the manifest cannot cover: {', '.join(hidden[:5])}")
-    actual = manifest(list_objects(spark, path, "*.parquet"), path)
-    bad = integrity_check(expected, actual).where(F.col("status") != "OK")
+    def checked():
+        known = versions.where((F.col("index_id").cast("string") == str(index_id))
+                               & (F.col("version") == int(version))).select("status", "doc_count").first()
+        if known is None:
+            raise LoadRefused(f"Version {version} of index {index_id} not found")
+        if known["status"] not in catalog.HAS_ARTIFACT:
+            raise LoadRefused(NOT_AVAILABLE.format(version=version, index_id=index_id, status=known["status"]))
+        if not path_exists(spark, f"{path}/{MANIFEST}"):
+            raise LoadRefused(f"Artifact manifest missing for version {version} of index {index_id}")
+        expected = spark.read.parquet(f"{path}/{MANIFEST}")
+        data = data_path(spark, root, index_id, version)
+        # Every file below the attempt that a reader can see, of whatever kind.
+        actual = manifest(list_objects(spark, data), path)
+        bad = integrity_check(expected, actual).where(F.col("status") != "OK").select("path", "status", "message")
+        first_bad = bad.orderBy("path").first()
+        if first_bad:
+            raise LoadRefused(first_bad["message"] or f"Artifact file {first_bad['path']}: {first_bad['status']}")
+        tables = index.read(spark, data)
+        problem = format_problem(tables)
+        if problem:
+            raise LoadRefused(problem)
+        n = tables.stored.count()
+        if n != known["doc_count"]:
+            raise LoadRefused(COUNT_MISMATCH % (known["doc_count"] or 0, n))
+        return tables, n, int(expected.agg(F.sum("length")).first()[0] or 0)
+
     try:
-        first_bad = bad.select("path", "status", "message").orderBy("path").limit(1).collect()
-    except Exception as e:  # noqa: BLE001 - an unreadable file fails the load
-        return row("FAILED", error=f"Artifact could not be read: {type(e).__name__}")
-    if first_bad:
-        p, st, msg = first_bad[0]
-        return row("FAILED", error=msg or f"Artifact file {p}: {st}")
-    stats = expected.agg(F.sum("length").alias("b")).collect()[0]
-    tables = index.read(spark, path)
-    problem = format_problem(tables)
-    if problem:
-        return row("FAILED", error=problem)
-    n = tables.stored.count()
-    if n != expected_doc_count:
-        return row("FAILED", error=f"Loaded index doc count mismatch: expected {expected_doc_count} but found {n}")
+        tables, n, size = checked()
+    except Exception as e:  # noqa: BLE001 - whatever goes wrong, the load has failed
+        return row("FAILED", error=failure_text(e))
     if register_as:
-        for name in ("stored", "postings", "lengths", "long_points", "double_points"):
-            df = getattr(tables, name)
+        for name, df in (("stored", tables.stored), ("postings", tables.postings), ("lengths", tables.lengths),
+                         ("long_points", tables.long_points), ("double_points", tables.double_points),
+                         ("terms", tables.written_terms), ("field_stats", tables.written_stats)):
             if df is not None:
                 df.createOrReplaceTempView(f"{register_as}_{name}")
-    return row("LOADED", num_docs=n, size=int(stats["b"] or 0))
-
-
-# ---- archive audit (A5, A6) ---------------------------------------------
+    return row("LOADED", num_docs=n, size=size)
 
-ENTRY_SCHEMA = ("archive string, position int, entry string, entry_type string, "
-                "size bigint, link_target string")
 
+def stored_artifacts(spark: SparkSession, root: str) -> DataFrame:
+    """A8 listing: the artifact key of every published folder below ``root``, read
+    from the storage itself: one row for each manifest's path."""
+    files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path"))
+    key = F.regexp_extract("path", r"(index_id=[^/]+/version=[^/]+)/", 1)
+    return files.select(key.alias("artifact_key")).where("artifact_key <> ''").distinct()
 
-def _list_tar(batches):
-    """List every entry of every archive in the batch (names only, nothing
-    is extracted). Runs inside the task that read the archive."""
-    import io
-    import tarfile
-
-    import pandas as pd
-    for pdf in batches:
-        rows = []
-        for path, content in zip(pdf["path"], pdf["content"]):
-            with tarfile.open(fileobj=io.BytesIO(bytes(content)), mode="r:*") as tf:
-                for i, m in enumerate(tf):
-                    kind = ("symlink" if m.issym() else "hardlink" if m.islnk() else "file" if m.isfile()
-                            else "directory" if m.isdir() else "other")
-                    rows.append((path, i, m.name, kind, int(m.size), m.linkname or None))
-        yield pd.DataFrame(rows, columns=["archive", "position", "entry", "entry_type", "size", "link_target"])
-
-
-def archive_entries(archives: DataFrame) -> DataFrame:
-    """A5 listing: one row per tar entry of each (path, content) archive."""
-    return archives.select("path", "content").mapInPandas(_list_tar, ENTRY_SCHEMA)
 
+# ---- archive audit (A5, A6) ---------------------------------------------
 
 def _escapes(name) -> "F.Column":
     """Does the entry resolve outside the target directory after
@@ -223,9 +248,11 @@ def _escapes(name) -> "F.Column":
 
 
 def audit_entries(entries: DataFrame) -> DataFrame:
-    """A5 verdicts, checked in order: link, outside the target, neither
-    file nor directory. ``first_failure`` marks the entry that stops the
-    extraction of its archive."""
+    """A5 verdicts over an entries table (archive, position, entry, entry_type,
+    size), checked in order: link, outside the target, neither file nor
+    directory. ``first_failure`` marks the entry that stops the extraction of
+    its archive: the refused one with the smallest position (an aggregate
+    joined back, so an archive of any size is never one task's)."""
     t, name = F.col("entry_type"), F.col("entry")
     verdict = (F.when(t.isin("symlink", "hardlink"), F.lit("LINK"))
                .when(_escapes(name), F.lit("OUTSIDE_TARGET"))
@@ -234,8 +261,11 @@ def audit_entries(entries: DataFrame) -> DataFrame:
            .when(verdict == "OUTSIDE_TARGET",
                  F.format_string("Refusing to extract tar entry outside target directory: '%s'", name))
            .when(verdict == "UNSUPPORTED", F.format_string("Refusing to extract unsupported tar entry '%s'", name)))
-    return entries.select("archive", "position", "entry", "entry_type", "size",
-                          verdict.alias("verdict"), msg.alias("message"))
+    out = entries.select("archive", "position", "entry", "entry_type", "size",
+                         verdict.alias("verdict"), msg.alias("message"))
+    stops = (out.where(F.col("verdict") != "OK").groupBy("archive").agg(F.min("position").alias("_stop")))
+    return out.join(stops, "archive", "left").select(
+        *out.columns, F.coalesce(F.col("position") == F.col("_stop"), F.lit(False)).alias("first_failure"))
 
 
 def unpacked_size(entries: DataFrame) -> DataFrame:

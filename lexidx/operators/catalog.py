@@ -23,14 +23,16 @@ def register_indexes(batch: DataFrame, catalog: DataFrame) -> DataFrame:
     """Accept a batch of (req_id, name); refuse names already present or
     repeated earlier in the batch. The earliest request of a name is found by
     an aggregate joined back (skew-safe), not a window over the name."""
-    first = batch.groupBy("name").agg(F.min("req_id").alias("_first"))
+    first = batch.where(F.col("name").isNotNull()).groupBy("name").agg(F.min("req_id").alias("_first"))
     taken = catalog.select("name").distinct().withColumn("_taken", F.lit(True))
-    out = batch.join(first, "name").join(taken, "name", "left")
-    refused = F.col("_taken").isNotNull() | (F.col("req_id") != F.col("_first"))
+    out = batch.join(first, "name", "left").join(taken, "name", "left")
+    nameless = F.col("name").isNull()
+    refused = nameless | F.col("_taken").isNotNull() | (F.col("req_id") != F.col("_first"))
     return out.select(
         "req_id", "name",
         F.when(refused, F.lit("REFUSED")).otherwise(F.lit("ACCEPTED")).alias("status"),
-        F.when(refused, F.format_string("Index with name '%s' already exists", F.col("name"))).alias("message"))
+        F.when(nameless, F.lit("Index name must not be blank"))
+        .when(refused, F.format_string("Index with name '%s' already exists", F.col("name"))).alias("message"))
 
 
 def lookup_indexes(requests: DataFrame, catalog: DataFrame, by: str = "index_id") -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexidx.functions import analyzer
-from lexidx.operators.schema import Field, FieldType, fields_of
+from lexidx.operators.schema import Field, FieldType, column_of, fields_of
 
 POSTING_COLUMNS = ["field", "term", "doc_id", "tf", "positions", "dl"]
 
@@ -48,14 +48,12 @@ def _with_term_runs(df: DataFrame, toks: str, out: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Use every core when the input arrives in fewer splits than the
-    session's parallelism (one small file). At scale the input has far more
-    splits than cores and this is a no-op, so no shuffle is added there.
-
-    Meant for plain table scans: counting partitions plans the input, and for
-    a plan with a broadcast join that would run the broadcast side early."""
+    """Deal a table of fewer splits than cores (one small file) to every core,
+    in ranges of ``doc_id``: document order is kept, and only task boundaries
+    depend on the session, never a result. A table of many splits is left as it
+    is, so no shuffle is added at scale. Meant for plain table scans."""
     par = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(par) if df.rdd.getNumPartitions() < par else df
+    return df.repartitionByRange(par, "doc_id") if df.rdd.getNumPartitions() < par else df
 
 
 def text_postings(docs: DataFrame, field: str, pattern: str = analyzer.DEFAULT_PATTERN,
@@ -66,8 +64,8 @@ def text_postings(docs: DataFrame, field: str, pattern: str = analyzer.DEFAULT_P
     those of the full token stream): query-time scoring over documents that
     are not indexed yet needs no runs for the other terms.
     """
-    toks = analyzer.tokens(F.col(field), pattern)
-    per_doc = docs.where(F.col(field).isNotNull()).select("doc_id", toks.alias("toks"))
+    toks = analyzer.tokens(F.col(column_of(field)), pattern)
+    per_doc = docs.where(F.col(column_of(field)).isNotNull()).select("doc_id", toks.alias("toks"))
     if only_terms is not None:
         wanted = F.array(*[F.lit(t) for t in sorted(set(only_terms))])
         per_doc = per_doc.select("doc_id", F.size("toks").alias("_dl"), F.filter(
@@ -97,7 +95,7 @@ def text_postings(docs: DataFrame, field: str, pattern: str = analyzer.DEFAULT_P
 
 def keyword_postings(docs: DataFrame, field: str, boolean: bool = False) -> DataFrame:
     """One un-analysed term per document; booleans as 'true'/'false'."""
-    val = F.col(field)
+    val = F.col(column_of(field))
     term = F.when(val, F.lit("true")).otherwise(F.lit("false")) if boolean else val
     return docs.where(val.isNotNull()).select(
         F.lit(field).alias("field"), term.alias("term"), "doc_id",
@@ -106,7 +104,7 @@ def keyword_postings(docs: DataFrame, field: str, boolean: bool = False) -> Data
 
 
 def postings(docs: DataFrame, fields, pattern: str = analyzer.DEFAULT_PATTERN) -> DataFrame:
-    """All postings of every term-indexed field, one table."""
+    """All postings of every term-indexed field, one table; None without such a field."""
     parts = []
     for f in fields_of(fields):
         if f.type is FieldType.TEXT:
@@ -116,7 +114,7 @@ def postings(docs: DataFrame, fields, pattern: str = analyzer.DEFAULT_PATTERN) -
         elif f.type is FieldType.BOOLEAN:
             parts.append(keyword_postings(docs, f.name, boolean=True))
     if not parts:
-        raise ValueError("no term-indexed field")
+        return None
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -125,8 +123,8 @@ def postings(docs: DataFrame, fields, pattern: str = analyzer.DEFAULT_PATTERN) -
 
 def points(docs: DataFrame, fields, kind: FieldType) -> DataFrame:
     """(field, value, doc_id) of every long or double field."""
-    parts = [docs.where(F.col(f.name).isNotNull()).select(
-        F.lit(f.name).alias("field"), F.col(f.name).alias("value"), "doc_id")
+    parts = [docs.where(F.col(column_of(f.name)).isNotNull()).select(
+        F.lit(f.name).alias("field"), F.col(column_of(f.name)).alias("value"), "doc_id")
         for f in fields_of(fields) if f.type is kind]
     if not parts:
         return None
@@ -138,7 +136,7 @@ def points(docs: DataFrame, fields, kind: FieldType) -> DataFrame:
 
 def stored(docs: DataFrame, fields) -> DataFrame:
     """The stored document table, keyed by doc_id."""
-    return docs.select("doc_id", *[f.name for f in fields_of(fields)])
+    return docs.select("doc_id", *[column_of(f.name) for f in fields_of(fields)])
 
 
 def term_dictionary(post: DataFrame) -> DataFrame:
@@ -149,9 +147,9 @@ def term_dictionary(post: DataFrame) -> DataFrame:
 
 def doc_lengths(docs: DataFrame, fields, pattern: str = analyzer.DEFAULT_PATTERN) -> DataFrame:
     """B9 norms: (field, doc_id, length) of every text field."""
-    parts = [docs.where(F.col(f.name).isNotNull()).select(
+    parts = [docs.where(F.col(column_of(f.name)).isNotNull()).select(
         F.lit(f.name).alias("field"), "doc_id",
-        analyzer.token_count(F.col(f.name), pattern).alias("length"))
+        analyzer.token_count(F.col(column_of(f.name)), pattern).alias("length"))
         for f in fields_of(fields) if f.type is FieldType.TEXT]
     out = parts[0]
     for p in parts[1:]:
@@ -173,17 +171,24 @@ def field_stats(lengths: DataFrame) -> DataFrame:
 
 @dataclass
 class IndexTables:
+    """An index; a table that its fields do not call for is None.
+
+    ``written_terms`` and ``written_stats`` are the term dictionary and field
+    statistics of a published version; without them they are derived.
+    """
     stored: DataFrame
-    postings: DataFrame
+    postings: DataFrame | None
     lengths: DataFrame | None
     long_points: DataFrame | None
     double_points: DataFrame | None
+    written_terms: DataFrame | None = None
+    written_stats: DataFrame | None = None
 
     def terms(self) -> DataFrame:
-        return term_dictionary(self.postings)
+        return self.written_terms if self.written_terms is not None else term_dictionary(self.postings)
 
     def stats(self) -> DataFrame:
-        return field_stats(self.lengths)
+        return self.written_stats if self.written_stats is not None else field_stats(self.lengths)
 
 
 def build(docs: DataFrame, fields, pattern: str = analyzer.DEFAULT_PATTERN) -> IndexTables:
@@ -213,34 +218,31 @@ def _layout(df: DataFrame, keys: list[str], layout: str) -> DataFrame:
 
 
 def write(tables: IndexTables, path: str, max_records_per_file: int = 5_000_000,
-          layout: str = "local", skip_stored: bool = False) -> dict:
-    """Write a fresh version directory (overwrite, never append).
-
-    Postings are sorted by (field, term) inside each file and points by
-    value, so Parquet row-group statistics let term and range lookups skip
-    most of every file without a global sort (no extra shuffle at build time).
-    The stored table is written first and the caller writes the manifest
-    last, so a reader never sees a half-built version as complete.
+          layout: str = "range", skip_stored: bool = False) -> dict:
+    """Write the tables of a version into a fresh folder.
+
+    In the ``range`` layout files cover disjoint ranges of (field, term, doc_id)
+    or (field, value, doc_id), so a lookup opens only the files its keys fall in; a
+    term in very many documents spans several files. ``local`` saves that
+    shuffle: sorted inside each file, every file spans all terms. The stored
+    table is written first and the caller writes the manifest last, so a
+    reader never sees a half-built version as complete.
     """
     w = lambda df: df.write.mode("overwrite").option("maxRecordsPerFile", max_records_per_file)
     written = {}
     if not skip_stored:
         w(tables.stored).parquet(f"{path}/stored")
         written["stored"] = f"{path}/stored"
-    w(_layout(tables.postings, ["field", "term", "doc_id"], layout)).parquet(f"{path}/postings")
-    written["postings"] = f"{path}/postings"
     spark = tables.stored.sparkSession
-    post = spark.read.parquet(f"{path}/postings")
-    w(_layout(term_dictionary(post), ["field", "term"], layout)).parquet(f"{path}/terms")
-    written["terms"] = f"{path}/terms"
+    if tables.postings is not None:
+        w(_layout(tables.postings, ["field", "term", "doc_id"], layout)).parquet(f"{path}/postings")
+        post = spark.read.parquet(f"{path}/postings")
+        w(_layout(term_dictionary(post), ["field", "term"], layout)).parquet(f"{path}/terms")
+        written.update(postings=f"{path}/postings", terms=f"{path}/terms")
     if tables.lengths is not None:
-        # Lengths from the written postings (every text posting carries dl):
-        # no second tokenization; a task holds whole documents, so the
-        # partial aggregate leaves about one row per document to shuffle.
-        # Documents without any token have no row (they never count).
-        lengths_df = (post.where(F.col("dl").isNotNull()).groupBy("field", "doc_id")
-                      .agg(F.max("dl").alias("length")))
-        w(lengths_df).parquet(f"{path}/lengths")
+        # One narrow pass over the stored texts; documents without any token
+        # have no row (they never count).
+        w(tables.lengths.where("length > 0")).parquet(f"{path}/lengths")
         lengths = spark.read.parquet(f"{path}/lengths")
         # coalesce after the aggregate's exchange: only the final rows (one
         # per field) are merged; the partial aggregation stays parallel.
@@ -249,13 +251,13 @@ def write(tables: IndexTables, path: str, max_records_per_file: int = 5_000_000,
     for name in ("long_points", "double_points"):
         df = getattr(tables, name)
         if df is not None:
-            w(_layout(df, ["field", "value"], layout)).parquet(f"{path}/{name}")
+            w(_layout(df, ["field", "value", "doc_id"], layout)).parquet(f"{path}/{name}")
             written[name] = f"{path}/{name}"
     return written
 
 
 def write_version(docs: DataFrame, fields, path: str, pattern: str = analyzer.DEFAULT_PATTERN,
-                  max_records_per_file: int = 5_000_000, layout: str = "local",
+                  max_records_per_file: int = 5_000_000, layout: str = "range",
                   after_stored=None) -> tuple[dict, int]:
     """B7-B11 in one pass over the input: write ``stored`` first while
     counting its rows (``observe``), then derive postings, lengths and points
@@ -270,7 +272,7 @@ def write_version(docs: DataFrame, fields, path: str, pattern: str = analyzer.DE
     written_docs = int(obs.get["n"])
     if after_stored is not None:
         after_stored()  # may raise to stop before the derived tables
-    back = spread(docs.sparkSession.read.parquet(f"{path}/stored"))
+    back = docs.sparkSession.read.parquet(f"{path}/stored")
     tables = build(back, fl, pattern)
     out = write(tables, path, max_records_per_file, layout, skip_stored=True)
     out["stored"] = f"{path}/stored"
@@ -284,7 +286,8 @@ def read(spark, path: str) -> IndexTables:
         p = f"{path}/{name}"
         return spark.read.parquet(p) if path_exists(spark, p) else None  # not every index has every table
     return IndexTables(stored=opt("stored"), postings=opt("postings"), lengths=opt("lengths"),
-                       long_points=opt("long_points"), double_points=opt("double_points"))
+                       long_points=opt("long_points"), double_points=opt("double_points"),
+                       written_terms=opt("terms"), written_stats=opt("field_stats"))
 
 
 class IndexVerificationError(RuntimeError):

@@ -113,10 +113,18 @@ def definition_audit(defs: DataFrame, id_col: str = "index_id") -> DataFrame:
     return per_index.unionByName(per_field)
 
 
+def column_of(field: str) -> str:
+    """The table column that holds a field: its name, but for a field that is
+    called like the key column (``#`` occurs in no field name)."""
+    return "doc_id#field" if field == "doc_id" else field
+
+
 def fields_to_map(fields: Column) -> Column:
-    """Field list → name→type map (types normalised to lower case)."""
-    return F.map_from_entries(F.transform(
-        fields, lambda x: F.struct(x["name"].alias("key"), F.lower(F.trim(x["type"])).alias("value"))))
+    """Field list → name→type map (types normalised to lower case). A
+    repeated name keeps its first place and its last type, as a linked map does."""
+    names = F.array_distinct(F.transform(fields, lambda x: x["name"]))
+    return F.map_from_arrays(names, F.transform(names, lambda n: F.lower(F.trim(F.element_at(
+        F.filter(fields, lambda x: x["name"] == n), -1)["type"]))))
 
 
 def map_to_fields(m: Column) -> Column:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexidx.functions import bm25
+from lexidx.operators.schema import column_of
 
 QTERM_SCHEMA = T.StructType([T.StructField("term", T.StringType()),
                              T.StructField("qcount", T.LongType())])
@@ -69,11 +70,14 @@ def bm25_scores(post: DataFrame, terms_df: DataFrame, stats: DataFrame,
     return scored.groupBy("doc_id").agg(F.sum("s").alias("score"))
 
 
-def bm25_topk_version(spark: SparkSession, path: str, field: str, terms: list[str], k: int = 10) -> DataFrame:
-    """Q3 on a published version folder: the postings and term statistics
-    are read with the field and term filters pushed into the Parquet scans."""
-    return bm25_topk(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/terms"),
-                     spark.read.parquet(f"{path}/field_stats"), field, terms, k)
+def bm25_topk_version(tables, field: str, terms: list[str], k: int = 10) -> DataFrame:
+    """Q3 on the tables of a published version (``index.read``): the postings and
+    term statistics are read with the field and term filters pushed into the Parquet scans."""
+    return bm25_topk(tables.postings, tables.terms(), tables.stats(), field, terms, k)
+
+
+def _equals(term: str):
+    return lambda x: x == F.lit(term)
 
 
 def bm25_topk_unindexed(docs: DataFrame, field: str, terms: list[str], k: int = 10,
@@ -82,12 +86,9 @@ def bm25_topk_unindexed(docs: DataFrame, field: str, terms: list[str], k: int =
 
     Pass 1 is one aggregate: N, the total length and the document frequency
     of each distinct query term (a fixed, small number of columns), read as
-    one row. Pass 2 builds the postings of the query terms only, scores them
-    with the idf values as literals and sums per document: no join, one
-    shuffle (partial sums per document), then top-k.
+    one row. Pass 2 scores every document inside its row, then top-k.
     """
     from lexidx.functions import analyzer
-    from lexidx.operators import index
     pattern = pattern or analyzer.DEFAULT_PATTERN
     uniq = sorted(set(terms))
     toks = analyzer.tokens(F.col(field), pattern)
@@ -99,15 +100,18 @@ def bm25_topk_unindexed(docs: DataFrame, field: str, terms: list[str], k: int =
     n = float(row["n"] or 0)
     avgdl = float(row["total"] or 0) / n if n else 1.0
     counts = {t: terms.count(t) for t in uniq}
-    weight = F.lit(0.0)
+    # A document is one row with all its tokens, so its score is one
+    # expression over them: no postings, no join, no shuffle before the top-k.
+    d = docs.where(F.col(field).isNotNull()).select("doc_id", toks.alias("_t")).select(
+        "doc_id", F.size("_t").cast("double").alias("_dl"),
+        *[F.size(F.filter("_t", _equals(t))).cast("double").alias(f"_tf{i}") for i, t in enumerate(uniq)])
+    total, found = F.lit(0.0), F.lit(False)
     for i, t in enumerate(uniq):
-        dfv = float(row[f"df{i}"] or 0)
-        w = counts[t] * (bm25.idf(F.lit(n), F.lit(dfv)))
-        weight = F.when(F.col("term") == t, w).otherwise(weight)
-    post = index.text_postings(docs, field, pattern, only_terms=uniq)
-    scored = post.select("doc_id", (weight * bm25.term_score(
-        F.lit(1.0), F.col("tf").cast("double"), F.col("dl").cast("double"), F.lit(avgdl))).alias("s"))
-    return top_k(scored.groupBy("doc_id").agg(F.sum("s").alias("score")), k)
+        w = counts[t] * bm25.idf(F.lit(n), F.lit(float(row[f"df{i}"] or 0)))
+        tf = F.col(f"_tf{i}")
+        total = total + F.when(tf > 0, w * bm25.term_score(F.lit(1.0), tf, F.col("_dl"), F.lit(avgdl))).otherwise(0.0)
+        found = found | (tf > 0)
+    return top_k(d.where(found).select("doc_id", total.alias("score")), k)
 
 
 def top_k(scores: DataFrame, k: int) -> DataFrame:
@@ -126,26 +130,36 @@ def bm25_topk(post: DataFrame, terms_df: DataFrame, stats: DataFrame,
     return top_k(bm25_scores(post, terms_df, stats, field, terms), k)
 
 
-FETCH_PUSHDOWN_LIMIT = 10_000
+FETCH_RANGES = 32
+
+
+def id_ranges(ids: list[int], most: int = FETCH_RANGES) -> list[tuple[int, int]]:
+    """At most ``most`` ranges that cover the sorted ids, cut at the widest gaps."""
+    gaps = sorted(range(1, len(ids)), key=lambda i: ids[i - 1] - ids[i])[:most - 1]
+    cuts = [0, *sorted(gaps), len(ids)]
+    return [(ids[x], ids[y - 1]) for x, y in zip(cuts, cuts[1:])]
 
 
 def fetch_stored(hits: DataFrame, stored_df: DataFrame, max_hits: int | None = None) -> DataFrame:
     """Q4: stored fields of the hits.
 
-    A top-k hit list has at most ``max_hits`` rows. Then the hits are read
-    once (k rows) and the stored table is filtered with ``doc_id IN (...)``,
-    which reaches the Parquet scan: stored files are written in document
-    order, so only the row groups holding the hits are read instead of the
-    whole table. Without a bound, a regular join is used.
+    A top-k hit list has at most ``max_hits`` rows. They are read once, and the
+    stored table is filtered by a few ranges of ``doc_id`` around them: range
+    predicates reach the Parquet scan whatever their number (long IN lists
+    shrink to one range there), and stored files are in document order, so
+    only row groups near a hit are read. Without ``max_hits``, a regular join.
     """
-    if max_hits is not None and max_hits <= FETCH_PUSHDOWN_LIMIT:
-        rows = hits.limit(max_hits + 1).collect()
-        if len(rows) <= max_hits:
-            spark = hits.sparkSession
-            small = spark.createDataFrame(rows, hits.schema)
-            ids = sorted({r["doc_id"] for r in rows})
-            return F.broadcast(small).join(stored_df.where(F.col("doc_id").isin(ids)), "doc_id")
-    return hits.join(stored_df, "doc_id")
+    if max_hits is None:
+        return hits.join(stored_df, "doc_id")
+    rows = hits.limit(max_hits + 1).collect()
+    if len(rows) > max_hits:
+        raise ValueError(f"more than {max_hits} hits")
+    ids = sorted({r["doc_id"] for r in rows if r["doc_id"] is not None})
+    near = F.lit(False)
+    for lo, hi in id_ranges(ids) if ids else []:
+        near = near | F.col("doc_id").between(lo, hi)
+    small = hits.sparkSession.createDataFrame(rows, hits.schema)
+    return F.broadcast(small).join(stored_df.where(near), "doc_id")
 
 
 def numeric_range(pts: DataFrame, field: str, lo=None, hi=None,
@@ -166,6 +180,6 @@ def sort_by_field(stored_df: DataFrame, field: str, descending: bool = False) ->
     Documents without the field sort last; ties by ascending doc id.
     A global ``orderBy`` is a range-partitioned sort, no single partition.
     """
-    c = F.col(field)
+    c = F.col(column_of(field))
     key = c.desc_nulls_last() if descending else c.asc_nulls_last()
     return stored_df.orderBy(key, F.col("doc_id").asc())

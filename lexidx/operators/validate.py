@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexidx.operators.schema import Field, FieldType, fields_of
+from lexidx.operators.schema import Field, FieldType, column_of, fields_of
 from lexidx.sources.ndjson import java_class, java_text, java_trim, raw_text
 
 LONG_MAX = 9223372036854775807
@@ -92,11 +92,16 @@ def coerce(f: Field, v: Column, fam: Column, tag: Column) -> Column:
 MAX_TERM_BYTES = 32766
 
 
+# Columns of a user's fields carry a prefix that no field name can contain
+# until the final select: a field may be called line, status, keys or value.
+TYPED, RAW, KIND, TAG, FAMILY = "#d_", "#v_", "#k_", "#t_", "#f_"
+
+
 def validate(parsed: DataFrame, fields, keyword_byte_limit: int | None = None) -> DataFrame:
     """V1-V10 in one narrow pass over ``sources.ndjson.parse`` output.
 
-    Adds one typed column per field and ``status`` (OK / MALFORMED /
-    INVALID); ``_v_<f>`` (the raw VARIANT) and ``_k_<f>`` (error kind) stay
+    Adds one typed column per field (``#d_<f>``) and ``status`` (OK / MALFORMED /
+    INVALID); ``#v_<f>`` (the raw VARIANT) and ``#k_<f>`` (error kind) stay
     for ``errors``. Intermediate values are staged as columns so every
     expression is built once; messages are only built by ``errors`` for
     the INVALID lines.
@@ -106,28 +111,28 @@ def validate(parsed: DataFrame, fields, keyword_byte_limit: int | None = None) -
     ok_obj = F.col("malformed").isNull()
     df = parsed
     for f in fl:
-        df = df.withColumn(f"_v_{f.name}", F.when(ok_obj, _field_value(f)))
+        df = df.withColumn(RAW + f.name, F.when(ok_obj, _field_value(f)))
     for f in fl:
-        df = df.withColumn(f"_t_{f.name}", F.schema_of_variant(F.col(f"_v_{f.name}")))
+        df = df.withColumn(TAG + f.name, F.schema_of_variant(F.col(RAW + f.name)))
     for f in fl:
-        df = df.withColumn(f"_f_{f.name}", _family(F.col(f"_t_{f.name}")))
+        df = df.withColumn(FAMILY + f.name, _family(F.col(TAG + f.name)))
     for f in fl:
-        df = df.withColumn(f.name, coerce(f, F.col(f"_v_{f.name}"), F.col(f"_f_{f.name}"), F.col(f"_t_{f.name}")))
+        df = df.withColumn(TYPED + f.name, coerce(f, F.col(RAW + f.name), F.col(FAMILY + f.name), F.col(TAG + f.name)))
     for f in fl:
         present = F.array_contains(F.col("keys"), F.lit(f.name))
         kind = (F.when(~present, F.lit(None))
-                .when(F.col(f"_f_{f.name}").isNull(), F.lit("NULL"))
-                .when(F.col(f.name).isNull(), F.lit("TYPE_MISMATCH")))
+                .when(F.col(FAMILY + f.name).isNull(), F.lit("NULL"))
+                .when(F.col(TYPED + f.name).isNull(), F.lit("TYPE_MISMATCH")))
         if keyword_byte_limit is not None and f.type is FieldType.KEYWORD:
             # Optional: an un-analysed term longer than the library accepts.
-            kind = kind.when(F.octet_length(F.col(f.name)) > keyword_byte_limit, F.lit("IMMENSE_TERM"))
-        df = df.withColumn(f"_k_{f.name}", kind)
+            kind = kind.when(F.octet_length(F.col(TYPED + f.name)) > keyword_byte_limit, F.lit("IMMENSE_TERM"))
+        df = df.withColumn(KIND + f.name, kind)
     has_bad = F.size(F.array_except(F.col("keys"), names)) > 0
     for f in fl:
-        has_bad = has_bad | F.col(f"_k_{f.name}").isNotNull()
+        has_bad = has_bad | F.col(KIND + f.name).isNotNull()
     status = (F.when(~ok_obj, F.lit("MALFORMED"))
               .when(has_bad, F.lit("INVALID")).otherwise(F.lit("OK")))
-    return df.withColumn("status", status).drop(*[f"_{x}_{f.name}" for f in fl for x in "tf"])
+    return df.withColumn("status", status).drop(*[x + f.name for f in fl for x in (TAG, FAMILY)])
 
 
 def keep_where(df: DataFrame, cond: Column) -> DataFrame:
@@ -139,8 +144,40 @@ def keep_where(df: DataFrame, cond: Column) -> DataFrame:
     above the projection, where it reads the computed columns once.
     """
     cols = df.columns
-    return (df.select(F.explode_outer(F.when(cond, F.array(F.struct(*cols)))).alias("_r"))
-              .where(F.col("_r").isNotNull()).select(*[F.col("_r")[c].alias(c) for c in cols]))
+    return (df.select(F.explode_outer(F.when(cond, F.array(F.struct(*cols)))).alias("#r"))
+              .where(F.col("#r").isNotNull()).select(*[F.col("#r")[c].alias(c) for c in cols]))
+
+
+def field_message(f: Field, cls: Column) -> Column:
+    """The message of field ``f``'s error; ``cls`` is the Java class of a mismatched value."""
+    v, k = F.col(RAW + f.name), F.col(KIND + f.name)
+    return (F.when(k == "NULL", F.format_string("Line %d: field '%s' is null", F.col("line"), F.lit(f.name)))
+            .when(k == "IMMENSE_TERM", F.format_string(
+                "Line %d: field '%s' holds a term of %d bytes, longer than %d", F.col("line"),
+                F.lit(f.name), F.octet_length(F.variant_get(v, "$", "string")), F.lit(MAX_TERM_BYTES)))
+            .when(k == "TYPE_MISMATCH", F.format_string(
+                "Line %d: field '%s' expected %s but got %s value '%s'", F.col("line"),
+                F.lit(f.name), F.lit(LABELS[f.type]), cls, java_text(v, cls))))
+
+
+def mismatch_class(f: Field) -> Column:
+    return F.when(F.col(KIND + f.name) == "TYPE_MISMATCH", java_class(F.col(RAW + f.name), raw_text(F.lit(f.name))))
+
+
+def coerced(validated: DataFrame, f: Field) -> DataFrame:
+    """(line, field, value, message) of every line that gives ``f`` a value that is
+    not null: typed, or null with the mismatch message. One narrow pass."""
+    rows = keep_where(validated, F.col("malformed").isNull() & F.array_contains("keys", f.name)
+                      & ~F.col(KIND + f.name).eqNullSafe("NULL"))
+    rows = rows.withColumn("#c", mismatch_class(f))
+    return rows.select("line", F.lit(f.name).alias("field"), F.col(TYPED + f.name).alias("value"),
+                       field_message(f, F.col("#c")).alias("message"))
+
+
+def values(validated: DataFrame, fields) -> DataFrame:
+    """(line, status, malformed, one struct ``doc``): the typed values by field name."""
+    return validated.select("line", "status", "malformed", F.struct(
+        *[F.col(TYPED + f.name).alias(f.name) for f in fields_of(fields)]).alias("doc"))
 
 
 def _error_structs(df: DataFrame, fl: list[Field]) -> DataFrame:
@@ -148,22 +185,14 @@ def _error_structs(df: DataFrame, fl: list[Field]) -> DataFrame:
     the value text are only built here, after the filter, for bad lines."""
     names = F.array(*[F.lit(f.name) for f in fl])
     for f in fl:
-        v = F.col(f"_v_{f.name}")
-        df = df.withColumn(f"_c_{f.name}", F.when(
-            F.col(f"_k_{f.name}") == "TYPE_MISMATCH", java_class(v, raw_text(F.lit(f.name)))))
+        df = df.withColumn("#c_" + f.name, mismatch_class(f))
     parts = []
     for f in fl:
-        v, k, c = F.col(f"_v_{f.name}"), F.col(f"_k_{f.name}"), F.col(f"_c_{f.name}")
-        msg = (F.when(k == "NULL", F.format_string("Line %d: field '%s' is null", F.col("line"), F.lit(f.name)))
-               .when(k == "IMMENSE_TERM", F.format_string(
-                   "Line %d: field '%s' holds a term of %d bytes, longer than %d", F.col("line"),
-                   F.lit(f.name), F.octet_length(F.variant_get(v, "$", "string")), F.lit(MAX_TERM_BYTES)))
-               .otherwise(F.format_string(
-                   "Line %d: field '%s' expected %s but got %s value '%s'", F.col("line"),
-                   F.lit(f.name), F.lit(LABELS[f.type]), c, java_text(v, c))))
+        k = F.col(KIND + f.name)
         pos = (F.array_position(F.col("keys"), F.lit(f.name)) - 1).cast("int")
         parts.append(F.when(k.isNotNull(), F.struct(
-            pos.alias("pos"), F.lit(f.name).alias("field"), k.alias("kind"), msg.alias("message"))))
+            pos.alias("pos"), F.lit(f.name).alias("field"), k.alias("kind"),
+            field_message(f, F.col("#c_" + f.name)).alias("message"))))
     unknown = F.transform(F.array_except(F.col("keys"), names), lambda k: F.struct(
         (F.array_position(F.col("keys"), k) - 1).cast("int").alias("pos"), k.alias("field"),
         F.lit("UNKNOWN_FIELD").alias("kind"),
@@ -217,10 +246,11 @@ def first_error(validated: DataFrame, fields) -> DataFrame:
 
 
 def typed_documents(validated: DataFrame, fields) -> DataFrame:
-    """Typed rows of the lines that pass, ``doc_id`` = physical line."""
+    """Typed rows of the lines that pass, ``doc_id`` = physical line; a
+    field called doc_id has the column ``schema.column_of`` names."""
     fl = fields_of(fields)
-    return keep_where(validated.select("line", "status", *[f.name for f in fl]), F.col("status") == "OK").select(
-        F.col("line").alias("doc_id"), *[f.name for f in fl])
+    rows = keep_where(validated.select("line", "status", *[TYPED + f.name for f in fl]), F.col("status") == "OK")
+    return rows.select(F.col("line").alias("doc_id"), *[F.col(TYPED + f.name).alias(column_of(f.name)) for f in fl])
 
 
 def doc_count(validated: DataFrame) -> DataFrame:

@@ -28,20 +28,21 @@ class BuildConflict(RuntimeError):
     """The index already has a CREATED or BUILDING version."""
 
 
-def _event_rows(spark: SparkSession, version_id: int, rows: list[tuple]) -> DataFrame:
-    return spark.createDataFrame([(version_id, *r) for r in rows], LIFECYCLE_SCHEMA)
+def _event_rows(spark: SparkSession, version_id, rows: list[tuple]) -> DataFrame:
+    return spark.createDataFrame([(str(version_id), *r) for r in rows], LIFECYCLE_SCHEMA)
 
 
 def build_version(spark: SparkSession, source: str, fields, root: str, index_id, version: int,
-                  version_id: int, first_seq: int = 0, created: bool = True,
-                  versions: DataFrame | None = None) -> DataFrame:
+                  version_id: str | int, first_seq: int = 0, created: bool = True,
+                  versions: DataFrame | None = None, layout: str = "range") -> DataFrame:
     """Build and publish a version from the NDJSON at ``source``.
 
     Returns lifecycle events: CREATED (the accepted request; leave it out
     with ``created=False`` when the version already exists), BUILDING, then
-    BUILT and UPLOADED on success, or FAILED with the first error
-    (``Line N: ...``) when any line fails. A failed build leaves no
-    manifest, so the version can never be loaded.
+    BUILT and UPLOADED on success, or FAILED on any error: with the first
+    error (``Line N: ...``) when a line fails, else with the message of what went
+    wrong. A failed build removes what it wrote and leaves no manifest, so the
+    version can never be loaded. Version ids are strings (UUIDs).
     """
     if versions is not None:
         # C7 before creating: one small aggregate over this index's versions.
@@ -53,23 +54,22 @@ def build_version(spark: SparkSession, source: str, fields, root: str, index_id,
     head = [(first_seq, now(), "CREATED", None, None, None, None, None)] if created else []
     first_seq += len(head)
     started = (first_seq, now(), "BUILDING", None, None, None, None, None)
-    checked = validate.validate(ndjson.parse(ndjson.read_lines(spark, source)), fields)
-    obs = Observation(f"build_checks_{uuid.uuid4().hex[:8]}")
-    watched = checked.observe(obs, F.count(F.when(F.col("status") != "OK", F.lit(1))).alias("bad"))
-    docs = validate.typed_documents(watched, fields)
+    try:
+        checked = validate.validate(ndjson.parse(ndjson.read_lines(spark, source)), fields)
+        obs = Observation(f"build_checks_{uuid.uuid4().hex[:8]}")
+        watched = checked.observe(obs, F.count(F.when(F.col("status") != "OK", F.lit(1))).alias("bad"))
+        docs = validate.typed_documents(watched, fields)
 
-    def stop_if_bad():
-        if obs.get["bad"]:
-            raise BuildFailed()
+        def stop_if_bad():
+            if obs.get["bad"]:
+                first = validate.first_error(checked, fields).first()
+                raise BuildFailed(first["message"] if first else "IndexBuildException")
 
-    try:
         pub = artifact.publish_version(spark, docs, fields, root, index_id, version,
-                                       after_stored=stop_if_bad).collect()[0]
-    except BuildFailed:
-        fe = validate.first_error(checked, fields).collect()
-        msg = fe[0].message if fe else "IndexBuildException"
+                                       after_stored=stop_if_bad, layout=layout).collect()[0]
+    except Exception as e:  # noqa: BLE001 - every failure of a build is an event
         return _event_rows(spark, version_id, head + [
-            started, (first_seq + 1, now(), "FAILED", None, None, None, None, msg)])
+            started, (first_seq + 1, now(), "FAILED", None, None, None, None, artifact.failure_text(e))])
     return _event_rows(spark, version_id, head + [
         started,
         (first_seq + 1, now(), "BUILT", pub.doc_count, pub.artifact_size, pub.checksum, None, None),

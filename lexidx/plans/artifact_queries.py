@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexidx.operators import artifact, catalog, index
-from lexidx.plans import fixtures, tables
-from lexidx.session import scratch_path
+from lexidx.operators import artifact, catalog
+from lexidx.plans import fixtures, published, tables
 from lexidx.sources.files import list_objects
 
 # Fixed parameters of the integrity scenario over the scale directory.
@@ -56,28 +55,24 @@ def doc_count_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def orphan_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys found in a storage that holds an object for every version that
+    ever got that far, against the catalog."""
     v = fixtures.index_version(spark, sf_dir)
-    stored = v.where(F.col("status").isin("BUILT", "UPLOADED", "READY", "FAILED")).select(
-        fixtures.artifact_key(F.col("index_id"), F.col("version")).alias("artifact_key"))
-    return artifact.orphan_artifacts(stored, v)
-
-
-def _publish(spark, sf_dir):
-    root = scratch_path(spark, "published")
-    docs = index.spread(tables.documents_index_input(spark, sf_dir))
-    ev = artifact.publish_version(spark, docs, tables.DOCUMENT_FIELDS, root, "documents", 1)
-    return root, ev
+    root = fixtures.write_objects(spark, v.where(F.col("status").isin("BUILT", "UPLOADED", "READY", "FAILED")).select(
+        fixtures.artifact_key(F.col("index_id"), F.col("version")).alias("artifact_key")))
+    return artifact.orphan_artifacts(fixtures.listed_keys(spark, root), v)
 
 
 def publish_version(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, ev = _publish(spark, sf_dir)
-    return ev.select("index_id", "version", "doc_count", "artifact_size", "checksum", "artifact_key")
+    """What publishing reports, as far as it is the same on every run."""
+    _, row = published.publish(spark, sf_dir, "documents")
+    return row.select("index_id", "version", "doc_count", "artifact_key",
+                      (F.length("checksum") == 64).alias("has_checksum"), (F.col("artifact_size") > 0).alias("has_size"))
 
 
 def load_version(spark: SparkSession, sf_dir: str) -> DataFrame:
-    root, ev = _publish(spark, sf_dir)
-    n = ev.select("doc_count").first()[0]
-    st = artifact.load_version(spark, root, "documents", 1, "READY", n, register_as="documents_v1")
+    root, row = published.shared(spark, sf_dir, "documents")
+    st = artifact.load_version(spark, root, "documents", 1, published.catalog_rows(row), register_as="documents_v1")
     return st.select("index_id", "version", "state", "num_docs", "error")
 
 
@@ -94,11 +89,11 @@ QUERIES = {
 
 
 def archive_entry_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return artifact.audit_entries(artifact.archive_entries(fixtures.page_archives(spark, sf_dir)))
+    return artifact.audit_entries(fixtures.page_entries(spark, sf_dir))
 
 
 def unpacked_size(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return artifact.unpacked_size(artifact.archive_entries(fixtures.page_archives(spark, sf_dir)))
+    return artifact.unpacked_size(fixtures.page_entries(spark, sf_dir))
 
 
 QUERIES["archive_entry_audit"] = archive_entry_audit

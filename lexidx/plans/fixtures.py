@@ -8,7 +8,7 @@ the physical line numbers the oracle computes.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexidx.plans import tables
@@ -167,7 +167,23 @@ def index_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select(k.alias("index_id"), name.alias("name"), desc.alias("description"), fields.alias("fields"))
 
 
-# ---- G5: tar.gz archives built from pages -------------------------------
+# ---- G4: stored objects -------------------------------------------------
+
+def write_objects(spark: SparkSession, keys: DataFrame) -> str:
+    """A storage folder with one small record per artifact key, dealt into
+    bounded partition folders: {root}/bucket=<n>/part-*."""
+    root = scratch_path(spark, "objects")
+    keys.select(F.pmod(F.xxhash64("artifact_key"), F.lit(16)).alias("bucket"), F.col("artifact_key").alias("value")) \
+        .write.partitionBy("bucket").text(root)
+    return root
+
+
+def listed_keys(spark: SparkSession, root: str) -> DataFrame:
+    """The artifact keys found below ``root``, read back from the storage."""
+    return spark.read.option("recursiveFileLookup", "true").text(root).select(F.col("value").alias("artifact_key"))
+
+
+# ---- G5: archive entries from pages -------------------------------------
 
 # Pages per archive and the unsafe-entry rules (by page_id).
 PAGES_PER_ARCHIVE = 50
@@ -176,39 +192,19 @@ URL_HOST = r"^https?://([^/?#]+)"
 URL_PATH = r"^https?://[^/?#]+(/[^?#]*)?"
 
 
-def _pack(pdf):
-    import io
-    import tarfile
-
-    import pandas as pd
-    pdf = pdf.sort_values("page_id")
-    buf = io.BytesIO()
-    with tarfile.open(fileobj=buf, mode="w:gz", format=tarfile.PAX_FORMAT) as tf:
-        for r in pdf.itertuples(index=False):
-            info = tarfile.TarInfo(r.entry)
-            if r.kind == "symlink":
-                info.type, info.linkname = tarfile.SYMTYPE, "/etc/passwd"
-                tf.addfile(info)
-            elif r.kind == "fifo":
-                info.type = tarfile.FIFOTYPE
-                tf.addfile(info)
-            else:
-                data = r.html.encode("utf-8")
-                info.size = len(data)
-                tf.addfile(info, io.BytesIO(data))
-    return pd.DataFrame({"path": [f"pages-{int(pdf['grp'].iloc[0])}.tar.gz"], "content": [buf.getvalue()]})
-
-
-def page_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(path, content) tar.gz archives of at most PAGES_PER_ARCHIVE pages
-    each; every group is bounded, so no task packs an unbounded group."""
+def page_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries of archives of at most PAGES_PER_ARCHIVE pages each: (archive,
+    position, entry, entry_type, size). Every archive is a bounded group."""
     p = tables.table(spark, sf_dir, "pages")
     pid = F.col("page_id")
     base = F.concat(F.regexp_extract("url", URL_HOST, 1), F.regexp_extract("url", URL_PATH, 1))
     entry = (F.when(pid % ESCAPE_MOD == 0, F.concat(F.lit("../"), base))
              .when(pid % DOT_MOD == 0, F.concat(F.lit("./"), base)).otherwise(base))
-    kind = (F.when(pid % SYMLINK_MOD == 0, F.lit("symlink")).when(pid % FIFO_MOD == 0, F.lit("fifo"))
+    kind = (F.when(pid % SYMLINK_MOD == 0, F.lit("symlink")).when(pid % FIFO_MOD == 0, F.lit("other"))
             .otherwise(F.lit("file")))
-    rows = p.select((pid / PAGES_PER_ARCHIVE).cast("bigint").alias("grp"), "page_id",
-                    entry.alias("entry"), kind.alias("kind"), "html")
-    return rows.groupBy("grp").applyInPandas(_pack, "path string, content binary")
+    rows = p.select(F.floor(pid / PAGES_PER_ARCHIVE).alias("grp"), "page_id", entry.alias("entry"), kind.alias("entry_type"),
+                    F.when(kind == "file", F.octet_length("html")).otherwise(0).cast("bigint").alias("size"))
+    w = Window.partitionBy("grp").orderBy("page_id")
+    return rows.select(
+        F.concat(F.lit("pages-"), F.col("grp").cast("string"), F.lit(".tar.gz")).alias("archive"),
+        (F.row_number().over(w) - 1).cast("int").alias("position"), "entry", "entry_type", "size")

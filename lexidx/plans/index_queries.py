@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexidx.functions import analyzer
-from lexidx.operators import index, search
-from lexidx.plans import tables
-from lexidx.session import scratch_path
+from lexidx.operators import artifact, index, search
+from lexidx.plans import published, tables
+from lexidx.session import child_names
 
 # Fixed query parameters of the registered lookups.
 BM25_TERMS = ["that", "was", "der", "la"]
@@ -73,18 +73,16 @@ def field_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def verify_build(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d, t = _docs(spark, sf_dir)
-    return index.verify_build(d, t.stored)
+    """Documents given against documents read back from the published version."""
+    return index.verify_build(tables.documents_index_input(spark, sf_dir), published.read(spark, sf_dir, "documents").stored)
 
 
 def write_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Write a fresh version, read every table back, count its rows."""
-    d = index.spread(tables.documents_index_input(spark, sf_dir))
-    path = scratch_path(spark, "index-documents")
-    written, _ = index.write_version(d, tables.DOCUMENT_FIELDS, path)
-    parts = [spark.read.parquet(p).agg(F.count(F.lit(1)).alias("row_count"))
-             .select(F.lit(name).alias("table_name"), "row_count")
-             for name, p in sorted(written.items())]
+    """Publish a fresh version, read every table back, count its rows."""
+    root, _ = published.shared(spark, sf_dir, "documents")
+    path = artifact.data_path(spark, root, "documents", 1)
+    parts = [spark.read.parquet(f"{path}/{name}").agg(F.count(F.lit(1)).alias("row_count"))
+             .select(F.lit(name).alias("table_name"), "row_count") for name in child_names(spark, path)]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -92,9 +90,8 @@ def write_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _bm25_hits(spark, sf_dir):
-    """Query-time scoring over the document table (two passes, no join)."""
-    d = index.spread(tables.documents_index_input(spark, sf_dir))
-    return d, search.bm25_topk_unindexed(d, "text", BM25_TERMS, BM25_K)
+    t = published.read(spark, sf_dir, "documents")
+    return t, search.bm25_topk_version(t, "text", BM25_TERMS, BM25_K)
 
 
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,26 +100,21 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fetch_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, hits = _bm25_hits(spark, sf_dir)
-    stored = tables.documents_index_input(spark, sf_dir)  # plain scan: the id filter is pushed down
-    return search.fetch_stored(hits, stored, max_hits=BM25_K).select(
+    t, hits = _bm25_hits(spark, sf_dir)
+    return search.fetch_stored(hits, t.stored, max_hits=BM25_K).select(
         "rank", "doc_id", F.round("score", 6).alias("score"), "lang", "source", "n_chars", "text")
 
 
 def term_lookup_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, t = _docs(spark, sf_dir)
-    return search.term_lookup(t.postings, "text", TEXT_TERM)
+    return search.term_lookup(published.read(spark, sf_dir, "documents").postings, "text", TEXT_TERM)
 
 
 def term_lookup_keyword(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = tables.part_index_input(spark, sf_dir)
-    t = index.build(d, tables.PART_FIELDS)
-    return search.term_lookup(t.postings, "tag", KEYWORD_TERM)
+    return search.term_lookup(published.read(spark, sf_dir, "part").postings, "tag", KEYWORD_TERM)
 
 
 def numeric_range(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = tables.part_index_input(spark, sf_dir)
-    t = index.build(d, tables.PART_FIELDS)
+    t = published.read(spark, sf_dir, "part")
     lo = search.numeric_range(t.long_points, "count", *LONG_RANGE).select(
         F.lit("count").alias("field"), "doc_id", F.col("value").cast("double").alias("value"))
     hi = search.numeric_range(t.double_points, "price", *DOUBLE_RANGE).select(

@@ -40,17 +40,8 @@ def _errors_of(kind):
 
 def _coerce_of(ftype: FieldType):
     def q(spark: SparkSession, sf_dir: str) -> DataFrame:
-        v = _validated(spark, sf_dir).where(F.col("malformed").isNull())
-        errs = validate.errors(v, tables.PART_FIELDS).where(F.col("kind") == "TYPE_MISMATCH")
-        parts = []
-        for f in tables.PART_FIELDS:
-            if f.type is not ftype:
-                continue
-            rows = validate.keep_where(
-                v.select("line", "keys", f"_k_{f.name}", f.name),
-                F.array_contains("keys", f.name) & ~F.col(f"_k_{f.name}").eqNullSafe("NULL"))
-            rows = rows.select("line", F.lit(f.name).alias("field"), F.col(f.name).alias("value"))
-            parts.append(rows.join(errs.where(F.col("field") == f.name).select("line", "message"), "line", "left"))
+        v = _validated(spark, sf_dir)
+        parts = [validate.coerced(v, f) for f in tables.PART_FIELDS if f.type is ftype]
         out = parts[0]
         for p in parts[1:]:
             out = out.unionByName(p)

@@ -93,16 +93,21 @@ CATALOG_SQL = {
       UNION ALL SELECT index_id, 'FIELD_TYPE_UNKNOWN', f.name FROM ff
         WHERE f.type IS NOT NULL AND f.type NOT IN ('keyword', 'text', 'long', 'double', 'boolean')""",
     "fields_roundtrip": f"""WITH {DEFS},
-      ok AS (SELECT * FROM defs WHERE len(fields) = len(list_distinct(list_transform(fields, lambda x: x.name)))),
-      u AS (SELECT index_id, CAST(generate_subscripts(fields, 1) - 1 AS INTEGER) AS position, unnest(fields) AS f FROM ok)
-      SELECT index_id, position, f.name AS name, lower(trim(f.type)) AS type FROM u""",
+      u AS (SELECT index_id, generate_subscripts(fields, 1) AS i, unnest(fields) AS f FROM defs),
+      named AS (SELECT index_id, f.name AS name, min(i) AS first_i, lower(trim(arg_max(f.type, i))) AS type
+                FROM u GROUP BY index_id, f.name)
+      SELECT index_id, CAST(row_number() OVER (PARTITION BY index_id ORDER BY first_i) - 1 AS INTEGER) AS position, name, type
+      FROM named""",
     "register_indexes": f"""WITH {G2},
       batch AS (SELECT c_custkey AS req_id,
-                       CASE WHEN c_custkey % 3 = 0 THEN lower(c_name) ELSE 'fresh_' || CAST(c_custkey % 97 AS VARCHAR) END AS name
+                       CASE WHEN c_custkey % {cq.NAMELESS_MOD} = 0 THEN NULL
+                            WHEN c_custkey % 3 = 0 THEN lower(c_name) ELSE 'fresh_' || CAST(c_custkey % 97 AS VARCHAR) END AS name
                 FROM customer),
-      b AS (SELECT *, name IN (SELECT name FROM si) OR req_id <> min(req_id) OVER (PARTITION BY name) AS refused FROM batch)
+      b AS (SELECT *, name IS NULL OR name IN (SELECT name FROM si)
+                      OR req_id <> min(req_id) OVER (PARTITION BY name) AS refused FROM batch)
       SELECT req_id, name, CASE WHEN refused THEN 'REFUSED' ELSE 'ACCEPTED' END AS status,
-             CASE WHEN refused THEN 'Index with name ''' || name || ''' already exists' END AS message FROM b""",
+             CASE WHEN name IS NULL THEN 'Index name must not be blank'
+                  WHEN refused THEN 'Index with name ''' || name || ''' already exists' END AS message FROM b""",
     "lookup_indexes": f"""WITH {G2}
       SELECT r.req_id, r.index_id, s.name, CASE WHEN s.name IS NULL THEN 'NOT_FOUND' ELSE 'FOUND' END AS status,
              CASE WHEN s.name IS NULL THEN 'Index ' || r.index_id || ' not found' END AS message

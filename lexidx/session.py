@@ -64,7 +64,8 @@ def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
     On a cluster this is set by the deployment and points at shared storage.
-    Only when it is unset (tests, a bare local session) do we pick one.
+    Only a local session (tests) may go without: there every task sees the
+    driver's disk. Anywhere else a missing setting is an error.
     """
     sc = spark.sparkContext
     d = sc.getCheckpointDir()
@@ -72,6 +73,8 @@ def checkpoint_root(spark: SparkSession) -> str:
         return d.rstrip("/")
     conf = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not conf:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         conf = tempfile.mkdtemp(prefix="lexidx-ckpt-")
     sc.setCheckpointDir(conf)
     return sc.getCheckpointDir().rstrip("/")
@@ -86,6 +89,20 @@ def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
 
 
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Remove a folder with all it holds, through the Hadoop FileSystem of the path."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def child_names(spark: SparkSession, path: str) -> list[str]:
+    """Names of the direct children of a folder (a version root has a handful)."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return sorted(s.getPath().getName() for s in p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(p))
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     """Existence through the Hadoop FileSystem of the path (local, HDFS, s3a...)."""
     jvm = spark.sparkContext._jvm

@@ -10,37 +10,12 @@ def list_objects(spark: SparkSession, root: str, glob: str | None = None) -> Dat
     """Every file below ``root`` as (path, name, length, content).
 
     Each file is read whole by one task (binaryFile), so published tables cap
-    their file size with ``maxRecordsPerFile``. File sources skip names that
-    start with ``_`` or ``.``; nothing this package writes uses such names
-    except Spark's own ``_SUCCESS`` markers, which the manifest ignores.
+    their file size with ``maxRecordsPerFile``; a file beyond the reader's 2 GB
+    fails the job loudly. Names that start with ``_`` or ``.`` are skipped here as
+    in every other file source, so they can never become part of a table.
     """
     r = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if glob:
         r = r.option("pathGlobFilter", glob)
     df = r.load(root)
     return df.select("path", F.element_at(F.split("path", "/"), -1).alias("name"), "length", "content")
-
-
-# Files Spark's own writers leave next to data files; everything else whose
-# name starts with "_" or "." would be skipped by file sources unnoticed.
-SPARK_MARKERS = ("_SUCCESS", "_committed_", "_started_", "_temporary")
-
-
-def hidden_files(spark: SparkSession, root: str) -> list[str]:
-    """Names below ``root`` that file sources would silently skip (listing
-    metadata only, through the path's Hadoop FileSystem)."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(root)
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(path):
-        return []
-    it = fs.listFiles(path, True)
-    out = []
-    while it.hasNext():
-        name = it.next().getPath().getName()
-        if not name.startswith(("_", ".")):
-            continue
-        if name.startswith(SPARK_MARKERS) or (name.startswith(".") and name.endswith(".crc")):
-            continue
-        out.append(name)
-    return sorted(out)

@@ -6,9 +6,7 @@ count but not returned, as a reader that skips blank lines would see them.
 
 Numbering needs no global sort and no single partition: every input split
 (file, block start) is counted, the tiny split table is prefix-summed, and
-the offsets are joined back. The split table has one row per input split
-(input size / split size), so it is broadcast below a row limit and joined
-normally above it.
+the offsets are broadcast back (one small row per input split).
 """
 
 from __future__ import annotations
@@ -19,8 +17,7 @@ from pyspark.sql import functions as F
 # A line is blank when every character is Java whitespace (a no-break space
 # is content, as in String.isBlank).
 NOT_BLANK = r"[^\p{javaWhitespace}]"
-# One row of 32 bytes per input split: 4 M splits (1 PB at 256 MB) is 128 MB.
-BROADCAST_SPLIT_LIMIT = 4_000_000
+END_MARK = "end of line"
 
 
 def read_lines(spark: SparkSession, path: str, keep_blank: bool = False) -> DataFrame:
@@ -38,14 +35,18 @@ def read_lines(spark: SparkSession, path: str, keep_blank: bool = False) -> Data
             F.col("_metadata.file_block_start").alias("_block"),
             F.monotonically_increasing_id().alias("_rid"))
 
+    # Prefix sums in two steps: blocks within their file, then files. Only the
+    # second meets in one task, with one row per file (what any listing holds).
     blocks = scan().groupBy("_path", "_file", "_block").agg(
         F.min("_rid").alias("_min_rid"), F.count(F.lit(1)).alias("_n"))
-    w = Window.orderBy("_path", "_block").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    offsets = blocks.select("_file", "_block", "_min_rid",
-                            (F.sum("_n").over(w) - F.col("_n")).alias("_start"))
-    n_splits = scan().rdd.getNumPartitions()
-    side = F.broadcast(offsets) if n_splits <= BROADCAST_SPLIT_LIMIT else offsets
-    lines = scan().join(side, ["_file", "_block"]).select(
+    files = blocks.groupBy("_path").agg(F.sum("_n").alias("_lines"))
+    earlier = Window.orderBy("_path").rowsBetween(Window.unboundedPreceding, -1)
+    files = files.select("_path", F.coalesce(F.sum("_lines").over(earlier), F.lit(0)).alias("_before"))
+    above = Window.partitionBy("_path").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (blocks.withColumn("_within", F.coalesce(F.sum("_n").over(above), F.lit(0))).join(files, "_path")
+               .select("_file", "_block", "_min_rid", (F.col("_before") + F.col("_within")).alias("_start")))
+    # 40 bytes per input split: 100 TB in 256 MB splits is 16 MB. The text itself must not be shuffled.
+    lines = scan().join(F.broadcast(offsets), ["_file", "_block"]).select(
         (F.col("_start") + F.col("_rid") - F.col("_min_rid") + 1).alias("line"), "value")
     if not keep_blank:
         lines = lines.where(is_not_blank(F.col("value")))
@@ -66,18 +67,22 @@ def parse(lines: DataFrame) -> DataFrame:
     ``malformed`` (NULL when the line is one JSON object, else the reason).
 
     Repeated keys keep the last value at the first key's position, like a
-    linked hash map. Text after the closing brace is refused.
+    linked hash map. The parser itself stops after one document, so the line is
+    parsed as the first of two elements of an array, the second a fixed mark:
+    anything after the closing brace, a second document included, spoils that.
     """
-    j = F.expr("try_parse_json(value)")
-    df = lines.withColumn("j", j)
-    tag = F.expr("schema_of_variant(j)")
+    df = lines.withColumn("_pair", F.expr(f"try_parse_json(concat('[', value, ',\"{END_MARK}\"]'))"))
+    whole = F.expr(f"try_variant_get(_pair, '$[1]', 'string') = '{END_MARK}' AND try_variant_get(_pair, '$[2]', 'variant') IS NULL")
+    df = df.withColumn("j", F.when(whole, F.expr("try_variant_get(_pair, '$[0]', 'variant')")))
+    # Only lines that fail are parsed again, for the reason.
+    first = F.expr("schema_of_variant(try_parse_json(value))")
     trimmed = java_trim(F.col("value"))
-    reason = (F.when(F.col("j").isNull(), F.lit("INVALID_JSON"))
-              .when(~tag.startswith("OBJECT"), F.lit("NOT_AN_OBJECT"))
-              .when(~trimmed.endswith("}"), F.lit("TRAILING_CONTENT")))
-    return df.withColumn("malformed", reason).withColumn(
-        "keys", F.when(F.col("malformed").isNull(),
-                       F.array_distinct(F.json_object_keys(F.col("value")))))
+    reason = (F.when(F.col("j").isNotNull() & (trimmed != ""), F.when(
+                  ~F.expr("schema_of_variant(j)").startswith("OBJECT"), F.lit("NOT_AN_OBJECT")))
+              .when(first.startswith("OBJECT"), F.lit("TRAILING_CONTENT")).otherwise(F.lit("INVALID_JSON")))
+    df = df.withColumn("malformed", reason).drop("_pair")
+    return df.withColumn("keys", F.when(F.col("malformed").isNull(),
+                                        F.array_distinct(F.json_object_keys(F.col("value")))))
 
 
 def raw_text(key: Column) -> Column:

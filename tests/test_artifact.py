@@ -2,13 +2,14 @@
 
 import glob
 import hashlib
-import io
 import os
-import tarfile
+import shutil
 
+import pytest
 from pyspark.sql import functions as F
 
-from lexidx.operators import artifact
+from lexidx.operators import artifact, index
+from lexidx.operators.schema import fields_of
 from lexidx.plans import tables
 from lexidx.sources.files import list_objects
 from tests.conftest import SF_SMALL
@@ -22,70 +23,113 @@ def test_manifest_matches_hashlib(spark):
         assert man[os.path.basename(f)] == (len(data), hashlib.sha256(data).hexdigest())
 
 
+def _versions(spark, status, count, index_id="docs", version=1):
+    return spark.createDataFrame([(index_id, version, status, count)],
+                                 "index_id string, version int, status string, doc_count bigint")
+
+
+def _load(spark, root, status, count, version=1, **kw):
+    return artifact.load_version(spark, root, "docs", version, _versions(spark, status, count, version=version), **kw).collect()[0]
+
+
+def _publish(spark, root, version=1, docs=None, fields=tables.DOCUMENT_FIELDS):
+    docs = tables.documents_index_input(spark, SF_SMALL) if docs is None else docs
+    return artifact.publish_version(spark, docs, fields, root, "docs", version).collect()[0]
+
+
 def test_publish_load_and_tamper(spark, tmp_dir):
-    docs = tables.documents_index_input(spark, SF_SMALL)
-    ev = artifact.publish_version(spark, docs, tables.DOCUMENT_FIELDS, tmp_dir, "docs", 1).collect()[0]
-    assert ev.doc_count == docs.count() and len(ev.checksum) == 64
-    ok = artifact.load_version(spark, tmp_dir, "docs", 1, "READY", ev.doc_count, register_as="t1").collect()[0]
+    ev = _publish(spark, tmp_dir)
+    assert ev.doc_count == spark.read.parquet(f"{SF_SMALL}/documents.parquet").count() and len(ev.checksum) == 64
+    ok = _load(spark, tmp_dir, "READY", ev.doc_count, register_as="t1")
     assert ok.state == "LOADED" and ok.num_docs == ev.doc_count
     assert spark.sql("select count(*) from t1_stored").collect()[0][0] == ev.doc_count
-    gate = artifact.load_version(spark, tmp_dir, "docs", 1, "BUILT", ev.doc_count).collect()[0]
+    assert spark.sql("select doc_count from t1_field_stats").collect()[0][0] > 0 and spark.table("t1_terms").count() > 0
+    gate = _load(spark, tmp_dir, "BUILT", ev.doc_count)
     assert gate.state == "FAILED" and "status=BUILT" in gate.error
-    count = artifact.load_version(spark, tmp_dir, "docs", 1, "READY", ev.doc_count + 1).collect()[0]
+    count = _load(spark, tmp_dir, "READY", ev.doc_count + 1)
     assert count.error == f"Loaded index doc count mismatch: expected {ev.doc_count + 1} but found {ev.doc_count}"
-    victim = sorted(glob.glob(f"{tmp_dir}/index_id=docs/version=1/stored/*.parquet"))[0]
+    unknown = artifact.load_version(spark, tmp_dir, "docs", 8, _versions(spark, "READY", 1)).collect()[0]
+    assert unknown.state == "FAILED" and "not found" in unknown.error
+    victim = sorted(glob.glob(f"{tmp_dir}/index_id=docs/version=1/data-*/stored/*.parquet"))[0]
     with open(victim, "ab") as f:
         f.write(b"x")
     crc = os.path.join(os.path.dirname(victim), "." + os.path.basename(victim) + ".crc")
     if os.path.exists(crc):  # object stores keep no local checksum file
         os.remove(crc)
-    bad = artifact.load_version(spark, tmp_dir, "docs", 1, "READY", ev.doc_count).collect()[0]
+    bad = _load(spark, tmp_dir, "READY", ev.doc_count)
     assert bad.state == "FAILED" and bad.error.startswith("Downloaded artifact integrity check failed")
 
 
-def _tar(entries):
-    buf = io.BytesIO()
-    with tarfile.open(fileobj=buf, mode="w:gz") as tf:
-        for name, kind in entries:
-            info = tarfile.TarInfo(name)
-            if kind == "symlink":
-                info.type, info.linkname = tarfile.SYMTYPE, "/etc/passwd"
-                tf.addfile(info)
-            elif kind == "dir":
-                info.type = tarfile.DIRTYPE
-                tf.addfile(info)
-            else:
-                data = b"hello"
-                info.size = len(data)
-                tf.addfile(info, io.BytesIO(data))
-    return buf.getvalue()
+def test_extra_files_hidden_folders_and_broken_tables_fail_the_load(spark, tmp_dir):
+    ev = _publish(spark, tmp_dir)
+    (data,) = glob.glob(f"{tmp_dir}/index_id=docs/version=1/data-*")
+    os.makedirs(f"{data}/stored/_hidden")
+    with open(f"{data}/stored/_hidden/x.parquet", "wb") as f:  # no reader ever sees it
+        f.write(b"junk")
+    assert _load(spark, tmp_dir, "READY", ev.doc_count).state == "LOADED"
+    with open(f"{data}/stored/notes.txt", "w") as f:
+        f.write("not part of the version")
+    extra = _load(spark, tmp_dir, "READY", ev.doc_count)
+    assert extra.state == "FAILED" and "notes.txt: EXTRA" in extra.error
+    os.remove(f"{data}/stored/notes.txt")
+    for f in glob.glob(f"{data}/terms/*.parquet"):
+        os.remove(f)
+    assert "MISSING" in _load(spark, tmp_dir, "READY", ev.doc_count).error
+
+
+def test_republishing_leaves_nothing_of_the_attempt_before(spark, tmp_dir):
+    both = spark.createDataFrame([(1, 5, 2.5), (2, 6, None)], "doc_id bigint, a bigint, b double")
+    _publish(spark, tmp_dir, docs=both, fields=fields_of([("a", "long"), ("b", "double")]))
+    ev = _publish(spark, tmp_dir, docs=both.select("doc_id", "a"), fields=fields_of([("a", "long")]))
+    assert len(glob.glob(f"{tmp_dir}/index_id=docs/version=1/data-*")) == 1
+    assert _load(spark, tmp_dir, "READY", ev.doc_count).state == "LOADED"
+    t = index.read(spark, artifact.data_path(spark, tmp_dir, "docs", 1))
+    assert t.double_points is None and t.postings is None  # an index of one number field has no terms
+    assert sorted((r.value, r.doc_id) for r in t.long_points.collect()) == [(5, 1), (6, 2)]
+
+
+def test_a_moved_root_with_odd_characters_still_verifies(spark, tmp_dir):
+    odd = f"{tmp_dir}/a (b)+c"
+    ev = _publish(spark, odd)
+    assert all(r.path.startswith("data-") for r in spark.read.parquet(f"{odd}/index_id=docs/version=1/_manifest").collect())
+    shutil.copytree(odd, f"{tmp_dir}/elsewhere")
+    assert _load(spark, f"{tmp_dir}/elsewhere", "READY", ev.doc_count).state == "LOADED"
+
+
+def test_failed_publish_keeps_the_version_before_and_removes_its_own_files(spark, tmp_dir):
+    ev = _publish(spark, tmp_dir)
+
+    def fail():
+        raise RuntimeError("stop")
+
+    with pytest.raises(RuntimeError, match="stop"):
+        artifact.publish_version(spark, tables.documents_index_input(spark, SF_SMALL), tables.DOCUMENT_FIELDS, tmp_dir,
+                                 "docs", 1, after_stored=fail)
+    assert len(glob.glob(f"{tmp_dir}/index_id=docs/version=1/data-*")) == 1
+    assert _load(spark, tmp_dir, "READY", ev.doc_count).state == "LOADED"
 
 
 def test_archive_audit(spark):
-    arcs = spark.createDataFrame([
-        ("good.tar.gz", _tar([("dir", "dir"), ("dir/a.txt", "file"), ("./target/b.txt", "file")])),
-        ("evil.tar.gz", _tar([("ok.txt", "file"), ("../evil.txt", "file"), ("a/../../x", "file")])),
-        ("link.tar.gz", _tar([("link", "symlink")])),
-        ("abs.tar.gz", _tar([("/etc/passwd", "file")])),
-    ], "path string, content binary")
-    entries = artifact.archive_entries(arcs)
-    got = {(r.archive, r.entry): (r.verdict, r.message) for r in artifact.audit_entries(entries).collect()}
-    assert got[("good.tar.gz", "dir/a.txt")] == ("OK", None)
-    assert got[("good.tar.gz", "./target/b.txt")][0] == "OK"
-    assert got[("evil.tar.gz", "../evil.txt")] == (
-        "OUTSIDE_TARGET", "Refusing to extract tar entry outside target directory: '../evil.txt'")
-    assert got[("evil.tar.gz", "a/../../x")][0] == "OUTSIDE_TARGET"
-    assert got[("link.tar.gz", "link")] == ("LINK", "Refusing to extract link tar entry 'link'")
+    rows = [("fine", 0, "notes", "directory", 0), ("fine", 1, "notes/one.md", "file", 4), ("fine", 2, "./two.md", "file", 6),
+            ("climbs", 0, "in.md", "file", 5), ("climbs", 1, "../out.md", "file", 5), ("climbs", 2, "p/../../q", "file", 5),
+            ("linked", 0, "shortcut", "symlink", 0), ("rooted", 0, "/var/x", "file", 5), ("queue", 0, "pipe", "other", 0)]
+    entries = spark.createDataFrame(rows, "archive string, position int, entry string, entry_type string, size bigint")
+    out = artifact.audit_entries(entries).collect()
+    got = {(r.archive, r.entry): (r.verdict, r.message) for r in out}
+    assert got[("fine", "notes/one.md")] == ("OK", None) and got[("fine", "./two.md")][0] == "OK"
+    assert got[("climbs", "../out.md")] == (
+        "OUTSIDE_TARGET", "Refusing to extract tar entry outside target directory: '../out.md'")
+    assert got[("climbs", "p/../../q")][0] == got[("rooted", "/var/x")][0] == "OUTSIDE_TARGET"
+    assert got[("linked", "shortcut")] == ("LINK", "Refusing to extract link tar entry 'shortcut'")
+    assert got[("queue", "pipe")][0] == "UNSUPPORTED"
+    assert {(r.archive, r.position) for r in out if r.first_failure} == {("climbs", 1), ("linked", 0), ("rooted", 0), ("queue", 0)}
     sizes = {r.archive: r.total_bytes for r in artifact.unpacked_size(entries).collect()}
-    assert sizes["good.tar.gz"] == 10 and sizes["link.tar.gz"] == 0
-
-
-def test_load_refuses_hidden_files(spark, tmp_dir):
-    docs = tables.documents_index_input(spark, SF_SMALL)
-    ev = artifact.publish_version(spark, docs, tables.DOCUMENT_FIELDS, tmp_dir, "docs", 2).collect()[0]
-    ok = artifact.load_version(spark, tmp_dir, "docs", 2, "READY", ev.doc_count).collect()[0]
-    assert ok.state == "LOADED"
-    with open(f"{tmp_dir}/index_id=docs/version=2/stored/_0.cfs", "wb") as f:
-        f.write(b"segment")
-    bad = artifact.load_version(spark, tmp_dir, "docs", 2, "READY", ev.doc_count).collect()[0]
-    assert bad.state == "FAILED" and "_0.cfs" in bad.error
+    assert sizes["fine"] == 10 and sizes["linked"] == 0
+
+
+def test_orphans_come_from_a_real_listing(spark, tmp_dir):
+    _publish(spark, tmp_dir)
+    _publish(spark, tmp_dir, version=2)
+    found = artifact.stored_artifacts(spark, tmp_dir)
+    live = spark.createDataFrame([("READY", "index_id=docs/version=2")], "status string, artifact_key string")
+    assert [r.artifact_key for r in artifact.orphan_artifacts(found, live).collect()] == ["index_id=docs/version=1"]

@@ -15,14 +15,13 @@ def _versions(spark, rows):
 
 def test_versions_listed_descending_and_next_version(spark):
     cat = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "index_id bigint, name string")
-    v = _versions(spark, [(10, 1, 1, "BUILT"), (11, 1, 2, "READY"), (20, 2, 1, "BUILT"), (21, 2, 3, "READY"),
-                          (22, 2, 2, "FAILED")])
-    req = spark.createDataFrame([(1,), (9,)], "index_id bigint")
+    v = _versions(spark, [(31, 1, 4, "FAILED"), (30, 1, 2, "READY"), (33, 1, 7, "CREATED"), (40, 3, 5, "UPLOADED")])
+    req = spark.createDataFrame([(1,), (8,)], "index_id bigint")
     rows = catalog.list_versions(req, cat, v).collect()
-    assert [(r.index_id, r.version) for r in rows if r.error is None] == [(1, 2), (1, 1)]
-    assert [r.error for r in rows if r.error] == ["Index 9 not found"]
+    assert [(r.index_id, r.version) for r in rows if r.error is None] == [(1, 7), (1, 4), (1, 2)]
+    assert [r.error for r in rows if r.error] == ["Index 8 not found"]
     nv = {r.index_id: r.next_version for r in catalog.next_version(cat, v).collect()}
-    assert nv == {1: 3, 2: 4, 3: 1}
+    assert nv == {1: 8, 2: 1, 3: 6}
 
 
 def test_register_refuses_existing_and_repeated_names(spark):

@@ -17,17 +17,17 @@ F1 = fields_of([("title", "text"), ("tag", "keyword"), ("count", "long")])
 
 def _docs(spark):
     return spark.createDataFrame(
-        [(1, "Hello World", "java", 42), (2, "Second document", "python", 7),
-         (3, "hello hello again", "javascript", 3)], "doc_id bigint, title string, tag string, count bigint")
+        [(1, "Amber Lantern", "lamp", 42), (2, "Quiet harbour", "port", 7),
+         (3, "amber amber dusk", "lampshade", 3)], "doc_id bigint, title string, tag string, count bigint")
 
 
 def test_text_and_keyword_lookup(spark):
     t = index.build(_docs(spark), F1)
-    assert [r.doc_id for r in search.term_lookup(t.postings, "title", "hello").orderBy("doc_id").collect()] == [1, 3]
-    assert [r.doc_id for r in search.term_lookup(t.postings, "tag", "java").collect()] == [1]
-    hits = search.bm25_topk(t.postings, t.terms(), t.stats(), "title", ["hello"], 10)
+    assert [r.doc_id for r in search.term_lookup(t.postings, "title", "amber").orderBy("doc_id").collect()] == [1, 3]
+    assert [r.doc_id for r in search.term_lookup(t.postings, "tag", "lamp").collect()] == [1]
+    hits = search.bm25_topk(t.postings, t.terms(), t.stats(), "title", ["amber"], 10)
     got = search.fetch_stored(hits, t.stored, max_hits=10).orderBy("rank").collect()
-    assert got[0].title == "hello hello again" and got[1].title == "Hello World"
+    assert got[0].title == "amber amber dusk" and got[1].title == "Amber Lantern"
 
 
 def test_postings_positions_and_long_tokens(spark):
@@ -92,7 +92,7 @@ def test_write_read_verify(spark, tmp_dir):
 
 def test_range_layout_same_content(spark, tmp_dir):
     t = index.build(_docs(spark), F1)
-    index.write(t, f"{tmp_dir}/a")
+    index.write(t, f"{tmp_dir}/a", layout="local")
     index.write(t, f"{tmp_dir}/b", layout="range")
     rows = lambda p: sorted(tuple(r) for r in spark.read.parquet(p).select("field", "term", "doc_id", "tf").collect())
     assert rows(f"{tmp_dir}/a/postings") == rows(f"{tmp_dir}/b/postings")
@@ -122,7 +122,7 @@ def test_unindexed_bm25_equals_indexed(spark):
 def test_bm25_on_published_version_equals_unindexed(spark, tmp_dir):
     d = tables.documents_index_input(spark, SF_SMALL)
     index.write_version(d, tables.DOCUMENT_FIELDS, tmp_dir)
-    a = search.bm25_topk_version(spark, tmp_dir, "text", ["that", "was"], 10).orderBy("rank").collect()
+    a = search.bm25_topk_version(index.read(spark, tmp_dir), "text", ["that", "was"], 10).orderBy("rank").collect()
     b = search.bm25_topk_unindexed(d, "text", ["that", "was"], 10).orderBy("rank").collect()
     assert [(r.doc_id, round(r.score, 9)) for r in a] == [(r.doc_id, round(r.score, 9)) for r in b]
 

@@ -42,13 +42,13 @@ def test_physical_lines_across_many_splits(spark, tmp_dir):
 
 
 def test_builder_documents_and_first_error(spark, tmp_dir):
-    lines = ['{"title": "Hello World", "tag": "java", "count": 42}',
-             '{"title": "Second document", "tag": "python", "count": 7, "bogus": 1}']
+    lines = ['{"title": "Oak Bridge", "tag": "wood", "count": 42}',
+             '{"title": "Iron Gate", "tag": "metal", "count": 7, "bogus": 1}']
     v = _validated(spark, tmp_dir, lines, F1)
     fe = validate.first_error(v, F1).collect()
     assert fe[0].line == 2 and fe[0].message == "Line 2: unknown field 'bogus'"
     docs = validate.typed_documents(v, F1).collect()
-    assert [(d.doc_id, d.title, d.tag, d["count"]) for d in docs] == [(1, "Hello World", "java", 42)]
+    assert [(d.doc_id, d.title, d.tag, d["count"]) for d in docs] == [(1, "Oak Bridge", "wood", 42)]
 
 
 def test_type_mismatch_long(spark, tmp_dir):
@@ -71,7 +71,7 @@ def test_coercions(spark, tmp_dir):
         ('{"b": true}', "b", True), ('{"b": false}', "b", False), ('{"b": "TRUE"}', "b", True), ('{"b": " false "}', "b", False),
     ]
     v = _validated(spark, tmp_dir, [c[0] for c in cases], ALL)
-    rows = {r.line: r for r in v.select("line", "status", *[f.name for f in ALL]).collect()}
+    rows = {r.line: r for r in validate.values(v, ALL).select("line", "status", "doc.*").collect()}
     for i, (_, f, want) in enumerate(cases, start=1):
         assert rows[i].status == "OK", cases[i - 1]
         got = rows[i][f]
@@ -109,7 +109,7 @@ def test_first_error_is_first_key_in_document_order(spark, tmp_dir):
 def test_malformed_and_edge_documents(spark, tmp_dir):
     lines = ['{"k": "a"} trailing', "[]", "null", "not json", "{}", '{"k": "a", "k": "b"}']
     v = _validated(spark, tmp_dir, lines, ALL)
-    rows = {r.line: r for r in v.select("line", "status", "malformed", "k").collect()}
+    rows = {r.line: r for r in validate.values(v, ALL).select("line", "status", "malformed", "doc.*").collect()}
     assert rows[1].malformed == "TRAILING_CONTENT"
     assert rows[2].malformed == "NOT_AN_OBJECT" and rows[3].malformed == "NOT_AN_OBJECT"
     assert rows[4].malformed == "INVALID_JSON"
@@ -160,7 +160,7 @@ def test_double_strings_follow_parse_double(spark, tmp_dir):
     bad = ["inf", "nan", "1_000", "Infinityd", "0x10", "1e"]
     lines = [f'{{"d": "{s}"}}' for s in list(ok) + bad] + ['{"d": "+NaN"}']
     v = _validated(spark, tmp_dir, lines, ALL)
-    rows = {r.line: r for r in v.select("line", "status", "d").collect()}
+    rows = {r.line: r for r in validate.values(v, ALL).select("line", "status", "doc.*").collect()}
     for i, s in enumerate(ok, start=1):
         assert rows[i].status == "OK" and rows[i].d == ok[s], s
     for j, s in enumerate(bad, start=len(ok) + 1):
@@ -173,7 +173,7 @@ def test_big_integers_keep_low_64_bits(spark, tmp_dir):
     lines = ['{"l": 18446744073709551617}', '{"l": 9223372036854775808}',
              '{"l": 1' + "0" * 39 + '}', '{"l": -9223372036854775809}']
     v = _validated(spark, tmp_dir, lines, ALL)
-    got = {r.line: r.l for r in v.select("line", "l").collect()}
+    got = {r.line: r.l for r in validate.values(v, ALL).select("line", "doc.*").collect()}
     assert got == {1: 1, 2: -9223372036854775808, 3: 9223372036854775807, 4: 9223372036854775807}
 
 
@@ -192,3 +192,39 @@ def test_json_fields_repeated_keys_and_collections(spark, tmp_dir):
     assert [(r.position, r.field, r.json_type) for r in rows] == [
         (0, "a", "String"), (1, "b", "ArrayList"), (2, "c", "LinkedHashMap")]
     assert rows[0].value == "x"  # a repeated key keeps its first place and its last value
+
+
+def test_two_documents_on_a_line_are_refused(spark, tmp_dir):
+    lines = ['{"k": "a"} {"k": "b"}', '{"k": "a"},{"k": "b"}', '  {"k": "c"}  ', '{"k": "d"}]', '{"k": ["x"]} [']
+    v = _validated(spark, tmp_dir, lines, ALL)
+    got = {r.line: r.malformed for r in validate.values(v, ALL).collect()}
+    assert got == {1: "TRAILING_CONTENT", 2: "TRAILING_CONTENT", 3: None, 4: "TRAILING_CONTENT", 5: "TRAILING_CONTENT"}
+
+
+def test_field_names_that_look_like_internal_columns(spark, tmp_dir):
+    """NDJSON to a published and loaded version whose fields are called like the machinery's own columns."""
+    from lexidx.operators import artifact, index, search, versioning
+    fields = fields_of([(n, "keyword") for n in ("status", "line", "value", "keys", "j", "malformed")]
+                       + [("doc_id", "long"), ("field", "text"), ("term", "double")])
+    lines = ['{"status": "INVALID", "line": "7", "value": "v", "keys": "k", "j": "{}", "malformed": "yes", "doc_id": 70, '
+             '"field": "blue sky", "term": 1.5}', '{"status": "OK"}']
+    src = write_lines(tmp_dir, lines)
+    log = versioning.build_version(spark, src, fields, f"{tmp_dir}/st", "odd", 1, version_id="u")
+    built = [r for r in log.collect() if r.kind == "BUILT"]
+    assert [r.doc_count for r in built] == [2]
+    t = index.read(spark, artifact.data_path(spark, f"{tmp_dir}/st", "odd", 1))
+    row = {r.doc_id: r for r in t.stored.collect()}[1]
+    assert (row.status, row["line"], row.value, row["keys"], row.j, row.malformed) == ("INVALID", "7", "v", "k", "{}", "yes")
+    assert row["doc_id#field"] == 70 and row.field == "blue sky" and row.term == 1.5
+    assert [r.doc_id for r in search.term_lookup(t.postings, "field", "sky").collect()] == [1]
+    assert [r.doc_id for r in search.numeric_range(t.long_points, "doc_id", 70, 70).collect()] == [1]
+    bad = _validated(spark, tmp_dir, ['{"status": 5, "value": null}'], fields)
+    assert {r.message for r in validate.errors(bad, fields).collect()} == {
+        "Line 1: field 'status' expected keyword (string) but got Integer value '5'", "Line 1: field 'value' is null"}
+
+
+def test_validation_scans_the_text_without_joining_itself(spark, tmp_dir):
+    v = _validated(spark, tmp_dir, ['{"k": 5}'], ALL)
+    plan = validate.coerced(v, ALL[0])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Join") <= 3  # offsets of blocks and files only
+    assert [(r.value, r.message is not None) for r in validate.coerced(v, ALL[0]).collect()] == [(None, True)]
