@@ -25,8 +25,10 @@ G1_RULES = [
     (67, 6, "stock_maybe"),
     (61, 7, "tag_int"),
     (59, 8, "not_json"),
+    (53, 9, "two_docs"),
 ]
-G1_BAD_KINDS = ("bogus", "title_null", "count_nan", "stock_maybe", "tag_int", "not_json")
+G1_BAD_KINDS = ("bogus", "title_null", "count_nan", "stock_maybe", "tag_int", "not_json", "two_docs")
+TWO_DOCS = '{"title": "one"} {"title": "two"}'
 
 
 def _esc(c: Column) -> Column:
@@ -53,6 +55,7 @@ def g1_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
                    F.lit(', "price": '), F.col("p_retailprice").cast("string"),
                    F.lit(', "in_stock": '), stock, extra, F.lit("}"))
     value = (F.when(kd == "blank", F.when(k % 194 == 0, F.lit("")).otherwise(F.lit("   ")))
+             .when(kd == "two_docs", F.lit(TWO_DOCS))
              .when(kd == "not_json", F.concat(F.lit("not json "), k.cast("string")))
              .otherwise(obj))
     return p.select((k + 1).alias("line"), value.alias("value"), "kind")

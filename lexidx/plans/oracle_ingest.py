@@ -1,6 +1,6 @@
 """DuckDB oracles for the ingest and validation queries (G1 by arithmetic)."""
 
-from lexidx.plans.fixtures import G1_BAD_KINDS, G1_RULES
+from lexidx.plans.fixtures import G1_BAD_KINDS, G1_RULES, TWO_DOCS
 
 
 def _kind_sql() -> str:
@@ -16,6 +16,7 @@ G1 = f"""g1 AS (
 gl AS (
   SELECT *, CASE
     WHEN kind = 'blank' THEN CASE WHEN k % 194 = 0 THEN '' ELSE '   ' END
+    WHEN kind = 'two_docs' THEN '{TWO_DOCS}'
     WHEN kind = 'not_json' THEN 'not json ' || CAST(k AS VARCHAR)
     ELSE '{{"title": ' || CASE WHEN kind = 'title_null' THEN 'null' ELSE '"' || {ESC.format(x='p_name')} || '"' END
       || ', "tag": ' || CASE WHEN kind = 'tag_int' THEN '123' ELSE '"' || {ESC.format(x='p_brand')} || '"' END
@@ -27,7 +28,7 @@ gl AS (
                                  WHEN p_size % 2 = 0 THEN 'true' ELSE 'false' END
       || CASE WHEN kind = 'bogus' THEN ', "bogus": 1' ELSE '' END || '}}'
   END AS value FROM g1),
-obj AS (SELECT * FROM gl WHERE kind NOT IN ('blank', 'not_json')),
+obj AS (SELECT * FROM gl WHERE kind NOT IN ('blank', 'not_json', 'two_docs')),
 msgs AS (
   SELECT line, kind, CASE kind
     WHEN 'bogus' THEN 'bogus' WHEN 'title_null' THEN 'title' WHEN 'count_nan' THEN 'count'
@@ -38,7 +39,8 @@ msgs AS (
     WHEN 'count_nan' THEN 'Line ' || line || ': field ''count'' expected long but got String value ''not a number'''
     WHEN 'stock_maybe' THEN 'Line ' || line || ': field ''in_stock'' expected boolean but got String value ''maybe'''
     WHEN 'tag_int' THEN 'Line ' || line || ': field ''tag'' expected keyword (string) but got Integer value ''123'''
-    WHEN 'not_json' THEN 'Malformed JSON document' END AS message
+    WHEN 'not_json' THEN 'Malformed JSON document'
+    WHEN 'two_docs' THEN 'Trailing content after JSON document' END AS message
   FROM gl WHERE kind IN {G1_BAD_KINDS})"""
 
 INGEST_SQL = {
@@ -58,7 +60,8 @@ INGEST_SQL = {
              CASE WHEN kind = 'stock_TRUE' THEN 'TRUE' WHEN kind = 'stock_maybe' THEN 'maybe'
                   WHEN p_size % 2 = 0 THEN 'true' ELSE 'false' END FROM obj
       UNION ALL SELECT line, 5, 'bogus', 'Integer', '1' FROM obj WHERE kind = 'bogus'""",
-    "malformed_lines": f"WITH {G1} SELECT line, value, 'INVALID_JSON' AS reason FROM gl WHERE kind = 'not_json'",
+    "malformed_lines": f"""WITH {G1} SELECT line, value, CASE kind WHEN 'not_json' THEN 'INVALID_JSON' ELSE 'TRAILING_CONTENT' END AS reason
+      FROM gl WHERE kind IN ('not_json', 'two_docs')""",
     "unknown_fields": f"WITH {G1} SELECT line, field, message FROM msgs WHERE kind = 'bogus'",
     "null_fields": f"WITH {G1} SELECT line, field, message FROM msgs WHERE kind = 'title_null'",
     "type_mismatch_report": f"""WITH {G1} SELECT line, field, message FROM msgs
