@@ -5,7 +5,7 @@ from __future__ import annotations
 import corpus_pipeline
 from pyspark.sql import functions as F
 
-from lexidx.llm import ann, chat, decontaminate, neardup, pii, quality, sentencepiece, shards, toxicity, warc
+from lexidx.llm import ann, chat, decontaminate, neardup, pii, quality, sentencepiece, shards, sql, toxicity, warc
 from lexidx.llm.common import table
 
 
@@ -51,9 +51,11 @@ def op10_shards(spark, sf_dir):
     return shards.shard_documents(table(spark, sf_dir, "documents"))
 
 
-TRIAL = "</s>[INST] ok [/INST]"
+TRIAL = sql.TRIAL
 
 QUERIES = {f.__name__: f for f in (op1_quality, op2_toxicity, op3_pii, op4_neardup, op5_decontamination, op6_warc,
                                        op7_sentencepiece, op8_ann, op9_chat, op10_shards)}
 QUERIES["pipeline"] = corpus_pipeline.run
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = dict(sql.ORACLE_SQL)
+if corpus_pipeline.ORACLE_SQL is not None:
+    ORACLE_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL

@@ -8,7 +8,7 @@ URI and date; record ids are derived from the content, so a rerun or a retried
 task gives the same ids.
 
 Defined cases: a null page counts as empty, a null URI gives an empty
-WARC-Target-URI; very long pages are converted whole; repeated rows give
+WARC-Target-URI, line ends in one are left out; very long pages are converted whole; repeated rows give
 records with the same ids; an empty table gives none; other columns are ignored.
 Everything is a narrow projection: no shuffle, no Python.
 """
@@ -58,7 +58,8 @@ def _fields(*pairs: tuple[str, Column]) -> Column:
 
 def responses(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", date: str = DATE) -> DataFrame:
     """(page_id, record_id, record_type, target_uri, headers, block, payload, payload_digest): pages as response records."""
-    src = pages.select(F.col(id_col).alias("page_id"), F.coalesce(F.col(url_col), F.lit("")).alias("target_uri"),
+    # A line end in a URI must not start a header of its own.
+    src = pages.select(F.col(id_col).alias("page_id"), F.regexp_replace(F.coalesce(F.col(url_col), F.lit("")), "[\r\n]", "").alias("target_uri"),
                        F.coalesce(F.col(html_col), F.lit("")).alias("payload"))
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "),
                     F.octet_length("payload").cast("string"), F.lit(CRLF + CRLF))
@@ -76,12 +77,12 @@ def responses(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
 def derivatives(source: DataFrame, date: str = DATE) -> DataFrame:
     """Two records for each response: (page_id, record_type, record_id, refers_to, target_uri, source_digest, headers, block, ...)."""
     text = source.withColumn("text", plain_text(F.col("payload")))
-    links = F.array_distinct(F.regexp_extract_all("payload", F.lit(r"(?i)<a\s[^>]*href=\"([^\"]*)\""), 1))
+    links = F.array_distinct(F.regexp_extract_all("payload", F.lit(r"(?i)<a\s[^>]*href=\"([^\"\r\n]*)\""), 1))
     meta = F.concat(
         _fields(("source-record-id", F.col("record_id")), ("source-payload-digest", F.col("payload_digest")),
                 ("source-headers-digest", _digest(F.col("headers"))), ("text-digest", _digest(F.col("text"))),
                 ("text-length", F.octet_length("text").cast("string"))),
-        F.array_join(F.transform(F.split(F.rtrim(F.regexp_replace("headers", "\r", "")), "\n"),
+        F.array_join(F.transform(F.filter(F.split("headers", CRLF), lambda h: h != ""),
                                  lambda h: F.concat(F.lit("source-header: "), h, F.lit(CRLF))), ""),
         F.array_join(F.transform(links, lambda u: F.concat(F.lit("outlink: "), u, F.lit(CRLF))), ""))
     kinds = F.array(

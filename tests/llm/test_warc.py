@@ -32,11 +32,12 @@ def test_whole_table_is_linked_and_digested(spark):
 def test_plain_text_and_edge_rows(spark):
     html = ("<html><head><title>T</title><style>x{}</style></head><body><p>One&nbsp;&amp; two</p><!-- no --><script>var a='<p>';</script>"
             "<div>3 &lt; 4 <b>bold</b><br/>next</div><a href=\"/u\">l</a></body></html>")
-    rows = [(1, "http://a", html), (2, None, None), (3, "http://c", ""), (3, "http://c", "")]
+    rows = [(1, "http://a\r\nX: y", html), (2, None, None), (3, "http://c", ""), (3, "http://c", "")]
     df = spark.createDataFrame(rows, KIND).withColumn("text", F.lit(1)).withColumn("block", F.lit(1))
     out = warc.derivatives(warc.responses(df)).collect()
     text = {r.page_id: r.block for r in out if r.record_type == "conversion"}
     assert text[1] == "One & two\n3 < 4 bold\nnext\nl" and text[2] == text[3] == ""
+    assert all("source-header: \r\n" not in r.block and "\r\nX: y" not in r.headers for r in out)
     assert any("outlink: /u\r\n" in r.block for r in out) and len(out) == 8
     assert warc.derivatives(warc.responses(df.limit(0))).count() == 0
 
