@@ -8,24 +8,34 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexidx.session import scratch_path, table_path
+from lexidx.session import delete_path, scratch_path, table_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(table_path(sf_dir, name))
 
 
-def staged(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+def staged(spark: SparkSession, df: DataFrame, name: str, written: list[str] | None = None) -> DataFrame:
     """Write ``df`` below the shared checkpoint folder and read it back.
 
     Cuts the lineage like ``checkpoint()`` and lets later passes read only the
     columns they need; a lost executor costs no recomputation of what came before.
+    The path is added to ``written`` for callers that can tell when it is no longer read.
     """
     path = scratch_path(spark, name)
     df.write.parquet(path)
+    if written is not None:
+        written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, written: list[str]) -> None:
+    """Remove staged tables that nothing reads any more."""
+    for path in written:
+        delete_path(spark, path)
+    written.clear()
+
+
 SLICE_ROWS = 1000
 
 

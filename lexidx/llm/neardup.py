@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexidx.llm.common import per_batch, sliced, staged
+from lexidx.llm.common import discard, per_batch, sliced, staged
 
 COORDINATES = 64
 MISS = 1e-6
@@ -310,21 +310,25 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """
     spark = links.sparkSession
     edges = staged(spark, links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "neardup-edges")
+    written: list[str] = []
     for _ in range(rounds):
+        before = list(written)
         # Large star: every larger neighbour of a node is tied to the node's smallest neighbour (or itself).
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = staged(spark, both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "neardup-large")
+        large = staged(spark, both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "neardup-large", written)
         # Small star: a node's smaller neighbours and itself are tied to the smallest of them.
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .union(low.select("u", F.col("m").alias("v"))).distinct())
-        small = staged(spark, small, "neardup-small")
+        small = staged(spark, small, "neardup-small", written)
         now = small.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         was = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         edges = small
         if now == was:
             break
+        del written[:len(before)]
+        discard(spark, before)  # this round's tables are written, those before no longer read
     return edges.select(F.col("u").alias("cid"), F.col("v").alias("component")).union(
         edges.select(F.col("v").alias("cid"), F.col("v").alias("component")).distinct())
 
@@ -333,40 +337,42 @@ def near_copies(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100,
                 text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row; similarity at least num / den."""
     spark = docs.sparkSession
+    written: list[str] = []  # tables that only the way to the components needs
     least = least_collisions(COORDINATES, num / den)
     sigs = staged(spark, signatures(docs, words, id_col, text_col), "neardup-signatures")
     named = sigs.where("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "fp1", "fp2").agg(F.min("doc_id").cast("long").alias("cid"))
     named = staged(spark, named, "neardup-classes")
     classes = staged(spark, named.join(
         sigs.select(F.col("doc_id").cast("long").alias("cid"), "n_shingles", "fp1", "fp2", "sig"), ["cid", "n_shingles", "fp1", "fp2"])
-        .dropDuplicates(["cid", "fp1", "fp2"]).select("cid", F.col("n_shingles").alias("n"), "sig"), "neardup-class-sigs")
+        .dropDuplicates(["cid", "fp1", "fp2"]).select("cid", F.col("n_shingles").alias("n"), "sig"), "neardup-class-sigs", written)
     counts = token_counts(classes)
-    posted = staged(spark, posts(classes, counts, least), "neardup-posts")
+    posted = staged(spark, posts(classes, counts, least), "neardup-posts", written)
 
     first = posted.groupBy("token").agg(F.min("cid").alias("a"), F.max("cid").alias("last")).where("a <> last").select("token", "a")
     pairs = (posted.join(first, "token").where("cid <> a").select("a", F.col("cid").alias("b")).distinct())
-    pairs = staged(spark, _enough_collisions(pairs, classes, least), "neardup-pairs")
-    sets = staged(spark, class_sets(docs, _ends(pairs).distinct(), words, id_col, text_col), "neardup-sets")
-    links = staged(spark, similar_pairs(pairs, sets, num, den), "neardup-links")
-    part = staged(spark, components(links), "neardup-parts")
+    pairs = staged(spark, _enough_collisions(pairs, classes, least), "neardup-pairs", written)
+    sets = staged(spark, class_sets(docs, _ends(pairs).distinct(), words, id_col, text_col), "neardup-sets", written)
+    links = staged(spark, similar_pairs(pairs, sets, num, den), "neardup-links", written)
+    part = staged(spark, components(links), "neardup-parts", written)
 
     tied = posted.join(part.withColumnRenamed("cid", "c"), F.col("cid") == F.col("c"), "left").select(
         "token", "cid", "n", F.coalesce("component", "cid").alias("component"))
     mixed = (tied.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("posts"))
              .where("lo <> hi").select("token", (F.col("posts") > LONG_LIST).alias("long")))
-    open_posts = staged(spark, tied.join(mixed, "token"), "neardup-open")
+    open_posts = staged(spark, tied.join(mixed, "token"), "neardup-open", written)
     short = open_posts.where("not long")
     left = short.select("token", F.col("cid").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
     right = short.select("token", F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
     across = (left.join(right, "token").where("ca < cb")
               .where((F.col("na") * den >= F.col("nb") * num) & (F.col("nb") * den >= F.col("na") * num)).select("a", "b").distinct())
-    across = staged(spark, _enough_collisions(across, classes, least), "neardup-across")
+    across = staged(spark, _enough_collisions(across, classes, least), "neardup-across", written)
     open_long = open_posts.where("long").select("token", "cid", "n", "component")
     wanted = _ends(across).union(open_long.select("cid")).distinct()
-    sets = staged(spark, class_sets(docs, wanted, words, id_col, text_col), "neardup-more-sets")
+    sets = staged(spark, class_sets(docs, wanted, words, id_col, text_col), "neardup-more-sets", written)
     more = similar_pairs(across, sets, num, den).union(merged_blocks(open_long, classes, sets, counts, least, num, den))
     # Contract what the first pass found: its components are stars now.
     merged = staged(spark, components(more.union(part.select(F.col("cid").alias("a"), F.col("component").alias("b")))), "neardup-components")
+    discard(spark, written)
     member = named.join(merged, "cid", "left").select("n_shingles", "fp1", "fp2", F.coalesce("component", "cid").alias("component"))
     out = sigs.drop("sig").join(member, ["n_shingles", "fp1", "fp2"], "left").withColumn(
         "own", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.coalesce("component", F.col("doc_id").cast("long")))

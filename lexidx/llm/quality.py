@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexidx.llm.common import bounded_sample, held_out, labels_of, per_batch, staged
+from lexidx.llm.common import bounded_sample, discard, held_out, labels_of, per_batch, staged
 
 TRAIN_ROWS = 200_000
 FEATURES = 256
@@ -135,9 +135,10 @@ def isotonic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarr
 def fit(features: DataFrame, labels: DataFrame, column: str = "quality", train_rows: int = TRAIN_ROWS) -> Model | None:
     """Fit on the labelled rows of ``features`` (doc_id, stats) that are not held out; None without any."""
     spark = features.sparkSession
+    written: list[str] = []
     chosen = bounded_sample(labels_of(labels, column), train_rows)
     train = staged(spark, features.where(~held_out()).join(chosen, "doc_id")
-                   .select("stats", "y", F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)).cast("int").alias("fold")), "quality-train")
+                   .select("stats", "y", F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)).cast("int").alias("fold")), "quality-train", written)
 
     def moments(batches):
         n, s, q = 0, np.zeros(N_STATS), np.zeros(N_STATS)
@@ -202,6 +203,7 @@ def fit(features: DataFrame, labels: DataFrame, column: str = "quality", train_r
              .agg(F.avg("y").alias("y"), F.count("*").alias("n")).orderBy("bin").collect())  # 3 * GRID + 1 rows at most
     model.steps = isotonic(*(np.array([r[c] for r in table], float) for c in ("bin", "y", "n")))
     model.steps = ((model.steps[0] + 0.5) / GRID, model.steps[1])
+    discard(spark, written)
     return model
 
 
@@ -233,8 +235,10 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
 
     The texts are read twice: once to fit, once to score and filter row by row, so no text is shuffled.
     """
-    features = staged(docs.sparkSession, with_statistics(docs, id_col, text_col), "quality-stats")
+    written: list[str] = []
+    features = staged(docs.sparkSession, with_statistics(docs, id_col, text_col), "quality-stats", written)
     model = fit(features, labels, train_rows=train_rows)
+    discard(docs.sparkSession, written)
     if model is None:
         return docs
     t = docs.columns.index(text_col)
