@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexidx.llm.common import bounded_sample, held_out, labels_of, sliced
+from lexidx.llm.common import bounded_sample, held_out, labels_of, sliced, staged
 
 TRAIN_ROWS = 30_000
 TERMS = 256
@@ -104,7 +104,8 @@ def choose_terms(train: DataFrame, terms: int = TERMS) -> list[int]:
             ["term", "pos", "neg"])
 
     counts = train.mapInArrow(counted, "term long, pos long, neg long").groupBy("term").agg(
-        F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+        F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).where((F.col("pos") >= LEAST_TOXIC) | (F.col("term") == -1))
+    counts = staged(train.sparkSession, counts, "toxicity-terms")
     both = counts.where("term = -1").collect()
     if not both or not both[0]["pos"] or not both[0]["neg"]:
         return []
@@ -112,7 +113,7 @@ def choose_terms(train: DataFrame, terms: int = TERMS) -> list[int]:
     share = (F.col("pos") + F.col("neg")) / F.lit(n_pos + n_neg)
     excess = ((F.col("pos") / F.lit(n_pos) - F.col("neg") / F.lit(n_neg))
               / F.sqrt(share * (1 - share) * F.lit(1 / n_pos + 1 / n_neg) + F.lit(1e-12)))
-    return [r["term"] for r in counts.where((F.col("term") >= 0) & (F.col("pos") >= LEAST_TOXIC))
+    return [r["term"] for r in counts.where("term >= 0")
             .select("term", excess.alias("excess")).where("excess > 3").orderBy(F.desc("excess"), "term").limit(terms).collect()]
 
 
