@@ -36,10 +36,10 @@ def plain_text(html: Column) -> Column:
     c = F.regexp_replace(c, rf"(?i)</?({BREAKING})(\s[^>]*)?/?>", "\n")
     c = F.regexp_replace(c, r"<[/!?A-Za-z][^>]*>", "")
     for name, char in ENTITIES:
-        c = F.regexp_replace(c, name, char)
+        c = F.replace(c, F.lit(name), F.lit(char))
     c = F.regexp_replace(c, r"[ \t\r\f]+", " ")
     c = F.regexp_replace(c, r" ?\n[ \n]*", "\n")
-    return F.trim(F.regexp_replace(c, r"^\n|\n$", ""))
+    return F.trim(F.btrim(c, F.lit("\n")))
 
 
 def _uuid(*parts: Column) -> Column:
