@@ -232,20 +232,22 @@ def search(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vec
         candidates = candidates.sort_by("vec_id")
         ids, x = candidates.column("vec_id").to_numpy(), _matrix(candidates.column("vec").combine_chunks())
         q_ids, q = queries.column("vec_id").to_numpy(), _matrix(queries.column("vec").combine_chunks())
-        ux = _unit(x)
-        out = []
+        ux, found = _unit(x), []
         for at in range(0, len(q), 128):
-            rough = _unit(q[at:at + 128]) @ ux.T
-            rough[q_ids[at:at + 128, None] == ids[None, :]] = -9
-            for j, row in enumerate(rough):
-                bar = np.partition(row, len(row) - k)[len(row) - k] if len(row) > k else -8
-                near = np.flatnonzero((row >= bar - 1e-9) & (row > -9))
-                exact = cosines(np.repeat(q[at + j][None, :], len(near), axis=0), x[near])
-                for i in np.lexsort((ids[near], -exact))[:k]:
-                    out.append((q_ids[at + j], ids[near[i]], exact[i]))
-        cols = list(zip(*out)) if out else [[], [], []]
-        return pa.table({"query_id": pa.array(cols[0], pa.int64()), "vec_id": pa.array(cols[1], pa.int64()),
-                         "score": pa.array(cols[2], pa.float64())})
+            block, block_ids = q[at:at + 128], q_ids[at:at + 128]
+            rough = _unit(block) @ ux.T
+            rough[block_ids[:, None] == ids[None, :]] = -9
+            bar = np.partition(rough, len(ids) - k, axis=1)[:, len(ids) - k] if len(ids) > k else np.full(len(block), -8.0)
+            # Exact scores of all that may be among the k best, ties included.
+            row, col = np.nonzero((rough >= bar[:, None] - 1e-9) & (rough > -9))
+            exact = cosines(block[row], x[col])
+            order = np.lexsort((ids[col], -exact, row))
+            row, col, exact = row[order], col[order], exact[order]
+            rank = np.arange(len(row)) - np.searchsorted(row, row)
+            best = rank < k
+            found.append((block_ids[row[best]], ids[col[best]], exact[best]))
+        cols = [np.concatenate(c) for c in zip(*found, strict=True)]
+        return pa.table({"query_id": pa.array(cols[0]), "vec_id": pa.array(cols[1]), "score": pa.array(cols[2])})
 
     keys = ["list", "part", "turn"]
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(best_of, "query_id long, vec_id long, score double")
