@@ -4,7 +4,7 @@ Documents are linked through hubs (here: equal texts). Every document starts in
 the shard its hash names. In each round a hub counts the votes of its
 documents' shards; documents want to move to the shard where most of their
 neighbours are. A shard takes newcomers up to its quota (its even share plus a
-slack, less what stays); where more want in, a hash of the document decides
+slack, less the linked rows that stay); where more want in, a hash of the document decides
 who moves, in that proportion. At last the law ``rows`` is enforced exactly:
 shards with more rows than their share hand over rows that cut no link first,
 until counts are at most one apart. No list of a hub's documents is ever built:
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from lexidx.llm.common import staged
 
 SHARDS = 8
-ROUNDS = 5
+ROUNDS = 3
 SLACK = 0.05
 BUCKET_ROWS = 20_000
 
@@ -60,9 +60,10 @@ def propagate(nodes: DataFrame, shards: int, rounds: int, slack: float) -> DataF
                 .withColumn("linked", F.col("wanted").isNotNull())
                 .withColumn("wanted", F.coalesce("wanted", "shard")))
         want = staged(nodes.sparkSession, want, f"shards-round-{r}")
-        # One row per pair of shards: who stays, who wants in.
-        flows = want.groupBy("shard", "wanted").agg(F.count("*").alias("n")).collect()
-        stay = [sum(f["n"] for f in flows if f["shard"] == f["wanted"] == s) for s in range(shards)]
+        # A few rows per pair of shards: who stays, who wants in. Rows without links hold no place:
+        # they yield to newcomers when counts are evened out.
+        flows = want.groupBy("shard", "wanted", "linked").agg(F.count("*").alias("n")).collect()
+        stay = [sum(f["n"] for f in flows if f["linked"] and f["shard"] == f["wanted"] == s) for s in range(shards)]
         enter = [sum(f["n"] for f in flows if f["shard"] != f["wanted"] == s) for s in range(shards)]
         quota = (1 + slack) * sum(f["n"] for f in flows) / shards
         open_share = [min(1.0, max(0.0, quota - stay[s]) / enter[s]) if enter[s] else 1.0 for s in range(shards)]
