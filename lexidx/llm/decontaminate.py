@@ -1,15 +1,20 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
-
-1. A pass over the whole corpus counts in how many texts each n-gram of the test
-   items occurs (the counts have at most one row per n-gram of the items).
-2. A copy is expected to keep at least ``kept`` of an item's n-grams. So it must
-   hold one of the item's G - ceil(kept * G) + 1 rarest n-grams: these are the
-   item's seeds. However often an item is copied, its own rarest ones stay seeds.
-3. A second pass joins texts to items through the seeds by hash look-up. Seed
-   hits close to each other mark a passage of the text; passages with enough of
-   the item's n-grams are aligned with the item, word by word, by Smith-Waterman
-   (match 2, mismatch -1, gap -1). A score of at least ``least`` of the item's
-   perfect score is a leak.
+"""Benchmark decontamination: pairs of near words as seeds, then Smith-Waterman alignment.
+
+1. A leak is a Smith-Waterman alignment of an item's L words with a passage (match
+   2, mismatch -1, gap -1) whose score is at least ``least`` of the perfect 2L; call
+   the lowest such score t. With m matches and e errors 2m - e >= t, so of the m - 1
+   steps from a match to the next at most m - ceil(t / 2) hold two errors or more,
+   and at least ceil(t / 2) - 1 hold one or none. Such a step ties a word of the
+   item to one of the two words after it, and so it does in the text. Hence a leak
+   touches at least ceil(t / 2) - 1 places of the item (words that start such a
+   pair), all in at most 3L - t words of the text, however the copy was edited.
+2. A pass over the whole corpus counts in how many texts each pair of the items
+   occurs (at most two rows per word of the items). An item's seeds are its places
+   but for the most frequent ones; half of the number a leak needs may be left
+   out, so a text has to touch the other half among the seeds.
+3. A second pass joins texts to items through the seeds by hash look-up. Stretches
+   of the text that touch enough places of the item are aligned with it, word by
+   word. No score of ``least`` goes unseen.
 
 Texts never move: items travel to them in blocks of at most ``BLOCK_WORDS``
 words, each block with passes of its own, so the broadcast has a fixed bound
@@ -18,16 +23,16 @@ however large the benchmark is.
 Words are runs of letters, digits and underscores, lower-cased. Defined cases:
 null, empty and wordless texts and items match nothing; very long texts are
 read whole, passage by passage; several copies of an item in one text give one
-row with the best of them (ties: the first); items with fewer words than an
-n-gram use one n-gram of their whole length; repeated items or rows each count;
-empty tables give no rows; other columns are ignored.
+row with the best of them (ties: the first); items so short that one matching word
+reaches ``least`` (one or two words at 0.4) use their single words as seeds;
+repeated items or rows each count; empty tables give no rows; other columns are
+ignored.
 """
 
 from __future__ import annotations
 
 import re
 from collections import defaultdict
-from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +41,6 @@ from pyspark.sql import functions as F
 
 from lexidx.llm.common import per_batch, sliced
 
-NGRAM = 3
-KEPT = 0.1
 LEAST = 0.4
 BLOCK_WORDS = 2_000_000
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -48,14 +51,27 @@ def words_of(text: str | None) -> list[str]:
     return _WORD.findall(text.lower()) if text else []
 
 
+def _grouped(keys: np.ndarray, values: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The values by key: those of key j lie from starts[j] to starts[j + 1]."""
+    return np.concatenate(([0], np.cumsum(np.bincount(keys, minlength=n)))), values[np.argsort(keys, kind="stable")]
+
+
+def _of(keys: np.ndarray, starts: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All values of the keys, and for each the place of its key in ``keys``."""
+    n = starts[keys + 1] - starts[keys]
+    source = np.repeat(np.arange(len(keys)), n)
+    return values[np.arange(len(source)) + np.repeat(starts[keys] - np.cumsum(n) + n, n)], source
+
+
 class Items:
-    """A block of test items with their n-grams; what is shipped to the texts.
+    """A block of test items with the pairs at their places; what is shipped to the texts.
 
-    Words of the items have codes from 1; an n-gram is the number its codes
-    spell in base (words + 1), which fits 64 bits for blocks of BLOCK_WORDS.
+    Words of the items have codes from 1; a pair is the number its codes spell in
+    base (words + 1), which fits 64 bits for blocks of BLOCK_WORDS; a single word is
+    its code. Places are numbered through all items.
     """
 
-    def __init__(self, rows: list[tuple[int, str]], n: int = NGRAM):
+    def __init__(self, rows: list[tuple[int, str]], least: float = LEAST):
         self.ids = [i for i, _ in rows]
         words = [words_of(t) for _, t in rows]
         self.code: dict[str, int] = {}
@@ -64,58 +80,61 @@ class Items:
                 self.code.setdefault(w, len(self.code) + 1)
         self.base = len(self.code) + 1
         self.coded = [self.encode(ws) for ws in words]
-        keys = [self._keys(c, min(n, len(c))) for c in self.coded]
-        self.lengths = sorted({min(n, len(c)) for c in self.coded if len(c)})
-        # (length, key) pairs in order; an n-gram's number is its place among them
-        pairs = sorted({(min(n, len(c)), k) for c, ks in zip(self.coded, keys, strict=True) for k in ks.tolist()})
-        number = {p: j for j, p in enumerate(pairs)}
-        self.grams = [list(dict.fromkeys(number[min(n, len(c)), k] for k in ks.tolist()))
-                      for c, ks in zip(self.coded, keys, strict=True)]
-        self.tables = {m: (np.array([k for x, k in pairs if x == m], np.int64),
-                           np.array([j for j, (x, _) in enumerate(pairs) if x == m], np.int64)) for m in self.lengths}
-        self.by_number: list[list[int]] = [[] for _ in pairs]
-        for i, gs in enumerate(self.grams):
-            for j in gs:
-                self.by_number[j].append(i)
-
-    def needed(self, k: int, kept: float) -> int:
-        return max(1, ceil(kept * len(self.grams[k])))
+        full = [MATCH * len(c) for c in self.coded]
+        lowest = [next((s for s in range(max(0, int(least * f) - 1), f + 1) if s / f >= least), f + 1) if f else 0 for f in full]
+        steps = [-(-t // 2) - 1 for t in lowest]
+        self.needed = np.array([max(1, n) for n in steps], np.int64)
+        self.reach = [3 * len(c) - t for c, t in zip(self.coded, lowest, strict=True)]
+        self.first = np.concatenate(([0], np.cumsum([len(c) for c in self.coded]))).astype(np.int64)
+        self.owner = np.repeat(np.arange(len(rows)), [len(c) for c in self.coded])
+        keys, places = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for k, (c, n) in enumerate(zip(self.coded, steps, strict=True)):
+            for apart in (1, 2) if n > 0 else (0,):
+                keys.append(self._keys(c, apart))
+                places.append(self.first[k] + np.arange(len(keys[-1])))
+        keys, places = np.concatenate(keys), np.concatenate(places)
+        self.keys, number = np.unique(keys, return_inverse=True)
+        self.singles = bool((keys < self.base).any())
+        self.starts, self.places = _grouped(number, places, len(self.keys))
+        self.key_starts, self.numbers = _grouped(places, number, len(self.owner))
 
     def encode(self, words: list[str]) -> np.ndarray:
         """Codes of the words, 0 for words of no item."""
         get = self.code.get
         return np.array([get(w, 0) for w in words], np.int64)
 
-    def _keys(self, coded: np.ndarray, n: int) -> np.ndarray:
-        if not n or len(coded) < n:
-            return np.zeros(0, np.int64)
-        out = coded[:len(coded) - n + 1].copy()
-        for j in range(1, n):
-            out = out * self.base + coded[j:len(coded) - n + 1 + j]
-        return out
+    def _keys(self, coded: np.ndarray, apart: int) -> np.ndarray:
+        return coded[:len(coded) - apart] * self.base + coded[apart:] if apart else coded
 
     def hits(self, coded: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Positions and numbers of the items' n-grams in a text, in order of position."""
+        """Positions and numbers of the items' pairs in a text, in order of position."""
         at, numbers = [], []
-        for n in self.lengths:
-            if len(coded) < n:
+        for apart in (0, 1, 2) if self.singles else (1, 2):
+            if len(coded) <= apart or not len(self.keys):
                 continue
-            known = coded[:len(coded) - n + 1] > 0
-            for j in range(1, n):
-                known &= coded[j:len(coded) - n + 1 + j] > 0
-            places = np.flatnonzero(known)
-            keys, number = self.tables[n]
-            mine = self._keys(coded, n)[places]
-            k = np.minimum(np.searchsorted(keys, mine), len(keys) - 1)
-            same = keys[k] == mine
-            at.append(places[same])
-            numbers.append(number[k[same]])
+            known = np.flatnonzero((coded[:len(coded) - apart] > 0) & (coded[apart:] > 0))
+            mine = self._keys(coded, apart)[known]
+            k = np.minimum(np.searchsorted(self.keys, mine), len(self.keys) - 1)
+            same = self.keys[k] == mine
+            at.append(known[same])
+            numbers.append(k[same])
         if not at:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         at, numbers = np.concatenate(at), np.concatenate(numbers)
-        order = np.lexsort((numbers, at))
+        order = np.argsort(at, kind="stable")
         return at[order], numbers[order]
 
+    def touched(self, k: int, at: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The positions of a text that touch places of item k, in order, and the places."""
+        lo, hi = self.key_starts[self.first[k]], self.key_starts[self.first[k + 1]]
+        own = np.repeat(np.arange(len(self.coded[k])), np.diff(self.key_starts[self.first[k]:self.first[k + 1] + 1]))
+        mine, local = np.unique(self.numbers[lo:hi], return_inverse=True)
+        starts, places = _grouped(local, own, len(mine))
+        j = np.minimum(np.searchsorted(mine, numbers), len(mine) - 1)
+        same = mine[j] == numbers
+        places, source = _of(j[same], starts, places)
+        return at[same][source], places
+
 
 def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int]:
     """Smith-Waterman over word codes: best score, start and end (exclusive) in the passage.
@@ -149,33 +168,35 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int]:
 
 
 class Finder:
-    """Matches texts with a block of items, given each item's seeds."""
-
-    def __init__(self, items: Items, seeds: list[set[int]], kept: float, least: float):
-        self.items, self.kept, self.least = items, kept, least
-        self.seed_of = defaultdict(list)
-        for k, numbers in enumerate(seeds):
-            for j in numbers:
-                self.seed_of[j].append(k)
+    """Matches texts with a block of items, given how many texts hold each of their pairs."""
+
+    def __init__(self, items: Items, counts: np.ndarray, least: float):
+        self.items, self.least = items, least
+        # A place is as frequent as its pairs together; each item leaves out its most frequent ones.
+        often = np.bincount(np.repeat(np.arange(len(items.owner)), np.diff(items.key_starts)), counts[items.numbers], len(items.owner))
+        left_out = items.needed // 2
+        order = np.lexsort((-often, items.owner))
+        seed = np.empty(len(order), bool)
+        seed[order] = np.arange(len(order)) - items.first[items.owner] >= left_out[items.owner]
+        self.least_seeds = items.needed - left_out
+        numbers = np.repeat(np.arange(len(items.keys)), np.diff(items.starts))
+        kept = seed[items.places]
+        self.starts, self.seeds = _grouped(numbers[kept], items.places[kept], len(items.keys))
 
     def __call__(self, text: str | None) -> list[tuple[int, float, int, int]]:
         """(item, score, first word, end word) of every item that leaks into the text."""
         items = self.items
         coded = items.encode(words_of(text))
         at, numbers = items.hits(coded)
-        candidates = {k for j in set(numbers.tolist()) for k in self.seed_of.get(j, ())}
-        if not candidates:
+        if not len(at):
             return []
-        places: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for p, j in zip(at.tolist(), numbers.tolist(), strict=True):
-            for k in items.by_number[j]:
-                if k in candidates:
-                    places[k].append((p, j))
+        seeds = np.unique(_of(np.unique(numbers), self.starts, self.seeds)[0])
+        ks, n = np.unique(items.owner[seeds], return_counts=True)
         out = []
-        for k in sorted(places):
+        for k in ks[n >= self.least_seeds[ks]].tolist():
             full = MATCH * len(items.coded[k])
             best = (0.0, 0, 0)
-            for lo, hi in self._passages(k, places[k], len(coded)):
+            for lo, hi in self._passages(k, *items.touched(k, at, numbers), len(coded)):
                 s, b, e = align(items.coded[k], coded[lo:hi])
                 if s / full > best[0]:
                     best = (s / full, lo + b, lo + e)
@@ -183,25 +204,26 @@ class Finder:
                 out.append((k, *best))
         return out
 
-    def _passages(self, k: int, places: list[tuple[int, int]], n_words: int) -> list[tuple[int, int]]:
-        """Stretches of the text around windows of 1.5 item lengths that hold enough distinct n-grams of the item."""
-        length = len(self.items.coded[k])
-        reach = length + length // 2
-        need = self.items.needed(k, self.kept)
+    def _passages(self, k: int, at: np.ndarray, places: np.ndarray, n_words: int) -> list[tuple[int, int]]:
+        """Stretches of the text around windows that touch enough distinct places of the item."""
+        reach, need = self.items.reach[k], int(self.items.needed[k])
+        if (np.arange(1, len(at) + 1) - np.searchsorted(at, at - reach) < need).all():
+            return []
         inside: dict[int, int] = defaultdict(int)
         spans: list[list[int]] = []
         left = 0
-        for at, j in places:
+        at, places = at.tolist(), places.tolist()
+        for p, j in zip(at, places, strict=True):
             inside[j] += 1
-            while places[left][0] < at - reach:
-                old = places[left][1]
+            while at[left] < p - reach:
+                old = places[left]
                 inside[old] -= 1
                 if not inside[old]:
                     del inside[old]
                 left += 1
             if len(inside) >= need:
-                lo, hi = max(0, at - reach - length), min(n_words, at + length + reach)
-                if spans and lo <= spans[-1][1] and hi - spans[-1][0] <= 8 * (length + reach):
+                lo, hi = max(0, p - reach), min(n_words, p + reach)
+                if spans and lo <= spans[-1][1] and hi - spans[-1][0] <= 8 * reach:
                     spans[-1][1] = hi
                 else:
                     spans.append([lo, hi])
@@ -227,8 +249,8 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str):
         yield block
 
 
-def _finder(docs: DataFrame, items: Items, kept: float, least: float, text_col: str) -> Finder:
-    """Count the items' n-grams over all texts and choose each item's rarest as seeds."""
+def _finder(docs: DataFrame, items: Items, least: float, text_col: str) -> Finder:
+    """Count the items' pairs over all texts, from which each item's seeds follow."""
     shipped = docs.sparkSession.sparkContext.broadcast(items)
 
     def counted(batches):
@@ -237,20 +259,17 @@ def _finder(docs: DataFrame, items: Items, kept: float, least: float, text_col:
             for text in batch.column(0).to_pylist():
                 for j in np.unique(block.hits(block.encode(words_of(text)))[1]).tolist():
                     total[j] += 1
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], ["gram", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], ["pair", "n"])
 
-    rows = (docs.select(F.col(text_col).alias("text")).mapInArrow(counted, "gram long, n long")
-            .groupBy("gram").agg(F.sum("n").alias("n")).toArrow())
-    count = dict(zip(rows.column("gram").to_pylist(), rows.column("n").to_pylist(), strict=True))
-    seeds = []
-    for k, gs in enumerate(items.grams):
-        order = sorted(gs, key=lambda j: (count.get(j, 0), j))
-        seeds.append(set(order[:len(order) - items.needed(k, kept) + 1]))
-    return Finder(items, seeds, kept, least)
+    rows = (docs.select(F.col(text_col).alias("text")).mapInArrow(counted, "pair long, n long")
+            .groupBy("pair").agg(F.sum("n").alias("n")).toArrow())
+    counts = np.zeros(len(items.keys), np.int64)
+    counts[rows.column("pair").to_numpy()] = rows.column("n").to_numpy()
+    return Finder(items, counts, least)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
-          item_text_col: str = "text", kept: float = KEPT, least: float = LEAST) -> DataFrame:
+          item_text_col: str = "text", least: float = LEAST) -> DataFrame:
     """(doc_id, item_id, score, start_word, end_word): one row for each item that leaks into a document."""
     spark = docs.sparkSession
     src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
@@ -258,7 +277,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
               "start_word int, end_word int")
     out = spark.createDataFrame([], schema)
     for block in _blocks(benchmark, item_col, item_text_col):
-        shipped = spark.sparkContext.broadcast(_finder(docs, Items(block), kept, least, text_col))
+        shipped = spark.sparkContext.broadcast(_finder(docs, Items(block, least), least, text_col))
 
         def run(batch: pa.RecordBatch, shipped=shipped) -> pa.RecordBatch:
             find = shipped.value
@@ -277,11 +296,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     return out
 
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", kept: float = KEPT, least: float = LEAST) -> DataFrame:
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", least: float = LEAST) -> DataFrame:
     """The rows of ``docs``, unchanged, into which no test item leaks."""
     t = docs.columns.index(text_col)
     for block in _blocks(benchmark, "item_id", "text"):
-        shipped = docs.sparkSession.sparkContext.broadcast(_finder(docs, Items(block), kept, least, text_col))
+        shipped = docs.sparkSession.sparkContext.broadcast(_finder(docs, Items(block, least), least, text_col))
 
         def run(batch: pa.RecordBatch, shipped=shipped) -> pa.RecordBatch:
             find = shipped.value

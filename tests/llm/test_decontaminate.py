@@ -78,3 +78,52 @@ def test_blocks_change_nothing_and_empty_tables(spark, monkeypatch):
     assert {tuple(r) for r in dec.leaks(docs(spark, texts), bench).collect()} == whole
     assert dec.leaks(docs(spark, texts), bench.limit(0)).count() == 0
     assert dec.leaks(docs(spark, texts).limit(0), bench).count() == 0
+
+
+def test_no_alignment_goes_unseen():
+    """Copies edited at regular and random places, against plain alignment of the whole text."""
+    rnd = random.Random(5)
+    vocabulary = [f"v{i}" for i in range(60)]
+    say = lambda n: [rnd.choice(vocabulary) for _ in range(n)]
+    items = [say(rnd.randint(1, 40)) for _ in range(25)]
+
+    def edits(ws):
+        yield [v for w in ws for v in (w, "zz")]  # a word after every word
+        yield [v for i, w in enumerate(ws) for v in ([w, "zz"] if i % 2 else [w])]
+        yield ["zz" if i % 3 == 2 else w for i, w in enumerate(ws)]
+        yield ["zz" if i % 2 else w for i, w in enumerate(ws)]
+        yield [w for i, w in enumerate(ws) if i % 2]
+        for rate in (0.2, 0.3, 0.4):
+            yield [v for w in ws for v in rnd.choice([[w]] if rnd.random() > rate else [[], ["zz"], [w, rnd.choice(vocabulary)]])]
+
+    texts = [say(rnd.randint(0, 30)) + e + say(rnd.randint(0, 30)) for ws in items for e in edits(ws)] + [say(400) for _ in range(5)]
+    for least in (0.25, dec.LEAST, 0.7):
+        block = dec.Items([(i, " ".join(ws)) for i, ws in enumerate(items)], least)
+        counts = np.zeros(len(block.keys), np.int64)
+        for ws in texts:
+            counts[np.unique(block.hits(block.encode(ws))[1])] += 1
+        find, near = dec.Finder(block, counts, least), 0
+        for ws in texts:
+            coded = block.encode(ws)
+            scores = [dec.align(c, coded)[0] / (dec.MATCH * len(c)) for c in block.coded]
+            assert {k: s for k, s, _, _ in find(" ".join(ws))} == {k: s for k, s in enumerate(scores) if s >= least}
+            near += sum(least <= s < least + 0.1 for s in scores)
+        assert near > 10
+
+
+def test_copies_that_leave_no_run_of_three_words(spark):
+    rows = spark.read.parquet(f"{SF_SMALL}/benchmark.parquet").orderBy("item_id").collect()
+    items = [dec.words_of(r.text) for r in rows]
+    inserted = [" ".join(w if i % 2 == 0 else w + " zzz" for i, w in enumerate(ws)) for ws in items]
+    replaced = [" ".join(w if i % 3 != 2 else "zzz" for i, w in enumerate(ws)) for ws in items]
+    texts = spark.createDataFrame([*enumerate(inserted + replaced)], "doc_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in dec.leaks(texts, spark.createDataFrame(rows)).collect()}
+    want = {(d, r.item_id) for d, t in enumerate(inserted + replaced) for r, ws in zip(rows, items, strict=True)
+            if smith_waterman_at_least(ws, t.split())}
+    assert got == want and len(got) >= 2 * len(rows)
+
+
+def smith_waterman_at_least(item, passage):
+    code = {}
+    number = lambda ws: np.array([code.setdefault(w, len(code)) for w in ws])
+    return dec.align(number(item), number(passage))[0] >= dec.LEAST * dec.MATCH * len(item)
