@@ -7,8 +7,10 @@ border, to further ones: all whose distance is at most ``1 + replicate`` times t
 nearest, unless a centroid already chosen is nearer to that centroid than the
 vector is. A query walks a neighbour graph of the centroids in memory (best
 first) and searches the lists whose distance is at most ``1 + probe`` times that of
-the nearest; the ratio is the smallest of RATIOS that finds RECALL of the true
-neighbours for queries inside the sample. Lists that grow beyond ``list_rows`` are cut into parts by a hash, all of
+the nearest, or of the list at which the nearest ones hold k + 1 different vectors
+(each counted in its nearest list only), whichever is farther: a vector on the
+centroid of a small list still finds k others. The ratio is the smallest of RATIOS
+that finds RECALL of the true neighbours for queries inside the sample. Lists that grow beyond ``list_rows`` are cut into parts by a hash, all of
 which are searched: a list has no cap, and a hot one never lands in one task.
 
 Each pair of a list part and a batch of its queries gives the best few of that
@@ -135,8 +137,11 @@ class Centroids:
             out.append(chosen)
         return out
 
-    def probes(self, vector: np.ndarray, ratio: float) -> list[int]:
-        """Lists to search: best-first walk over the graph, cut where the distance ratio is passed."""
+    def probes(self, vector: np.ndarray, ratio: float, held: np.ndarray | None = None, least: int = 0) -> list[int]:
+        """Lists to search: best-first walk over the graph, cut where the distance ratio is passed.
+
+        ``held`` counts different vectors by list; the nearest lists that hold ``least`` of them are searched at any ratio.
+        """
         u = _unit(vector[None, :])[0]
 
         def far(k):
@@ -144,21 +149,30 @@ class Centroids:
 
         first = float(far(self.hub))
         seen, queue, kept, best = {self.hub}, [(first, self.hub)], [], first
+        enough, total = [], 0  # the nearest lists so far that hold ``least``, the farthest on top
+
+        def bound() -> float:
+            return (max(best, -enough[0][0]) if enough else best) * (1 + ratio)
+
         widened = 0
         while queue:
             d, k = heapq.heappop(queue)
-            if d > best * (1 + ratio):
+            if total >= least and d > bound():
                 widened += 1
                 if widened > DEGREE:  # nothing near behind a few steps beyond the bound
                     break
             kept.append((d, k))
+            if least and (total < least or d < -enough[0][0]):
+                heapq.heappush(enough, (-d, int(held[k])))
+                total += int(held[k])
+                while total - enough[0][1] >= least:
+                    total -= heapq.heappop(enough)[1]
             new = [int(j) for j in self.links[k] if j not in seen]
             seen.update(new)
             for dj, j in zip(far(np.array(new, np.int64)).tolist() if new else [], new, strict=True):
                 best = min(best, dj)
                 heapq.heappush(queue, (dj, j))
-        return [k for d, k in kept if d <= best * (1 + ratio)]
-
+        return [k for d, k in kept if d <= bound()]
 
     def tune(self, sample: np.ndarray, replicate: float, k: int) -> float:
         """The smallest ratio whose lists hold RECALL of the k nearest, for some of the sample against all of it."""
@@ -202,21 +216,27 @@ def search(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vec
         chosen = shipped.value.replicas(_matrix(batch.column(1)), replicate)
         rows = np.repeat(np.arange(len(chosen)), [len(c) for c in chosen])
         taken = batch.take(pa.array(rows))
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(chosen).astype(np.int32)), *taken.columns], ["list", "vec_id", "vec"])
+        nearest = np.diff(rows, prepend=-1) > 0
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(chosen).astype(np.int32)), *taken.columns, pa.array(nearest)],
+                                          ["list", "vec_id", "vec", "nearest"])
 
     def probed(batch: pa.RecordBatch) -> pa.RecordBatch:
-        chosen = [shipped.value.probes(v, probe) for v in _matrix(batch.column(1))]
+        chosen = [shipped.value.probes(v, probe, held, k + 1) for v in _matrix(batch.column(1))]
         rows = np.repeat(np.arange(len(chosen)), [len(c) for c in chosen])
         taken = batch.take(pa.array(rows))
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(chosen).astype(np.int32)), *taken.columns], ["list", "vec_id", "vec"])
 
     kind = "list int, vec_id long, vec array<double>"
-    lists_of = staged(spark, base.mapInArrow(per_batch(posted), kind), "ann-lists")
-    asked = staged(spark, base.where(is_query).mapInArrow(per_batch(probed), kind), "ann-probes")
+    lists_of = staged(spark, base.mapInArrow(per_batch(posted), f"{kind}, nearest boolean"), "ann-lists")
     # Parts of each list and batches of its queries: two small tables, one row for each list.
-    sizes = {r["list"]: max(1, -(-r["n"] // list_rows)) for r in lists_of.groupBy("list").agg(F.count("*").alias("n")).collect()}
+    counted = lists_of.groupBy("list").agg(F.count("*").alias("n"), F.count_if("nearest").alias("own")).collect()
+    sizes = {r["list"]: max(1, -(-r["n"] // list_rows)) for r in counted}
+    n_lists = len(centroids.x)
+    held = np.zeros(n_lists, np.int64)
+    for r in counted:
+        held[r["list"]] = r["own"]
+    asked = staged(spark, base.where(is_query).mapInArrow(per_batch(probed), kind), "ann-probes")
     wide = {r["list"]: max(1, -(-r["n"] // QUERY_ROWS)) for r in asked.groupBy("list").agg(F.count("*").alias("n")).collect()}
-    n_lists = len(shipped.value.x)
     parts = F.element_at(F.array(*[F.lit(sizes.get(j, 1)) for j in range(n_lists)]), F.col("list") + 1)
     batches = F.element_at(F.array(*[F.lit(wide.get(j, 1)) for j in range(n_lists)]), F.col("list") + 1)
     h = F.xxhash64("vec_id")

@@ -59,3 +59,29 @@ def test_unusable_vectors_few_candidates_and_empty_tables(spark):
     assert got == [(0, 1, 1), (0, 2, 50), (50, 1, 1), (50, 2, 0)]
     assert ann.search(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
     assert ann.search(df.where("vec_id = 0"), F.col("vec_id") % 50 == 0).count() == 0
+
+
+def test_small_isolated_groups_find_k_others(spark):
+    """Groups of one to four equal vectors far from the rest have lists to themselves; the tuned ratio is used."""
+    rng = np.random.default_rng(3)
+    axis = np.eye(16)
+    rows = [(i, (axis[0] + rng.normal(size=16) * 0.001).tolist()) for i in range(1, 1500) if i % 50]
+    for n in range(1, 5):
+        rows += [(10_000 * n + 50 * j, (axis[n] + 0.1 * axis[n + 5]).tolist()) for j in range(n)]
+    got = ann.search(spark.createDataFrame(rows, KIND), F.col("vec_id") % 50 == 0).collect()
+    asked = [i for i, _ in rows if i % 50 == 0]
+    found = {q: [r.vec_id for r in sorted((r for r in got if r.query_id == q), key=lambda r: r.rank)] for q in asked}
+    assert all(len(set(found[q])) == 5 and q not in found[q] for q in asked), found
+    want = brute({i: np.float32(v) for i, v in rows}, asked)
+    for q in asked:  # its own group comes first
+        twins = [i for i, s in want[q] if s > 0.99]
+        assert found[q][:len(twins)] == twins
+
+
+def test_few_vectors_in_all_are_all_found():
+    """Lists of one vector each: the walk goes on until k + 1 are held, or to the end."""
+    lists = ann.Centroids(np.eye(12), 12)
+    held = np.bincount([c[0] for c in lists.replicas(np.eye(12), 0.0)], minlength=len(lists.x))
+    for v in np.eye(12):
+        assert held[lists.probes(v, 0.02, held, 6)].sum() >= 6
+        assert held[lists.probes(v, 0.02, held, 40)].sum() == 12
