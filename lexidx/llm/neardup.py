@@ -1,8 +1,9 @@
 """Near copies: MinHash signatures joined through inverted lists of coordinates.
 
 1. Every text becomes its set of distinct word shingles (64-bit fingerprints)
-   and a MinHash signature of K coordinates. Equal sets are one class, named
-   after its smallest id; everything below works on classes.
+   and a MinHash signature of K coordinates. Equal sets are one class with a
+   number of its own; everything below works on classes. Classes that hold texts
+   of one id are linked.
 2. Signatures are posted under their (coordinate, value) tokens. Two sets above
    the similarity bound agree on at least T coordinates but for a chance of
    ``miss``; so it is enough to post each class under the K-T+1 tokens that come
@@ -25,9 +26,9 @@ links are confirmed in integers: den * |A and B| >= num * |A or B|.
 
 Defined cases: null, empty and wordless texts have an empty set and are linked
 with nothing; texts with fewer words than a shingle are one shingle; very long
-texts are read whole; ties go to the smaller id; rows that repeat an id are one
-document (linked with what any of its texts is linked with) and each gets its
-row; an empty table gives no rows; columns besides id and text are ignored.
+texts are read whole; a component has its smallest id as name; rows that repeat
+an id are one document, whatever their texts (linked with what any of them is
+linked with), and each gets its row; an empty table gives no rows; columns besides id and text are ignored.
 """
 
 from __future__ import annotations
@@ -201,25 +202,53 @@ def _bitmap(ids: DataFrame, column: str) -> np.ndarray:
 
 
 def class_sets(docs: DataFrame, wanted: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """(cid, set): the full shingle sets of the wanted classes, from the texts of the rows that name them."""
+    """(cid, set): the full shingle set of each wanted class, once, from the texts of its smallest id."""
     spark = docs.sparkSession
-    shipped = spark.sparkContext.broadcast(_bitmap(wanted, "cid"))
-    src = docs.select(F.col(id_col).cast("long").alias("cid"), F.col(text_col).cast("binary").alias("text"),
+    shipped = spark.sparkContext.broadcast(_bitmap(wanted, "first_id"))
+    src = docs.select(F.col(id_col).cast("long").alias("first_id"), F.col(text_col).cast("binary").alias("text"),
                       F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(FILTER_BITS)).alias("h"))
 
     def run(batches):
-        shingles, bits = Shingler(words), shipped.value
+        import xxhash
+        shingles, bits, seen = Shingler(words), shipped.value, set()
         for batch in sliced(batches):
             h = batch.column(2).to_numpy()
             batch = batch.filter(pa.array((bits[h >> 6] >> (h & 63)) & 1 == 1))
-            if not batch.num_rows:
+            rows, sets, names = [], [], []
+            for r, (i, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                found = shingles(text)
+                name = xxhash.xxh128_digest(found.tobytes())
+                if not len(found) or (i, name) in seen:  # rows that repeat
+                    continue
+                seen.add((i, name))
+                rows.append(r)
+                sets.append(found.view(np.int64))
+                names.append(name)
+            if len(seen) > Shingler.MEMORY:  # what repeats after this goes below
+                seen.clear()
+            if not rows:
                 continue
-            sets = [shingles(t).view(np.int64) for t in batch.column(1).to_pylist()]
-            offsets = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32)
+            fp = np.frombuffer(b"".join(names), np.int64).reshape(-1, 2)
+            offsets = np.concatenate(([0], np.cumsum([len(x) for x in sets]))).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets)))], ["cid", "set"])
+                [batch.column(0).take(pa.array(rows)), pa.array(fp[:, 0].copy()), pa.array(fp[:, 1].copy()),
+                 pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets)))], ["first_id", "fp1", "fp2", "set"])
+
+    keys = ["first_id", "fp1", "fp2"]
+    return (src.mapInArrow(run, "first_id long, fp1 long, fp2 long, set array<long>")
+            .join(wanted.select("cid", *keys), keys).select("cid", *keys, "set").distinct().select("cid", "set"))
+
 
-    return src.mapInArrow(run, "cid long, set array<long>").join(wanted.select("cid"), "cid", "left_semi").where(F.size("set") > 0)
+def same_ids(sigs: DataFrame, named: DataFrame, written: list[str]) -> DataFrame:
+    """(a, b): links between the classes that hold texts of one id."""
+    spark = sigs.sparkSession
+    rows = sigs.where("n_shingles > 0 and doc_id is not null").select("doc_id", "n_shingles", "fp1", "fp2")
+    several = (rows.groupBy("doc_id").agg(*(f("fp" + c).alias(f.__name__ + c) for f in (F.min, F.max) for c in "12"))
+               .where("min1 <> max1 or min2 <> max2").select("doc_id"))
+    several = staged(spark, several, "neardup-several", written)
+    held = rows.join(several, "doc_id", "left_semi").distinct().join(named, ["n_shingles", "fp1", "fp2"]).select("doc_id", "cid")
+    held = staged(spark, held, "neardup-held", written)
+    return held.join(held.groupBy("doc_id").agg(F.min("cid").alias("a")), "doc_id").where("cid <> a").select("a", F.col("cid").alias("b"))
 
 
 def similar_pairs(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -340,20 +369,21 @@ def near_copies(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100,
     written: list[str] = []  # tables that only the way to the components needs
     least = least_collisions(COORDINATES, num / den)
     sigs = staged(spark, signatures(docs, words, id_col, text_col), "neardup-signatures")
-    named = sigs.where("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "fp1", "fp2").agg(F.min("doc_id").cast("long").alias("cid"))
+    named = (sigs.where("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "fp1", "fp2")
+             .agg(F.min("doc_id").cast("long").alias("first_id")).withColumn("cid", F.monotonically_increasing_id()))
     named = staged(spark, named, "neardup-classes")
-    classes = staged(spark, named.join(
-        sigs.select(F.col("doc_id").cast("long").alias("cid"), "n_shingles", "fp1", "fp2", "sig"), ["cid", "n_shingles", "fp1", "fp2"])
-        .dropDuplicates(["cid", "fp1", "fp2"]).select("cid", F.col("n_shingles").alias("n"), "sig"), "neardup-class-sigs", written)
+    keys = ["first_id", "n_shingles", "fp1", "fp2"]
+    classes = staged(spark, named.join(sigs.select(F.col("doc_id").cast("long").alias("first_id"), *keys[1:], "sig"), keys)
+                     .dropDuplicates(keys).select("cid", F.col("n_shingles").alias("n"), "sig"), "neardup-class-sigs", written)
     counts = token_counts(classes)
     posted = staged(spark, posts(classes, counts, least), "neardup-posts", written)
 
     first = posted.groupBy("token").agg(F.min("cid").alias("a"), F.max("cid").alias("last")).where("a <> last").select("token", "a")
     pairs = (posted.join(first, "token").where("cid <> a").select("a", F.col("cid").alias("b")).distinct())
     pairs = staged(spark, _enough_collisions(pairs, classes, least), "neardup-pairs", written)
-    sets = staged(spark, class_sets(docs, _ends(pairs).distinct(), words, id_col, text_col), "neardup-sets", written)
+    sets = staged(spark, class_sets(docs, named.join(_ends(pairs), "cid", "left_semi"), words, id_col, text_col), "neardup-sets", written)
     links = staged(spark, similar_pairs(pairs, sets, num, den), "neardup-links", written)
-    part = staged(spark, components(links), "neardup-parts", written)
+    part = staged(spark, components(links.union(same_ids(sigs, named, written))), "neardup-parts", written)
 
     tied = posted.join(part.withColumnRenamed("cid", "c"), F.col("cid") == F.col("c"), "left").select(
         "token", "cid", "n", F.coalesce("component", "cid").alias("component"))
@@ -367,23 +397,44 @@ def near_copies(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100,
               .where((F.col("na") * den >= F.col("nb") * num) & (F.col("nb") * den >= F.col("na") * num)).select("a", "b").distinct())
     across = staged(spark, _enough_collisions(across, classes, least), "neardup-across", written)
     open_long = open_posts.where("long").select("token", "cid", "n", "component")
-    wanted = _ends(across).union(open_long.select("cid")).distinct()
+    wanted = named.join(_ends(across).union(open_long.select("cid")), "cid", "left_semi")
     sets = staged(spark, class_sets(docs, wanted, words, id_col, text_col), "neardup-more-sets", written)
     more = similar_pairs(across, sets, num, den).union(merged_blocks(open_long, classes, sets, counts, least, num, den))
     # Contract what the first pass found: its components are stars now.
-    merged = staged(spark, components(more.union(part.select(F.col("cid").alias("a"), F.col("component").alias("b")))), "neardup-components")
+    merged = staged(spark, components(more.union(part.select(F.col("cid").alias("a"), F.col("component").alias("b")))), "neardup-components", written)
+    linked = merged.join(named.select("cid", "first_id"), "cid")
+    names = linked.groupBy("component").agg(F.min("first_id").alias("component_id"))
+    member = named.join(merged.join(names, "component").select("cid", "component_id"), "cid", "left").select(
+        "n_shingles", "fp1", "fp2", F.coalesce("component_id", "first_id").alias("component_id"))
+    member = staged(spark, member, "neardup-members")
+    rows = sigs.select("doc_id", "n_shingles", "fp1", "fp2")
+    full = rows.where("n_shingles > 0 and doc_id is not null")
+    # Rows without words go with the other texts of their id, if there are any.
+    bare = rows.where("n_shingles = 0 and doc_id is not null").select("doc_id", "n_shingles")
+    ids = staged(spark, bare.select("doc_id").distinct(), "neardup-bare", written)
+    others = staged(spark, full.join(ids, "doc_id", "left_semi").distinct().join(member, ["n_shingles", "fp1", "fp2"])
+                    .groupBy("doc_id").agg(F.min("component_id").alias("component_id")), "neardup-others")
     discard(spark, written)
-    member = named.join(merged, "cid", "left").select("n_shingles", "fp1", "fp2", F.coalesce("component", "cid").alias("component"))
-    out = sigs.drop("sig").join(member, ["n_shingles", "fp1", "fp2"], "left").withColumn(
-        "own", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.coalesce("component", F.col("doc_id").cast("long")))
-        .otherwise(F.col("doc_id").cast("long")))
-    return out.select("doc_id", "n_shingles", F.col("own").alias("component_id"),
-                      F.coalesce(F.col("doc_id").cast("long") == F.col("own"), F.lit(True)).alias("kept"))
+    out = (full.join(member, ["n_shingles", "fp1", "fp2"]).select("doc_id", "n_shingles", "component_id")
+           .union(bare.join(others, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", F.col("doc_id").cast("long"))))
+           .union(rows.where("doc_id is null").select("doc_id", "n_shingles", F.lit(None).cast("long"))))
+    return out.select("doc_id", "n_shingles", "component_id",
+                      F.coalesce(F.col("doc_id").cast("long") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 def drop_near_copies(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id",
                      text_col: str = "text") -> DataFrame:
-    """One document of each group stays, the one with the smallest id; rows that repeat it stay once."""
+    """One document of each group stays, the one with the smallest id; of rows that repeat it, one stays.
+
+    That one is chosen by a hash of the row, among those with words if there are any. Rows without id all stay.
+    """
+    spark = docs.sparkSession
     found = near_copies(docs, words, num, den, id_col, text_col)
-    keep = found.where("kept").select(F.col("doc_id").alias("_keep")).distinct()
-    return docs.join(keep, F.col(id_col).eqNullSafe(F.col("_keep")), "left_semi")
+    keep = staged(spark, found.where("kept").groupBy(F.col("doc_id").alias("_keep")).agg(F.count("*").alias("_rows")), "neardup-keep")
+    once = docs.join(keep.where("_rows = 1 or _keep is null"), F.col(id_col).eqNullSafe(F.col("_keep")), "left_semi")
+    again = staged(spark, keep.where("_rows > 1 and _keep is not null").select("_keep"), "neardup-again")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    order = F.struct(~F.coalesce(F.col(text_col).rlike(r"\S"), F.lit(False)), F.xxhash64(*columns))
+    one = (docs.join(again, F.col(id_col) == F.col("_keep"), "left_semi").groupBy(F.col(id_col).alias("_keep"))
+           .agg(F.min_by(F.struct(*columns), order).alias("_row")).select("_row.*"))
+    return once.union(one)

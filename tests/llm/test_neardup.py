@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from lexidx.llm import neardup, queries
 from tests.llm.helpers import SF_SMALL, clashing, docs
@@ -90,3 +91,31 @@ def test_sets_do_not_depend_on_slices():
     s = neardup.Shingler(3)(" ".join(f"w{i}" for i in range(5000)).encode())
     parts = np.minimum(neardup.signature(s[:1700], mult, add), neardup.signature(s[1700:], mult, add))
     assert (neardup.signature(s, mult, add) == parts).all()
+
+
+def test_ids_that_repeat_with_other_texts(spark):
+    """Rows of one id are one document: its texts are linked, and a document stays once."""
+    rnd = random.Random(6)
+    say = lambda n: " ".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") + str(rnd.randrange(40)) for _ in range(n))
+    a, b, c, d, e = (say(30) for _ in range(5))
+    rows = [(1, a), (5, a), (5, b), (5, ""), (9, b + " end"), (12, c), (12, c), (12, c), (12, None), (20, d), (20, e), (30, e), (31, None), (31, None)]
+    rows += [(40, say(20)) for _ in range(30)] + [(7, say(20)) for _ in range(5)]
+    rows.append((41, rows[17][1]))
+    rnd.shuffle(rows)
+    table = docs(spark, [], [*rows, (None, a), (None, a)])
+    want = sorted((i, component) for i, (_, component) in brute(rows, 3, 85, 100).items())
+    got = neardup.near_copies(table, 3, 85, 100).where("doc_id is not null").collect()
+    assert len(got) == len(rows) and sorted({(r.doc_id, r.component_id) for r in got}) == want
+    assert all(r.kept == (r.doc_id == r.component_id) for r in got)
+    left = neardup.drop_near_copies(table, 3, 85, 100)
+    assert left.columns == table.columns
+    stay = [(r.doc_id, r.text) for r in left.collect()]
+    assert sorted(i for i, _ in stay if i is not None) == sorted(i for i, component in want if i == component)
+    assert set(stay) <= {*rows, (None, a)} and dict(stay)[12] == c and stay.count((None, a)) == 2
+
+
+def test_sets_of_repeated_rows_come_once(spark):
+    rows = docs(spark, [], [(3, "a b c d e f")] * 500 + [(3, "u v w x y z")] * 2)
+    sigs = neardup.signatures(rows, 3, "doc_id", "text")
+    named = sigs.selectExpr("doc_id as first_id", "fp1", "fp2").distinct().withColumn("cid", F.xxhash64("fp1"))
+    assert neardup.class_sets(rows, named, 3, "doc_id", "text").count() == 2
