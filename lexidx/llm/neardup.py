@@ -335,7 +335,8 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """(cid, component) for every id in a link: the smallest id it is connected with.
 
     Large-star and small-star steps: each is a minimum per node and a join, so a
-    node with very many links is only ever pre-aggregated. Stops when nothing changes.
+    node with very many links is only ever pre-aggregated. Stops when nothing changes;
+    links that still change after ``rounds`` are an error, never a result.
     """
     spark = links.sparkSession
     edges = staged(spark, links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "neardup-edges")
@@ -358,6 +359,8 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
             break
         del written[:len(before)]
         discard(spark, before)  # this round's tables are written, those before no longer read
+    else:
+        raise RuntimeError(f"components still change after {rounds} rounds")
     return edges.select(F.col("u").alias("cid"), F.col("v").alias("component")).union(
         edges.select(F.col("v").alias("cid"), F.col("v").alias("component")).distinct())
 

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from lexidx.llm import neardup, queries
@@ -79,6 +80,12 @@ def test_components_of_long_paths_and_stars(spark):
     assert got == {**{i: 0 for i in range(41)}, **{100 + i: 100 for i in range(50)}, 200: 100}
 
 
+def test_components_cut_short_are_an_error(spark):
+    links = spark.createDataFrame([(i, i + 1) for i in range(0, 40)], "a long, b long")
+    with pytest.raises(RuntimeError, match="still change"):
+        neardup.components(links, rounds=2)
+
+
 def test_least_collisions_bounds_the_chance_of_a_miss():
     rng = np.random.default_rng(0)
     for similarity in (0.8, 0.85):
