@@ -5,7 +5,7 @@ from __future__ import annotations
 import corpus_pipeline
 from pyspark.sql import functions as F
 
-from lexidx.llm import ann, chat, decontaminate, neardup, pii, quality, runs, sentencepiece, shards, spelling, sql, toxicity, warc
+from lexidx.llm import ann, chat, decontaminate, neardup, pii, quality, runs, sentencepiece, shards, spelling, sql, substrings, toxicity, warc
 from lexidx.llm.common import table
 
 
@@ -51,6 +51,10 @@ def op10_shards(spark, sf_dir):
     return shards.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_substrings(spark, sf_dir):
+    return substrings.digest(substrings.remove_repeats(table(spark, sf_dir, "documents")))
+
+
 def op12_runs(spark, sf_dir):
     return runs.digest(runs.find_runs(table(spark, sf_dir, "documents"), loops=True))
 
@@ -62,7 +66,8 @@ def op13_spelling(spark, sf_dir):
 TRIAL = sql.TRIAL
 
 QUERIES = {f.__name__: f for f in (op1_quality, op2_toxicity, op3_pii, op4_neardup, op5_decontamination, op6_warc,
-                                       op7_sentencepiece, op8_ann, op9_chat, op10_shards, op12_runs, op13_spelling)}
+                                       op7_sentencepiece, op8_ann, op9_chat, op10_shards, op11_substrings,
+                                   op12_runs, op13_spelling)}
 QUERIES["pipeline"] = corpus_pipeline.run
 ORACLE_SQL = dict(sql.ORACLE_SQL)
 if corpus_pipeline.ORACLE_SQL is not None:
