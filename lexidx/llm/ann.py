@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexidx.llm.common import per_batch, staged
+from lexidx.llm.common import Shipped, per_batch, staged
 
 SAMPLE_ROWS = 20_000
 MOST_LISTS = 1024
@@ -210,7 +210,7 @@ def search(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vec
     fitted = np.array([v for v in sample if len(v) == dims])
     centroids = Centroids(fitted, lists)
     probe = centroids.tune(fitted, replicate, k) if probe is None else probe
-    shipped = spark.sparkContext.broadcast(centroids)
+    shipped = Shipped(spark, centroids)
 
     def posted(batch: pa.RecordBatch) -> pa.RecordBatch:
         chosen = shipped.value.replicas(_matrix(batch.column(1)), replicate)

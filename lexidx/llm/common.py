@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,6 +38,26 @@ def discard(spark: SparkSession, written: list[str]) -> None:
     written.clear()
 
 
+class Shipped:
+    """A broadcast of an object whose class is this package's.
+
+    Broadcasts name classes by their module, which workers need not have; here the class travels
+    with the object (the package registers itself to be shipped by value). Built once in every task.
+    """
+
+    def __init__(self, spark: SparkSession, obj):
+        self._bytes, self._built = spark.sparkContext.broadcast(cloudpickle.dumps(obj)), []
+
+    def __getstate__(self):
+        return {"_bytes": self._bytes, "_built": []}
+
+    @property
+    def value(self):
+        if not self._built:
+            self._built.append(pickle.loads(self._bytes.value))
+        return self._built[0]
+
+
 SLICE_ROWS = 1000
 
 

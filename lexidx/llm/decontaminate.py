@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexidx.llm.common import per_batch, sliced
+from lexidx.llm.common import Shipped, per_batch, sliced
 
 LEAST = 0.4
 BLOCK_WORDS = 2_000_000
@@ -251,7 +251,7 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str):
 
 def _finder(docs: DataFrame, items: Items, least: float, text_col: str) -> Finder:
     """Count the items' pairs over all texts, from which each item's seeds follow."""
-    shipped = docs.sparkSession.sparkContext.broadcast(items)
+    shipped = Shipped(docs.sparkSession, items)
 
     def counted(batches):
         block, total = shipped.value, defaultdict(int)
@@ -277,7 +277,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
               "start_word int, end_word int")
     out = spark.createDataFrame([], schema)
     for block in _blocks(benchmark, item_col, item_text_col):
-        shipped = spark.sparkContext.broadcast(_finder(docs, Items(block, least), least, text_col))
+        shipped = Shipped(spark, _finder(docs, Items(block, least), least, text_col))
 
         def run(batch: pa.RecordBatch, shipped=shipped) -> pa.RecordBatch:
             find = shipped.value
@@ -300,7 +300,7 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", le
     """The rows of ``docs``, unchanged, into which no test item leaks."""
     t = docs.columns.index(text_col)
     for block in _blocks(benchmark, "item_id", "text"):
-        shipped = docs.sparkSession.sparkContext.broadcast(_finder(docs, Items(block, least), least, text_col))
+        shipped = Shipped(docs.sparkSession, _finder(docs, Items(block, least), least, text_col))
 
         def run(batch: pa.RecordBatch, shipped=shipped) -> pa.RecordBatch:
             find = shipped.value

@@ -20,7 +20,6 @@ from __future__ import annotations
 
 import hashlib
 import re
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -51,8 +50,12 @@ _ACCOUNT_GAP = re.compile(r"[\x20]*(number|no\.?|nr\.?|num)?[\x20]*[:#=]*[\x20]*
 _SECRET_VALUE = re.compile(r"[\x20]*[:=][\x20]*(\"([^\"\s]{12,})\"|'([^'\s]{12,})'|([A-Za-z0-9_+/=-]{20,}))")
 
 
-@lru_cache(maxsize=1)
+_BUILT: dict = {}  # the automaton, once in every process
+
+
 def _automaton():
+    if _BUILT:
+        return _BUILT[0]
     import ahocorasick
     a = ahocorasick.Automaton()
     for c in "0123456789":
@@ -64,6 +67,7 @@ def _automaton():
             for form in (w, w.upper(), w.capitalize(), w.title()):
                 a.add_word(form, (kind, len(form)))
     a.make_automaton()
+    _BUILT[0] = a
     return a
 
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexidx.llm.common import sliced
+from lexidx.llm.common import Shipped, sliced
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -270,7 +270,7 @@ class Codec:
 
 def _shipped(spark: SparkSession, model_path: str):
     """The piece table as a broadcast variable; its size is the vocabulary's, never the data's."""
-    return spark.sparkContext.broadcast(Pieces.load(model_path))
+    return Shipped(spark, Pieces.load(model_path))
 
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model_path: str = MODEL_PATH,

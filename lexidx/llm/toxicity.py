@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexidx.llm.common import bounded_sample, held_out, labels_of, sliced, staged
+from lexidx.llm.common import Shipped, bounded_sample, held_out, labels_of, sliced, staged
 
 TRAIN_ROWS = 30_000
 TERMS = 256
@@ -212,7 +212,7 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     kept = src.select("doc_id", held_out().alias("held_out"), "text")
     schema = (f"doc_id {src.schema['doc_id'].dataType.simpleString()}, held_out boolean, "
               "p_insult double, p_contempt double, score double, predicted int")
-    shipped = docs.sparkSession.sparkContext.broadcast(chain)
+    shipped = Shipped(docs.sparkSession, chain)
 
     def run(batches):
         model = shipped.value
