@@ -12,12 +12,15 @@ from __future__ import annotations
 
 import uuid
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexidx.functions import analyzer
+from lexidx.operators import blockmax, layout as file_layout
 from lexidx.operators.schema import Field, FieldType, column_of, fields_of
+from lexidx.session import delete_path, scratch_path
 
 POSTING_COLUMNS = ["field", "term", "doc_id", "tf", "positions", "dl"]
 
@@ -82,13 +85,22 @@ def text_postings(docs: DataFrame, field: str, pattern: str = analyzer.DEFAULT_P
             F.explode_outer("runs").alias("p")).where(F.col("p").isNotNull()).select(
             "field", F.col("p.term").alias("term"), "doc_id", F.col("p.tf").alias("tf"),
             F.col("p.positions").alias("positions"), "dl")
-    per_doc = _with_term_runs(per_doc, "toks", "runs")
-    return per_doc.select(
-        F.lit(field).alias("field"), "doc_id", F.size("toks").alias("dl"),
-        # explode_outer: a plain explode makes the optimizer infer a
-        # size(runs) > 0 filter below this projection, which inlines the
-        # sort into every lambda call (quadratic per document).
-        F.explode_outer("runs").alias("p")).where(F.col("p").isNotNull()).select(
+    return run_postings(_text_runs(docs, field, pattern))
+
+
+def _text_runs(docs: DataFrame, field: str, pattern: str) -> DataFrame:
+    """(field, doc_id, dl, runs): each document's length in tokens and its terms, one row."""
+    toks = analyzer.tokens(F.col(column_of(field)), pattern)
+    per_doc = docs.where(F.col(column_of(field)).isNotNull()).select("doc_id", toks.alias("toks"))
+    return _with_term_runs(per_doc, "toks", "runs").select(F.lit(field).alias("field"), "doc_id", F.size("toks").alias("dl"), "runs")
+
+
+def run_postings(runs: DataFrame) -> DataFrame:
+    """The postings in (field, doc_id, dl, runs)."""
+    # explode_outer: a plain explode makes the optimizer infer a
+    # size(runs) > 0 filter below this projection, which inlines the
+    # sort into every lambda call (quadratic per document).
+    return runs.select("field", "doc_id", "dl", F.explode_outer("runs").alias("p")).where(F.col("p").isNotNull()).select(
         "field", F.col("p.term").alias("term"), "doc_id", F.col("p.tf").alias("tf"),
         F.col("p.positions").alias("positions"), "dl")
 
@@ -103,12 +115,22 @@ def keyword_postings(docs: DataFrame, field: str, boolean: bool = False) -> Data
         F.lit(None).cast("int").alias("dl"))
 
 
-def postings(docs: DataFrame, fields, pattern: str = analyzer.DEFAULT_PATTERN) -> DataFrame:
-    """All postings of every term-indexed field, one table; None without such a field."""
-    parts = []
+def text_runs(docs: DataFrame, fields, pattern: str = analyzer.DEFAULT_PATTERN) -> DataFrame | None:
+    """The runs of every text field; None without such a field."""
+    parts = [_text_runs(docs, f.name, pattern) for f in fields_of(fields) if f.type is FieldType.TEXT]
+    return reduce(DataFrame.unionByName, parts) if parts else None
+
+
+def postings(docs: DataFrame, fields, pattern: str = analyzer.DEFAULT_PATTERN, runs: DataFrame | None = None) -> DataFrame:
+    """All postings of every term-indexed field, one table; None without such a field.
+
+    ``runs`` are the text fields' runs where they are at hand already.
+    """
+    parts = [] if runs is None else [run_postings(runs)]
     for f in fields_of(fields):
         if f.type is FieldType.TEXT:
-            parts.append(text_postings(docs, f.name, pattern))
+            if runs is None:
+                parts.append(text_postings(docs, f.name, pattern))
         elif f.type is FieldType.KEYWORD:
             parts.append(keyword_postings(docs, f.name))
         elif f.type is FieldType.BOOLEAN:
@@ -174,7 +196,8 @@ class IndexTables:
     """An index; a table that its fields do not call for is None.
 
     ``written_terms`` and ``written_stats`` are the term dictionary and field
-    statistics of a published version; without them they are derived.
+    statistics of a published version; without them they are derived. ``blocks``
+    are the block maxima of one.
     """
     stored: DataFrame
     postings: DataFrame | None
@@ -183,6 +206,7 @@ class IndexTables:
     double_points: DataFrame | None
     written_terms: DataFrame | None = None
     written_stats: DataFrame | None = None
+    blocks: DataFrame | None = None
 
     def terms(self) -> DataFrame:
         return self.written_terms if self.written_terms is not None else term_dictionary(self.postings)
@@ -205,7 +229,7 @@ def build(docs: DataFrame, fields, pattern: str = analyzer.DEFAULT_PATTERN) -> I
 
 # ---- writing (B10, B11) -------------------------------------------------
 
-TABLES = ("stored", "postings", "lengths", "long_points", "double_points", "terms", "field_stats")
+TABLES = ("stored", "postings", "lengths", "long_points", "double_points", "terms", "field_stats", "blocks")
 
 
 def _layout(df: DataFrame, keys: list[str], layout: str) -> DataFrame:
@@ -223,8 +247,9 @@ def write(tables: IndexTables, path: str, max_records_per_file: int = 5_000_000,
 
     In the ``range`` layout files cover disjoint ranges of (field, term, doc_id)
     or (field, value, doc_id), so a lookup opens only the files its keys fall in; a
-    term in very many documents spans several files. ``local`` saves that
-    shuffle: sorted inside each file, every file spans all terms. The stored
+    term in very many documents spans several files. The dictionary is written
+    first, and the ranges of the postings follow from it (``layout.file_starts``).
+    ``local`` saves that shuffle: sorted inside each file, every file spans all terms. The stored
     table is written first and the caller writes the manifest last, so a
     reader never sees a half-built version as complete.
     """
@@ -235,9 +260,15 @@ def write(tables: IndexTables, path: str, max_records_per_file: int = 5_000_000,
         written["stored"] = f"{path}/stored"
     spark = tables.stored.sparkSession
     if tables.postings is not None:
-        w(_layout(tables.postings, ["field", "term", "doc_id"], layout)).parquet(f"{path}/postings")
-        post = spark.read.parquet(f"{path}/postings")
-        w(_layout(term_dictionary(post), ["field", "term"], layout)).parquet(f"{path}/terms")
+        post = tables.postings
+        if layout == "range":
+            w(_layout(term_dictionary(post), ["field", "term"], layout)).parquet(f"{path}/terms")
+            starts = file_layout.file_starts(spark.read.parquet(f"{path}/terms"), post, spark.sparkContext.defaultParallelism)
+            w(file_layout.deal(post, starts)).parquet(f"{path}/postings")
+        else:
+            w(post.sortWithinPartitions("field", "term", "doc_id")).parquet(f"{path}/postings")
+            post = spark.read.parquet(f"{path}/postings")
+            w(_layout(term_dictionary(post), ["field", "term"], layout)).parquet(f"{path}/terms")
         written.update(postings=f"{path}/postings", terms=f"{path}/terms")
     if tables.lengths is not None:
         # One narrow pass over the stored texts; documents without any token
@@ -247,7 +278,9 @@ def write(tables: IndexTables, path: str, max_records_per_file: int = 5_000_000,
         # coalesce after the aggregate's exchange: only the final rows (one
         # per field) are merged; the partial aggregation stays parallel.
         w(field_stats(lengths).coalesce(1)).parquet(f"{path}/field_stats")
-        written.update(lengths=f"{path}/lengths", field_stats=f"{path}/field_stats")
+        blocks = blockmax.block_table(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/field_stats"))
+        w(_layout(blocks, ["field", "term", "block"], layout)).parquet(f"{path}/blocks")
+        written.update(lengths=f"{path}/lengths", field_stats=f"{path}/field_stats", blocks=f"{path}/blocks")
     for name in ("long_points", "double_points"):
         df = getattr(tables, name)
         if df is not None:
@@ -262,7 +295,9 @@ def write_version(docs: DataFrame, fields, path: str, pattern: str = analyzer.DE
     """B7-B11 in one pass over the input: write ``stored`` first while
     counting its rows (``observe``), then derive postings, lengths and points
     from the written table (column-pruned Parquet reads), so an expensive
-    input (NDJSON parse + validation) is evaluated once. Returns the written
+    input (NDJSON parse + validation) is evaluated once. Texts are tokenized
+    once too: the runs are written to scratch, and dictionary, lengths and
+    postings read them from there. Returns the written
     paths and the number of documents written."""
     from pyspark.sql import Observation
     fl = fields_of(fields)
@@ -272,9 +307,22 @@ def write_version(docs: DataFrame, fields, path: str, pattern: str = analyzer.DE
     written_docs = int(obs.get["n"])
     if after_stored is not None:
         after_stored()  # may raise to stop before the derived tables
-    back = spread(docs.sparkSession.read.parquet(f"{path}/stored"))
-    tables = build(back, fl, pattern)
-    out = write(tables, path, max_records_per_file, layout, skip_stored=True)
+    spark = docs.sparkSession
+    back = spark.read.parquet(f"{path}/stored")
+    runs = text_runs(spread(back), fl, pattern)
+    scratch = None if runs is None else scratch_path(spark, "text-runs")
+    try:
+        if runs is not None:
+            runs.write.parquet(scratch)
+            runs = spark.read.schema(runs.schema).parquet(scratch)
+        tables = IndexTables(
+            stored=back, postings=postings(back, fl, pattern, runs),
+            lengths=None if runs is None else runs.select("field", "doc_id", F.col("dl").alias("length")),
+            long_points=points(back, fl, FieldType.LONG), double_points=points(back, fl, FieldType.DOUBLE))
+        out = write(tables, path, max_records_per_file, layout, skip_stored=True)
+    finally:
+        if scratch is not None:
+            delete_path(spark, scratch)
     out["stored"] = f"{path}/stored"
     return out, written_docs
 
@@ -287,7 +335,7 @@ def read(spark, path: str) -> IndexTables:
         return spark.read.parquet(p) if path_exists(spark, p) else None  # not every index has every table
     return IndexTables(stored=opt("stored"), postings=opt("postings"), lengths=opt("lengths"),
                        long_points=opt("long_points"), double_points=opt("double_points"),
-                       written_terms=opt("terms"), written_stats=opt("field_stats"))
+                       written_terms=opt("terms"), written_stats=opt("field_stats"), blocks=opt("blocks"))
 
 
 class IndexVerificationError(RuntimeError):

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexidx.functions import bm25
+from lexidx.operators import blockmax
 from lexidx.operators.schema import column_of
 
 QTERM_SCHEMA = T.StructType([T.StructField("term", T.StringType()),
@@ -48,20 +49,25 @@ def bm25_scores(post: DataFrame, terms_df: DataFrame, stats: DataFrame,
     row per field, so their size is fixed by the query, not by the data.
     A repeated query term counts once per repetition.
     """
-    spark = post.sparkSession
+    return _scored(post, _term_weights(post.sparkSession, terms_df, stats, field, terms), field, terms)
+
+
+def _term_weights(spark: SparkSession, terms_df: DataFrame, stats: DataFrame, field: str, terms: list[str]) -> DataFrame:
+    """(field, term, qcount, avg_length, idf) of the query terms that the field has."""
     q = _query_terms(spark, terms)
-    # N and avgdl of the field are scalar subqueries over its single stats
-    # row (a join on the constant field would plan as a nested-loop join).
     # N and avgdl: the field's single stats row, read once as two numbers
     # (a join on the constant field would plan as a nested-loop join, and two
     # scalar subqueries would compute the statistics twice).
     row = stats.where(F.col("field") == field).select("doc_count", "avg_length").first()
     n_docs = F.lit(float(row["doc_count"]) if row else 0.0)
     avgdl = F.lit(float(row["avg_length"]) if row else 1.0)
-    st = (terms_df.where((F.col("field") == field) & F.col("term").isin(list(set(terms))))
-          .join(F.broadcast(q), "term")
-          .select("field", "term", "qcount", avgdl.alias("avg_length"),
-                  bm25.idf(n_docs, F.col("doc_freq").cast("double")).alias("idf")))
+    return (terms_df.where((F.col("field") == field) & F.col("term").isin(list(set(terms))))
+            .join(F.broadcast(q), "term")
+            .select("field", "term", "qcount", avgdl.alias("avg_length"),
+                    bm25.idf(n_docs, F.col("doc_freq").cast("double")).alias("idf")))
+
+
+def _scored(post: DataFrame, st: DataFrame, field: str, terms: list[str]) -> DataFrame:
     hits = post.where((F.col("field") == field) & F.col("term").isin(list(set(terms))))
     scored = hits.join(F.broadcast(st), ["field", "term"]).select(
         "doc_id", (F.col("qcount") * bm25.term_score(
@@ -72,8 +78,25 @@ def bm25_scores(post: DataFrame, terms_df: DataFrame, stats: DataFrame,
 
 def bm25_topk_version(tables, field: str, terms: list[str], k: int = 10) -> DataFrame:
     """Q3 on the tables of a published version (``index.read``): the postings and
-    term statistics are read with the field and term filters pushed into the Parquet scans."""
-    return bm25_topk(tables.postings, tables.terms(), tables.stats(), field, terms, k)
+    term statistics are read with the field and term filters pushed into the Parquet scans,
+    and of the postings only the blocks that can hold one of the k best."""
+    if tables.blocks is None:
+        return bm25_topk(tables.postings, tables.terms(), tables.stats(), field, terms, k)
+    scores, found = bm25_selection(tables, field, terms, k)
+    return top_k(scores(found.postings), k)
+
+
+def bm25_selection(tables, field: str, terms: list[str], k: int):
+    """(postings -> scores, the selection of postings that the k best documents need)."""
+    st = _term_weights(tables.postings.sparkSession, tables.terms(), tables.stats(), field, terms)
+    known = st.collect()  # one row for each distinct query term
+    st = tables.postings.sparkSession.createDataFrame(known, st.schema)
+
+    def scores(post: DataFrame) -> DataFrame:
+        return _scored(post, st, field, terms)
+
+    weights = st.select("term", (F.col("qcount") * F.col("idf")).alias("weight"))
+    return scores, blockmax.select(tables.postings, tables.blocks, weights, field, terms, k, scores)
 
 
 def _equals(term: str):

@@ -7,6 +7,7 @@ the Spark queries; they share only the fixed parameters with the library.
 from __future__ import annotations
 
 from lexidx.functions.analyzer import MAX_TOKEN_LENGTH
+from lexidx.operators.blockmax import BLOCK
 from lexidx.plans import index_queries as iq
 
 
@@ -91,6 +92,7 @@ INDEX_SQL = {
             + (SELECT count(DISTINCT lang) FROM documents) + (SELECT count(DISTINCT source) FROM documents)
         UNION ALL SELECT 'lengths', (SELECT count(*) FROM lens WHERE dl > 0)
         UNION ALL SELECT 'field_stats', (SELECT count(*) FROM fstat WHERE n > 0)
+        UNION ALL SELECT 'blocks', (SELECT count(*) FROM (SELECT DISTINCT term, floor(doc_id / {BLOCK}) FROM post))
         UNION ALL SELECT 'long_points', (SELECT count(n_chars) FROM documents)""",
     "term_lookup_keyword": f"""SELECT p_partkey AS doc_id, 1 AS tf FROM part WHERE p_brand = {_q(iq.KEYWORD_TERM)}""",
     "term_lookup_text": f"""WITH {TOK} SELECT doc_id, tf FROM post WHERE term = {_q(iq.TEXT_TERM)}""",

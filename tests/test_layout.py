@@ -1,0 +1,73 @@
+"""Postings are dealt by the dictionary: even files of disjoint ranges, texts tokenized once."""
+
+import random
+
+from pyspark.sql import functions as F
+
+from lexidx.operators import index, layout
+from lexidx.operators.schema import fields_of
+
+FIELDS = fields_of([("body", "text"), ("tag", "keyword")])
+
+
+def _docs(spark):
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(300)]
+    rows = [(d, " ".join(["hot"] * 3 + rng.choices(words, k=12)), rng.choice(["red", "blue"])) for d in range(2000)]
+    return spark.createDataFrame(rows, "doc_id long, body string, tag string").repartition(3, "doc_id")
+
+
+def _bounds(df):
+    per = df.withColumn("p", F.spark_partition_id()).groupBy("p").agg(
+        F.min(F.struct(*layout.KEYS)).alias("lo"), F.max(F.struct(*layout.KEYS)).alias("hi"),
+        F.sum(F.lit(12) + F.col("tf") * 4).alias("bytes")).collect()
+    return sorted((tuple(r.lo), tuple(r.hi), r.bytes) for r in per)
+
+
+def test_files_are_disjoint_and_even(spark, tmp_dir):
+    docs = _docs(spark)
+    post = index.postings(docs, FIELDS)
+    terms = index.term_dictionary(post)
+    terms.repartitionByRange(3, "field", "term").sortWithinPartitions("field", "term").write.parquet(f"{tmp_dir}/terms")
+    written = spark.read.parquet(f"{tmp_dir}/terms")
+    starts = layout.file_starts(written, post, 8, file_bytes=20_000, least_bytes=1000)
+    assert starts == sorted(starts, key=lambda s: (s[0], s[1], s[2] is not None, s[2] or 0))
+    assert sum(s[1] == "hot" and s[2] is not None for s in starts) >= 2  # cut by document id
+    dealt = layout.deal(post, starts)
+    bounds = _bounds(dealt)
+    assert len(bounds) == len(starts) + 1
+    assert all(a[1] < b[0] for a, b in zip(bounds, bounds[1:]))
+    total = sum(b[2] for b in bounds)
+    assert max(b[2] for b in bounds) <= 2 * 20_000 + 1000 and total / len(bounds) > 8_000
+    rows = lambda d: sorted((r.field, r.term, r.doc_id, r.tf, r.dl) for r in d.select("field", "term", "doc_id", "tf", "dl").collect())
+    assert rows(dealt) == rows(post)
+
+
+def test_dealing_takes_one_exchange_and_no_sampling(spark, tmp_dir):
+    docs = _docs(spark)
+    docs.write.parquet(f"{tmp_dir}/docs")
+    post = index.postings(spark.read.parquet(f"{tmp_dir}/docs"), FIELDS)
+    plan = layout.deal(post, [("body", "w1", None), ("body", "w2", 7)])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "rangepartitioning" not in plan
+
+
+def test_publish_tokenizes_once(spark, tmp_dir, monkeypatch):
+    calls = []
+    plain = index.analyzer.tokens
+    monkeypatch.setattr(index.analyzer, "tokens", lambda *a, **k: calls.append(1) or plain(*a, **k))
+    count = index.analyzer.token_count
+    monkeypatch.setattr(index.analyzer, "token_count", lambda *a, **k: calls.append(2) or count(*a, **k))
+    index.write_version(_docs(spark), FIELDS, tmp_dir)
+    assert calls == [1]
+    t = index.read(spark, tmp_dir)
+    assert t.lengths.count() == 2000 and t.stats().first()["sum_length"] == 2000 * 15
+    assert t.postings.groupBy("field", "term").count().count() == t.terms().count()
+
+
+def test_small_and_empty_versions_have_one_file(spark, tmp_dir):
+    docs = _docs(spark)
+    index.write_version(docs.limit(3), FIELDS, f"{tmp_dir}/few")
+    index.write_version(docs.where("false"), FIELDS, f"{tmp_dir}/none")
+    assert index.read(spark, f"{tmp_dir}/few").postings.count() > 3
+    none = index.read(spark, f"{tmp_dir}/none")
+    assert none.postings.count() == none.blocks.count() == none.terms().count() == 0
