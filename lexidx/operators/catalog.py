@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexidx.operators import ordered
+from lexidx.operators import fold, ordered
 
 # The version statuses and the two groups the rules use.
 STATUSES = ("CREATED", "BUILDING", "BUILT", "UPLOADED", "READY", "FAILED")
@@ -132,7 +132,7 @@ def artifact_gate(resolved: DataFrame) -> DataFrame:
 
 # ---- lifecycle fold (C11, C12) --------------------------------------------
 
-UNGUARDED = ("BUILDING", "BUILT", "UPLOADED")
+UNGUARDED = fold.UNGUARDED
 
 
 def classify_events(events: DataFrame) -> DataFrame:
@@ -177,24 +177,12 @@ def classify_events(events: DataFrame) -> DataFrame:
     return e.withColumn("outcome", outcome).drop("_created", "_lu", "_seg", "_head", "_first_rf", "_first_ready")
 
 
-def fold_versions(events: DataFrame) -> DataFrame:
-    """C11 + C12: current version rows from the event log.
+def fold_versions(events: DataFrame, snapshot: DataFrame | None = None) -> DataFrame:
+    """C11 + C12: current version rows from the event log, and from the rows before it if given.
 
     Events: (version_id, seq, ts, kind, doc_count, artifact_size, checksum,
     artifact_key, error_message). Each field is the value of the last
-    applied event that writes it (``max_by`` over seq: a partial aggregate).
+    applied event that writes it. See ``fold``: one scan, the log dealt in
+    ranges of (version, seq), every stretch reduced to one small function.
     """
-    a = classify_events(events).where(F.col("outcome") == "APPLIED")
-    k, s = F.col("kind"), F.col("seq")
-    built_or_failed = F.when(k.isin("BUILT", "FAILED"), s)
-    key_or_failed = F.when(k.isin("UPLOADED", "FAILED"), s)
-    g = a.groupBy("version_id").agg(
-        F.max_by("kind", "seq").alias("status"),
-        F.max_by(F.when(k == "BUILT", F.col("doc_count")), built_or_failed).alias("doc_count"),
-        F.max_by(F.when(k == "BUILT", F.col("artifact_size")), built_or_failed).alias("artifact_size"),
-        F.max_by(F.when(k == "BUILT", F.col("checksum")), built_or_failed).alias("checksum"),
-        F.max_by(F.when(k == "UPLOADED", F.col("artifact_key")), key_or_failed).alias("artifact_key"),
-        F.max_by(F.col("error_message"), F.when(k == "FAILED", s)).alias("error_message"),
-        F.count(F.lit(1)).alias("applied_events"),
-        F.min_by("ts", "seq").alias("created_at"), F.max_by("ts", "seq").alias("updated_at"))
-    return g
+    return fold.fold(events, snapshot)
