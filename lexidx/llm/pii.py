@@ -42,7 +42,7 @@ SECRET_CUES = ("token", "api_key", "apikey", "api-key", "secret", "password", "p
 
 _DIGITS = re.compile(r"[0-9]+")
 _URI_REST = re.compile(r"[^\s\"'<>]+")
-_USER_INFO = re.compile(r"[^\s/@\"'<>]+@[^\s/@\"'<>]")
+_NO_STOP = re.compile(r"[^\s/@\"'<>]*")
 _IBAN = re.compile(r"[A-Z]{2}[0-9]{2}([\x20]?[A-Z0-9]){11,30}")
 _SSN = re.compile(r"(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])")
 _NUMBER = re.compile(r"[0-9]([\x20-]?[0-9]){7,16}(?![0-9])")
@@ -94,6 +94,7 @@ def find_spans(text: str | None) -> dict[str, list[tuple[int, int]]]:
     if not text:
         return found
     after = dict.fromkeys(KINDS, 0)
+    run_end, run_is_user = -1, False  # the stretch without stops behind a scheme; schemes inside it share its end
     for last, (kind, width) in _automaton().iter(text):
         at = last - width + 1
         if kind == "digit":
@@ -127,9 +128,13 @@ def find_spans(text: str | None) -> dict[str, list[tuple[int, int]]]:
         elif kind == "scheme" and at >= after["address"]:
             if at and (text[at - 1].isalnum()):
                 continue
-            m = _URI_REST.match(text, last + 1)
-            if m and (text[last] == ":" and (m.group()[0].isalnum() or m.group()[0] == "+") or _USER_INFO.match(text, last + 1)):
-                end = last + 1 + len(m.group().rstrip(".,;:!?)"))
+            # The rest of the URI is read only where a span comes of it, and every stretch without stops once.
+            after_it = text[last + 1:last + 2]
+            if last + 1 >= run_end:
+                run_end = _NO_STOP.match(text, last + 1).end()
+                run_is_user = text[run_end:run_end + 1] == "@" and _NO_STOP.match(text, run_end + 1).end() > run_end + 1
+            if text[last] == ":" and (after_it.isalnum() or after_it == "+") or run_is_user and last + 1 < run_end:
+                end = last + 1 + len(_URI_REST.match(text, last + 1).group().rstrip(".,;:!?)"))
                 after["address"] = end
                 found["address"].append((at, end))
         elif kind == "account" and at >= after["account"]:

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 from lexidx.llm import pii, queries
 from tests.llm.helpers import SF_SMALL, clashing, docs
@@ -50,6 +51,33 @@ def test_cues_add_validated_spans():
     assert pii.find_spans("Licensed under CC BY-NC 4.0. The account of a token on a page; see 3.2.1.")["account"] == []
 
 
+def test_long_joined_uris_stay_linear():
+    """No stretch is read again for every scheme in it."""
+    for piece in ("http://a.org/x,", "mailto:-", "mailto:", "ftp://u@", "https://x:y", "sip:@", "tel:/", "http://user:pw@h/"):
+        text = piece * (1_000_000 // len(piece))
+        began = time.time()
+        pii.find_spans(text)
+        assert time.time() - began < 5, piece
+    assert pii.find_spans("mailto:-x@y http://u:p@h/ http://h/u@h mailto:tel:-u@ h")["address"] == [(0, 11), (12, 25), (39, 53)]
+
+
+def test_user_names_in_uris_equal_a_plain_match():
+    rng = random.Random(1)
+    user = re.compile(r"[^\s/@\"'<>]+@[^\s/@\"'<>]")
+    for _ in range(3000):
+        text = "".join(rng.choice(["http://", "mailto:", "sip:", "u", "-", "@", "/", " ", "."]) for _ in range(14))
+        expected, after = [], 0
+        for m in re.finditer("(?=(http://|mailto:|sip:))", text):
+            at, last = m.start(), m.start() + len(m.group(1))
+            if at < after or at and text[at - 1].isalnum():
+                continue
+            rest = re.compile(r"[^\s\"'<>]+").match(text, last)
+            if rest and (m.group(1)[-1] == ":" and (rest.group()[0].isalnum() or rest.group()[0] == "+") or user.match(text, last)):
+                after = last + len(rest.group().rstrip(".,;:!?)"))
+                expected.append((at, after))
+        assert pii.find_spans(text)["address"] == expected, text
+
+
 def test_query_over_the_whole_table_and_edge_rows(spark):
     rows = docs(spark, ["mail a@b.co now", None, "", "𝒳 10.0.0.1"], [(0, "mail a@b.co now")])
     got = sorted(pii.detect(clashing(rows)).collect(), key=lambda r: r.doc_id)
