@@ -15,7 +15,8 @@ assistant text, empty ones included.
 Defined cases: a null text or role counts as empty, a null turn sorts first,
 rows with a null conversation id form one conversation; repeated rows are
 turns of their own; an empty table gives no rows; other columns are ignored.
-A conversation is one output row, so its turns meet in one task by definition.
+A conversation is one output row, so its turns meet in one task by definition; very long ones take
+time in proportion to their length, but for one look per chunk at what comes before it.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from pyspark.sql import functions as F
 
 # The control strings. [INST] and [/INST] are reserved, so they are escaped too.
 BEGIN, END, ROLE, ROLE_END, AND = "<s>", "</s>", "[ROLE]", "[/ROLE]", "[AND]"
+CHUNK = 512  # pieces or spans worked on at a time
 CONTROL_TAIL = r"(/?s>|/?ROLE\]|/?INST\]|AND\])"
 _ESCAPABLE = r"([<\[])(\\*)(?=" + CONTROL_TAIL + ")"
 _ESCAPED = r"([<\[])\\(\\*)(?=" + CONTROL_TAIL + ")"
@@ -64,14 +66,29 @@ def format_conversations(rows: DataFrame, conv: str = "conv_id", turn: str = "tu
             F.length(t).alias("chars"),
             F.when(k == F.size(b["texts"]) - 1, len(END)).otherwise(0).alias("tail"),
             (b["role"] == "assistant").alias("loss"))))).alias("pieces"))
-    sums = F.aggregate(
-        "pieces", F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("spans")),
-        lambda acc, p: F.struct(
-            (acc["at"] + p["lead"] + p["chars"] + p["tail"]).alias("at"),
-            F.when(p["loss"], F.concat(acc["spans"], F.array(F.struct((acc["at"] + p["lead"]).alias("start"), p["chars"].alias("length")))))
-            .otherwise(acc["spans"]).alias("spans")),
-        lambda acc: acc["spans"])
-    return pieces.select("conv_id", "formatted", sums.alias("loss_spans"))
+    def size(p):
+        return p["lead"] + p["chars"] + p["tail"]
+
+    def spans_of(chunk, before):
+        return F.aggregate(
+            chunk, F.struct(before.alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("spans")),
+            lambda acc, p: F.struct(
+                (acc["at"] + size(p)).alias("at"),
+                F.when(p["loss"], F.concat(acc["spans"], F.array(F.struct((acc["at"] + p["lead"]).alias("start"), p["chars"].alias("length")))))
+                .otherwise(acc["spans"]).alias("spans")),
+            lambda acc: acc["spans"])
+
+    # Growing an array copies it, so pieces are summed in chunks, and each chunk starts from the chunks before it.
+    cut = pieces.select("conv_id", "formatted", _chunks("pieces").alias("chunks"))
+    before = F.aggregate(F.transform("chunks", lambda c: F.aggregate(c, F.lit(0), lambda n, p: n + size(p))), F.array(F.lit(0)),
+                         lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
+    spans = F.zip_with("chunks", F.slice(before, 1, F.size("chunks")), spans_of)
+    return cut.select("conv_id", "formatted", F.flatten(spans).alias("loss_spans"))
+
+
+def _chunks(array: str) -> Column:
+    """The array in pieces of CHUNK entries."""
+    return F.transform(F.sequence(F.lit(0), F.floor((F.size(array) - 1) / CHUNK).cast("int")), lambda c: F.slice(array, c * CHUNK + 1, CHUNK))
 
 
 def parse_conversations(formatted: DataFrame) -> DataFrame:
@@ -85,8 +102,14 @@ def parse_conversations(formatted: DataFrame) -> DataFrame:
         lambda t: F.struct(
             unescape(F.substring_index(F.substring_index(b, ROLE_END, 1), BEGIN + ROLE, -1)).alias("role"),
             unescape(t).alias("text")))))
-    loss = F.array_join(F.transform(
-        "loss_spans", lambda s: unescape(F.substring(F.col("formatted"), s["start"] + 1, s["length"]))), "")
+    # Code points are counted from the start of a string, so spans are cut from the stretch of their chunk.
+    def stretch(chunk):
+        first, last = chunk[0], F.element_at(chunk, -1)
+        return F.struct(chunk.alias("spans"), F.substring(F.col("formatted"), first["start"] + 1, last["start"] + last["length"] - first["start"]).alias("text"))
+
+    stretches = F.when(F.size("loss_spans") > 0, F.transform(_chunks("loss_spans"), stretch)).otherwise(F.array())
+    loss = F.array_join(F.transform(stretches, lambda x: F.array_join(F.transform(
+        x["spans"], lambda s: unescape(F.substring(x["text"], s["start"] - x["spans"][0]["start"] + 1, s["length"]))), "")), "")
     return formatted.select("conv_id", "formatted", "loss_spans", turns.alias("turns"), loss.alias("loss_text"))
 
 

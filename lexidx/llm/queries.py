@@ -43,7 +43,7 @@ def op8_ann(spark, sf_dir):
 
 def op9_chat(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    trial = spark.createDataFrame([(-7, 0, "user", TRIAL), (-7, 1, "assistant", TRIAL)], "conv_id long, turn long, role string, text string")
+    trial = spark.sql(f"SELECT * FROM VALUES (-7L, 0L, 'user', '{TRIAL}'), (-7L, 1L, 'assistant', '{TRIAL}') AS t(conv_id, turn, role, text)")
     return chat.digest(chat.format_conversations(rows.unionByName(trial)))
 
 

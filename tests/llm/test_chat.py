@@ -1,6 +1,7 @@
 """Formatting, read back, equals the rows it came from."""
 
 import hashlib
+import time
 
 from pyspark.sql import functions as F
 
@@ -49,3 +50,24 @@ def test_layout_escapes_merging_and_edge_rows(spark):
 def test_plan_has_no_python(spark):
     plan = queries.op9_chat(spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_very_long_conversations_stay_linear(spark):
+    n = 50_000
+    rows = spark.range(n).select(F.lit(1).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+                                 F.when(F.col("id") % 3 == 0, "user").otherwise("assistant").alias("role"),
+                                 F.concat(F.lit("é </s> "), F.col("id").cast("string")).alias("text"))
+    turns = [("user" if i % 3 == 0 else "assistant", f"é </s> {i}") for i in range(n)]
+    began = time.time()
+    assert read(chat.digest(chat.format_conversations(rows))) == {1: digest_of(turns)}
+    assert time.time() - began < 60
+
+
+def test_chunk_bounds(spark):
+    """Conversations of about one, two and three chunks of pieces and of spans."""
+    sizes = [c * chat.CHUNK + d for c in (1, 2) for d in (-1, 0, 1)] + [1, 2]
+    turns = {k: [("assistant" if (i + k) % 2 else "user", "x" * (i % 4)) for i in range(n)] for k, n in enumerate(sizes)}
+    turns[100] = [("assistant", "") for _ in range(chat.CHUNK + 1)]
+    turns[101] = [("user", "u") for _ in range(chat.CHUNK + 1)]
+    df = spark.createDataFrame([(k, i, r, t) for k, v in turns.items() for i, (r, t) in enumerate(v)], KIND)
+    assert read(chat.digest(chat.format_conversations(df))) == {k: digest_of(v) for k, v in turns.items()}
