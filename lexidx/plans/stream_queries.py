@@ -79,12 +79,10 @@ def poison_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _lifecycle_outcomes(spark, sf_dir):
     """Stream the G3 lifecycle log through the keyed state machine: one keyed
-    record per event, in the files of one ordered log."""
+    record per event, in the files of one ordered log, micro-batches of the default bound."""
     src = scratch_path(spark, "lifecycle-src")
-    log = fixtures.lifecycle_events(spark, sf_dir)
-    ev.write_records(ev.encode(log, "version_id"), "text", src)
-    # The whole backlog is one ordered log here, so one micro-batch takes all its files.
-    records = ev.from_lines(ev.read_raw(spark, "text", src, {"maxFilesPerTrigger": "1000000"}))
+    ev.write_log(fixtures.lifecycle_events(spark, sf_dir), "version_id", "seq", src)
+    records = ev.from_lines(ev.read_raw(spark, "text", src))
     decoded = ev.decode(records, ev.LIFECYCLE_SCHEMA, "version_id")
     stream = ev.apply_transitions(decoded.where(F.col("event").isNotNull()).select("event.*", "key", "raw"))
     sink, ck = scratch_path(spark, "lifecycle-out"), scratch_path(spark, "ck-lifecycle")

@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupStateTimeout
 
+from lexidx.session import age_by_name
+
 # The uploaded event: seven fields, as published.
 UPLOADED_EVENT_SCHEMA = T.StructType([
     T.StructField("versionId", T.StringType()),
@@ -124,6 +126,21 @@ def write_records(records: DataFrame, fmt: str, target: str, options: dict | Non
         _as_lines(records).write.mode("append").text(target)
 
 
+LOG_RECORDS = 2_000
+
+
+def write_log(events: DataFrame, key_col: str, order: str, target: str, records_per_file: int = LOG_RECORDS) -> None:
+    """An ordered log as a folder of files: ranges of ``order``, of at most ``records_per_file`` records, which a
+    stream takes up in that order, a bounded number of files at a time (``read_raw``).
+
+    The file source goes by modification times, so these follow the ranges (on storage that keeps
+    none, append the ranges one after the other). A topic needs none of this: its partitions are ordered.
+    """
+    dealt = events.repartitionByRange(order).sortWithinPartitions(order)
+    _as_lines(encode(dealt, key_col)).write.option("maxRecordsPerFile", records_per_file).text(target)
+    age_by_name(events.sparkSession, target)
+
+
 def publish_stream(records: DataFrame, fmt: str, target: str, checkpoint: str, options: dict | None = None):
     """E1 sink (streaming): keyed records to a ``kafka`` topic or to files of one
     JSON record {"key", "value"} a line; the checkpoint makes the file sink exactly-once."""

@@ -157,3 +157,40 @@ def test_events_before_and_after_are_never_taken_for_duplicates(spark, tmp_dir):
     out = feed((3, "UPLOADED"), (5, "READY"))
     assert sorted((r.seq, r.outcome) for r in out.collect()) == [
         (1, "APPLIED"), (2, "APPLIED"), (3, "APPLIED"), (5, "APPLIED"), (5, "STALE"), (9, "NOT_FOUND")]
+
+
+def test_hot_version_crosses_micro_batches_and_a_restart(spark, tmp_dir):
+    """A third of the log is one version; files of 50 records, 3 a trigger: its state is carried over many batches."""
+    log = fixtures.lifecycle_events(spark, SF_SMALL)
+    log = log.withColumn("version_id", F.when(F.col("seq") % 3 == 0, F.lit(7)).otherwise(F.col("version_id")))
+    src, sink, ck = (os.path.join(tmp_dir, x) for x in ("src", "sink", "ck"))
+    cut = log.agg(F.percentile_approx("seq", 0.5)).first()[0]
+    for part in (log.where(F.col("seq") < cut), log.where(F.col("seq") >= cut)):
+        ev.write_log(part, "version_id", "seq", os.path.join(tmp_dir, "now"), records_per_file=50)
+        os.makedirs(src, exist_ok=True)
+        for name in sorted(os.listdir(os.path.join(tmp_dir, "now"))):
+            if name.startswith("part-"):
+                os.rename(os.path.join(tmp_dir, "now", name), os.path.join(src, f"{name}-{len(os.listdir(src)):05d}"))
+        for name in os.listdir(os.path.join(tmp_dir, "now")):
+            os.remove(os.path.join(tmp_dir, "now", name))
+        os.rmdir(os.path.join(tmp_dir, "now"))
+        records = ev.from_lines(ev.read_raw(spark, "text", src, {"maxFilesPerTrigger": "3"}))
+        decoded = ev.decode(records, ev.LIFECYCLE_SCHEMA, "version_id")
+        q = ev.run_available(ev.apply_transitions(decoded.where(F.col("event").isNotNull()).select("event.*")), sink, ck)
+        assert len([p for p in q.recentProgress if p["numInputRows"]]) >= 3
+    rows = spark.read.parquet(sink).collect()
+    want = {(r.version_id, r.seq): r.outcome for r in catalog.classify_events(log).collect()}
+    assert {(int(r.version_id), r.seq): r.outcome for r in rows} == want and len(rows) == len(want)
+
+
+def test_log_files_are_ordered_and_bounded(spark, tmp_dir):
+    log = fixtures.lifecycle_events(spark, SF_SMALL)
+    ev.write_log(log, "version_id", "seq", os.path.join(tmp_dir, "log"), records_per_file=100)
+    files = [os.path.join(tmp_dir, "log", n) for n in os.listdir(os.path.join(tmp_dir, "log")) if n.startswith("part-")]
+    files.sort(key=os.path.getmtime)
+    seqs = []
+    for f in files:
+        found = [r.seq for r in ev.decode(ev.from_lines(ev.read_raw(spark, "text", f, streaming=False)), ev.LIFECYCLE_SCHEMA, "version_id").select("event.seq").collect()]
+        assert 0 < len(found) <= 100
+        seqs += found
+    assert seqs == sorted(seqs) and len(seqs) == log.count()
