@@ -41,8 +41,11 @@ from lexidx.session import scratch_path
 
 LENGTH = 50
 GRAM = 24
-SLICE_BYTES = 4 << 20       # bytes worked on at a time
-PART_ANCHORS = 2_000_000    # posts in a part
+SLICE_BYTES = 1 << 20       # bytes worked on at a time
+PART_ANCHORS = 1_000_000    # posts in a part
+POSTED_ANCHORS = 1_000_000  # posts dealt to parts at a time
+POSTED_ROWS = 100_000       # the same for anchors with their surroundings
+BLOCK_ROWS = 50_000         # of those, compared at a time
 MOST_STRINGS = 4_000        # different strings of one gram sorted together
 SORTED_SYMBOLS = 200_000    # symbols sorted together
 HOT_SHARE = 4               # a slot with more than 1 / HOT_SHARE of an average part is hot,
@@ -162,6 +165,19 @@ def part_of(h: np.ndarray, parts: int) -> np.ndarray:
     return ((h >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
 
 
+def gathered(pieces, most: int):
+    """Tuples of arrays, put together until they are ``most`` long."""
+    held, size = [], 0
+    for piece in pieces:
+        held.append(piece)
+        size += len(piece[0])
+        if size >= most:
+            yield [np.concatenate(c) for c in zip(*held)]
+            held, size = [], 0
+    if held:
+        yield [np.concatenate(c) for c in zip(*held)]
+
+
 def _by_part(part: np.ndarray):
     """(part, rows of it) for every part there is."""
     order = np.argsort(part, kind="stable")
@@ -174,17 +190,22 @@ def shared_anchors(classes: DataFrame, parts: int, bits: int, hot) -> DataFrame:
     """(cls, position): the anchors whose gram stands in two classes at least, without the hot ones."""
     def post(batches):
         is_hot = np.unpackbits(np.frombuffer(hot.value, np.uint8)).astype(bool)
-        for rows in slices(batches, 2):
-            _, h, number, position, _, _ = anchors([r[-1] for r in rows])
-            keep = ~is_hot[(h >> np.uint64(64 - bits)).astype(np.int64)]
-            h, number, position = h[keep], number[keep], position[keep]
-            cls = np.array([r[0] for r in rows], np.int64)
-            starts = np.concatenate([[0], np.cumsum([len(r[-1]) for r in rows])])[:-1]
-            own = position - starts[number] + np.array([r[1] for r in rows], np.int64)[number]
+
+        def found():
+            for rows in slices(batches, 2):
+                _, h, number, position, _, _ = anchors([r[-1] for r in rows])
+                keep = ~is_hot[(h >> np.uint64(64 - bits)).astype(np.int64)]
+                h, number, position = h[keep], number[keep], position[keep]
+                cls = np.array([r[0] for r in rows], np.int64)
+                starts = np.concatenate([[0], np.cumsum([len(r[-1]) for r in rows])])[:-1]
+                own = position - starts[number] + np.array([r[1] for r in rows], np.int64)[number]
+                yield h, cls[number], own.astype(np.uint32)
+
+        for h, cls, own in gathered(found(), POSTED_ANCHORS):
             out = ([], [], [], [])
             for p, chosen in _by_part(part_of(h, parts)):
                 chosen = chosen[np.argsort(h[chosen])]
-                for column, value in zip(out, (p, h[chosen].tobytes(), cls[number[chosen]].tobytes(), own[chosen].astype(np.uint32).tobytes())):
+                for column, value in zip(out, (p, h[chosen].tobytes(), cls[chosen].tobytes(), own[chosen].tobytes())):
                     column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *(pa.array(c, pa.binary()) for c in out[1:])], ["part", "h", "cls", "at"])
 
@@ -222,15 +243,21 @@ def _rows_around(data: np.ndarray, position: np.ndarray, first: np.ndarray, last
 
 def _first_of_equals(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(order that brings equal rows together, marks of where a new row starts in it). Equal rows may rarely start twice."""
-    wide = np.zeros((len(rows), -(-rows.shape[1] // 8) * 8), np.uint8)
-    wide[:, :rows.shape[1]] = rows
-    words, name = wide.view(np.uint64), np.zeros(len(rows), np.uint64)
-    for c in range(words.shape[1]):
-        name = (name ^ words[:, c]) * np.uint64(0x9E3779B97F4A7C15)
+    def words():
+        for c in range(0, rows.shape[1], 8):
+            wide = np.zeros((len(rows), 8), np.uint8)
+            wide[:, :rows.shape[1] - c] = rows[:, c:c + 8]
+            yield wide.view(np.uint64)[:, 0]
+
+    name = np.zeros(len(rows), np.uint64)
+    for w in words():
+        name = (name ^ w) * np.uint64(0x9E3779B97F4A7C15)
         name ^= name >> np.uint64(32)
     order = np.argsort(name, kind="stable")
-    begin = np.ones(len(rows), bool)
-    begin[1:] = (rows[order[1:]] != rows[order[:-1]]).any(axis=1)
+    begin = np.append(True, np.zeros(max(0, len(rows) - 1), bool))[:len(rows)]
+    for w in words():
+        w = w[order]
+        begin[1:] |= w[1:] != w[:-1]
     return order, begin
 
 
@@ -292,11 +319,16 @@ def covered(around: np.ndarray, doc: np.ndarray, split: bool) -> tuple[np.ndarra
             _sorted_minima(strings[some], gram[chosen[at:end]] - g, least[some], found)
             minima[some] = found
             at = end
-    left, right = around[:, 0].astype(np.int64), around[:, 1].astype(np.int64)
     k = np.arange(SIDE + 1)
-    window = (k <= left[:, None]) & (k >= SIDE - right[:, None])
-    minima = minima[string_of]
-    return window & (minima < doc[:, None]), window & (minima == doc[:, None]) & ask[string_of][:, None]
+    hit, asked = np.zeros((len(around), SIDE + 1), bool), np.zeros((len(around), SIDE + 1), bool)
+    for at in range(0, len(around), BLOCK_ROWS):
+        rows = slice(at, at + BLOCK_ROWS)
+        left, right = around[rows, 0].astype(np.int64), around[rows, 1].astype(np.int64)
+        window = (k <= left[:, None]) & (k >= SIDE - right[:, None])
+        of, own = minima[string_of[rows]], doc[rows, None]
+        hit[rows] = window & (of < own)
+        asked[rows] = window & (of == own) & ask[string_of[rows]][:, None]
+    return hit, asked
 
 
 def covered_stretches(spark: SparkSession, classes: DataFrame, shared: DataFrame, parts: int, bits: int, hot, first_part, written: list[str]) -> DataFrame:
@@ -304,29 +336,30 @@ def covered_stretches(spark: SparkSession, classes: DataFrame, shared: DataFrame
     def post(batches):
         part_at = np.frombuffer(first_part.value, np.int32).reshape(2, -1)
         is_hot = np.unpackbits(np.frombuffer(hot.value, np.uint8)).astype(bool)
-        turn = 0
-        for rows in slices(batches, 4):
-            data, h, number, position, first, last = anchors([r[-1] for r in rows])
-            cls, doc = (np.array([r[c] for r in rows], np.int64) for c in (0, 1))
-            starts = np.concatenate([[0], np.cumsum([len(r[-1]) for r in rows])])[:-1]
-            offset = np.array([r[3] for r in rows], np.int64)
-            slot = (h >> np.uint64(64 - bits)).astype(np.int64)
-            keep = is_hot[slot]
-            wanted = [np.asarray(r[2], np.int64) - r[3] + s for r, s in zip(rows, starts) if r[2]]
-            if wanted:
-                flag = np.zeros(len(data) + 1, bool)
-                for r, s, w in zip((r for r in rows if r[2]), (s for r, s in zip(rows, starts) if r[2]), wanted):
-                    flag[w[(w >= s) & (w < s + len(r[-1]))]] = True
-                keep |= flag[position]
-            h, number, position, first, last, slot = (x[keep] for x in (h, number, position, first, last, slot))
-            part = np.where(is_hot[slot], part_at[0, slot] + turn % np.maximum(part_at[1, slot], 1), part_of(h, parts))
-            turn += 1
-            around = _rows_around(data, position, first, last)
-            own = (position - starts[number] + offset[number]).astype(np.uint32)
+
+        def found():
+            for turn, rows in enumerate(slices(batches, 4)):
+                data, h, number, position, first, last = anchors([r[-1] for r in rows])
+                cls, doc = (np.array([r[c] for r in rows], np.int64) for c in (0, 1))
+                starts = np.concatenate([[0], np.cumsum([len(r[-1]) for r in rows])])[:-1]
+                offset = np.array([r[3] for r in rows], np.int64)
+                slot = (h >> np.uint64(64 - bits)).astype(np.int64)
+                listed = np.zeros(len(data) + 1, bool)
+                for r, s in zip(rows, starts.tolist()):
+                    if r[2]:
+                        at = np.asarray(r[2], np.int64) - r[3] + s
+                        listed[at[(at >= s) & (at < s + len(r[-1]))]] = True
+                keep = is_hot[slot] | listed[position]
+                h, number, position, first, last, slot = (x[keep] for x in (h, number, position, first, last, slot))
+                part = np.where(is_hot[slot], part_at[0, slot] + turn % np.maximum(part_at[1, slot], 1), part_of(h, parts))
+                yield (part, _rows_around(data, position, first, last), cls[number], doc[number],
+                       (position - starts[number] + offset[number]).astype(np.uint32))
+
+        for part, around, cls, doc, own in gathered(found(), POSTED_ROWS):
             out = ([], [], [], [], [])
             for p, chosen in _by_part(part):
                 packed = pa.compress(around[chosen].tobytes(), codec="zstd", asbytes=True)
-                for column, value in zip(out, (p, packed, cls[number[chosen]].tobytes(), doc[number[chosen]].tobytes(), own[chosen].tobytes())):
+                for column, value in zip(out, (p, packed, cls[chosen].tobytes(), doc[chosen].tobytes(), own[chosen].tobytes())):
                     column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *(pa.array(c, pa.binary()) for c in out[1:])],
                                              ["part", "around", "cls", "doc", "at"])
