@@ -1,8 +1,8 @@
 """Artifacts: manifest, integrity, load and publish.
 
 A published index version is a directory of Parquet tables plus a manifest
-table (path, length, sha256) written last. Hashing runs on the executors
-that read each file; nothing is packed or copied on one machine.
+table (path, length, sha256) and a commit that names both (``commits``). Hashing
+runs on the executors that read each file; nothing is packed or copied on one machine.
 """
 
 from __future__ import annotations
@@ -13,13 +13,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexidx.operators import catalog, index
-from lexidx.session import child_names, delete_path, path_exists
+from lexidx.operators import catalog, commits, index
+from lexidx.operators.commits import ATTEMPT, MANIFEST
+from lexidx.session import path_exists
 from lexidx.sources.files import list_objects
 
-MANIFEST = "_manifest"
-ATTEMPT = "data-"
-
 # Messages that must read as they do.
 MISMATCH = "Downloaded artifact integrity check failed: expected size=%s checksum=%s, got size=%s checksum=%s"
 COUNT_MISMATCH = "Loaded index doc count mismatch: expected %d but found %d"
@@ -80,12 +78,6 @@ def doc_count_check(expected: DataFrame, found: DataFrame, keys: list[str]) -> D
                     F.when(ex != fo, F.format_string(COUNT_MISMATCH, ex, fo)).alias("message"))
 
 
-def orphan_artifacts(stored_keys: DataFrame, versions: DataFrame) -> DataFrame:
-    """Stored artifact keys not owned by an UPLOADED/READY version."""
-    live = versions.where(F.col("status").isin(*catalog.HAS_ARTIFACT)).select("artifact_key")
-    return stored_keys.join(live, "artifact_key", "left_anti")
-
-
 # ---- publish and load (A9, A7) ------------------------------------------
 
 def version_path(root: str, index_id, version) -> str:
@@ -94,47 +86,47 @@ def version_path(root: str, index_id, version) -> str:
 
 
 def data_path(spark: SparkSession, root: str, index_id, version) -> str:
-    """The folder with the tables of a published version: the one its manifest lists."""
+    """The folder with the tables of a published version: the attempt of its latest commit. A reader
+    that keeps it goes on reading the same tables while the version is published again."""
     path = version_path(root, index_id, version)
-    first = spark.read.parquet(f"{path}/{MANIFEST}").select(F.min("path").alias("p")).first()["p"]
-    if first is None:
-        raise FileNotFoundError(f"Artifact manifest of version {version} of index {index_id} lists no file")
-    return f"{path}/{first.split('/', 1)[0]}"
+    pinned = commits.latest(spark, path)
+    if pinned is None:
+        raise FileNotFoundError(f"Version {version} of index {index_id} has no commit")
+    return pinned.data(path)
 
 
 def publish_version(spark: SparkSession, docs: DataFrame, fields, root: str, index_id, version,
-                    after_stored=None, layout: str = "range") -> DataFrame:
-    """Write the tables, verify the document count, then write the
-    manifest; returns one row that describes what was published: index_id,
+                    after_stored=None, layout: str = "range", retention: float = commits.RETENTION_SECONDS) -> DataFrame:
+    """Write the tables, verify the document count, write the
+    manifest, then commit; returns one row that describes what was published: index_id,
     version, doc_count, artifact_size, checksum, artifact_key, occurred_at.
 
     Every attempt writes a folder of its own, so nothing of an earlier one can
-    be taken for part of it; the manifest, written last, names the attempt that
-    counts, and then the others go. A failed attempt removes its folder and
-    leaves what was published before untouched.
+    be taken for part of it; the commit names the attempt that counts. Of two writers that publish the
+    same version at once one wins, the other gets a ``PublishConflict``. An attempt that fails or loses removes
+    its own files and leaves all others alone; attempts that were replaced
+    stay for their readers until ``retention`` seconds have passed.
     """
     path = version_path(root, index_id, version)
-    attempt = f"{path}/{ATTEMPT}{uuid.uuid4().hex[:12]}"
+    before = commits.latest(spark, path)
+    name = f"{ATTEMPT}{uuid.uuid4().hex[:12]}"
+    attempt = f"{path}/{name}"
     try:
         _, n_docs = index.write_version(docs, fields, attempt, layout=layout, after_stored=after_stored)
         index.verify_counts(n_docs, spark.read.parquet(f"{attempt}/stored").count())
         man = manifest(list_objects(spark, attempt), path)
-        # repartition, not coalesce: the hashing stays spread over all files'
-        # tasks and only the (one row per file) manifest is gathered.
-        man.repartition(1).write.mode("overwrite").parquet(f"{path}/{MANIFEST}")
+        # One row for each file, written where the files were hashed.
+        man.write.parquet(commits.manifest_path(path, name))
+        d = version_digest(spark.read.parquet(commits.manifest_path(path, name))).first()
+        done = commits.commit(spark, path, before, name, n_docs, d["files"], d["bytes"], d["digest"])
     except Exception:
-        delete_path(spark, attempt)
+        commits.discard_attempt(spark, path, name)
         raise
-    for name in child_names(spark, path):
-        if name.startswith(ATTEMPT) and not attempt.endswith(name):
-            delete_path(spark, f"{path}/{name}")
-    d = version_digest(spark.read.parquet(f"{path}/{MANIFEST}"))
-    now = _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None)
-    key = f"index_id={index_id}/version={version}"
-    return d.select(
-        F.lit(str(index_id)).alias("index_id"), F.lit(int(version)).alias("version"),
-        F.lit(n_docs).alias("doc_count"), F.col("bytes").alias("artifact_size"),
-        F.col("digest").alias("checksum"), F.lit(key).alias("artifact_key"), F.lit(now).alias("occurred_at"))
+    commits.expire(spark, path, retention)
+    now = _dt.datetime.fromtimestamp(done.committed_at, _dt.timezone.utc).replace(tzinfo=None)
+    return spark.createDataFrame(
+        [(str(index_id), int(version), done.doc_count, done.bytes, done.checksum, f"index_id={index_id}/version={version}", now)],
+        "index_id string, version int, doc_count bigint, artifact_size bigint, checksum string, artifact_key string, occurred_at timestamp")
 
 
 REQUIRED_COLUMNS = {
@@ -193,10 +185,10 @@ def load_version(spark: SparkSession, root: str, index_id, version, versions: Da
             raise LoadRefused(f"Version {version} of index {index_id} not found")
         if known["status"] not in catalog.HAS_ARTIFACT:
             raise LoadRefused(NOT_AVAILABLE.format(version=version, index_id=index_id, status=known["status"]))
-        if not path_exists(spark, f"{path}/{MANIFEST}"):
+        pinned = commits.latest(spark, path)
+        if pinned is None or not path_exists(spark, pinned.manifest(path)):
             raise LoadRefused(f"Artifact manifest missing for version {version} of index {index_id}")
-        expected = spark.read.parquet(f"{path}/{MANIFEST}")
-        data = data_path(spark, root, index_id, version)
+        expected, data = spark.read.parquet(pinned.manifest(path)), pinned.data(path)
         # Every file below the attempt that a reader can see, of whatever kind.
         actual = manifest(list_objects(spark, data), path)
         bad = integrity_check(expected, actual).where(F.col("status") != "OK").select("path", "status", "message")
@@ -225,14 +217,6 @@ def load_version(spark: SparkSession, root: str, index_id, version, versions: Da
     return row("LOADED", num_docs=n, size=size)
 
 
-def stored_artifacts(spark: SparkSession, root: str) -> DataFrame:
-    """A8 listing: the artifact key of every published folder below ``root``, read
-    from the storage itself: one row for each manifest's path."""
-    files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path"))
-    key = F.regexp_extract("path", r"(index_id=[^/]+/version=[^/]+)/", 1)
-    return files.select(key.alias("artifact_key")).where("artifact_key <> ''").distinct()
-
-
 # ---- archive audit (A5, A6) ---------------------------------------------
 
 def _escapes(name) -> "F.Column":

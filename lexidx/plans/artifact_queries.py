@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexidx.operators import artifact, catalog
+from lexidx.operators import artifact, catalog, sweep
 from lexidx.plans import fixtures, published, tables
 from lexidx.sources.files import list_objects
 
@@ -55,12 +55,11 @@ def doc_count_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def orphan_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Keys found in a storage that holds an object for every version that
+    """A listing of a storage that holds an object for every version that
     ever got that far, against the catalog."""
     v = fixtures.index_version(spark, sf_dir)
-    root = fixtures.write_objects(spark, v.where(F.col("status").isin("BUILT", "UPLOADED", "READY", "FAILED")).select(
-        fixtures.artifact_key(F.col("index_id"), F.col("version")).alias("artifact_key")))
-    return artifact.orphan_artifacts(fixtures.listed_keys(spark, root), v)
+    root = fixtures.write_objects(spark, v.where(F.col("status").isin("BUILT", "UPLOADED", "READY", "FAILED")))
+    return sweep.orphans(fixtures.listed_objects(spark, root), v, grace_seconds=0).select("artifact_key")
 
 
 def publish_version(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lexidx.operators import sweep
 from lexidx.plans import tables
 from lexidx.session import scratch_path
 
@@ -173,17 +174,18 @@ def index_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- G4: stored objects -------------------------------------------------
 
 def write_objects(spark: SparkSession, keys: DataFrame) -> str:
-    """A storage folder with one small record per artifact key, dealt into
-    bounded partition folders: {root}/bucket=<n>/part-*."""
+    """A storage folder with an object of its own for each (index_id, version): {root}/index_id=<id>/version=<n>/part-*."""
     root = scratch_path(spark, "objects")
-    keys.select(F.pmod(F.xxhash64("artifact_key"), F.lit(16)).alias("bucket"), F.col("artifact_key").alias("value")) \
-        .write.partitionBy("bucket").text(root)
+    keys.select("index_id", "version", F.lit("artifact").alias("value")).repartition("index_id", "version") \
+        .write.partitionBy("index_id", "version").text(root)
     return root
 
 
-def listed_keys(spark: SparkSession, root: str) -> DataFrame:
-    """The artifact keys found below ``root``, read back from the storage."""
-    return spark.read.option("recursiveFileLookup", "true").text(root).select(F.col("value").alias("artifact_key"))
+def listed_objects(spark: SparkSession, root: str) -> DataFrame:
+    """The folders of ``sweep.stored_folders`` with the keys that a catalog uses for them."""
+    files = sweep.list_files(spark, root)
+    own = files.withColumn("path", F.regexp_replace("path", r"index_id=([^/]+)/version=([^/]+)/[^/]*$", "objects/$1/$2/index.tar.gz"))
+    return sweep.stored_folders(own, r"objects/(([^/]+/[^/]+/index\.tar\.gz))$")
 
 
 # ---- G5: archive entries from pages -------------------------------------
