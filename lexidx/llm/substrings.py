@@ -10,8 +10,8 @@ suffix array of a whole corpus fits in no task, so suffixes are first brought to
    can only be equal if their anchors are. Anchors whose gram stands in one class only are left out.
 3. What is left travels as the anchor with its surroundings (all windows that it stands for) to the task
    of its gram. There, equal surroundings become one string. The strings of a gram are joined to a
-   text, the gram itself as one symbol, and sorted by linear suffix grouping (``lyndon.suffix_order``). Windows are
-   suffixes of that text; equal ones are neighbours in the order, and each run of equals knows its smallest document.
+   text, in which the gram with all that they share beside it is one symbol, and sorted by linear suffix grouping
+   (``lyndon.suffix_order``). Equal windows are neighbours in the order, and each run of equals knows its smallest document.
 4. Covered stretches go back to their class, are united, and cut from the text.
 
 Hot grams: a count sketch of a size that follows the number of parts, not the data, knows the grams that would fill
@@ -261,29 +261,63 @@ def _first_of_equals(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, begin
 
 
+def _common(near: np.ndarray, used: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """For each string, how many bytes beside the anchor all strings of its gram share; columns go away from the anchor."""
+    head = np.repeat(start, size)
+    agree = (near == near[head]) & used & used[head]
+    return np.repeat(np.minimum.reduceat(np.logical_and.accumulate(agree, axis=1).sum(axis=1), start), size)
+
+
 def _sorted_minima(strings: np.ndarray, gram: np.ndarray, doc: np.ndarray, out: np.ndarray) -> None:
-    """out[string, bytes left of the anchor]: the smallest document that has this window, from the suffix order of the strings."""
+    """out[string, bytes left of the anchor]: the smallest document that has this window, from the suffix order of the strings.
+
+    ``strings`` come by gram. The anchor, with what all strings of its gram share beside it, is one symbol.
+    """
     left, right = strings[:, 0].astype(np.int64), strings[:, 1].astype(np.int64)
     place = np.arange(SIDE)
-    symbols = np.zeros((len(strings), 2 * SIDE + 2), np.int64)     # left, the anchor as one symbol, right, an end
-    symbols[:, :SIDE] = strings[:, 2 + GRAM:2 + GRAM + SIDE].astype(np.int64) + 1
+    before_it, behind_it = strings[:, 2 + GRAM:2 + GRAM + SIDE], strings[:, 2 + GRAM + SIDE:]
+    start = np.flatnonzero(np.append(True, gram[1:] != gram[:-1]))
+    size = np.diff(np.append(start, len(gram)))
+    inner_left = _common(before_it[:, ::-1], place < left[:, None], start, size)
+    inner_right = _common(behind_it, place < right[:, None], start, size)
+    symbols = np.zeros((len(strings), 2 * SIDE + 2), np.int64)     # left, the anchor, right, an end
+    symbols[:, :SIDE] = before_it.astype(np.int64) + 1
     symbols[:, SIDE] = 257 + gram
-    symbols[:, SIDE + 1:-1] = strings[:, 2 + GRAM + SIDE:].astype(np.int64) + 1
+    symbols[:, SIDE + 1:-1] = behind_it.astype(np.int64) + 1
     used = np.ones(symbols.shape, bool)
-    used[:, :SIDE] = place >= SIDE - left[:, None]
-    used[:, SIDE + 1:-1] = place < right[:, None]
+    used[:, :SIDE] = (place >= SIDE - left[:, None]) & (place < SIDE - inner_left[:, None])
+    used[:, SIDE + 1:-1] = (place < right[:, None]) & (place >= inner_right[:, None])
     text = symbols[used]
     number, before = np.nonzero(used)
     before = SIDE - before                                         # bytes left of the anchor, for a suffix that starts there
-    window = (before >= SIDE - right[number]) & (before >= 0)
     order = suffix_order(text)
-    order = order[window[order]]
-    same = np.ones(len(order) - 1, bool)
-    for k in range(SIDE + 1):
-        same &= text[order[1:] + k] == text[order[:-1] + k]
-    start = np.flatnonzero(np.append(True, ~same))
-    least = np.minimum.reduceat(doc[number[order]], start)
-    out[number[order], before[order]] = np.repeat(least, np.diff(np.append(start, len(order))))
+    text = np.append(text, np.zeros(2 * SIDE + 2, np.int64))
+    # Windows that start left of the symbol: suffixes of their own, equal over the window's symbols.
+    starts_window = (before > inner_left[number]) & (before >= SIDE - right[number])
+    by = order[starts_window[order]]
+    if len(by):
+        string, a = number[by], before[by]
+        need = a - inner_left[string] + 1 + np.maximum(0, SIDE - a - inner_right[string])
+        same = np.ones(len(by) - 1, bool)
+        for k in range(int(need.max())):
+            same &= (text[by[1:] + k] == text[by[:-1] + k]) | (k >= need[1:])
+        first = np.flatnonzero(np.append(True, ~same))
+        out[string, a] = np.repeat(np.minimum.reduceat(doc[string], first), np.diff(np.append(first, len(by))))
+    # Windows that start in it: they share what is left of the anchor, so they are equal as far as what follows the symbol is.
+    by = order[before[order] == 0]
+    string = number[by]
+    shared, agree = np.zeros(len(by) - 1, np.int64), text[by[1:]] == text[by[:-1]]
+    other_gram = ~agree
+    for k in range(1, SIDE + 1):
+        agree = agree & (text[by[1:] + k] == text[by[:-1] + k])
+        shared += agree
+    none = np.iinfo(np.int64).max
+    for a in range(int(inner_left.max()) + 1):
+        has = (a <= inner_left[string]) & (a >= SIDE - right[string])
+        need = np.maximum(0, SIDE - a - inner_right[string])
+        first = np.flatnonzero(np.append(True, other_gram | (shared < need[1:])))
+        least = np.repeat(np.minimum.reduceat(np.where(has, doc[string], none), first), np.diff(np.append(first, len(by))))
+        out[string[has], a] = least[has]
 
 
 def covered(around: np.ndarray, doc: np.ndarray, split: bool) -> tuple[np.ndarray, np.ndarray]:
