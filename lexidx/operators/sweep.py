@@ -15,12 +15,22 @@ from lexidx.operators import catalog, commits
 from lexidx.session import delete_path
 
 GRACE_SECONDS = 6 * 3600
+LISTING_TASKS = 32
 
 
 def list_files(spark: SparkSession, root: str) -> DataFrame:
-    """(path, bytes, modified) of every visible file below ``root``."""
-    return (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-            .select("path", F.col("length").alias("bytes"), F.col("modificationTime").alias("modified")))
+    """(path, bytes, modified) of every visible file below ``root``.
+
+    Spark lists folders in a job of its own, by default one task for each; here a few for each core.
+    """
+    width = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(width)
+    spark.conf.set(width, str(max(LISTING_TASKS, 4 * spark.sparkContext.defaultParallelism)))
+    try:
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    finally:
+        spark.conf.set(width, before)
+    return files.select("path", F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"))
 
 
 def stored_folders(files: DataFrame, folder: str) -> DataFrame:

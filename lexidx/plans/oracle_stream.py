@@ -53,4 +53,10 @@ STREAM_SQL = {
     "ambiguous_publish_reconcile": f"""WITH {G2}
       SELECT version_id, index_id, version, artifact_key FROM iv
       WHERE status = 'UPLOADED' AND version_id % {sq.UNCONFIRMED_MOD} = 0""",
+    "publish_settlement": f"""WITH {G2},
+      r AS (SELECT *, version_id % {sq.UNCONFIRMED_MOD} <> 0 AND version_id % {sq.REFUSED_MOD} = 0 AS refused FROM iv
+            WHERE status IN ('UPLOADED', 'READY'))
+      SELECT version_id, CASE WHEN refused THEN 'FAILED' ELSE status END AS status,
+             CASE WHEN NOT refused THEN artifact_key END AS artifact_key, CASE WHEN refused THEN artifact_key END AS orphaned_key,
+             CASE WHEN refused THEN 'Failed to publish event: broker ' || index_id END AS error_message FROM r""",
 }

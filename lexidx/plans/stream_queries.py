@@ -21,6 +21,7 @@ POISON_STRING_MOD = 97
 POISON_NO_ID_MOD = 89
 POISON_TYPE_MOD = 83
 UNCONFIRMED_MOD = 3
+REFUSED_MOD = 7
 
 
 def uploaded_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,6 +123,25 @@ def ambiguous_publish_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.reconcile_uploaded(v, published).select("version_id", "index_id", "version", "artifact_key")
 
 
+def publish_settlement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What became of every version with an artifact after its event was acknowledged, timed out or refused."""
+    v = fixtures.index_version(spark, sf_dir).where(F.col("status").isin(*catalog.HAS_ARTIFACT)).withColumn(
+        "version_id", F.col("version_id").cast("string"))
+    vid = F.col("version_id").cast("bigint")
+    result = F.when(vid % UNCONFIRMED_MOD == 0, "TIMEOUT").when(vid % REFUSED_MOD == 0, "ERROR").otherwise("ACK")
+    results = v.select("version_id", vid.alias("seq"), result.alias("result"),
+                       F.when(result == "ERROR", F.concat(F.lit("broker "), F.col("index_id").cast("string"))).alias("error"))
+    src, out, ck = (scratch_path(spark, x) for x in ("publish-results", "publish-settled", "ck-settled"))
+    results.write.json(src)
+    stream = spark.readStream.schema(ev.RESULT_SCHEMA).options(**ev.FILE_BOUND).json(src)
+    ev.run_available(stream, out, ck, batch_fn=ev.settle_batch(out, v))
+    failed, orphans = ev.settled(spark, out)
+    return (v.select("version_id", "status", "artifact_key").join(failed.select("version_id", "kind", "error_message"), "version_id", "left")
+            .join(orphans.select("version_id", F.col("artifact_key").alias("orphaned_key")), "version_id", "left")
+            .select(F.col("version_id").cast("bigint").alias("version_id"), F.coalesce("kind", "status").alias("status"),
+                    F.when(F.col("kind").isNull(), F.col("artifact_key")).alias("artifact_key"), "orphaned_key", "error_message"))
+
+
 QUERIES = {
     "event_source": event_source,
     "event_sink": event_sink,
@@ -130,4 +150,5 @@ QUERIES = {
     "unknown_version_routing": unknown_version_routing,
     "stale_failure_guard": stale_failure_guard,
     "ambiguous_publish_reconcile": ambiguous_publish_reconcile,
+    "publish_settlement": publish_settlement,
 }

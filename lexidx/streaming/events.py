@@ -12,13 +12,16 @@ the checkpoint.
 
 from __future__ import annotations
 
+import json
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupStateTimeout
 
-from lexidx.session import age_by_name
+from lexidx.operators import commits
+from lexidx.session import age_by_name, path_exists
 
 # The uploaded event: seven fields, as published.
 UPLOADED_EVENT_SCHEMA = T.StructType([
@@ -326,6 +329,34 @@ def settle_publish(outcomes: DataFrame, versions: DataFrame):
     return failed, orphans
 
 
+RESULT_SCHEMA = "version_id string, seq bigint, result string, error string"
+SETTLED = ("failed", "orphans")
+
+
+def settle_batch(out: str, versions: DataFrame):
+    """A foreachBatch function that settles publish results exactly once.
+
+    A batch writes its FAILED events and orphaned keys to folders named by its id, replacing what a broken run of
+    it left there, and then enters itself in the transaction table, one file for each batch, created only if
+    absent. A replayed batch finds its entry and changes nothing; readers (``settled``) see entered batches only.
+    """
+    def run(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        entry = f"{out}/transactions/{batch_id:012d}.json"
+        if path_exists(spark, entry):
+            return
+        for name, rows in zip(SETTLED, settle_publish(batch, versions)):
+            rows.write.mode("overwrite").parquet(f"{out}/{name}/batch={batch_id}")
+        commits.create_if_absent(spark, entry, json.dumps({"batch": batch_id}))
+    return run
+
+
+def settled(spark: SparkSession, out: str) -> tuple[DataFrame, DataFrame]:
+    """(FAILED lifecycle events, orphaned artifact keys) of the batches in the transaction table."""
+    entered = spark.read.schema("batch long").json(f"{out}/transactions")
+    return tuple(spark.read.parquet(f"{out}/{name}").join(entered, "batch", "left_semi").drop("batch") for name in SETTLED)
+
+
 def reconcile_uploaded(versions: DataFrame, published: DataFrame) -> DataFrame:
     """UPLOADED versions whose event was never confirmed get it again;
     safe because the READY transition is idempotent."""

@@ -194,3 +194,31 @@ def test_log_files_are_ordered_and_bounded(spark, tmp_dir):
         assert 0 < len(found) <= 100
         seqs += found
     assert seqs == sorted(seqs) and len(seqs) == log.count()
+
+
+def test_settling_publish_results_is_exactly_once(spark, tmp_dir, monkeypatch):
+    versions = spark.createDataFrame([(str(i), "UPLOADED", f"a/{i}") for i in range(6)], "version_id string, status string, artifact_key string")
+    rows = [("0", 1, "ACK", None), ("1", 2, "TIMEOUT", None), ("2", 3, "ERROR", "refused"), ("3", 4, "ERROR", None)]
+    first = spark.createDataFrame(rows, ev.RESULT_SCHEMA)
+    run = ev.settle_batch(tmp_dir, versions)
+
+    def state():
+        failed, orphans = ev.settled(spark, tmp_dir)
+        return (sorted((r.version_id, r.seq, r.error_message) for r in failed.collect()),
+                sorted((r.version_id, r.artifact_key) for r in orphans.collect()))
+    want = ([("2", 3, "Failed to publish event: refused"), ("3", 4, "Failed to publish event: error")], [("2", "a/2"), ("3", "a/3")])
+    # A run that breaks after its writes leaves nothing that readers see; its replay settles the batch.
+    with monkeypatch.context() as m:
+        m.setattr(ev.commits, "create_if_absent", lambda *a: (_ for _ in ()).throw(RuntimeError("lost")))
+        try:
+            run(first, 0)
+        except RuntimeError:
+            pass
+    os.makedirs(os.path.join(tmp_dir, "transactions"))
+    assert state() == ([], [])
+    run(first, 0)
+    assert state() == want
+    run(spark.createDataFrame([("5", 9, "ERROR", "again")], ev.RESULT_SCHEMA), 0)  # a replayed batch changes nothing
+    assert state() == want
+    run(spark.createDataFrame([("4", 5, "ERROR", "later")], ev.RESULT_SCHEMA), 1)
+    assert [k for _, k in state()[1]] == ["a/2", "a/3", "a/4"]
