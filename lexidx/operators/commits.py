@@ -91,7 +91,7 @@ def create_if_absent(spark: SparkSession, path: str, text: str) -> bool:
     return True
 
 
-def _read(spark: SparkSession, path: str) -> str:
+def read_text(spark: SparkSession, path: str) -> str:
     p, fs = _file_system(spark, path)
     stream = fs.open(p)
     try:
@@ -106,13 +106,13 @@ def log(spark: SparkSession, path: str) -> list[Commit]:
     if not path_exists(spark, folder):
         return []
     names = [n for n in child_names(spark, folder) if n.endswith(".json")]
-    return [Commit(**json.loads(_read(spark, f"{folder}/{n}"))) for n in sorted(names)]
+    return [Commit(**json.loads(read_text(spark, f"{folder}/{n}"))) for n in sorted(names)]
 
 
 def latest(spark: SparkSession, path: str) -> Commit | None:
     folder = f"{path}/{FOLDER}"
     names = [n for n in child_names(spark, folder) if n.endswith(".json")] if path_exists(spark, folder) else []
-    return Commit(**json.loads(_read(spark, f"{folder}/{max(names)}"))) if names else None
+    return Commit(**json.loads(read_text(spark, f"{folder}/{max(names)}"))) if names else None
 
 
 def commit(spark: SparkSession, path: str, after: Commit | None, attempt: str, doc_count: int, files: int, size: int, checksum: str) -> Commit:

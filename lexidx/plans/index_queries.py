@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexidx.functions import analyzer
-from lexidx.operators import artifact, index, search
+from lexidx.operators import artifact, index, requests, search
 from lexidx.plans import published, tables
-from lexidx.session import child_names
+from lexidx.session import child_names, scratch_path
 
 # Fixed query parameters of the registered lookups.
 BM25_TERMS = ["that", "was", "der", "la"]
@@ -17,6 +17,8 @@ TEXT_TERM = "was"
 KEYWORD_TERM = "Brand#1"
 LONG_RANGE = (10, 20)
 DOUBLE_RANGE = (1000.0, 1100.0)
+REQUEST_TAGS = 40
+RANGE_WIDTH = 3
 
 
 def _docs(spark, sf_dir):
@@ -128,6 +130,31 @@ def sort_by_field(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.sort_by_field(t.stored, "price", descending=True).select("doc_id", "price", "tag")
 
 
+def _buckets(spark, name, write):
+    """A bucketed copy of the published part index for one query."""
+    return write(scratch_path(spark, name), int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def term_lookup_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q1/Q2 for a table of requests: one for each order, some for tags that no part has."""
+    t = published.read(spark, sf_dir, "part")
+    b = _buckets(spark, "postings-buckets", lambda path, n: requests.bucket_postings(t.postings, t.terms(), path, n))
+    tag = F.concat(F.lit("Brand#"), (F.col("o_orderkey") % REQUEST_TAGS).cast("string"))
+    asked = tables.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("req_id"), F.lit("tag").alias("field"), tag.alias("term"))
+    return requests.term_lookups(b, asked).groupBy("req_id").agg(F.count(F.lit(1)).alias("hits"), F.min("doc_id").alias("first_doc"),
+                                                                F.sum("doc_id").alias("doc_sum"))
+
+
+def numeric_range_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q5 for a table of requests: a price range for each customer."""
+    t = published.read(spark, sf_dir, "part")
+    b = _buckets(spark, "points-buckets", lambda path, n: requests.bucket_points(t.double_points, path, n))
+    lo = F.col("c_custkey") % 1000 + 900
+    asked = tables.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("req_id"), F.lit("price").alias("field"), lo.cast("double").alias("lo"),
+                                                           F.when(F.col("c_custkey") % 50 != 0, (lo + RANGE_WIDTH).cast("double")).alias("hi"))
+    return requests.range_lookups(b, asked).groupBy("req_id").agg(F.count(F.lit(1)).alias("hits"), F.min("value").alias("least"), F.max("value").alias("most"))
+
+
 QUERIES = {
     "analyze_text": analyze_text,
     "text_postings": text_postings,
@@ -145,5 +172,7 @@ QUERIES = {
     "bm25_topk": bm25_topk,
     "fetch_stored": fetch_stored,
     "numeric_range": numeric_range,
+    "term_lookup_requests": term_lookup_requests,
+    "numeric_range_requests": numeric_range_requests,
     "sort_by_field": sort_by_field,
 }

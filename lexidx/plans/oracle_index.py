@@ -106,5 +106,10 @@ INDEX_SQL = {
         UNION ALL
         SELECT 'price', p_partkey, p_retailprice FROM part
         WHERE p_retailprice BETWEEN {iq.DOUBLE_RANGE[0]} AND {iq.DOUBLE_RANGE[1]}""",
+    "term_lookup_requests": f"""SELECT o_orderkey AS req_id, count(*) AS hits, min(p_partkey) AS first_doc, CAST(sum(p_partkey) AS BIGINT) AS doc_sum
+        FROM orders JOIN part ON p_brand = 'Brand#' || (o_orderkey % {iq.REQUEST_TAGS}) GROUP BY o_orderkey""",
+    "numeric_range_requests": f"""SELECT c_custkey AS req_id, count(*) AS hits, min(p_retailprice) AS least, max(p_retailprice) AS most
+        FROM customer JOIN part ON p_retailprice >= c_custkey % 1000 + 900
+             AND (c_custkey % 50 = 0 OR p_retailprice <= c_custkey % 1000 + 900 + {iq.RANGE_WIDTH}) GROUP BY c_custkey""",
     "sort_by_field": "SELECT p_partkey AS doc_id, p_retailprice AS price, p_brand AS tag FROM part ORDER BY price DESC NULLS LAST, doc_id",
 }
