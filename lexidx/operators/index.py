@@ -197,7 +197,8 @@ class IndexTables:
 
     ``written_terms`` and ``written_stats`` are the term dictionary and field
     statistics of a published version; without them they are derived. ``blocks``
-    are the block maxima of one.
+    are the block maxima of one, ``locations`` tells which file of its stored
+    table (below ``path``) holds a document.
     """
     stored: DataFrame
     postings: DataFrame | None
@@ -207,6 +208,8 @@ class IndexTables:
     written_terms: DataFrame | None = None
     written_stats: DataFrame | None = None
     blocks: DataFrame | None = None
+    locations: DataFrame | None = None
+    path: str | None = None
 
     def terms(self) -> DataFrame:
         return self.written_terms if self.written_terms is not None else term_dictionary(self.postings)
@@ -229,7 +232,7 @@ def build(docs: DataFrame, fields, pattern: str = analyzer.DEFAULT_PATTERN) -> I
 
 # ---- writing (B10, B11) -------------------------------------------------
 
-TABLES = ("stored", "postings", "lengths", "long_points", "double_points", "terms", "field_stats", "blocks")
+TABLES = ("stored", "locations", "postings", "lengths", "long_points", "double_points", "terms", "field_stats", "blocks")
 
 
 def _layout(df: DataFrame, keys: list[str], layout: str) -> DataFrame:
@@ -259,6 +262,10 @@ def write(tables: IndexTables, path: str, max_records_per_file: int = 5_000_000,
         w(tables.stored).parquet(f"{path}/stored")
         written["stored"] = f"{path}/stored"
     spark = tables.stored.sparkSession
+    # By document id, whatever order the documents came in: a fetch opens the files of its hits only.
+    files = spark.read.parquet(f"{path}/stored").select("doc_id", F.col("_metadata.file_name").alias("file"))
+    w(_layout(files, ["doc_id"], layout)).parquet(f"{path}/locations")
+    written["locations"] = f"{path}/locations"
     if tables.postings is not None:
         post = tables.postings
         if layout == "range":
@@ -335,7 +342,7 @@ def read(spark, path: str) -> IndexTables:
         return spark.read.parquet(p) if path_exists(spark, p) else None  # not every index has every table
     return IndexTables(stored=opt("stored"), postings=opt("postings"), lengths=opt("lengths"),
                        long_points=opt("long_points"), double_points=opt("double_points"),
-                       written_terms=opt("terms"), written_stats=opt("field_stats"), blocks=opt("blocks"))
+                       written_terms=opt("terms"), written_stats=opt("field_stats"), blocks=opt("blocks"), locations=opt("locations"), path=path)
 
 
 class IndexVerificationError(RuntimeError):

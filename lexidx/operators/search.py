@@ -185,6 +185,23 @@ def fetch_stored(hits: DataFrame, stored_df: DataFrame, max_hits: int | None = N
     return F.broadcast(small).join(stored_df.where(near), "doc_id")
 
 
+def fetch_version(tables, hits: DataFrame, max_hits: int) -> DataFrame:
+    """Q4 on a published version: the table of locations names the files that hold the hits, and only these are
+    opened, in whatever order the documents were stored. At most ``max_hits`` files, one look-up by ranges of ``doc_id``."""
+    if tables.locations is None:
+        return fetch_stored(hits, tables.stored, max_hits)
+    spark = hits.sparkSession
+    rows = hits.limit(max_hits + 1).collect()
+    if len(rows) > max_hits:
+        raise ValueError(f"more than {max_hits} hits")
+    small = spark.createDataFrame(rows, hits.schema)
+    found = fetch_stored(small.select("doc_id").distinct(), tables.locations, max_hits).select("file").distinct().collect()
+    if not found:
+        return fetch_stored(small, tables.stored.where("false"), max_hits)
+    files = [f"{tables.path}/stored/{r['file']}" for r in found]
+    return fetch_stored(small, spark.read.schema(tables.stored.schema).parquet(*files), max_hits)
+
+
 def numeric_range(pts: DataFrame, field: str, lo=None, hi=None,
                   lo_inclusive: bool = True, hi_inclusive: bool = True) -> DataFrame:
     """Q5: documents whose point value lies in [lo, hi] (either end open)."""

@@ -103,7 +103,7 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def fetch_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     t, hits = _bm25_hits(spark, sf_dir)
-    return search.fetch_stored(hits, t.stored, max_hits=BM25_K).select(
+    return search.fetch_version(t, hits, max_hits=BM25_K).select(
         "rank", "doc_id", F.round("score", 6).alias("score"), "lang", "source", "n_chars", "text")
 
 

@@ -86,6 +86,7 @@ INDEX_SQL = {
         CAST(NULL AS VARCHAR) AS message FROM documents""",
     "write_index": f"""WITH {TOK}
         SELECT 'stored' AS table_name, count(*) AS row_count FROM documents
+        UNION ALL SELECT 'locations', count(*) FROM documents
         UNION ALL SELECT 'postings', (SELECT count(*) FROM post)
             + (SELECT count(lang) FROM documents) + (SELECT count(source) FROM documents)
         UNION ALL SELECT 'terms', (SELECT count(DISTINCT term) FROM post)

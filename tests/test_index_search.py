@@ -132,3 +132,20 @@ def test_sort_by_field_nulls_last_and_ties_by_doc(spark):
     asc = [r.doc_id for r in search.sort_by_field(st, "count").collect()]
     desc = [r.doc_id for r in search.sort_by_field(st, "count", descending=True).collect()]
     assert asc == [1, 3, 4, 2] and desc == [4, 1, 3, 2]
+
+
+def test_fetch_opens_only_the_files_that_hold_the_hits(spark, tmp_dir):
+    """Documents stored in random order over 20 files: no range of ids helps, the table of locations does."""
+    import random
+    ids = list(range(2000))
+    random.Random(3).shuffle(ids)
+    docs = spark.createDataFrame([(d, f"text {d}", "t", d) for d in ids], "doc_id bigint, title string, tag string, count bigint").coalesce(1)
+    index.write_version(docs, F1, tmp_dir, max_records_per_file=100)
+    t = index.read(spark, tmp_dir)
+    assert len(t.stored.inputFiles()) == 20 and t.locations.count() == 2000
+    hits = spark.createDataFrame([(1, 17), (2, 1203), (3, 1999), (4, 5000)], "rank int, doc_id bigint")
+    got = search.fetch_version(t, hits, 10)
+    assert {(r.rank, r.doc_id, r.title) for r in got.collect()} == {(1, 17, "text 17"), (2, 1203, "text 1203"), (3, 1999, "text 1999")}
+    holding = {r.f for r in t.stored.where("doc_id in (17, 1203, 1999)").select(F.input_file_name().alias("f")).collect()}
+    assert set(got.inputFiles()) == holding and len(holding) <= 3
+    assert search.fetch_version(t, hits.where("rank = 4"), 10).count() == 0
