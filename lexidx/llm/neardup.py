@@ -236,7 +236,8 @@ def class_sets(docs: DataFrame, wanted: DataFrame, words: int, id_col: str, text
 
     keys = ["first_id", "fp1", "fp2"]
     return (src.mapInArrow(run, "first_id long, fp1 long, fp2 long, set array<long>")
-            .join(wanted.select("cid", *keys), keys).select("cid", *keys, "set").distinct().select("cid", "set"))
+            # by the keys of the join, so that dropping what repeats exchanges no set again
+            .join(wanted.select("cid", *keys), keys).dropDuplicates(keys).select("cid", "set"))
 
 
 def same_ids(sigs: DataFrame, named: DataFrame, written: list[str]) -> DataFrame:
@@ -381,8 +382,10 @@ def near_copies(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100,
     counts = token_counts(classes)
     posted = staged(spark, posts(classes, counts, least), "neardup-posts", written)
 
+    # Most lists hold one class; from here on only the others travel.
     first = posted.groupBy("token").agg(F.min("cid").alias("a"), F.max("cid").alias("last")).where("a <> last").select("token", "a")
-    pairs = (posted.join(first, "token").where("cid <> a").select("a", F.col("cid").alias("b")).distinct())
+    posted = staged(spark, posted.join(first, "token"), "neardup-shared", written)
+    pairs = posted.where("cid <> a").select("a", F.col("cid").alias("b")).distinct()
     pairs = staged(spark, _enough_collisions(pairs, classes, least), "neardup-pairs", written)
     sets = staged(spark, class_sets(docs, named.join(_ends(pairs), "cid", "left_semi"), words, id_col, text_col), "neardup-sets", written)
     links = staged(spark, similar_pairs(pairs, sets, num, den), "neardup-links", written)
