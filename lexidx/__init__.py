@@ -9,8 +9,8 @@ import sys as _sys
 
 from pyspark import cloudpickle as _cloudpickle
 
-# Functions that run in Python workers (tar listing, archive packing, the
-# streaming state machine, local running counts) are shipped by value, so
+# Functions that run in Python workers (the streaming state machine, the
+# lifecycle fold, the training-data operators) are shipped by value, so
 # workers need no import path to this package (it may only be on the
 # driver's sys.path; on a cluster --py-files works as well).
 _cloudpickle.register_pickle_by_value(_sys.modules[__name__])
