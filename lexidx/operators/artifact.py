@@ -21,7 +21,6 @@ from lexidx.sources.files import list_objects
 # Messages that must read as they do.
 MISMATCH = "Downloaded artifact integrity check failed: expected size=%s checksum=%s, got size=%s checksum=%s"
 COUNT_MISMATCH = "Loaded index doc count mismatch: expected %d but found %d"
-NOT_AVAILABLE = "Artifact for version {version} of index {index_id} is not available (status={status})"
 
 
 def manifest(listing: DataFrame, root: str | None = None) -> DataFrame:
@@ -184,7 +183,7 @@ def load_version(spark: SparkSession, root: str, index_id, version, versions: Da
         if known is None:
             raise LoadRefused(f"Version {version} of index {index_id} not found")
         if known["status"] not in catalog.HAS_ARTIFACT:
-            raise LoadRefused(NOT_AVAILABLE.format(version=version, index_id=index_id, status=known["status"]))
+            raise LoadRefused(catalog.NOT_AVAILABLE % (version, index_id, known["status"]))
         pinned = commits.latest(spark, path)
         if pinned is None or not path_exists(spark, pinned.manifest(path)):
             raise LoadRefused(f"Artifact manifest missing for version {version} of index {index_id}")

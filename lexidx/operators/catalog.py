@@ -18,6 +18,14 @@ STATUSES = ("CREATED", "BUILDING", "BUILT", "UPLOADED", "READY", "FAILED")
 ACTIVE = ("CREATED", "BUILDING")
 HAS_ARTIFACT = ("UPLOADED", "READY")
 
+# Messages that must read as they do.
+NAME_BLANK = "Index name must not be blank"
+NAME_TAKEN = "Index with name '%s' already exists"
+INDEX_NOT_FOUND = "Index %s not found"
+VERSION_NOT_FOUND = "Version %s not found for index %s"
+BUILD_ACTIVE = "Index %s already has an active build"
+NOT_AVAILABLE = "Artifact for version %s of index %s is not available (status=%s)"
+
 
 def register_indexes(batch: DataFrame, catalog: DataFrame) -> DataFrame:
     """Accept a batch of (req_id, name); refuse names already present or
@@ -31,8 +39,8 @@ def register_indexes(batch: DataFrame, catalog: DataFrame) -> DataFrame:
     return out.select(
         "req_id", "name",
         F.when(refused, F.lit("REFUSED")).otherwise(F.lit("ACCEPTED")).alias("status"),
-        F.when(nameless, F.lit("Index name must not be blank"))
-        .when(refused, F.format_string("Index with name '%s' already exists", F.col("name"))).alias("message"))
+        F.when(nameless, F.lit(NAME_BLANK))
+        .when(refused, F.format_string(NAME_TAKEN, F.col("name"))).alias("message"))
 
 
 def lookup_indexes(requests: DataFrame, catalog: DataFrame, by: str = "index_id") -> DataFrame:
@@ -43,7 +51,7 @@ def lookup_indexes(requests: DataFrame, catalog: DataFrame, by: str = "index_id"
     found = F.col(other).isNotNull()
     return j.select("req_id", "index_id", "name",
                     F.when(found, F.lit("FOUND")).otherwise(F.lit("NOT_FOUND")).alias("status"),
-                    F.when(~found, F.format_string("Index %s not found", F.col(by))).alias("message"))
+                    F.when(~found, F.format_string(INDEX_NOT_FOUND, F.col(by))).alias("message"))
 
 
 def list_indexes_page(catalog: DataFrame, page: int, size: int) -> DataFrame:
@@ -62,7 +70,7 @@ def list_versions(requests: DataFrame, catalog: DataFrame, versions: DataFrame)
         "index_id", "version", "status", F.lit(None).cast("string").alias("error"))
     errs = missing.select("index_id", F.lit(None).cast("int").alias("version"),
                           F.lit(None).cast("string").alias("status"),
-                          F.format_string("Index %s not found", F.col("index_id")).alias("error"))
+                          F.format_string(INDEX_NOT_FOUND, F.col("index_id")).alias("error"))
     return rows.unionByName(errs).orderBy("index_id", F.col("version").desc())
 
 
@@ -74,9 +82,9 @@ def resolve_versions(requests: DataFrame, catalog: DataFrame, versions: DataFram
     j = requests.join(idx, "index_id", "left").join(v, ["index_id", "version"], "left")
     res = (F.when(F.col("_idx").isNull(), F.lit("INDEX_NOT_FOUND"))
            .when(F.col("version_id").isNull(), F.lit("VERSION_NOT_FOUND")).otherwise(F.lit("FOUND")))
-    msg = (F.when(F.col("_idx").isNull(), F.format_string("Index %s not found", F.col("index_id")))
+    msg = (F.when(F.col("_idx").isNull(), F.format_string(INDEX_NOT_FOUND, F.col("index_id")))
            .when(F.col("version_id").isNull(), F.format_string(
-               "Version %s not found for index %s", F.col("version"), F.col("index_id"))))
+               VERSION_NOT_FOUND, F.col("version"), F.col("index_id"))))
     return j.select("req_id", "index_id", "version", "version_id", res.alias("resolution"),
                     "status", "artifact_key", msg.alias("message"))
 
@@ -95,7 +103,7 @@ def active_builds(versions: DataFrame) -> DataFrame:
     a = versions.groupBy("index_id").agg(
         F.count(F.when(F.col("status").isin(*ACTIVE), F.lit(1))).alias("active_count"))
     return a.select("index_id", "active_count", F.when(F.col("active_count") > 0, F.format_string(
-        "Index %s already has an active build", F.col("index_id"))).alias("message"))
+        BUILD_ACTIVE, F.col("index_id"))).alias("message"))
 
 
 def constraint_audit(catalog: DataFrame, versions: DataFrame) -> DataFrame:
@@ -126,7 +134,7 @@ def artifact_gate(resolved: DataFrame) -> DataFrame:
     return resolved.where(F.col("resolution") == "FOUND").select(
         "req_id", "index_id", "version", "status",
         F.when(ok, F.col("artifact_key")).alias("artifact_key"),
-        F.when(~ok, F.format_string("Artifact for version %s of index %s is not available (status=%s)",
+        F.when(~ok, F.format_string(NOT_AVAILABLE,
                                     F.col("version"), F.col("index_id"), F.col("status"))).alias("message"))
 
 

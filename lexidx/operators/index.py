@@ -345,6 +345,10 @@ def read(spark, path: str) -> IndexTables:
                        written_terms=opt("terms"), written_stats=opt("field_stats"), blocks=opt("blocks"), locations=opt("locations"), path=path)
 
 
+# Fixed value: a message that must read as it does.
+COUNTS_DIFFER = "Index verification failed: expected %d docs but found %d"
+
+
 class IndexVerificationError(RuntimeError):
     pass
 
@@ -352,8 +356,7 @@ class IndexVerificationError(RuntimeError):
 def verify_counts(expected: int, found: int) -> None:
     """The read-back document count must equal the written one."""
     if expected != found:
-        raise IndexVerificationError(
-            f"Index verification failed: expected {expected} docs but found {found}")
+        raise IndexVerificationError(COUNTS_DIFFER % (expected, found))
 
 
 def verify_build(docs: DataFrame, stored_df: DataFrame) -> DataFrame:
@@ -368,6 +371,4 @@ def verify_build(docs: DataFrame, stored_df: DataFrame) -> DataFrame:
     c = c.select(F.coalesce("expected", F.lit(0)).alias("expected"), F.coalesce("found", F.lit(0)).alias("found"))
     return c.select(
         "expected", "found", (F.col("expected") == F.col("found")).alias("ok"),
-        F.when(F.col("expected") != F.col("found"), F.format_string(
-            "Index verification failed: expected %d docs but found %d",
-            F.col("expected"), F.col("found"))).alias("message"))
+        F.when(F.col("expected") != F.col("found"), F.format_string(COUNTS_DIFFER, F.col("expected"), F.col("found"))).alias("message"))

@@ -47,7 +47,7 @@ def g1_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = F.col("p_size").cast("string")
     title = F.when(kd == "title_null", F.lit("null")).otherwise(F.concat(F.lit('"'), _esc(F.col("p_name")), F.lit('"')))
     tag = F.when(kd == "tag_int", F.lit("123")).otherwise(F.concat(F.lit('"'), _esc(F.col("p_brand")), F.lit('"')))
-    count = (F.when(kd == "count_nan", F.lit('"not a number"'))
+    count = (F.when(kd == "count_nan", F.lit('"a dozen"'))
              .when(kd == "count_str", F.concat(F.lit('" '), size, F.lit(' "'))).otherwise(size))
     stock = (F.when(kd == "stock_TRUE", F.lit('"TRUE"')).when(kd == "stock_maybe", F.lit('"maybe"'))
              .when(F.col("p_size") % 2 == 0, F.lit("true")).otherwise(F.lit("false")))

@@ -20,7 +20,7 @@ gl AS (
     WHEN kind = 'not_json' THEN 'not json ' || CAST(k AS VARCHAR)
     ELSE '{{"title": ' || CASE WHEN kind = 'title_null' THEN 'null' ELSE '"' || {ESC.format(x='p_name')} || '"' END
       || ', "tag": ' || CASE WHEN kind = 'tag_int' THEN '123' ELSE '"' || {ESC.format(x='p_brand')} || '"' END
-      || ', "count": ' || CASE WHEN kind = 'count_nan' THEN '"not a number"'
+      || ', "count": ' || CASE WHEN kind = 'count_nan' THEN '"a dozen"'
                               WHEN kind = 'count_str' THEN '" ' || CAST(p_size AS VARCHAR) || ' "'
                               ELSE CAST(p_size AS VARCHAR) END
       || ', "price": ' || CAST(p_retailprice AS VARCHAR)
@@ -36,7 +36,7 @@ msgs AS (
   CASE kind
     WHEN 'bogus' THEN 'Line ' || line || ': unknown field ''bogus'''
     WHEN 'title_null' THEN 'Line ' || line || ': field ''title'' is null'
-    WHEN 'count_nan' THEN 'Line ' || line || ': field ''count'' expected long but got String value ''not a number'''
+    WHEN 'count_nan' THEN 'Line ' || line || ': field ''count'' expected long but got String value ''a dozen'''
     WHEN 'stock_maybe' THEN 'Line ' || line || ': field ''in_stock'' expected boolean but got String value ''maybe'''
     WHEN 'tag_int' THEN 'Line ' || line || ': field ''tag'' expected keyword (string) but got Integer value ''123'''
     WHEN 'not_json' THEN 'Malformed JSON document'
@@ -52,7 +52,7 @@ INGEST_SQL = {
       UNION ALL SELECT line, 1, 'tag', CASE WHEN kind = 'tag_int' THEN 'Integer' ELSE 'String' END,
              CASE WHEN kind = 'tag_int' THEN '123' ELSE p_brand END FROM obj
       UNION ALL SELECT line, 2, 'count', CASE WHEN kind IN ('count_nan', 'count_str') THEN 'String' ELSE 'Integer' END,
-             CASE WHEN kind = 'count_nan' THEN 'not a number'
+             CASE WHEN kind = 'count_nan' THEN 'a dozen'
                   WHEN kind = 'count_str' THEN ' ' || CAST(p_size AS VARCHAR) || ' '
                   ELSE CAST(p_size AS VARCHAR) END FROM obj
       UNION ALL SELECT line, 3, 'price', 'Double', CAST(p_retailprice AS VARCHAR) FROM obj

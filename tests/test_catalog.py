@@ -70,7 +70,7 @@ def test_fold_rules(spark):
 def test_definition_audit_rules(spark):
     defs = spark.createDataFrame([
         (1, "good_name", "d", [("title", "text")]),
-        (2, "Bad Name", "d", [("title", "text")]),
+        (2, "Tall Ship", "d", [("title", "text")]),
         (3, "", "d", [("title", "text")]),
         (4, "x", "d", []),
         (5, "y", "d", [("a", "text"), ("a", "long")]),

@@ -52,9 +52,9 @@ def test_builder_documents_and_first_error(spark, tmp_dir):
 
 
 def test_type_mismatch_long(spark, tmp_dir):
-    v = _validated(spark, tmp_dir, ['{"count": "not a number"}'], F1)
+    v = _validated(spark, tmp_dir, ['{"count": "a dozen"}'], F1)
     msg = validate.first_error(v, F1).collect()[0].message
-    assert msg == "Line 1: field 'count' expected long but got String value 'not a number'"
+    assert msg == "Line 1: field 'count' expected long but got String value 'a dozen'"
 
 
 def test_null_field(spark, tmp_dir):
@@ -64,7 +64,7 @@ def test_null_field(spark, tmp_dir):
 
 def test_coercions(spark, tmp_dir):
     cases = [
-        ('{"k": "java"}', "k", "java"), ('{"t": "hello world"}', "t", "hello world"),
+        ('{"k": "kettle"}', "k", "kettle"), ('{"t": "calm sea"}', "t", "calm sea"),
         ('{"l": 42}', "l", 42), ('{"l": "15"}', "l", 15), ('{"l": " 15 "}', "l", 15), ('{"l": "+15"}', "l", 15),
         ('{"l": 3.9}', "l", 3), ('{"l": 1e30}', "l", 9223372036854775807), ('{"l": -1e30}', "l", -9223372036854775808),
         ('{"d": 3.14}', "d", 3.14), ('{"d": "2.5"}', "d", 2.5), ('{"d": "NaN"}', "d", "nan"), ('{"d": "1d"}', "d", 1.0),
