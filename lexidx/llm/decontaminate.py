@@ -43,6 +43,7 @@ from lexidx.llm.common import Shipped, per_batch, sliced
 
 LEAST = 0.4
 BLOCK_WORDS = 2_000_000
+LEAST_WORDS = 5  # of an item whose leaks take a document out
 MATCH, MISMATCH, GAP = 2, -1, -1
 _WORD = re.compile(r"\w+")
 
@@ -230,8 +231,8 @@ class Finder:
         return [(lo, hi) for lo, hi in spans]
 
 
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str):
-    """The items in blocks of at most BLOCK_WORDS words, streamed to the driver one block at a time.
+def _blocks(benchmark: DataFrame, id_col: str, text_col: str, least_words: int = 1):
+    """The items of ``least_words`` words or more in blocks of at most BLOCK_WORDS words, streamed to the driver one block at a time.
 
     Words are counted as characters over two, an upper bound.
     """
@@ -239,6 +240,8 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str):
             .where(F.col("i").isNotNull() & F.col("t").isNotNull()).orderBy("i", "t"))
     block, size = [], 0
     for r in rows.toLocalIterator():
+        if len(words_of(r["t"])) < least_words:
+            continue
         words = len(r["t"]) // 2 + 1
         if block and size + words > BLOCK_WORDS:
             yield block
@@ -296,10 +299,21 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     return out
 
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", least: float = LEAST) -> DataFrame:
-    """The rows of ``docs``, unchanged, into which no test item leaks."""
+def short_items(benchmark: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
+    """The items that ``drop_leaks`` leaves aside: a few common words would take out every text that has them."""
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return batch.filter(pa.array([len(words_of(x)) < least_words for x in batch.column(1).to_pylist()], pa.bool_()))
+    src = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
+    return src.mapInArrow(per_batch(run), "item_id long, text string")
+
+
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", least: float = LEAST, least_words: int = LEAST_WORDS) -> DataFrame:
+    """The rows of ``docs``, unchanged, into which no test item of ``least_words`` words or more leaks.
+
+    Shorter items (``short_items``) take no document out; ``leaks`` reports them like all others.
+    """
     t = docs.columns.index(text_col)
-    for block in _blocks(benchmark, "item_id", "text"):
+    for block in _blocks(benchmark, "item_id", "text", least_words):
         shipped = Shipped(docs.sparkSession, _finder(docs, Items(block, least), least, text_col))
 
         def run(batch: pa.RecordBatch, shipped=shipped) -> pa.RecordBatch:

@@ -127,3 +127,12 @@ def smith_waterman_at_least(item, passage):
     code = {}
     number = lambda ws: np.array([code.setdefault(w, len(code)) for w in ws])
     return dec.align(number(item), number(passage))[0] >= dec.LEAST * dec.MATCH * len(item)
+
+
+def test_short_items_are_reported_but_take_nothing_out(spark):
+    bench = spark.createDataFrame([(1, "the answer"), (2, "seven quick brown foxes jumped over lazy dogs"), (3, None), (4, "")], "item_id long, text string")
+    df = docs(spark, ["the weather is fine", "well seven quick brown foxes jumped over lazy dogs", None])
+    assert {r.item_id for r in dec.leaks(df, bench).collect()} == {1, 2}
+    assert sorted(r.doc_id for r in dec.drop_leaks(df, bench).collect()) == [0, 2]
+    assert sorted(r.doc_id for r in dec.drop_leaks(df, bench, least_words=1).collect()) == [2]
+    assert {r.item_id for r in dec.short_items(bench).collect()} == {1, 3, 4}
