@@ -197,7 +197,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                  pa.array([_category_flags(t) for t in texts], pa.list_(pa.bool_()))], ["found", "y", "fold", "flags"])
 
     rows = train.mapInArrow(featured, "found array<int>, y int, fold int, flags array<boolean>")
-    rows = rows.orderBy("fold", "y", "found").toArrow()  # short rows, train_rows of them (more only where ids repeat)
+    # Short rows, at most train_rows of them even where labelled ids repeat; the same ones on every run.
+    rows = rows.orderBy(F.xxhash64("fold", "y", "found", "flags"), "fold", "y", "found").limit(train_rows).toArrow()
     y = rows.column("y").to_numpy().astype(float)
     flags = np.array(rows.column("flags").to_pylist(), float).reshape(len(y), -1)
     chain.fit(chain.features(rows.column("found").to_pylist()), np.column_stack([flags * y[:, None], y]), rows.column("fold").to_numpy())

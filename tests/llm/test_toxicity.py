@@ -1,6 +1,10 @@
 """Held-out accuracy of the chain, and the awkward rows."""
 
+import zlib
+from collections import Counter
+
 import numpy as np
+from pyspark.sql import functions as F
 
 from lexidx.llm import queries, toxicity
 from tests.llm.helpers import clashing, docs
@@ -34,3 +38,53 @@ def test_edge_rows_and_single_class(spark):
     got = toxicity.score(docs(spark, texts, [(100, None), (101, "")]), labels).collect()
     assert all(r.predicted == (r.doc_id % 2 if r.doc_id < 60 else 0) for r in got) and len(got) == 62
     assert toxicity.score(rows.limit(0), labels).count() == 0
+
+
+def test_scores_equal_a_direct_fit(spark):
+    """Terms by plain counting, every model of the chain by Newton steps of its own, out of fold for the next one."""
+    table = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{SF}/labels.parquet").collect() if r.toxic is not None}
+    ids = sorted(d for d in labels if d in table and zlib.crc32(str(d).encode()) % 3 != 1)
+    folds = {r.d: r.f for r in spark.createDataFrame([(d,) for d in ids], "d long").select("d", F.pmod(F.xxhash64("d"), F.lit(toxicity.FOLDS)).alias("f")).collect()}
+    terms_of = toxicity.Terms()
+    found = {d: terms_of(table[d]) for d in ids}
+    y, fold = np.array([labels[d] for d in ids], float), np.array([folds[d] for d in ids])
+    pos, neg = Counter(t for d in ids if labels[d] for t in found[d]), Counter(t for d in ids if not labels[d] for t in found[d])
+    n_pos, n_neg = y.sum(), len(y) - y.sum()
+
+    def excess(t):
+        share = (pos[t] + neg[t]) / len(y)
+        return (pos[t] / n_pos - neg[t] / n_neg) / np.sqrt(share * (1 - share) * (1 / n_pos + 1 / n_neg) + 1e-12)
+    chosen = [t for t in sorted((t for t in pos if pos[t] >= toxicity.LEAST_TOXIC and excess(t) > 3), key=lambda t: (-excess(t), t))][:toxicity.TERMS]
+
+    def matrix(texts_terms):
+        x = np.array([[t in f for t in chosen] for f in texts_terms], float).reshape(len(texts_terms), -1)
+        return np.column_stack([x, np.log1p(x.sum(axis=1)).astype(np.float32)])
+
+    def newton(x, target):
+        beta, penalty = np.zeros(x.shape[1]), np.append(np.full(x.shape[1] - 1, toxicity.RIDGE), 1e-6)
+        for _ in range(60):
+            p = 1 / (1 + np.exp(-x @ beta))
+            beta = beta + np.clip(np.linalg.solve(x.T @ (x * np.maximum(p * (1 - p), 1e-6)[:, None]) + np.diag(penalty), x.T @ (target - p) - penalty * beta), -4, 4)
+        return beta
+
+    flags = np.array([toxicity._category_flags(table[d]) for d in ids], float) * y[:, None]
+    x, everything = matrix([found[d] for d in ids]), matrix([terms_of(t) for t in table.values()])
+    for target in [*flags.T, y]:
+        one = np.column_stack([x, np.ones(len(x))])
+        beta = newton(one, target)
+        away = np.zeros(len(x))
+        for k in range(toxicity.FOLDS):
+            away[fold == k] = 1 / (1 + np.exp(-one[fold == k] @ newton(one[fold != k], target[fold != k])))
+        p = 1 / (1 + np.exp(-np.column_stack([everything, np.ones(len(everything))]) @ beta))
+        x, everything = np.column_stack([x, away]), np.column_stack([everything, p])
+    got = {r.doc_id: r.score for r in queries.op2_toxicity(spark, SF).collect()}
+    assert got.keys() == table.keys()
+    assert max(abs(got[d] - w) for d, w in zip(table, p)) < 1e-3
+
+
+def test_repeated_labelled_ids_stay_within_the_bound(spark):
+    texts = [(i % 2, ("vile trash idiot" if i % 2 else "calm fine words") + f" w{i}") for i in range(400)]
+    labels = spark.createDataFrame([(0, 0), (1, 1)], "doc_id long, toxic int")
+    got = toxicity.score(docs(spark, [], texts), labels, train_rows=50).collect()
+    assert len(got) == 400
