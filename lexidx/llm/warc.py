@@ -7,14 +7,21 @@ as plain text). Both name the response in WARC-Refers-To and carry its target
 URI and date; record ids are derived from the content, so a rerun or a retried
 task gives the same ids.
 
+Character references that end in a semicolon are resolved, named and numeric alike (one pass:
+what they give is not read again); outgoing links may be quoted either way or not at all.
+
 Defined cases: a null page counts as empty, a null URI gives an empty
-WARC-Target-URI, line ends in one are left out; very long pages are converted whole; repeated rows give
+WARC-Target-URI, line ends in one are left out; very long pages are converted whole; an element, comment
+or tag that does not end reaches to the end of the page, so malformed pages take linear time; unknown references
+stay as they are, references to what is no character give U+FFFD; repeated rows give
 records with the same ids; an empty table gives none; other columns are ignored.
 Everything is a narrow projection: no shuffle, no Python.
 """
 
 from __future__ import annotations
 
+from html.entities import html5
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,24 +29,83 @@ CRLF = "\r\n"
 DATE = "1970-01-01T00:00:00Z"
 VERSION = "WARC/1.1"
 
-# Markup that hides text, tags that break lines, and the named characters that are resolved.
-HIDDEN = ("script", "style", "noscript", "template", "head")
+# Elements whose content is no text (raw ones first, since a head may hold them), and tags that break lines.
+RAW = ("script", "style", "noscript", "template")
 BREAKING = "p|div|br|li|ul|ol|tr|table|h[1-6]|section|article|header|footer|blockquote|pre|hr|title|nav|main|aside"
-ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&"))
+# Named characters: the standard table, with a blank for the non-breaking one; the frequent names are tried first.
+NAMED = {**{n[:-1]: c for n, c in html5.items() if n.endswith(";")}, "nbsp": " "}
+FREQUENT = ("amp", "lt", "gt", "quot", "nbsp", "apos", "copy", "reg", "trade", "middot", "bull", "ndash", "mdash", "hellip",
+            "lsquo", "rsquo", "ldquo", "rdquo", "laquo", "raquo", "euro", "times")
+LONGEST_NAME = max(map(len, NAMED))
+# Numbers 128 to 159 name what the Windows code page has there.
+WINDOWS = {n: c for n in range(128, 160) if (c := bytes([n]).decode("cp1252", "ignore"))}
+
+_S = r"[ \t\r\n\f]"
+
+
+def _element(name: str) -> str:
+    return rf"{name}(?:{_S}[^>]*)?(?:>|\z).*?(?:</{name}{_S}*>|\z)"
 
 
-def plain_text(html: Column) -> Column:
-    """Visible text: hidden elements and comments dropped, blocks on lines of their own, blanks squeezed."""
-    c = F.regexp_replace(html, r"(?s)<!--.*?-->", "")
-    for tag in HIDDEN:
-        c = F.regexp_replace(c, rf"(?is)<{tag}(\s[^>]*)?>.*?</{tag}\s*>", " ")
-    c = F.regexp_replace(c, rf"(?i)</?({BREAKING})(\s[^>]*)?/?>", "\n")
-    c = F.regexp_replace(c, r"<[/!?A-Za-z][^>]*>", "")
-    for name, char in ENTITIES:
-        c = F.replace(c, F.lit(name), F.lit(char))
-    c = F.regexp_replace(c, r"[ \t\r\f]+", " ")
-    c = F.regexp_replace(c, r" ?\n[ \n]*", "\n")
-    return F.trim(F.btrim(c, F.lit("\n")))
+# One pattern text for the operator and its SQL.
+NO_TEXT = rf"(?is)<(?:!--.*?(?:-->|\z)|{'|'.join(map(_element, RAW))})"
+HEAD = rf"(?is)<{_element('head')}"
+BREAK = rf"(?i)</?(?:{BREAKING})(?:{_S}[^>]*)?/?(?:>|\z)"
+TAG = r"<[/!?A-Za-z][^>]*(?:>|\z)"
+BLANKS = ("\t", "\r", "\f")
+LINES = r"\n[ \n]+"
+LINK = rf"(?i)<a{_S}(?:[^<>]*?{_S})?href{_S}*={_S}*(\"[^\"\r\n]*\"|'[^'\r\n]*'|[^ \t\r\n\f\"'<>]+)"
+
+
+def with_text(pages: DataFrame, html: str, out: str) -> DataFrame:
+    """Add ``out``, the visible text of ``html``: hidden elements and comments dropped, blocks on lines of their own, blanks squeezed.
+
+    Each step is a column, so that what is read several times is computed once.
+    """
+    c = F.col(html)
+    for pattern, by in ((NO_TEXT, ""), (HEAD, ""), (BREAK, "\n"), (TAG, "")):
+        c = F.regexp_replace(c, pattern, by)
+    read = pages.withColumn("_bare", c).withColumn("_read", resolved(F.col("_bare")))
+    c = F.col("_read")
+    for blank in BLANKS:
+        c = F.replace(c, F.lit(blank), F.lit(" "))
+    single = read.withColumn("_single", c)
+    c = F.when(F.contains("_single", F.lit("  ")), F.regexp_replace("_single", " {2,}", " ")).otherwise(F.col("_single"))
+    c = F.regexp_replace(F.replace(c, F.lit(" \n"), F.lit("\n")), LINES, "\n")
+    return single.withColumn(out, F.trim(F.btrim(c, F.lit("\n")))).drop("_bare", "_read", "_single")
+
+
+def resolved(text: Column) -> Column:
+    """Character references replaced by their characters, from left to right, once."""
+    names = F.create_map(*[F.lit(x) for pair in NAMED.items() for x in pair])
+    windows = F.create_map(*[F.lit(x) for pair in WINDOWS.items() for x in pair])
+
+    def character(name: Column) -> Column:
+        number = (F.when(name.rlike("^#0*[0-9]{1,7}$"), F.substring(name, F.lit(2), F.length(name)).cast("long"))
+                  .when(name.rlike("^#[xX]0*[0-9a-fA-F]{1,6}$"), F.conv(F.substring(name, F.lit(3), F.length(name)), 16, 10).cast("long")))
+        no_character = (number == 0) | (number > 0x10FFFF) | number.between(0xD800, 0xDFFF)
+        numeric = (F.when(no_character, F.lit("\ufffd"))
+                   .when(number.between(128, 159), F.coalesce(F.try_element_at(windows, number.cast("int")), F.lit("\ufffd")))
+                   .otherwise(F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")))
+        known = F.when(name == FREQUENT[0], NAMED[FREQUENT[0]])
+        for n in FREQUENT[1:]:
+            known = known.when(name == n, NAMED[n])
+        return (known.when(name.startswith("#"), numeric)
+                .when(F.length(name) <= LONGEST_NAME, F.try_element_at(names, name)))
+
+    # What stands between an ampersand and the first semicolon after it may be a name.
+    pieces = F.transform(F.split(text, "&"), lambda p: F.struct(p.alias("p"), F.when(F.instr(p, ";") > 0, F.substring_index(p, ";", 1)).alias("name")))
+    read = F.transform(pieces, lambda x, i: F.when(i == 0, F.struct(x["p"].alias("p"), F.lit(0).alias("cut"), F.lit("").alias("by"))).otherwise(
+        F.struct(x["p"].alias("p"), (F.length(x["name"]) + 1).alias("cut"), character(x["name"]).alias("by"))))
+    whole = F.array_join(F.transform(read, lambda x: F.when(x["by"].isNull(), F.concat(F.lit("&"), x["p"])).otherwise(
+        F.concat(x["by"], F.substring(x["p"], x["cut"] + 1, F.length(x["p"]))))), "")
+    return F.when(F.contains(text, F.lit("&")), whole).otherwise(text)
+
+
+def out_links(html: Column) -> Column:
+    """Targets of the page's links, without their quotes, each once, in order."""
+    found = F.regexp_extract_all(html, F.lit(LINK), 1)
+    return F.array_distinct(F.transform(found, lambda u: F.when(u.startswith('"') | u.startswith("'"), F.substring(u, F.lit(2), F.length(u) - 2)).otherwise(u)))
 
 
 def _uuid(*parts: Column) -> Column:
@@ -76,21 +142,25 @@ def responses(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
 
 def derivatives(source: DataFrame, date: str = DATE) -> DataFrame:
     """Two records for each response: (page_id, record_type, record_id, refers_to, target_uri, source_digest, headers, block, ...)."""
-    text = source.withColumn("text", plain_text(F.col("payload")))
-    links = F.array_distinct(F.regexp_extract_all("payload", F.lit(r"(?i)<a\s[^>]*href=\"([^\"\r\n]*)\""), 1))
+    text = with_text(source, "payload", "text")
+    text = text.withColumn("text_digest", _digest(F.col("text")))  # the digest of the conversion's block as well
+    links = out_links(F.col("payload"))
     meta = F.concat(
         _fields(("source-record-id", F.col("record_id")), ("source-payload-digest", F.col("payload_digest")),
-                ("source-headers-digest", _digest(F.col("headers"))), ("text-digest", _digest(F.col("text"))),
+                ("source-headers-digest", _digest(F.col("headers"))), ("text-digest", F.col("text_digest")),
                 ("text-length", F.octet_length("text").cast("string"))),
         F.array_join(F.transform(F.filter(F.split("headers", CRLF), lambda h: h != ""),
                                  lambda h: F.concat(F.lit("source-header: "), h, F.lit(CRLF))), ""),
         F.array_join(F.transform(links, lambda u: F.concat(F.lit("outlink: "), u, F.lit(CRLF))), ""))
     kinds = F.array(
-        F.struct(F.lit("metadata").alias("record_type"), F.lit("application/warc-fields").alias("content_type"), meta.alias("block")),
-        F.struct(F.lit("conversion").alias("record_type"), F.lit("text/plain; charset=utf-8").alias("content_type"), F.col("text").alias("block")))
-    out = text.select("page_id", F.col("record_id").alias("refers_to"), "target_uri", F.col("payload_digest").alias("source_digest"),
-                      F.col("headers").alias("source_headers"), F.inline(kinds))
-    out = out.withColumn("block_digest", _digest(F.col("block"))).withColumn(
+        F.struct(F.lit("metadata").alias("record_type"), F.lit("application/warc-fields").alias("content_type"), F.col("meta").alias("block"),
+                 _digest(F.col("meta")).alias("block_digest")),
+        F.struct(F.lit("conversion").alias("record_type"), F.lit("text/plain; charset=utf-8").alias("content_type"), F.col("text").alias("block"),
+                 F.col("text_digest").alias("block_digest")))
+    out = text.withColumn("meta", meta).select(
+        "page_id", F.col("record_id").alias("refers_to"), "target_uri", F.col("payload_digest").alias("source_digest"),
+        F.col("headers").alias("source_headers"), F.inline(kinds))
+    out = out.withColumn(
         "record_id", _uuid(F.col("record_type"), F.col("refers_to"), F.col("block_digest")))
     headers = F.concat(F.lit(VERSION + CRLF), _fields(
         ("WARC-Type", F.col("record_type")), ("WARC-Record-ID", F.col("record_id")), ("WARC-Refers-To", F.col("refers_to")),

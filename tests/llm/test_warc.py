@@ -3,6 +3,8 @@
 import glob
 import hashlib
 import os
+import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -60,3 +62,55 @@ def test_files_parse_back(spark, tmp_dir):
             data = data[4:]
             seen.append(fields[b"WARC-Type"])
     assert sorted(seen) == [b"conversion"] * 2 + [b"metadata"] * 2 + [b"response"] * 2
+
+
+def texts(spark, pages):
+    df = spark.createDataFrame([(i, f"http://x/{i}", h) for i, h in enumerate(pages)], KIND)
+    return {r.page_id: r.block for r in warc.derivatives(warc.responses(df)).collect() if r.record_type == "conversion"}
+
+
+AWKWARD = ["&copy;&#169;&#xA9; &#x1F600; &middot; &amp;lt; &nosuch; &; & x &#0; &#xD800; &#150; &#129; &#0000000065; &#99999999; &copy", "a&", "<p>open <script>no end",
+           "<p>open <!-- no end", "tail <b", "<head>h</head>t", "<script>'</head>'</script><b>x</b>", "<p>&lt;b&gt;&Tab;&NewLine;y", "&NotEqualTilde;"]
+
+
+def test_references_and_malformed_pages(spark):
+    got = texts(spark, AWKWARD)
+    assert got[0] == "©©© 😀 · &lt; &nosuch; &; & x � � – � A &#99999999; &copy"
+    assert [got[i] for i in range(1, 9)] == ["a&", "open", "open", "tail", "t", "x", "<b>\ny", "≂̸"]
+
+
+def test_no_reference_stays_in_the_tables_pages(spark):
+    rows = [r for r in queries.op6_warc(spark, SF_SMALL).where("record_type = 'conversion'").collect()]
+    assert any("©" in r.block and "·" in r.block for r in rows)
+    assert not any(re.search(r"&(#\d+|[A-Za-z]+\d*);", r.block) for r in rows)
+
+
+def test_links_in_all_forms(spark):
+    page = "<a href='/q'>1</a><A x=1 HREF=/un class=x>2</a><a class=b\nhref = \"/w?a=1\">3</a><a data-href='/no'>4</a><a href=\"/q\"><a href=''>"
+    df = spark.createDataFrame([(1, "http://x", page)], KIND)
+    (meta,) = warc.derivatives(warc.responses(df)).where("record_type = 'metadata'").collect()
+    assert [x for x in meta.block.split("\r\n") if x.startswith("outlink")] == ["outlink: /q", "outlink: /un", "outlink: /w?a=1", "outlink: "]
+
+
+def test_sql_agrees_on_awkward_pages(spark):
+    import duckdb
+
+    from lexidx.llm import sql
+    pages = [*AWKWARD, "<a href='/q'>1</a><a href=/u>", None, "", "<div>x\t\ty  z\r\n</div>"]
+    df = spark.createDataFrame([(i, f"http://x/{i}", h) for i, h in enumerate(pages)], KIND)
+    out = warc.derivatives(warc.responses(df))
+    con = duckdb.connect()
+    con.register("pages", df.toPandas())
+    expected = con.sql(sql.WARC)
+    names = sorted(out.columns)
+    assert names == sorted(expected.columns)
+    spot = [expected.columns.index(n) for n in names]
+    assert sorted(tuple(r[n] for n in names) for r in out.collect()) == sorted(tuple(r[i] for i in spot) for r in expected.fetchall())
+
+
+def test_long_malformed_pages_take_linear_time(spark):
+    n = 100_000
+    pages = ["<script " * n, "<p " * n, "<!--" * n, "<a href" * n, "&" * n + ";", "<script>" * n, "<head>" * n, '<a href="' * n, "<template><" * n]
+    began = time.time()
+    assert len(texts(spark, pages)) == len(pages)
+    assert time.time() - began < 60
