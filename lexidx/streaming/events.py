@@ -129,7 +129,7 @@ def write_records(records: DataFrame, fmt: str, target: str, options: dict | Non
         _as_lines(records).write.mode("append").text(target)
 
 
-LOG_RECORDS = 2_000
+LOG_RECORDS = 10_000
 
 
 def write_log(events: DataFrame, key_col: str, order: str, target: str, records_per_file: int = LOG_RECORDS) -> None:
