@@ -7,6 +7,10 @@ A term with very many postings is cut into slices by document id, and its reques
 sent to all of them. Points are bucketed by (field, cell), cells being ranges of values that hold about equally many
 points; a range request goes to the cells it touches.
 
+Requests that ask for the same thing have the same answer. Where only totals of it are wanted,
+``once_each`` leaves one request for each thing asked, and ``answered`` gives its totals to all that asked:
+the work follows what is asked for, not how often.
+
 Buckets are known to the session's catalog; ``open_buckets`` enters a written folder again.
 """
 
@@ -121,3 +125,19 @@ def range_lookups(b: Buckets, requests: DataFrame) -> DataFrame:
     rows = requests.sparkSession.table(b.table)
     inside = (F.col("lo").isNull() | (F.col("value") >= F.col("lo"))) & (F.col("hi").isNull() | (F.col("value") <= F.col("hi")))
     return rows.hint("merge").join(asked, ["field", "cell"]).where(inside).select("req_id", "doc_id", "value")
+
+
+TERM, RANGE = ("field", "term"), ("field", "lo", "hi")
+
+
+def once_each(requests: DataFrame, asks: tuple) -> DataFrame:
+    """One request for each distinct thing asked (``asks``: TERM or RANGE); its ``req_id`` is that thing."""
+    return requests.select(*asks).distinct().select(F.struct(*asks).alias("req_id"), *asks)
+
+
+def answered(requests: DataFrame, totals: DataFrame, asks: tuple) -> DataFrame:
+    """(req_id, totals) of every request whose thing asked is among ``totals``, one row for each ``req_id`` of ``once_each``."""
+    names = [c for c in totals.columns if c != "req_id"]
+    found = totals.select(*[F.col("req_id")[a].alias(f"_{a}") for a in asks], *names)
+    same = [F.col(a).eqNullSafe(F.col(f"_{a}")) for a in asks]  # an open end equals an open end
+    return requests.join(found, same).select("req_id", *names)

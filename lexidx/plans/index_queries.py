@@ -141,8 +141,10 @@ def term_lookup_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = _buckets(spark, "postings-buckets", lambda path, n: requests.bucket_postings(t.postings, t.terms(), path, n))
     tag = F.concat(F.lit("Brand#"), (F.col("o_orderkey") % REQUEST_TAGS).cast("string"))
     asked = tables.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("req_id"), F.lit("tag").alias("field"), tag.alias("term"))
-    return requests.term_lookups(b, asked).groupBy("req_id").agg(F.count(F.lit(1)).alias("hits"), F.min("doc_id").alias("first_doc"),
-                                                                F.sum("doc_id").alias("doc_sum"))
+    found = requests.term_lookups(b, requests.once_each(asked, requests.TERM)).groupBy("req_id").agg(
+        F.count(F.lit(1)).alias("hits"), F.min("doc_id").alias("first_doc"), F.sum("doc_id").alias("doc_sum"))
+    return requests.answered(asked, found, requests.TERM).groupBy("req_id").agg(
+        F.sum("hits").alias("hits"), F.min("first_doc").alias("first_doc"), F.sum("doc_sum").alias("doc_sum"))
 
 
 def numeric_range_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
