@@ -154,7 +154,10 @@ def numeric_range_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     lo = F.col("c_custkey") % 1000 + 900
     asked = tables.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("req_id"), F.lit("price").alias("field"), lo.cast("double").alias("lo"),
                                                            F.when(F.col("c_custkey") % 50 != 0, (lo + RANGE_WIDTH).cast("double")).alias("hi"))
-    return requests.range_lookups(b, asked).groupBy("req_id").agg(F.count(F.lit(1)).alias("hits"), F.min("value").alias("least"), F.max("value").alias("most"))
+    found = requests.range_lookups(b, requests.once_each(asked, requests.RANGE)).groupBy("req_id").agg(
+        F.count(F.lit(1)).alias("hits"), F.min("value").alias("least"), F.max("value").alias("most"))
+    return requests.answered(asked, found, requests.RANGE).groupBy("req_id").agg(
+        F.sum("hits").alias("hits"), F.min("least").alias("least"), F.max("most").alias("most"))
 
 
 QUERIES = {

@@ -3,9 +3,11 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from lexidx.operators import index, requests, search
 from lexidx.operators.schema import fields_of
+from lexidx.plans import index_queries
 
 FIELDS = fields_of([("body", "text"), ("tag", "keyword"), ("n", "long")])
 
@@ -49,3 +51,28 @@ def test_only_requests_are_exchanged(spark, tables, tmp_dir):
     scan = plan[:plan.index("FileScan")]
     assert scan.count("Exchange") == 0  # the postings come first, straight from their files
     requests.close_buckets(spark, b)
+
+
+def test_totals_of_requests_that_ask_the_same_are_found_once(spark, tables, tmp_dir):
+    b = requests.bucket_points(tables.long_points, f"{tmp_dir}/n", 4, cells=16)
+    asked = [(1, "n", -10, 10), (2, "n", None, -40), (3, "n", None, -40), (3, "n", None, -40), (None, "n", -10, 10), (4, "n", None, None), (5, None, 1, 2), (6, "n", 90, 99)]
+    df = spark.createDataFrame(asked, "req_id long, field string, lo long, hi long")
+
+    def totals(rows):
+        return rows.groupBy("req_id").agg(F.count(F.lit(1)).alias("hits"), F.min("value").alias("least"))
+
+    once = requests.once_each(df, requests.RANGE)
+    assert once.count() == 5
+    found = requests.answered(df, totals(requests.range_lookups(b, once)), requests.RANGE).groupBy("req_id").agg(
+        F.sum("hits").alias("hits"), F.min("least").alias("least"))
+    want = totals(requests.range_lookups(b, df))
+    assert sorted(map(str, found.collect())) == sorted(map(str, want.collect())) and found.count() == 5
+    requests.close_buckets(spark, b)
+
+
+@pytest.mark.parametrize(("query", "look_up", "most"), [("term_lookup_requests", "term_lookups", 40), ("numeric_range_requests", "range_lookups", 1020)])
+def test_registered_requests_look_up_each_thing_once(spark, monkeypatch, query, look_up, most):
+    asked, original = [], getattr(requests, look_up)
+    monkeypatch.setattr(requests, look_up, lambda b, df: asked.append(df) or original(b, df))
+    assert index_queries.QUERIES[query](spark, "/root/testdata/sf0.01").count() > 0
+    assert 0 < asked[0].count() == asked[0].drop("req_id").distinct().count() <= most
