@@ -33,6 +33,7 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -98,11 +99,11 @@ class Items:
         self.singles = bool((keys < self.base).any())
         self.starts, self.places = _grouped(number, places, len(self.keys))
         self.key_starts, self.numbers = _grouped(places, number, len(self.owner))
+        self._own: dict[int, tuple] = {}  # what touched() needs of an item, once an item of the block is asked for
 
     def encode(self, words: list[str]) -> np.ndarray:
         """Codes of the words, 0 for words of no item."""
-        get = self.code.get
-        return np.array([get(w, 0) for w in words], np.int64)
+        return np.fromiter(map(self.code.get, words, repeat(0)), np.int64, len(words))
 
     def _keys(self, coded: np.ndarray, apart: int) -> np.ndarray:
         return coded[:len(coded) - apart] * self.base + coded[apart:] if apart else coded
@@ -125,12 +126,18 @@ class Items:
         order = np.argsort(at, kind="stable")
         return at[order], numbers[order]
 
-    def touched(self, k: int, at: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The positions of a text that touch places of item k, in order, and the places."""
+    def _places(self, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The numbers of item k's pairs, and its places by pair."""
         lo, hi = self.key_starts[self.first[k]], self.key_starts[self.first[k + 1]]
         own = np.repeat(np.arange(len(self.coded[k])), np.diff(self.key_starts[self.first[k]:self.first[k + 1] + 1]))
         mine, local = np.unique(self.numbers[lo:hi], return_inverse=True)
-        starts, places = _grouped(local, own, len(mine))
+        return mine, *_grouped(local, own, len(mine))
+
+    def touched(self, k: int, at: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The positions of a text that touch places of item k, in order, and the places."""
+        if k not in self._own:
+            self._own[k] = self._places(k)
+        mine, starts, places = self._own[k]
         j = np.minimum(np.searchsorted(mine, numbers), len(mine) - 1)
         same = mine[j] == numbers
         places, source = _of(j[same], starts, places)

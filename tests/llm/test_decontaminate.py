@@ -136,3 +136,15 @@ def test_short_items_are_reported_but_take_nothing_out(spark):
     assert sorted(r.doc_id for r in dec.drop_leaks(df, bench).collect()) == [0, 2]
     assert sorted(r.doc_id for r in dec.drop_leaks(df, bench, least_words=1).collect()) == [2]
     assert {r.item_id for r in dec.short_items(bench).collect()} == {1, 3, 4}
+
+
+def test_an_item_is_prepared_once_for_all_texts(monkeypatch):
+    words = [f"w{i}" for i in range(30)]
+    items = dec.Items([(1, " ".join(words)), (2, "other words of an item of its own")])
+    find = dec.Finder(items, np.ones(len(items.keys), np.int64), dec.LEAST)
+    asked, prepare = [], items._places
+    monkeypatch.setattr(items, "_places", lambda k: asked.append(k) or prepare(k))
+    texts = ["x " * n + " ".join(words) for n in range(5)]
+    assert [find(t) for t in texts] == [[(0, 1.0, n, n + 30)] for n in range(5)]
+    assert asked == [0]
+    assert items.encode(["w0", "nowhere", "w2"]).tolist() == [1, 0, 3] and not len(items.encode([]))
