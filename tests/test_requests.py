@@ -1,6 +1,7 @@
 """Tables of requests against buckets: rows of single lookups, no exchange of postings or points."""
 
 import random
+import tempfile
 
 import pytest
 from pyspark.sql import functions as F
@@ -70,9 +71,22 @@ def test_totals_of_requests_that_ask_the_same_are_found_once(spark, tables, tmp_
     requests.close_buckets(spark, b)
 
 
-@pytest.mark.parametrize(("query", "look_up", "most"), [("term_lookup_requests", "term_lookups", 40), ("numeric_range_requests", "range_lookups", 1020)])
-def test_registered_requests_look_up_each_thing_once(spark, monkeypatch, query, look_up, most):
+@pytest.fixture(scope="module")
+def many_requests(spark):
+    """Four times as many orders and customers as there are terms and ranges to ask for."""
+    folder = tempfile.mkdtemp(prefix="lexidx-test-")
+    parts = [(i, f"part {i}", f"Brand#{i % 25}", i % 50, 900.0 + i % 1000) for i in range(300)]
+    for name, rows, schema in (
+            ("part", parts, "p_partkey long, p_name string, p_brand string, p_size int, p_retailprice double"),
+            ("orders", [(i % 900,) for i in range(1000)] + [(None,)], "o_orderkey long"),
+            ("customer", [(i,) for i in range(4000)] + [(None,)], "c_custkey long")):
+        spark.createDataFrame(rows, schema).write.parquet(f"{folder}/{name}.parquet")
+    return folder
+
+
+@pytest.mark.parametrize(("query", "look_up", "most"), [("term_lookup_requests", "term_lookups", 41), ("numeric_range_requests", "range_lookups", 1001)])
+def test_registered_requests_look_up_each_thing_once(spark, monkeypatch, many_requests, query, look_up, most):
     asked, original = [], getattr(requests, look_up)
     monkeypatch.setattr(requests, look_up, lambda b, df: asked.append(df) or original(b, df))
-    assert index_queries.QUERIES[query](spark, "/root/testdata/sf0.01").count() > 0
+    assert index_queries.QUERIES[query](spark, many_requests).count() > 0
     assert 0 < asked[0].count() == asked[0].drop("req_id").distinct().count() <= most
