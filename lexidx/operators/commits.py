@@ -57,6 +57,12 @@ def _file_system(spark: SparkSession, path: str):
     return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+def local_path(spark: SparkSession, path: str) -> str | None:
+    """The plain path of a file or folder on a local (or mounted) disk; None on any other file system."""
+    p, fs = _file_system(spark, path)
+    return p.toUri().getPath() if fs.getScheme() == "file" else None
+
+
 def create_if_absent(spark: SparkSession, path: str, text: str) -> bool:
     """Write a small file unless one of that name exists; False if it does. Of concurrent callers one gets True.
 

@@ -8,10 +8,13 @@ the physical line numbers the oracle computes.
 
 from __future__ import annotations
 
+import os
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexidx.operators import sweep
+from lexidx.operators import commits, sweep
 from lexidx.plans import tables
 from lexidx.session import scratch_path
 
@@ -174,10 +177,32 @@ def index_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- G4: stored objects -------------------------------------------------
 
 def write_objects(spark: SparkSession, keys: DataFrame) -> str:
-    """A storage folder with an object of its own for each (index_id, version): {root}/index_id=<id>/version=<n>/part-*."""
+    """A storage folder with an object of its own for each (index_id, version): {root}/index_id=<id>/version=<n>/part-*.
+
+    On a local disk Hadoop starts processes for the permissions of every new file and the driver moves the
+    files one by one, so there the tasks create the objects themselves, below the shared folder.
+    """
     root = scratch_path(spark, "objects")
-    keys.select("index_id", "version", F.lit("artifact").alias("value")).repartition("index_id", "version") \
-        .write.partitionBy("index_id", "version").text(root)
+    # A number of tasks of its own: the keys are few bytes, the files behind them are the work.
+    dealt = keys.select("index_id", "version", F.lit("artifact").alias("value")).repartition(
+        max(sweep.LISTING_TASKS, 4 * spark.sparkContext.defaultParallelism), "index_id", "version")
+    local = commits.local_path(spark, root)
+    if local is None:
+        dealt.write.partitionBy("index_id", "version").text(root)
+        return root
+
+    def create(batches):
+        for batch in batches:
+            for index_id, version, value in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                names = ("__HIVE_DEFAULT_PARTITION__" if k is None else k for k in (index_id, version))
+                folder = "{}/index_id={}/version={}".format(local, *names)
+                os.makedirs(folder, exist_ok=True)
+                with open(f"{folder}/part-00000.txt", "w", encoding="utf-8") as f:
+                    f.write(f"{value}\n")
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
+
+    os.makedirs(local, exist_ok=True)
+    dealt.mapInArrow(create, "n long").agg(F.sum("n")).collect()
     return root
 
 
