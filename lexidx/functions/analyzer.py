@@ -36,9 +36,11 @@ def split_long(tokens: Column, max_len: int = MAX_TOKEN_LENGTH) -> Column:
         n = F.floor((F.length(t) - 1) / max_len)
         return F.transform(F.sequence(F.lit(0), n.cast("int")),
                            lambda i: F.substring(t, i * max_len + 1, max_len))
-    return F.flatten(F.transform(
-        tokens,
-        lambda t: F.when(F.length(t) <= max_len, F.array(t)).otherwise(pieces(t))))
+    def cut(ts):
+        return F.flatten(F.transform(ts, lambda t: F.when(F.length(t) <= max_len, F.array(t)).otherwise(pieces(t))))
+    # Most texts have no such token. The array of one names the tokens, which are computed once.
+    return F.get(F.transform(F.array(tokens), lambda ts: F.when(
+        F.exists(ts, lambda t: F.length(t) > max_len), cut(ts)).otherwise(ts)), F.lit(0))
 
 
 def tokens(text: Column, pattern: str = DEFAULT_PATTERN) -> Column:

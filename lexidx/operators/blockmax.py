@@ -15,10 +15,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexidx.functions import bm25
+from lexidx.operators.ordered import new_key
 
 BLOCK = 256
 FIRST_BLOCKS = 64      # scored exactly to raise the threshold
@@ -31,16 +34,73 @@ def block_of(doc_id: Column) -> Column:
     return F.floor(doc_id / F.lit(BLOCK)).cast("long")
 
 
-def block_table(postings: DataFrame, stats: DataFrame) -> DataFrame:
-    """(field, term, block, impact, postings) of the text fields; the average lengths are the index's, one row for each field."""
+def _impacts(postings: DataFrame, stats: DataFrame) -> DataFrame | None:
+    """``postings`` of the text fields with each one's contribution; None without a text field. The average lengths are the index's, one row for each field."""
     lengths = {r["field"]: r["avg_length"] for r in stats.select("field", "avg_length").collect()}
     if not lengths:
-        return postings.select("field", "term", block_of(F.col("doc_id")).alias("block"), F.lit(0.0).alias("impact"),
-                               F.lit(0).cast("long").alias("postings")).where("false")
+        return None
     average = F.create_map(*[F.lit(x) for pair in lengths.items() for x in pair])[F.col("field")]
     impact = bm25.term_score(F.lit(1.0), F.col("tf").cast("double"), F.col("dl").cast("double"), average)
-    return (postings.where(F.col("dl").isNotNull()).groupBy("field", "term", block_of(F.col("doc_id")).alias("block"))
-            .agg(F.max(impact).alias("impact"), F.count(F.lit(1)).alias("postings")))
+    return postings.where(F.col("dl").isNotNull()).withColumn("block", block_of(F.col("doc_id"))).withColumn("impact", impact)
+
+
+def _no_blocks(postings: DataFrame) -> DataFrame:
+    return postings.select("field", "term", block_of(F.col("doc_id")).alias("block"), F.lit(0.0).alias("impact"),
+                           F.lit(0).cast("long").alias("postings")).where("false")
+
+
+def block_table(postings: DataFrame, stats: DataFrame) -> DataFrame:
+    """(field, term, block, impact, postings) of the text fields."""
+    rows = _impacts(postings, stats)
+    if rows is None:
+        return _no_blocks(postings)
+    return rows.groupBy(*BLOCK_KEYS).agg(F.max("impact").alias("impact"), F.count(F.lit(1)).alias("postings"))
+
+
+BLOCK_KEYS = ("field", "term", "block")
+PIECE_SCHEMA = "field string, term string, block long, impact double, postings long, end boolean"
+
+
+def piece_blocks(postings: DataFrame, stats: DataFrame) -> DataFrame:
+    """The blocks in each piece that is read of files sorted by field, term and document, of disjoint ranges (``layout.deal``).
+
+    A block's postings lie next to each other, so a piece is merged as it is read. Only its first and its last block
+    (``end``) may have rows in another piece.
+    """
+    rows = _impacts(postings, stats)
+    if rows is None:
+        return _no_blocks(postings).withColumn("end", F.lit(True))
+    piece = F.xxhash64("_metadata.file_name", "_metadata.file_block_start")
+    rows = rows.select(piece.alias("piece"), *BLOCK_KEYS, "impact", F.lit(1).cast("long").alias("postings"))
+
+    def run(batches):
+        held, held_first = None, True  # the last block so far, which may go on
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            t = batch if held is None else pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+            new_piece = new_key(t.column("piece"), None)
+            new_piece[0] = True
+            starts = np.flatnonzero(np.logical_or.reduce([new_piece, *(new_key(t.column(k), None) for k in BLOCK_KEYS)]))
+            first = new_piece[starts]
+            first[0] = held_first
+            impact = np.maximum.reduceat(t.column("impact").to_numpy(), starts)
+            count = np.add.reduceat(t.column("postings").to_numpy(), starts)
+            keys = t.select(["piece", *BLOCK_KEYS]).take(pa.array(starts))
+            out = pa.RecordBatch.from_arrays([*keys.columns, pa.array(impact), pa.array(count)], schema=t.schema)
+            held, held_first = out.slice(len(starts) - 1), bool(first[-1])
+            done = out.slice(0, len(starts) - 1)
+            yield pa.RecordBatch.from_arrays([*done.columns[1:], pa.array(first[:-1] | first[1:], pa.bool_())], [*done.schema.names[1:], "end"])
+        if held is not None:
+            yield pa.RecordBatch.from_arrays([*held.columns[1:], pa.array([True])], [*held.schema.names[1:], "end"])
+
+    return rows.mapInArrow(run, PIECE_SCHEMA)
+
+
+def joined_pieces(pieces: DataFrame) -> DataFrame:
+    """``block_table`` from ``piece_blocks``: of each piece only the first and the last block are exchanged."""
+    ends = pieces.where("end").groupBy(*BLOCK_KEYS).agg(F.max("impact").alias("impact"), F.sum("postings").alias("postings"))
+    return pieces.where("not end").drop("end").unionByName(ends)
 
 
 @dataclass

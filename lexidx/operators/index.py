@@ -50,13 +50,24 @@ def _with_term_runs(df: DataFrame, toks: str, out: str) -> DataFrame:
     return df.withColumn(out, F.transform(starts, run)).drop("_pairs", "_starts")
 
 
+# Splits for each core beyond which enough of them are taken to hold rows.
+SURE_SPLITS = 64
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Deal a table of fewer splits than cores (one small file) to every core,
     in ranges of ``doc_id``: document order is kept, and only task boundaries
     depend on the session, never a result. A table of many splits is left as it
-    is, so no shuffle is added at scale. Meant for plain table scans."""
+    is, so no shuffle is added at scale, unless its rows lie in splits for fewer than half of the
+    cores: a Parquet file of one row group has them all in one split, into however many it is cut.
+    Meant for plain table scans."""
     par = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartitionByRange(par, "doc_id") if df.rdd.getNumPartitions() < par else df
+    splits = df.rdd.getNumPartitions()
+    few = splits < par
+    if not few and splits <= SURE_SPLITS * par:
+        # Footers only, no column is read.
+        few = 2 * df.select(F.spark_partition_id().alias("split")).distinct().count() < par
+    return df.repartitionByRange(par, "doc_id") if few else df
 
 
 def text_postings(docs: DataFrame, field: str, pattern: str = analyzer.DEFAULT_PATTERN,
@@ -244,6 +255,30 @@ def _layout(df: DataFrame, keys: list[str], layout: str) -> DataFrame:
     return df.sortWithinPartitions(*keys)
 
 
+# Texts are written in row groups of this size, so that what reads them back spreads over all cores.
+STORED_ROW_GROUP = 4 << 20
+
+
+def _writer(df: DataFrame, max_records_per_file: int):
+    return df.write.mode("overwrite").option("maxRecordsPerFile", max_records_per_file).option("compression", "zstd")
+
+
+def _write_stored(df: DataFrame, path: str, max_records_per_file: int) -> None:
+    _writer(df, max_records_per_file).option("parquet.block.size", STORED_ROW_GROUP).parquet(f"{path}/stored")
+
+
+def _packed(post: DataFrame) -> DataFrame:
+    """Postings for an exchange: a text posting's length and positions in one array, which also tells its count; null for the others."""
+    return post.select("field", "term", "doc_id", F.concat(F.array("dl"), "positions").alias("packed"))
+
+
+def _unpacked(post: DataFrame) -> DataFrame:
+    n = F.size("packed") - 1
+    text = F.col("packed").isNotNull()
+    return post.select("field", "term", "doc_id", F.when(text, n).otherwise(F.lit(1)).alias("tf"),
+                       F.when(text, F.slice("packed", F.lit(2), n)).alias("positions"), F.get("packed", F.lit(0)).alias("dl"))
+
+
 def write(tables: IndexTables, path: str, max_records_per_file: int = 5_000_000,
           layout: str = "range", skip_stored: bool = False) -> dict:
     """Write the tables of a version into a fresh folder.
@@ -256,10 +291,10 @@ def write(tables: IndexTables, path: str, max_records_per_file: int = 5_000_000,
     table is written first and the caller writes the manifest last, so a
     reader never sees a half-built version as complete.
     """
-    w = lambda df: df.write.mode("overwrite").option("maxRecordsPerFile", max_records_per_file)
+    w = lambda df: _writer(df, max_records_per_file)
     written = {}
     if not skip_stored:
-        w(tables.stored).parquet(f"{path}/stored")
+        _write_stored(tables.stored, path, max_records_per_file)
         written["stored"] = f"{path}/stored"
     spark = tables.stored.sparkSession
     # By document id, whatever order the documents came in: a fetch opens the files of its hits only.
@@ -271,7 +306,7 @@ def write(tables: IndexTables, path: str, max_records_per_file: int = 5_000_000,
         if layout == "range":
             w(_layout(term_dictionary(post), ["field", "term"], layout)).parquet(f"{path}/terms")
             starts = file_layout.file_starts(spark.read.parquet(f"{path}/terms"), post, spark.sparkContext.defaultParallelism)
-            w(file_layout.deal(post, starts)).parquet(f"{path}/postings")
+            w(_unpacked(file_layout.deal(_packed(post), starts))).parquet(f"{path}/postings")
         else:
             w(post.sortWithinPartitions("field", "term", "doc_id")).parquet(f"{path}/postings")
             post = spark.read.parquet(f"{path}/postings")
@@ -285,8 +320,19 @@ def write(tables: IndexTables, path: str, max_records_per_file: int = 5_000_000,
         # coalesce after the aggregate's exchange: only the final rows (one
         # per field) are merged; the partial aggregation stays parallel.
         w(field_stats(lengths).coalesce(1)).parquet(f"{path}/field_stats")
-        blocks = blockmax.block_table(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/field_stats"))
-        w(_layout(blocks, ["field", "term", "block"], layout)).parquet(f"{path}/blocks")
+        back, stats = spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/field_stats")
+        if layout == "range":
+            # The files are sorted and of disjoint ranges already, and so are the blocks made from each.
+            scratch = scratch_path(spark, "block-pieces")
+            try:
+                pieces = blockmax.piece_blocks(back, stats)
+                pieces.write.option("compression", "zstd").parquet(scratch)
+                blocks = blockmax.joined_pieces(spark.read.schema(pieces.schema).parquet(scratch))
+                w(blocks.sortWithinPartitions("field", "term", "block")).parquet(f"{path}/blocks")
+            finally:
+                delete_path(spark, scratch)
+        else:
+            w(_layout(blockmax.block_table(back, stats), ["field", "term", "block"], layout)).parquet(f"{path}/blocks")
         written.update(lengths=f"{path}/lengths", field_stats=f"{path}/field_stats", blocks=f"{path}/blocks")
     for name in ("long_points", "double_points"):
         df = getattr(tables, name)
@@ -310,7 +356,7 @@ def write_version(docs: DataFrame, fields, path: str, pattern: str = analyzer.DE
     fl = fields_of(fields)
     obs = Observation(f"stored_rows_{uuid.uuid4().hex[:8]}")
     st = stored(docs, fl).observe(obs, F.count(F.lit(1)).alias("n"))
-    st.write.mode("overwrite").option("maxRecordsPerFile", max_records_per_file).parquet(f"{path}/stored")
+    _write_stored(st, path, max_records_per_file)
     written_docs = int(obs.get["n"])
     if after_stored is not None:
         after_stored()  # may raise to stop before the derived tables
@@ -320,7 +366,7 @@ def write_version(docs: DataFrame, fields, path: str, pattern: str = analyzer.DE
     scratch = None if runs is None else scratch_path(spark, "text-runs")
     try:
         if runs is not None:
-            runs.write.parquet(scratch)
+            runs.write.option("compression", "zstd").parquet(scratch)
             runs = spark.read.schema(runs.schema).parquet(scratch)
         tables = IndexTables(
             stored=back, postings=postings(back, fl, pattern, runs),

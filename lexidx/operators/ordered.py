@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def _new_key(keys: pa.Array, before) -> np.ndarray:
+def new_key(keys: pa.Array, before) -> np.ndarray:
     """Marks the rows whose key differs from that of the row before; a null key equals a null key."""
     previous = pa.concat_arrays([pa.array([before], keys.type), keys.slice(0, len(keys) - 1)])
     differ = pc.fill_null(pc.not_equal(keys, previous), False).to_numpy(zero_copy_only=False)
@@ -47,7 +47,7 @@ def running_count(df: DataFrame, key: str, order: str, flag: str, out: str, rang
             if not batch.num_rows:
                 continue
             keys, on = batch.column(key), batch.column("_on").to_numpy()
-            fresh = _new_key(keys, known)
+            fresh = new_key(keys, known)
             if first:
                 fresh[0], first = True, False
             sums = np.cumsum(on)
