@@ -6,8 +6,8 @@ tests; both give a raw ``value`` string, decoded with ``from_json`` against
 a fixed schema. Undecodable records are routed, with their original text, to
 a dead-letter sink by a query of their own. The keyed state machine of the
 lifecycle runs in ``applyInPandasWithState``: one small per-event rule,
-with Spark partitioning the keys and keeping the state fault-tolerantly in
-the checkpoint.
+with Spark partitioning the versions, by buckets of their ids, and keeping the
+state fault-tolerantly in the checkpoint.
 """
 
 from __future__ import annotations
@@ -158,17 +158,13 @@ def publish_stream(records: DataFrame, fmt: str, target: str, checkpoint: str, o
 
 # ---- keyed state machine (E3-E5) ----------------------------------------
 
-STATE_SCHEMA = T.StructType([
-    T.StructField("status", T.StringType()),
-    T.StructField("doc_count", T.LongType()),
-    T.StructField("artifact_size", T.LongType()),
-    T.StructField("checksum", T.StringType()),
-    T.StructField("artifact_key", T.StringType()),
-    T.StructField("error_message", T.StringType()),
-    T.StructField("applied_events", T.LongType()),
-    T.StructField("created_at", T.TimestampType()),
-    T.StructField("updated_at", T.TimestampType()),
-])
+# Versions share a state entry by the hash of their id: Spark hands over each group and takes its state back at a
+# fixed cost of milliseconds, whatever the group holds. Fixed for the life of a checkpoint, like its partitions.
+STATE_BUCKETS = 1024
+ROW_FIELDS = ("status", "doc_count", "artifact_size", "checksum", "artifact_key", "error_message",
+              "applied_events", "created_at", "updated_at")
+# The rows of a bucket's versions as a JSON list of [version_id, *ROW_FIELDS]; times are microseconds.
+STATE_SCHEMA = T.StructType([T.StructField("versions", T.StringType())])
 OUTCOME_SCHEMA = T.StructType([
     T.StructField("version_id", T.StringType()),
     T.StructField("seq", T.LongType()),
@@ -232,30 +228,50 @@ def _seed(e) -> dict | None:
     return st
 
 
+def _rows(state) -> dict:
+    """The version rows of a bucket, as lists until an event meets them."""
+    return {row[0]: row[1:] for row in json.loads(state.get[0])} if state.exists else {}
+
+
+def _packed(versions: dict) -> str:
+    def row(st):
+        return st if isinstance(st, list) else [_long(st[f]) if f.endswith("_at") else st[f] for f in ROW_FIELDS]
+    return json.dumps([[v, *row(st)] for v, st in versions.items()], ensure_ascii=False, separators=(",", ":"))
+
+
 def _transition(key, batches, state):
-    """All events of one version in one micro-batch, in log order.
+    """All events of one bucket of versions in one micro-batch, in log order.
 
     Arrival order within a key is not kept by a shuffle, so the rows are
     sorted; the source bounds how many a micro-batch can hold (``read_raw``).
     """
-    (version_id,) = key
     rows = [e for pdf in batches for e in pdf.itertuples(index=False)]
     rows.sort(key=lambda e: e.seq)
-    st = dict(zip([f.name for f in STATE_SCHEMA.fields], state.get, strict=True)) if state.exists else _seed(rows[0])
+    versions, changed = _rows(state), False
     out = []
     for e in rows:
+        v = _text(e.version_id)
+        was = versions.get(v)
+        if was is None:
+            st = _seed(e)
+        else:
+            st = was if isinstance(was, dict) else dict(zip(ROW_FIELDS, was, strict=True))
+        seeded = was is None and st is not None
         st, outcome = _step(st, e)
         lost = outcome == "NOT_FOUND"
-        out.append((version_id, int(e.seq), e.kind, outcome, st["status"] if st else None,
+        out.append((v, int(e.seq), e.kind, outcome, st["status"] if st else None,
                     _text(e.key) if lost else None, e.raw if lost else None))
-    if st is not None:  # ids no version has leave no state behind
-        state.update(tuple(st[f.name] for f in STATE_SCHEMA.fields))
+        if st is not None:  # ids no version has leave no state behind
+            versions[v] = st
+            changed = changed or seeded or outcome == "APPLIED"
+    if changed:
+        state.update((_packed(versions),))
     yield pd.DataFrame(out, columns=[f.name for f in OUTCOME_SCHEMA.fields])
 
 
 def apply_transitions(events: DataFrame, catalog: DataFrame | None = None) -> DataFrame:
-    """E3/E5 (and E4's NOT_FOUND): per-event outcomes of the lifecycle rules,
-    keyed by version. Events of one version must come through one ordered
+    """E3/E5 (and E4's NOT_FOUND): per-event outcomes of the lifecycle rules
+    for each version, whose state is kept by bucket. Events of one version must come through one ordered
     log; within a micro-batch they are sorted by seq. The current status alone
     decides: a second READY or CREATED is a duplicate, whatever its position.
 
@@ -272,7 +288,11 @@ def apply_transitions(events: DataFrame, catalog: DataFrame | None = None) -> Da
         seed = catalog.select(F.col("version_id").cast("string").alias("version_id"),
                               *[F.col(f).alias(SEED_PREFIX + f) for f in SEED_FIELDS])
         events = events.join(seed, "version_id", "left")
-    return events.groupBy("version_id").applyInPandasWithState(
+    # Longs as text: a null beside them must not turn them into floating point.
+    events = events.withColumns({
+        **{c: F.col(c).cast("bigint").cast("string") for c in events.columns if c.endswith(("doc_count", "artifact_size"))},
+        "ts": F.unix_micros(F.col("ts").cast("timestamp")), "bucket": F.pmod(F.xxhash64("version_id"), F.lit(STATE_BUCKETS))})
+    return events.groupBy("bucket").applyInPandasWithState(
         _transition, OUTCOME_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
 
 

@@ -222,3 +222,37 @@ def test_settling_publish_results_is_exactly_once(spark, tmp_dir, monkeypatch):
     assert state() == want
     run(spark.createDataFrame([("4", 5, "ERROR", "later")], ev.RESULT_SCHEMA), 1)
     assert [k for _, k in state()[1]] == ["a/2", "a/3", "a/4"]
+
+
+def test_state_is_kept_for_buckets_of_versions(spark, tmp_dir):
+    """3,000 versions come back in two micro-batches: the keyed step has a group for each bucket, not for each version."""
+    import datetime as dt
+    src, sink, ck = (os.path.join(tmp_dir, x) for x in ("src", "sink", "ck"))
+    log = spark.range(3000).select(
+        F.concat(F.lit("v"), "id").alias("version_id"), F.col("id").alias("seq"), F.lit(dt.datetime(2024, 1, 1)).alias("ts"),
+        F.explode(F.array(F.lit("CREATED"), F.lit("UPLOADED"))).alias("kind"), F.when(F.col("id") % 2 == 0, F.lit(2**60 + 1)).alias("doc_count"),
+        F.lit(None).cast("bigint").alias("artifact_size"), *[F.lit(None).cast("string").alias(c) for c in ("checksum", "artifact_key", "error_message")])
+    log = log.withColumn("seq", F.when(F.col("kind") == "CREATED", F.col("seq")).otherwise(F.col("seq") + 3000))
+    groups = []
+    for kind in ("CREATED", "UPLOADED", "READY"):
+        part = (log.where(F.col("kind") == kind) if kind != "READY" else
+                log.where("kind = 'UPLOADED' and seq % 3 = 0").withColumns({"kind": F.lit(kind), "seq": F.col("seq") + 3000}))
+        _write_log(spark, part, src)
+        decoded = ev.decode(ev.read_raw(spark, "text", src), ev.LIFECYCLE_SCHEMA, "version_id").where("event is not null")
+        q = ev.run_available(ev.apply_transitions(decoded.select("event.*")), sink, ck)
+        groups += [s["numRowsUpdated"] for p in q.recentProgress if p["numInputRows"] for s in p["stateOperators"]]
+    assert 0 < max(groups) <= ev.STATE_BUCKETS < 3000
+    got = spark.read.parquet(sink).groupBy("version_id").agg(F.max_by("status", "seq").alias("status"), F.collect_set("outcome").alias("o")).collect()
+    assert len(got) == 3000 and all(r.o == ["APPLIED"] for r in got)
+    assert sum(r.status == "READY" for r in got) == 1000 and sum(r.status == "UPLOADED" for r in got) == 2000
+
+
+def test_bucket_state_reads_back_whole():
+    """Null ids beside the text "null", longs beyond 2**53, text with quotes and line ends."""
+    from types import SimpleNamespace
+    built = dict(kind="BUILT", ts=5, doc_count=str(2**60 + 1), artifact_size=None, checksum='a"\nü', artifact_key=None, error_message=None)
+    st = ev._step(ev._step(None, SimpleNamespace(kind="CREATED", ts=4.0))[0], SimpleNamespace(**built))[0]
+    state = SimpleNamespace(exists=True, get=(ev._packed({None: st, "null": st | {"status": "READY"}, "7": st}),))
+    rows = ev._rows(state)
+    assert list(rows) == [None, "null", "7"] and rows["null"][0] == "READY"
+    assert rows["7"] == ["BUILT", 2**60 + 1, None, 'a"\nü', None, None, 2, 4, 5] and ev._packed(rows) == state.get[0]
