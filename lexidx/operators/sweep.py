@@ -1,13 +1,16 @@
 """Orphaned artifacts: mark and sweep over what the storage really holds.
 
-The storage is listed with Spark's own (parallel) file listing, without reading any
-content; what a version in the catalog owns is marked; the rest, once nothing in it
+The storage is listed in parallel, without reading any content; what a version in
+the catalog owns is marked; the rest, once nothing in it
 has changed for a grace period, is a table of folders to delete. A writer that
 is still at work keeps changing its folder, so the grace period spares it.
 """
 
 from __future__ import annotations
 
+import os
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,11 +21,89 @@ GRACE_SECONDS = 6 * 3600
 LISTING_TASKS = 32
 
 
+def _visible(name: str, folder: bool) -> bool:
+    """Does Spark's own listing see a file, or enter a folder, of this name?"""
+    if folder and name.startswith(("_metadata", "_common_metadata")):
+        return True
+    return not (name.startswith(".") or name.endswith("._COPYING_") or (name.startswith("_") and "=" not in name))
+
+
+def _entries(folder: str) -> tuple[list[str], list[os.DirEntry]]:
+    """The visible folders and files in a folder; none if it is gone by now."""
+    folders, files = [], []
+    try:
+        with os.scandir(folder) as found:
+            for e in found:
+                deeper = e.is_dir()
+                if _visible(e.name, deeper):
+                    folders.append(e.path) if deeper else files.append(e)
+    except FileNotFoundError:
+        pass
+    return folders, files
+
+
+LISTED_ROWS = 8192
+
+
+def _listed(batches):
+    """Rows for every file of the given folders, of those below them too where ``deep``."""
+    rows = []
+
+    def flush():
+        batch = pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int64()))],
+                                           ["path", "bytes", "modified"])
+        rows.clear()
+        return batch
+
+    for batch in batches:
+        for folder, deep in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            waiting = [folder]
+            while waiting:
+                folders, files = _entries(waiting.pop())
+                if deep:
+                    waiting += folders
+                for e in files:
+                    try:
+                        st = e.stat()
+                    except FileNotFoundError:
+                        continue
+                    if st.st_size:  # Spark's listing leaves out empty files
+                        rows.append((os.fsencode(f"file:{e.path}").decode("utf-8", "replace"), st.st_size, st.st_mtime_ns // 1_000_000))
+                    if len(rows) == LISTED_ROWS:
+                        yield flush()
+    if rows:
+        yield flush()
+
+
+def _list_local(spark: SparkSession, root: str) -> DataFrame:
+    """``list_files`` on a local disk: the tasks walk the folders and the driver keeps no file, as it does for
+    every file that Spark lists. The driver itself goes down only until there are folders enough to deal out."""
+    if not os.path.isdir(root):
+        raise FileNotFoundError(root)
+    level, work = [root], []
+    while level and len(level) < LISTING_TASKS:
+        work += [(folder, False) for folder in level]
+        level = [sub for folder in level for sub in _entries(folder)[0]]
+    work += [(folder, True) for folder in level]
+    tasks = min(len(work), max(LISTING_TASKS, 4 * spark.sparkContext.defaultParallelism))
+    found = spark.createDataFrame(work, "folder string, deep boolean").repartition(tasks).mapInArrow(
+        _listed, "path string, bytes long, modified long")
+    return found.withColumn("modified", F.timestamp_millis("modified"))
+
+
 def list_files(spark: SparkSession, root: str) -> DataFrame:
     """(path, bytes, modified) of every visible file below ``root``.
 
-    Spark lists folders in a job of its own, by default one task for each; here a few for each core.
+    On a local disk the tasks list it. Elsewhere Spark does, which keeps every file's status on the driver: it lists
+    folders in a job of its own, by default one task for each; here a few for each core.
     """
+    local = commits.local_path(spark, root)
+    if local is not None:
+        return _list_local(spark, os.path.abspath(local))
+    return _list_with_spark(spark, root)
+
+
+def _list_with_spark(spark: SparkSession, root: str) -> DataFrame:
     width = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
     before = spark.conf.get(width)
     spark.conf.set(width, str(max(LISTING_TASKS, 4 * spark.sparkContext.defaultParallelism)))

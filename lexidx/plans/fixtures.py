@@ -206,10 +206,55 @@ def write_objects(spark: SparkSession, keys: DataFrame) -> str:
     return root
 
 
+OBJECT_FOLDERS = 256
+
+
+def store_objects(spark: SparkSession, keys: DataFrame) -> str:
+    """The objects of ``write_objects`` as files of a few large folders: {root}/<folder>/v<id>,<n>.
+
+    On a local disk a small file takes a block and a folder of its own another, 8 KB for each object. Here an
+    object takes an entry in its folder: it is linked to an equal one that is there already. Other storages have no folders.
+    """
+    root = scratch_path(spark, "objects")
+    local = commits.local_path(spark, root)
+    if local is None:
+        return write_objects(spark, keys)
+    folder = F.pmod(F.xxhash64("index_id", "version"), F.lit(OBJECT_FOLDERS))
+    dealt = keys.select("index_id", "version", F.lit("artifact").alias("value"), folder.alias("folder")).repartition(
+        max(sweep.LISTING_TASKS, 4 * spark.sparkContext.defaultParallelism), "folder")
+
+    def create(batches):
+        written = {}  # folder -> a file in it
+        for batch in batches:
+            for index_id, version, value, folder in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                names = ("__HIVE_DEFAULT_PARTITION__" if k is None else k for k in (index_id, version))
+                path = "{}/{}/v{},{}".format(local, folder, *names)
+                try:
+                    if folder in written:
+                        os.link(written[folder], path)
+                        continue
+                    os.makedirs(os.path.dirname(path), exist_ok=True)
+                except FileExistsError:
+                    continue
+                except OSError:  # a file can't have more links, or none at all on this disk
+                    pass
+                with open(path, "w", encoding="utf-8") as f:
+                    f.write(f"{value}\n")
+                written[folder] = path
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
+
+    os.makedirs(local, exist_ok=True)
+    dealt.mapInArrow(create, "n long").agg(F.sum("n")).collect()
+    return root
+
+
 def listed_objects(spark: SparkSession, root: str) -> DataFrame:
     """The folders of ``sweep.stored_folders`` with the keys that a catalog uses for them."""
     files = sweep.list_files(spark, root)
-    own = files.withColumn("path", F.regexp_replace("path", r"index_id=([^/]+)/version=([^/]+)/[^/]*$", "objects/$1/$2/index.tar.gz"))
+    name = F.substring_index("path", "/", -1)
+    key = F.replace(F.substring(name, 2, 1 << 20), F.lit(","), F.lit("/"))
+    own = files.withColumn("path", F.when(name.contains(","), F.concat(F.lit("objects/"), key, F.lit("/index.tar.gz")))
+                           .otherwise(F.regexp_replace("path", r"index_id=([^/]+)/version=([^/]+)/[^/]*$", "objects/$1/$2/index.tar.gz")))
     return sweep.stored_folders(own, r"objects/(([^/]+/[^/]+/index\.tar\.gz))$")
 
 
