@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from lexidx.operators import catalog, commits, index
 from lexidx.operators.commits import ATTEMPT, MANIFEST
 from lexidx.session import path_exists
-from lexidx.sources.files import list_objects
+from lexidx.sources.files import hashed_objects
 
 # Messages that must read as they do.
 MISMATCH = "Downloaded artifact integrity check failed: expected size=%s checksum=%s, got size=%s checksum=%s"
@@ -24,13 +24,14 @@ COUNT_MISMATCH = "Loaded index doc count mismatch: expected %d but found %d"
 
 
 def manifest(listing: DataFrame, root: str | None = None) -> DataFrame:
-    """A1: (path, length, sha256) of every listed file; with ``root``,
-    paths are made relative to it."""
+    """A1: (path, length, sha256) of every listed file, hashed already (``hashed_objects``) or here from its
+    content; with ``root``, paths are made relative to it."""
     path = F.col("path")
     if root is not None:
         prefix = F.lit("/" + root.split("://", 1)[-1].removeprefix("file:").strip("/") + "/")
         path = F.substring(path, F.instr(path, prefix) + F.length(prefix), F.length(path))
-    return listing.select(path.alias("path"), "length", F.sha2("content", 256).alias("sha256"))
+    sha256 = F.col("sha256") if "sha256" in listing.columns else F.sha2("content", 256)
+    return listing.select(path.alias("path"), "length", sha256.alias("sha256"))
 
 
 DIGEST_BUCKETS = 4096
@@ -113,7 +114,7 @@ def publish_version(spark: SparkSession, docs: DataFrame, fields, root: str, ind
     try:
         _, n_docs = index.write_version(docs, fields, attempt, layout=layout, after_stored=after_stored)
         index.verify_counts(n_docs, spark.read.parquet(f"{attempt}/stored").count())
-        man = manifest(list_objects(spark, attempt), path)
+        man = manifest(hashed_objects(spark, attempt), path)
         # One row for each file, written where the files were hashed.
         man.write.parquet(commits.manifest_path(path, name))
         d = version_digest(spark.read.parquet(commits.manifest_path(path, name))).first()
@@ -189,7 +190,7 @@ def load_version(spark: SparkSession, root: str, index_id, version, versions: Da
             raise LoadRefused(f"Artifact manifest missing for version {version} of index {index_id}")
         expected, data = spark.read.parquet(pinned.manifest(path)), pinned.data(path)
         # Every file below the attempt that a reader can see, of whatever kind.
-        actual = manifest(list_objects(spark, data), path)
+        actual = manifest(hashed_objects(spark, data), path)
         bad = integrity_check(expected, actual).where(F.col("status") != "OK").select("path", "status", "message")
         first_bad = bad.orderBy("path").first()
         if first_bad:

@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexidx.operators import commits
+
+PIECE_BYTES = 1 << 20
+
 
 def list_objects(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame:
     """Every file below ``root`` as (path, name, length, content).
 
-    Each file is read whole by one task (binaryFile), so published tables cap
+    Where ``content`` is used each file is read whole by one task (binaryFile), so published tables cap
     their file size with ``maxRecordsPerFile``; a file beyond the reader's 2 GB
-    fails the job loudly. Names that start with ``_`` or ``.`` are skipped here as
+    fails the job loudly (``hashed_objects`` reads it in pieces). Names that start with ``_`` or ``.`` are skipped here as
     in every other file source, so they can never become part of a table.
     """
     r = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
@@ -19,3 +25,22 @@ def list_objects(spark: SparkSession, root: str, glob: str | None = None) -> Dat
         r = r.option("pathGlobFilter", glob)
     df = r.load(root)
     return df.select("path", F.element_at(F.split("path", "/"), -1).alias("name"), "length", "content")
+
+
+def hashed_objects(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame:
+    """The files of ``list_objects`` as (path, name, length, sha256), hashed by the tasks that list them.
+
+    On a local disk a file is read in pieces, so one of any size takes a task no more memory than a small one.
+    """
+    files = list_objects(spark, root, glob)
+    if commits.local_path(spark, root) is None:
+        return files.select("path", "name", "length", F.sha2("content", 256).alias("sha256"))
+
+    def sha256(path):
+        digest = hashlib.sha256()
+        with open(path.removeprefix("file:"), "rb") as f:
+            while piece := f.read(PIECE_BYTES):
+                digest.update(piece)
+        return digest.hexdigest()
+
+    return files.select("path", "name", "length", F.udf(sha256, "string")("path").alias("sha256"))
